@@ -120,11 +120,21 @@ def positive_words(items: Column) -> Column:
     )
 
 
-def cover_density(tokens: Column, alternatives: Column) -> Column:
+def rank_words(alternatives: Column) -> tuple[Column, Column]:
+    """Distinct words of a query and, per alternative, the indexes of its words among them.
+    Keep both in columns of the query row before ``cover_density`` reads them per token."""
+    groups = F.transform(alternatives, positive_words)
+    terms = F.array_distinct(F.flatten(groups))
+    slots = F.transform(
+        F.filter(groups, lambda g: F.size(g) > 0),
+        lambda g: F.transform(g, lambda w: (F.array_position(terms, w) - 1).cast("int")),
+    )
+    return terms, slots
+
+
+def cover_density(tokens: Column, terms: Column, slots: Column) -> Column:
     """Sum over the shortest stretches that hold all words of an alternative; a stretch adds
     ``0.1 / (1 + words in it that the query does not name)``."""
-    terms = F.array_distinct(F.flatten(F.transform(alternatives, positive_words)))
-    groups = F.filter(F.transform(alternatives, positive_words), lambda g: F.size(g) > 0)
     hits = F.filter(
         F.transform(tokens, lambda t, i: F.struct(i.alias("at"), t.alias("term"))),
         lambda e: F.array_contains(terms, e["term"]),
@@ -134,9 +144,6 @@ def cover_density(tokens: Column, alternatives: Column) -> Column:
     )
     # per word the last hit seen, as (hit number, position); -1 before the first one
     nothing = F.struct(F.lit(-1).alias("no"), F.lit(-1).alias("at"))
-    slots = F.transform(groups, lambda g: F.transform(
-        g, lambda w: (F.array_position(terms, w) - 1).cast("int")
-    ))
     state = F.struct(
         F.transform(terms, lambda _: nothing).alias("last"),
         F.lit(-1).alias("begin"),
@@ -187,12 +194,15 @@ def fts_matches(
     A bounded set of lead words is broadcast and chunks are only scanned; a larger one meets
     the words in a shuffled join of ids.
     """
+    terms, slots = rank_words(F.col("alternatives"))
     parsed = parse_queries(queries.select("query_id", "query"), analyzer).select(
-        "query_id", "alternatives", F.posexplode("alternatives").alias("alternative", "items")
-    )
-    parsed = parsed.select(
-        "query_id", "alternatives", "alternative", positive_words(F.col("items")).alias("_words")
+        "query_id",
+        "alternatives",
+        terms.alias("terms"),
+        slots.alias("slots"),
+        F.posexplode("alternatives").alias("alternative", "items"),
     )
+    parsed = parsed.withColumn("_words", positive_words(F.col("items"))).drop("items")
     if stats is None:
         lead = F.get(
             F.array_sort(
@@ -227,12 +237,14 @@ def fts_matches(
         pairs = ids.join(tokens.select(*columns, "tokens"), "chunk_id")
     met = F.transform("alternatives", lambda items: _satisfied(F.col("tokens"), items))
     # a chunk found through several alternatives is kept for the first one it satisfies
-    hits = pairs.where(F.array_position(met, F.lit(True)) == F.col("alternative") + 1)
-    return hits.select(
-        "query_id",
-        *columns,
-        cover_density(F.col("tokens"), F.col("alternatives")).alias("rank_cd"),
+    found = F.array_position(met, F.lit(True)) == F.col("alternative") + 1
+    density = cover_density(F.col("tokens"), F.col("terms"), F.col("slots"))
+    # generated rather than filtered: a plain filter would become a condition of the join and
+    # take the explode above out of generated code, copying the tokens of every word
+    scored = pairs.select(
+        "query_id", *columns, F.explode_outer(F.array(F.when(found, density))).alias("rank_cd")
     )
+    return scored.where(F.col("rank_cd").isNotNull())
 
 
 def fts_search(

@@ -12,10 +12,17 @@ def load(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{root}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Give heavy per-row work a task per core when the input has fewer splits than that (a
+    small file with one row group). Larger inputs already have enough and are left alone."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def chunk_table(spark: SparkSession, root: str, toc: bool = True) -> DataFrame:
     """One chunk per text. The parent document is its ``source``, so a parent holds many
     chunks; texts without a vector keep a NULL embedding."""
-    docs = load(spark, root, "documents")
+    docs = spread(load(spark, root, "documents").select("doc_id", "source", "text"), "doc_id")
     vectors = load(spark, root, "embeddings").select(
         F.col("vec_id").alias("chunk_id"), "embedding"
     )
