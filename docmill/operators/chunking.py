@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docmill.functions import text as T
+from docmill.functions.arrays import explode_rows
 
 LOOKBACK = 200  # how far back from a window's end a sentence end is searched
 TOKEN_BUCKETS = [(0, 128), (128, 256), (256, 384), (384, 512)]
@@ -121,7 +122,8 @@ def chunk_sliding(
     kept = F.filter(placed, lambda c: c["content"] != "")
     keep = [c for c in docs.columns if c != text_col]
     out = rows.select(*keep, kept.alias("_c"))
-    return out.select(*keep, F.size("_c").alias("total_chunks"), F.posexplode("_c")).select(
+    out = explode_rows(out, "_c", [*keep, F.size("_c").alias("total_chunks")], "col", "pos")
+    return out.select(
         *keep,
         F.col("pos").alias("chunk_index"),
         "col.content",
@@ -222,7 +224,8 @@ def chunk_structured(
     body = F.when(F.col("col.path") == "", F.col("col.body")).otherwise(
         F.concat_ws("\n", "col.path", "col.body")
     )
-    out = rows.select(*keep, F.size("_c").alias("total_chunks"), F.posexplode("_c")).select(
+    out = explode_rows(rows, "_c", [*keep, F.size("_c").alias("total_chunks")], "col", "pos")
+    out = out.select(
         *keep,
         F.col("pos").alias("chunk_index"),
         F.col("col.path").alias("heading_path"),

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docmill.functions import text as T
+from docmill.functions.arrays import explode_rows
 from docmill.operators.ranking import top_per_key
 
 Analyzer = Callable[[Column], Column]
@@ -30,7 +31,7 @@ def token_table(
 
 def build_postings(tokens: DataFrame) -> DataFrame:
     """``(term, chunk_id, positions, tf)``: one row per word of a chunk."""
-    placed = tokens.select("chunk_id", F.posexplode("tokens").alias("position", "term"))
+    placed = explode_rows(tokens, "tokens", ["chunk_id"], "term", "position")
     return (
         placed.where(F.col("term") != "")
         .groupBy("term", "chunk_id")

@@ -427,7 +427,7 @@ def sliding(docs: str = "documents") -> str:
     """CTEs up to ``chunks``: windows walked one by one from the previous one's end."""
     return rf"""
 walk AS (
-  SELECT doc_id, text, length(text) AS n, 0 AS s,
+  SELECT doc_id, text, length(text) AS n, 0::BIGINT AS s,
          CASE WHEN 1000 >= length(text) THEN 1000 ELSE 0 END AS e0
   FROM {docs} WHERE length(text) > 0
   UNION ALL
@@ -495,15 +495,15 @@ WITH lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
 SELECT doc_id, round(i * 6 + (doc_id % 10) / 10.0::DOUBLE, 2) AS start_s, round(i * 6 + 5.96::DOUBLE, 2) AS end_s,
        md5({Q.strip('line')}) AS text_md5 FROM lines""",
     "golden_load": f"""
-WITH rows AS (SELECT item_id, replace(text, chr(10), ' ') AS t, {Q.tokens('text')} AS w FROM benchmark),
-uniq AS (SELECT item_id, string_agg(x, '|' ORDER BY at) AS keywords, count(*) AS n FROM (
-           SELECT item_id, x, min(at) AS at FROM (
-             SELECT item_id, unnest(w) AS x, unnest(range(len(w))) AS at FROM rows) GROUP BY ALL)
+WITH asked AS (SELECT item_id, replace(text, chr(10), ' ') AS t, {Q.tokens('text')} AS w FROM benchmark),
+uniq AS (SELECT item_id, string_agg(x, '|' ORDER BY place) AS keywords, count(*) AS n FROM (
+           SELECT item_id, x, min(place) AS place FROM (
+             SELECT item_id, unnest(w) AS x, unnest(range(len(w))) AS place FROM asked) GROUP BY ALL)
          GROUP BY item_id)
 SELECT item_id, md5(t) AS query_md5, 'data/raw/' AS expected_doc_path, keywords,
        (item_id % 20 + 60) / 100.0::DOUBLE AS min_similarity,
        CASE WHEN n > 20 THEN 'semantic' ELSE 'keyword' END AS query_type
-FROM rows JOIN uniq USING (item_id)""",
+FROM asked JOIN uniq USING (item_id)""",
     "doc_lookup": """
 WITH named AS (SELECT *, 'doc_' || doc_id || '.md' AS name FROM documents),
 files AS (SELECT CASE lang WHEN 'en' THEN 'raw/' WHEN 'fr' THEN 'processed/' ELSE 'archive/' END

@@ -75,7 +75,8 @@ def html_to_text(html: str) -> str:
     text = rf"regexp_replace({text}, '(?is)</?(?:{BLOCK_TAGS})\b[^>]*>', chr(10), 'g')"
     text = f"regexp_replace({text}, '(?s)<[^>]*>', '', 'g')"
     for name, char in ENTITIES.items():
-        text = f"replace({text}, '{name}', '{char}')"
+        quoted = char.replace("'", "''")
+        text = f"replace({text}, '{name}', '{quoted}')"
     text = rf"regexp_replace({text}, '[ \t\r]+', ' ', 'g')"
     text = rf"regexp_replace({text}, ' ?\n[\n ]*', chr(10), 'g')"
     return strip(text)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docmill.functions import text as T
+from docmill.functions.arrays import explode_rows
 
 # Patterns of files to ingest, and folders left out.
 PATTERNS = [
@@ -147,9 +148,8 @@ def transcript_segments(
     """Lines ``[time: a-b] words`` as rows: start, end and text."""
     # Fixed value: the form of a transcript line.
     pattern = r"^\[time: ([0-9.]+)-([0-9.]+)\]\s*(.*)$"
-    lines = transcripts.select(
-        *keep, F.posexplode(F.split(text_col, "\n")).alias("line_no", "line")
-    ).where(F.col("line").rlike(pattern))
+    lines = explode_rows(transcripts, F.split(text_col, "\n"), keep, "line", "line_no")
+    lines = lines.where(F.col("line").rlike(pattern))
     return lines.select(
         *keep,
         "line_no",
