@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from docmill.functions import text as T
 from docmill.functions.arrays import explode_rows
 from docmill.operators.ranking import top_per_key
+from docmill.session import cut_lineage
 
 MAX_DEPTH = 2
 MAX_PAGES = 100
@@ -62,7 +63,7 @@ def crawl_frontier(
     ``starts`` (name, url, position) are depth 0, ``links`` (name, url, position, link) are
     allowed links, ``fetched`` (url) the pages that could be read; only those pass links on.
     A page belongs to its first finder, and each source stops at ``max_pages``. One round per
-    depth; a round keeps at most ``max_pages`` rows per source.
+    depth; a round keeps at most ``max_pages`` rows per source and is checkpointed.
     """
     def cut(found: DataFrame, used: DataFrame | None, depth: int) -> DataFrame:
         first = found.groupBy("name", "url").agg(F.min("place").alias("place"))
@@ -76,9 +77,10 @@ def crawl_frontier(
             ranked = ranked.join(seen, "name", "left").withColumn(
                 "_n", F.col("_n") + F.coalesce("_seen", F.lit(0))
             )
-        return ranked.where(F.col("_n") <= max_pages).select(
+        kept = ranked.where(F.col("_n") <= max_pages).select(
             "name", "url", F.lit(depth).alias("depth"), F.col("_n").cast("int").alias("visit")
         )
+        return cut_lineage(kept)
 
     # place = (visit number of the finder, position on its page)
     seeds = starts.select(
