@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-SECTIONS = ["search", "ingest", "catalog", "chat"]
+SECTIONS = ["search", "ingest", "catalog", "chat", "streaming"]
 
 
 def _sections():

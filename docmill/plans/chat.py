@@ -212,13 +212,13 @@ def q_tool_usage(spark, root):
 # --- event streams -------------------------------------------------------------------------
 
 
-def _bodies(spark, root):
+def _bodies(spark, root, talk=None):
     """Every message as event text: a token per word, a tool call, a broken event, an event
     without data, sources, the end and a piece cut off."""
     words = F.regexp_extract_all("text", F.lit(r"(\S+\s*)"), F.lit(1))
     tokens = F.transform(words, lambda w: F.concat(
         F.lit("event: token\ndata: "), F.to_json(F.struct(w.alias("content"))), F.lit("\n\n")))
-    return _talk(spark, root).select(
+    return (_talk(spark, root) if talk is None else talk).select(
         "conv_id", "turn",
         F.concat(
             F.lit('event: tool_call\ndata: {"tool_name": "search", "tool_args": {"limit": 3}}\n\n'),
