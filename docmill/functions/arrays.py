@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,3 +22,9 @@ def explode_rows(
     else:
         rows = df.select(*keep, F.explode_outer(array).alias(value))
     return rows.where(F.col(value).isNotNull())
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once. Inside a lambda an expression that is
+    written twice is computed twice, and nesting such uses multiplies the work."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docmill.functions import text as T
-from docmill.functions.arrays import explode_rows
+from docmill.functions.arrays import explode_rows, let
 from docmill.operators.ranking import top_per_key
 
 Analyzer = Callable[[Column], Column]
@@ -151,29 +151,34 @@ def cover_density(tokens: Column, terms: Column, slots: Column) -> Column:
         F.lit(0.0).alias("score"),
     )
 
+    def score(acc: Column, e: Column, last: Column, begin: Column) -> Column:
+        noise = (e["at"] - begin["at"]) - (e["no"] - begin["no"])
+        gain = F.when(
+            begin["no"] > acc["begin"], F.lit(WEIGHT) / (1 + noise).cast("double")
+        ).otherwise(F.lit(0.0))
+        return F.struct(
+            last.alias("last"),
+            begin["no"].alias("begin"),
+            (acc["score"] + gain).alias("score"),
+        )
+
     def step(acc: Column, e: Column) -> Column:
-        last = F.transform(
+        seen = F.transform(
             terms,
             lambda w, j: F.when(
                 w == e["term"], F.struct(e["no"].alias("no"), e["at"].alias("at"))
             ).otherwise(F.get(acc["last"], j)),
         )
-        # the latest start among the alternatives
-        begin = F.array_max(
-            F.transform(
-                slots, lambda g: F.array_min(F.transform(g, lambda j: F.get(last, j)))
+
+        def latest_start(last: Column) -> Column:
+            return F.array_max(
+                F.transform(
+                    slots, lambda g: F.array_min(F.transform(g, lambda j: F.get(last, j)))
+                )
             )
-        )
-        noise = (e["at"] - begin["at"]) - (e["no"] - begin["no"])
-        return F.struct(
-            last.alias("last"),
-            begin["no"].alias("begin"),
-            (
-                acc["score"]
-                + F.when(
-                    begin["no"] > acc["begin"], F.lit(WEIGHT) / (1 + noise).cast("double")
-                ).otherwise(F.lit(0.0))
-            ).alias("score"),
+
+        return let(
+            seen, lambda last: let(latest_start(last), lambda begin: score(acc, e, last, begin))
         )
 
     return F.aggregate(hits, state, step, lambda acc: acc["score"])
