@@ -11,10 +11,16 @@ from pyspark.sql import functions as F
 
 # The characters that count as white space when text is stripped or split.
 WHITESPACE = (
-    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0       "
-    "         　"
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
+WS_CLASS = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+# every other character, frequent ranges first
+WORD_CLASS = (
+    r"\x21-\x84\xa1-\u167f\x86-\x9f\x00-\x08\x0e-\x1b"
+    r"\u1681-\u1fff\u200b-\u2027\u202a-\u202e\u2030-\u205e\u2060-\u2fff\u3001-\x{10ffff}"
 )
-WS_CLASS = r"\t-\r\x1c-\x20\x85\xa0  -     　"
 
 # Stop words per language for query keywords.
 STOPWORDS = {
@@ -275,7 +281,7 @@ def line_count(content: Column) -> Column:
 
 
 def word_count(content: Column) -> Column:
-    return F.size(F.regexp_extract_all(content, F.lit(f"[^{WS_CLASS}]+"), F.lit(0)))
+    return F.size(F.regexp_extract_all(content, F.lit(f"[{WORD_CLASS}]+"), F.lit(0)))
 
 
 def token_estimate(content: Column) -> Column:

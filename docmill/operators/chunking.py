@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docmill.functions import text as T
-from docmill.functions.arrays import explode_rows
+from docmill.functions.arrays import explode_rows, let
 
 LOOKBACK = 200  # how far back from a window's end a sentence end is searched
 TOKEN_BUCKETS = [(0, 128), (128, 256), (256, 384), (384, 512)]
@@ -180,17 +180,15 @@ def chunk_structured(
     empty = F.array().cast("array<struct<level:int,name:string>>")
     chunk_type = "array<struct<path:string,body:string>>"
 
-    def step(acc: Column, b: Column) -> Column:
-        depth = level(b)
+    def heading(acc: Column, b: Column, depth: Column) -> Column:
         name = T.strip(F.regexp_replace(b, r"^#{1,6}[\t-\r\x20]+", ""))
-        heads = F.when(
-            depth > 0,
-            F.array_append(
-                F.filter(acc["heads"], lambda h: h["level"] < depth),
-                F.struct(depth.cast("int").alias("level"), name.alias("name")),
-            ),
-        ).otherwise(acc["heads"])
-        path = F.array_join(F.transform(acc["heads"], lambda h: h["name"]), "\n")
+        heads = F.array_append(
+            F.filter(acc["heads"], lambda h: h["level"] < depth),
+            F.struct(depth.cast("int").alias("level"), name.alias("name")),
+        )
+        return F.struct(heads.alias("heads"), acc["chunks"].alias("chunks"))
+
+    def pack(acc: Column, b: Column, path: Column) -> Column:
         last = F.try_element_at(acc["chunks"], F.lit(-1))
         joins = (
             last.isNotNull()
@@ -208,9 +206,15 @@ def chunk_structured(
         ).otherwise(
             F.array_append(acc["chunks"], F.struct(path.alias("path"), b.alias("body")))
         )
-        return F.struct(
-            heads.alias("heads"),
-            F.when(depth > 0, acc["chunks"]).otherwise(packed).alias("chunks"),
+        return F.struct(acc["heads"].alias("heads"), packed.alias("chunks"))
+
+    def step(acc: Column, b: Column) -> Column:
+        path = F.array_join(F.transform(acc["heads"], lambda h: h["name"]), "\n")
+        return let(
+            level(b),
+            lambda depth: F.when(depth > 0, heading(acc, b, depth)).otherwise(
+                let(path, lambda p: pack(acc, b, p))
+            ),
         )
 
     packed = F.aggregate(

@@ -12,7 +12,7 @@ from docmill.functions.arrays import explode_rows, let
 from docmill.operators.ranking import top_per_key
 
 Analyzer = Callable[[Column], Column]
-LEAD_ROWS = 20_000  # most lead words sent to every executor
+LEAD_ROWS = 4_000  # most query alternatives sent to every executor (a query has 10,000 letters at most)
 WEIGHT = 0.1  # weight of a word without a label
 ITEM = "struct<negated:boolean,words:array<string>>"
 

@@ -9,7 +9,7 @@ from docmill.functions import text as T
 from docmill.functions import vectors as V
 from docmill.operators.fulltext import Analyzer, fts_search, simple_analyzer, token_table
 from docmill.operators.ranking import top_per_key
-from docmill.operators.vector_search import QUERY_ROWS, vector_leg, vector_search
+from docmill.operators.vector_search import vector_leg, vector_search
 
 LIMIT = 30
 THRESHOLD = 0.30
@@ -18,7 +18,7 @@ RRF_K = 50
 MAX_PER_DOCUMENT = 3
 TITLE_BOOST = 0.15
 CANDIDATES = 3  # each leg keeps this many times the limit
-BROADCAST_ROWS = 500_000  # most narrow result rows sent to every executor
+BROADCAST_ROWS = 120_000  # most result rows (ids, ranks, titles) sent to every executor
 
 
 def without_toc(chunks: DataFrame, exclude: bool = True) -> DataFrame:
@@ -55,25 +55,33 @@ def limit_per_document(fused: DataFrame, max_per_doc: int = MAX_PER_DOCUMENT) ->
     )
 
 
+def is_small(queries: DataFrame, k: int) -> bool:
+    """True when ``k`` results for every query are few enough to broadcast as narrow rows."""
+    return queries.limit(BROADCAST_ROWS // k + 1).count() * k <= BROADCAST_ROWS
+
+
 def attach_chunks(
-    hits: DataFrame, chunks: DataFrame, docs: DataFrame, small: bool | None = None
+    hits: DataFrame, chunks: DataFrame, docs: DataFrame, small: bool, columns: list[str] = ()
 ) -> DataFrame:
-    """Add chunk text and document columns to result rows.
+    """Add document columns and then chunk text to result rows ``(query_id, chunk_id,
+    document_id, ...)``.
 
-    Results hold at most ``limit`` rows per query. When that is known to be small the result
-    side is broadcast, so the chunk table is scanned once and not shuffled.
+    Results hold at most ``k`` narrow rows per query. When that is ``small`` they are broadcast
+    to both tables, which are scanned once and never shuffled.
     """
-    hits = hits.drop("document_id")
-    extra = [c for c in ("metadata", "page_start", "page_end") if c in chunks.columns]
-    wanted = chunks.select("chunk_id", "document_id", "content", *extra)
-    joined = wanted.join(F.broadcast(hits) if small else hits, "chunk_id")
+    def near(rows: DataFrame) -> DataFrame:
+        return F.broadcast(rows) if small else rows
+
     about = docs.select(
         "document_id",
         F.col("title").alias("document_title"),
         F.col("source").alias("document_source"),
         *([F.col("metadata").alias("document_metadata")] if "metadata" in docs.columns else []),
     )
-    return joined.join(about, "document_id")
+    placed = about.join(near(hits), "document_id")
+    extra = [c for c in ("metadata", "page_start", "page_end") if c in chunks.columns]
+    text = chunks.select("chunk_id", "content", *extra, *columns)
+    return text.join(near(placed), "chunk_id")
 
 
 def hybrid_candidates(
@@ -117,31 +125,20 @@ def hybrid_search(
 ) -> DataFrame:
     """Chunks found by meaning and by words, fused by reciprocal rank, with their similarity
     (NULL without a vector), text and document. ``mode="vector"`` uses the vectors alone."""
-    small = queries.limit(QUERY_ROWS + 1).count() * k <= BROADCAST_ROWS
+    small = is_small(queries, k)
     if mode == "vector":
-        found = vector_leg(queries, chunks, k, threshold)
-        return attach_chunks(found, chunks, docs, small)
+        return vector_search(queries, chunks, docs, k, threshold)
+    if "embedding" not in chunks.columns:
+        chunks = chunks.withColumn("embedding", F.lit(None).cast("array<float>"))
     found = hybrid_candidates(
         queries, chunks, k, threshold, rrf_k, exclude_toc, max_per_doc, **index
     )
+    rows = attach_chunks(found, chunks, docs, small, ["embedding"])
     asked = queries.select("query_id", F.col("embedding").alias("_asked"))
-    found = found.join(asked, "query_id", "left")
-    vectors = chunks.select(
-        *chunks.columns, *([] if "embedding" in chunks.columns else [F.lit(None).alias("embedding")])
-    )
-    extra = [c for c in ("metadata", "page_start", "page_end") if c in chunks.columns]
-    wanted = vectors.select("chunk_id", "content", *extra, "embedding")
-    joined = wanted.join(F.broadcast(found) if small else found, "chunk_id")
-    joined = joined.withColumn(
+    rows = rows.join(F.broadcast(asked) if small else asked, "query_id", "left")
+    return rows.withColumn(
         "similarity", F.round(V.cosine(F.col("embedding"), F.col("_asked")), 12)
     ).drop("embedding", "_asked")
-    about = docs.select(
-        "document_id",
-        F.col("title").alias("document_title"),
-        F.col("source").alias("document_source"),
-        *([F.col("metadata").alias("document_metadata")] if "metadata" in docs.columns else []),
-    )
-    return joined.join(about, "document_id")
 
 
 def rerank(

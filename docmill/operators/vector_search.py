@@ -184,6 +184,7 @@ def vector_search(
     threshold: float = 0.0,
 ) -> DataFrame:
     """Nearest chunks with their text and document, best first per query."""
-    from docmill.operators.search import attach_chunks
+    from docmill.operators.search import attach_chunks, is_small
 
-    return attach_chunks(vector_leg(queries, chunks, k, threshold), chunks, docs)
+    found = vector_leg(queries, chunks, k, threshold, ["document_id"])
+    return attach_chunks(found, chunks, docs, is_small(queries, k))

@@ -305,7 +305,7 @@ def _weather(spark, root):
     k = F.get_json_object("props", "$.k").cast("int")
     code = F.get(F.array(*[F.lit(c) for c in _CODES]), (F.col("event_id") % len(_CODES)).cast("int"))
     hours = F.transform(F.sequence(F.lit(0), F.lit(29)), lambda h: (h * 7 + k) % 31 + F.lit(0.5))
-    return _events(spark, root).select(
+    return tables.spread(_events(spark, root), "event_id").select(
         "event_id", F.concat(F.lit("station "), _text("user_id")).alias("location_name"),
         F.to_json(F.struct(
             F.struct(F.col("value").alias("temperature_2m"), k.alias("relative_humidity_2m"),

@@ -23,8 +23,10 @@ def _events(spark, root):
 
 
 def _stream(spark, root, name) -> DataFrame:
-    schema = tables.load(spark, root, name).schema
-    return jobs.read_table_stream(spark, root, f"{name}.parquet", schema)
+    table = tables.load(spark, root, name)
+    rows = jobs.read_table_stream(spark, root, f"{name}.parquet", table.schema)
+    cores = spark.sparkContext.defaultParallelism
+    return rows.repartition(cores) if table.rdd.getNumPartitions() < cores else rows
 
 
 def _run(spark, rows: DataFrame) -> DataFrame:

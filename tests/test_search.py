@@ -149,7 +149,7 @@ QUERIES = [
 ]
 
 
-@pytest.mark.parametrize("lead_rows", [20000, 0])
+@pytest.mark.parametrize("lead_rows", [4000, 0])
 @pytest.mark.parametrize("with_stats", [False, True])
 def test_keyword_search(spark, lead_rows, with_stats):
     """Every match and its score, for both join paths and both choices of the lead word."""
