@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docmill.functions import text as T
 
 
+@lru_cache(maxsize=64)
 def load(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """A given table. Kept per session, so its files are listed and its schema read once."""
     return spark.read.parquet(f"{root}/{name}.parquet")
 
 
@@ -30,7 +34,9 @@ def chunk_table(spark: SparkSession, root: str, toc: bool = True) -> DataFrame:
         F.col("doc_id").alias("chunk_id"),
         F.col("source").alias("document_id"),
         F.col("text").alias("content"),
-        *([T.is_toc(F.col("text")).alias("is_toc")] if toc else []),
+        # stored by ingestion in earnest; generated here so that a filter on it stays above
+        # the repartitioning instead of running the patterns in the one task that reads the file
+        *([F.explode_outer(F.array(T.is_toc(F.col("text")))).alias("is_toc")] if toc else []),
     )
     return chunks.join(vectors, "chunk_id", "left")
 
