@@ -1,0 +1,226 @@
+"""French analysis for keyword search: stop words and the published Snowball stemmer."""
+
+from __future__ import annotations
+
+import re
+from functools import lru_cache
+
+import pyarrow as pa
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
+
+from docmill.functions import text as T
+
+# The published French stop-word list.
+STOPWORDS = frozenset(
+    """
+    au aux avec ce ces dans de des du elle en et eux il je la le leur lui ma mais me même mes moi
+    mon ne nos notre nous on ou par pas pour qu que qui sa se ses sur ta te tes toi ton tu un une
+    vos votre vous c d j l à m n s t y été étée étées étés étant étante étants étantes suis es est
+    sommes êtes sont serai seras sera serons serez seront serais serait serions seriez seraient
+    étais était étions étiez étaient fus fut fûmes fûtes furent sois soit soyons soyez soient
+    fusse fusses fût fussions fussiez fussent ayant ayante ayantes ayants eu eue eues eus ai as
+    avons avez ont aurai auras aura aurons aurez auront aurais aurait aurions auriez auraient
+    avais avait avions aviez avaient eut eûmes eûtes eurent aie aies ait ayons ayez aient eusse
+    eusses eût eussions eussiez eussent
+    """.split()
+)
+
+V = "aeiouyâàëéêèïîôûù"
+
+# Endings of the algorithm, by what happens to them.
+VERB_I = (
+    "îmes ît îtes i ie ies ir ira irai iraIent irais irait iras irent irez iriez irions irons "
+    "iront is issaIent issais issait issant issante issantes issants isse issent isses issez "
+    "issiez issions issons it"
+).split()
+VERB_E = (
+    "é ée ées és èrent er era erai eraIent erais erait eras erez eriez erions erons eront ez iez"
+).split()
+VERB_A = (
+    "âmes ât âtes a ai aIent ais ait ant ante antes ants as asse assent asses assiez assions"
+).split()
+PLAIN = "ance iqUe isme able iste eux ances iqUes ismes ables istes".split()
+AGENT = "atrice ateur ation atrices ateurs ations".split()
+
+
+def _regions(word: str) -> tuple[int, int, int]:
+    """Start of RV, R1 and R2."""
+    n = len(word)
+    if re.match(rf"[{V}]{{2}}|par|col|tap", word):
+        rv = min(3, n)
+    else:
+        hit = re.search(rf"(?<=.)[{V}]", word)
+        rv = hit.end() if hit else n
+    after = re.compile(rf"[{V}][^{V}]")
+    hit = after.search(word)
+    r1 = hit.end() if hit else n
+    hit = after.search(word, r1)
+    return rv, r1, hit.end() if hit else n
+
+
+class _Word:
+    """A word being cut, with its regions."""
+
+    def __init__(self, word: str):
+        word = re.sub("ë", "He", re.sub("ï", "Hi", word))
+        word = re.sub("qu", "qU", word)
+        word = re.sub(rf"(?<=[{V}])([ui])(?=[{V}])", lambda m: m[1].upper(), word)
+        word = re.sub(rf"(?<=[{V}])y|y(?=[{V}])", "Y", word)
+        self.text = word
+        self.rv, self.r1, self.r2 = _regions(word)
+
+    def longest(self, endings, start: int = 0) -> str:
+        fits = [e for e in endings if self.text.endswith(e) and len(self.text) - len(e) >= start]
+        return max(fits, key=len, default="")
+
+    def cut(self, ending: str, start: int, new: str = "") -> bool:
+        """Replace an ending that lies in the region beginning at ``start``."""
+        at = len(self.text) - len(ending)
+        if not self.text.endswith(ending) or at < start:
+            return False
+        self.text = self.text[:at] + new
+        return True
+
+    def cut_or(self, ending: str, start: int, new: str, other: int = 0) -> None:
+        self.cut(ending, start) or self.cut(ending, other, new)
+
+
+STANDARD = {
+    **dict.fromkeys(PLAIN, "plain"), **dict.fromkeys(AGENT, "agent"),
+    **dict.fromkeys(["logie", "logies"], "log"),
+    **dict.fromkeys(["usion", "ution", "usions", "utions"], "u"),
+    **dict.fromkeys(["ence", "ences"], "ent"), **dict.fromkeys(["ement", "ements"], "ement"),
+    **dict.fromkeys(["ité", "ités"], "ité"), **dict.fromkeys(["if", "ive", "ifs", "ives"], "if"),
+    "eaux": "eaux", "aux": "aux", **dict.fromkeys(["euse", "euses"], "euse"),
+    **dict.fromkeys(["issement", "issements"], "issement"),
+    "amment": "amment", "emment": "emment", **dict.fromkeys(["ment", "ments"], "ment"),
+}
+
+
+def _standard(w: _Word) -> str:
+    """Step 1. Gives the kind of ending found when the step succeeded, else an empty string."""
+    ending = w.longest(STANDARD)
+    kind = STANDARD.get(ending, "")
+    before = w.text[: len(w.text) - len(ending)]
+    done = True
+    if kind == "plain":
+        done = w.cut(ending, w.r2)
+    elif kind == "agent":
+        done = w.cut(ending, w.r2)
+        if done:
+            w.cut_or("ic", w.r2, "iqU")
+    elif kind in ("log", "u", "ent"):
+        done = w.cut(ending, w.r2, kind)
+    elif kind == "ement":
+        done = w.cut(ending, w.rv)
+        if done:
+            if w.text.endswith("iv"):
+                w.cut("iv", w.r2) and w.cut("at", w.r2)
+            elif w.text.endswith("eus"):
+                w.cut_or("eus", w.r2, "eux", w.r1)
+            elif w.text.endswith(("abl", "iqU")):
+                w.cut(w.text[-3:], w.r2)
+            elif w.text.endswith(("ièr", "Ièr")):
+                w.cut(w.text[-3:], w.rv, "i")
+    elif kind == "ité":
+        done = w.cut(ending, w.r2)
+        if done:
+            if w.text.endswith("abil"):
+                w.cut_or("abil", w.r2, "abl")
+            elif w.text.endswith("ic"):
+                w.cut_or("ic", w.r2, "iqU")
+            else:
+                w.cut("iv", w.r2)
+    elif kind == "if":
+        done = w.cut(ending, w.r2)
+        if done and w.cut("at", w.r2):
+            w.cut_or("ic", w.r2, "iqU")
+    elif kind == "eaux":
+        done = w.cut("eaux", 0, "eau")
+    elif kind == "aux":
+        done = w.cut("aux", w.r1, "al")
+    elif kind == "euse":
+        done = w.cut(ending, w.r2) or w.cut(ending, w.r1, "eux")
+    elif kind == "issement":
+        done = bool(re.search(rf"[^{V}]$", before)) and w.cut(ending, w.r1)
+    elif kind in ("amment", "emment"):
+        done = w.cut(ending, w.rv, kind[0] + "nt")
+    elif kind == "ment":
+        done = len(before) > w.rv and before[-1] in V and w.cut(ending, w.rv)
+    else:
+        done = False
+    return kind if done else ""
+
+
+def _verb_i(w: _Word) -> bool:
+    """Step 2a: a verb ending in RV after a consonant in RV."""
+    ending = w.longest(VERB_I, w.rv)
+    at = len(w.text) - len(ending) - 1
+    return bool(ending) and at >= w.rv and w.text[at] not in V + "H" and w.cut(ending, w.rv)
+
+
+def _verb_other(w: _Word) -> bool:
+    """Step 2b."""
+    ending = w.longest([*VERB_E, *VERB_A, "ions"], w.rv)
+    if ending == "ions":
+        return w.cut(ending, w.r2)
+    if not ending:
+        return False
+    w.cut(ending, w.rv)
+    if ending in VERB_A:
+        w.cut("e", w.rv)
+    return True
+
+
+def _residual(w: _Word) -> None:
+    """Step 4."""
+    if re.search(r"(?:[^aiouès]|Hi)s$", w.text):
+        w.text = w.text[:-1]
+    ending = w.longest(["ion", "ier", "ière", "Ier", "Ière", "e"], w.rv)
+    if ending == "ion":
+        at = len(w.text) - 4
+        if at >= w.rv and w.text[at] in "st":
+            w.cut("ion", w.r2)
+    elif ending == "e":
+        w.cut("e", w.rv)
+    elif ending:
+        w.cut(ending, w.rv, "i")
+
+
+@lru_cache(maxsize=200_000)
+def stem(word: str) -> str:
+    """French stem of a lower-case word; an empty string for a stop word."""
+    if word in STOPWORDS:
+        return ""
+    w = _Word(word)
+    kind = _standard(w)
+    changed = bool(kind)
+    if kind in ("", "amment", "emment", "ment"):
+        changed = _verb_i(w) or _verb_other(w) or changed
+    if changed:
+        w.text = re.sub("ç$", "c", re.sub("Y$", "i", w.text))
+    else:
+        _residual(w)
+    w.text = re.sub(r"(enn|onn|ett|ell|eill)$", lambda m: m[1][:-1], w.text)
+    w.text = re.sub(rf"[éè]([^{V}]+)$", r"e\1", w.text)
+    return re.sub("He", "ë", re.sub("Hi", "ï", w.text)).replace("H", "").lower()
+
+
+@F.arrow_udf(ArrayType(StringType()))
+def _stems(words: pa.Array) -> pa.Array:
+    """Stem token arrays: every distinct word of a batch once."""
+    flat = words.flatten().dictionary_encode()
+    known = pa.array([stem(x) for x in flat.dictionary.to_pylist()], pa.string())
+    starts = words.offsets.to_numpy()
+    offsets = pa.array(starts - starts[0], pa.int32())
+    return pa.ListArray.from_arrays(offsets, known.take(flat.indices))
+
+
+def french_analyzer(col: Column) -> Column:
+    """Stems in order, an empty string in place of each stop word."""
+    return _stems(T.tokens(F.coalesce(col, F.lit(""))))
+
+
+french_analyzer.outside_lambda = True  # a Python function cannot run inside a lambda

@@ -50,14 +50,13 @@ def parse_queries(queries: DataFrame, analyzer: Analyzer = simple_analyzer) -> D
     a leading ``-`` excludes, quotes make a phrase. A word the analyzer splits is a phrase."""
     pieces = F.regexp_extract_all(F.col("query"), F.lit(r'(-?"[^"]*"|[^\s"]+)'), F.lit(1))
     no_items = F.array().cast(f"array<{ITEM}>")
-    words = F.transform(
-        F.col("_pieces"),
-        lambda p: F.struct(
-            (F.lower(p) == "or").alias("split"),
-            p.startswith("-").alias("negated"),
-            analyzer(p).alias("words"),
-        ),
-    )
+
+    def described(piece: Column) -> Column:
+        return F.struct(
+            (F.lower(piece) == "or").alias("split"),
+            piece.startswith("-").alias("negated"),
+            analyzer(piece).alias("words"),
+        )
 
     def step(acc: Column, p: Column) -> Column:
         item = F.struct(p["negated"].alias("negated"), _trim_gaps(p["words"]).alias("words"))
@@ -69,12 +68,22 @@ def parse_queries(queries: DataFrame, analyzer: Analyzer = simple_analyzer) -> D
             .otherwise(F.array_append(front, F.array_append(last, item)))
         )
 
+    if getattr(analyzer, "outside_lambda", False):
+        # one row per piece, analysed there and gathered again
+        rows = explode_rows(queries, pieces, ["query_id"], "_piece", "_no")
+        gathered = rows.select("query_id", "_no", described(F.col("_piece")).alias("_d"))
+        gathered = gathered.groupBy("query_id").agg(
+            F.array_sort(F.collect_list(F.struct("_no", "_d"))).alias("_all")
+        )
+        ready = queries.join(gathered, "query_id").withColumn(
+            "_words", F.transform("_all", lambda x: x["_d"])
+        )
+    else:
+        ready = queries.withColumn("_words", F.transform(pieces, described))
     parsed = F.filter(
-        F.aggregate(words, F.array(no_items), step), lambda items: F.size(items) > 0
-    )
-    return queries.withColumn("_pieces", pieces).select(
-        *queries.columns, parsed.alias("alternatives")
+        F.aggregate("_words", F.array(no_items), step), lambda items: F.size(items) > 0
     )
+    return ready.select(*queries.columns, parsed.alias("alternatives"))
 
 
 def _trim_gaps(words: Column) -> Column:

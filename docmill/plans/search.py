@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from docmill import tables
 from docmill.functions import text as T
 from docmill.functions import vectors as V
+from docmill.functions.french import french_analyzer
 from docmill.operators import fulltext as FT
 from docmill.operators import search as S
 from docmill.operators.vector_search import vector_leg, vector_search
@@ -78,6 +79,15 @@ def q_fts_websearch(spark, root):
     return found.select("query_id", "rank", "chunk_id", _round("rank_cd"))
 
 
+def q_fts_french(spark, root):
+    """Keyword search over French stems, for the benchmark texts and for web-form queries."""
+    asked = tables.query_table(spark, root).select("query_id", "query").unionByName(
+        _web_queries(spark, root).withColumn("query_id", -F.col("query_id") - 1))
+    tokens = FT.token_table(tables.chunk_table(spark, root, toc=False), french_analyzer)
+    found = FT.fts_search(asked, tokens, S.LIMIT, analyzer=french_analyzer)
+    return found.select("query_id", "rank", "chunk_id", _round("rank_cd"))
+
+
 def q_cover_density(spark, root):
     tokens = _tokens(spark, root)
     stats = FT.term_stats(FT.build_postings(tokens))
@@ -296,6 +306,7 @@ QUERIES = {
     "toc_filter": q_toc_filter,
     "fts_search": q_fts_search,
     "fts_websearch": q_fts_websearch,
+    "fts_french": q_fts_french,
     "cover_density": q_cover_density,
     "postings": q_postings,
     "hybrid_search": q_hybrid_search,

@@ -1,0 +1,47 @@
+import pytest
+
+from docmill.functions.french import STOPWORDS, french_analyzer, stem
+from docmill.operators import fulltext as FT
+
+# sample vocabulary published with the algorithm
+SAMPLE = """
+continu continu|continua continu|continuait continu|continuant continu|continuation continu|continue continu
+continué continu|continuel continuel|continuelle continuel|continuellement continuel|continuelles continuel
+continuels continuel|continuer continu|continuera continu|continuerait continu|continueront continu
+continuez continu|continuité continu|continuons continuon|contorsions contors|contour contour
+contournait contourn|contournant contourn|contourne contourn|contours contour|contractait contract
+contracté contract|contractée contract|contracter contract|contractés contract|contractions contract
+contradictoirement contradictoir|contradictoires contradictoir|contraindre contraindr|contraint contraint
+contrainte contraint|contraintes contraint|contraire contrair|contraires contrair|contraria contrari
+main main|mains main|maintenaient mainten|maintenait mainten|maintenant mainten|maintenir mainten
+maintenue maintenu|maintien maintien|maintint maintint|maire mair|maires mair|mairie mair
+maïs maï|maison maison|maisons maison|maistre maistr|maitre maitr|maître maîtr|maîtres maîtr
+maîtresse maîtress|maîtresses maîtress|majesté majest|majestueuse majestu|majestueusement majestu
+majestueux majestu|majeur majeur|majeure majeur|major major|majordome majordom|majordomes majordom
+majorité major|majorités major|mal mal|malacca malacc|malade malad|malades malad|maladie malad
+maladies malad|maladive malad
+"""
+
+
+@pytest.mark.parametrize("pair", SAMPLE.replace("\n", "|").strip("|").split("|"))
+def test_stems(pair):
+    word, want = pair.split()
+    assert stem(word) == want
+
+
+def test_stopwords():
+    assert 100 < len(STOPWORDS) < 200 and stem("les") != "" and stem("même") == "" and stem("dans") == ""
+
+
+def test_search_by_stem(spark):
+    chunks = spark.createDataFrame(
+        [(1, "Les permis des chantiers"), (2, "Un permis de chantier"), (3, "rien"), (4, "chantier, puis un permis")],
+        "chunk_id int, content string")
+    queries = spark.createDataFrame(
+        [(1, "chantiers permis"), (2, '"permis de chantier"'), (3, "dans de"), (4, "-permis rien or chantier")],
+        "query_id int, query string")
+    tokens = FT.token_table(chunks, french_analyzer)
+    rows = FT.fts_matches(queries, tokens, analyzer=french_analyzer).collect()
+    got = {(r["query_id"], r["chunk_id"]): r["rank_cd"] for r in rows}
+    assert set(got) == {(1, 1), (1, 2), (1, 4), (2, 1), (2, 2), (4, 1), (4, 2), (4, 3), (4, 4)}
+    assert got[1, 2] == pytest.approx(0.1 / 2)  # the stop word between keeps its place
