@@ -9,6 +9,7 @@ from docmill import tables
 from docmill.functions import text as T
 from docmill.functions import vectors as V
 from docmill.functions.french import french_analyzer
+from docmill.operators import ann as A
 from docmill.operators import fulltext as FT
 from docmill.operators import search as S
 from docmill.operators.vector_search import vector_leg, vector_search
@@ -209,6 +210,25 @@ def q_dedup_queries_search(spark, root):
     return found.select("query_id", "rank", "chunk_id", _round("similarity"))
 
 
+def _ann(spark, root, lists, probes):
+    queries = tables.query_table(spark, root)
+    chunks = tables.chunk_table(spark, root, toc=False)
+    centroids = A.train_lists(chunks, lists)
+    found = A.ann_search(queries, A.assign_lists(chunks, centroids), centroids, 10, probes=probes)
+    return queries, chunks, found
+
+
+def q_ann_search(spark, root):
+    """One list, as in the original store: exact."""
+    _, _, found = _ann(spark, root, 1, 1)
+    return found.select("query_id", "rank", "chunk_id", _round("similarity"))
+
+
+def q_ann_recall(spark, root):
+    queries, chunks, found = _ann(spark, root, 16, 6)
+    return A.recall(vector_leg(queries, chunks, 10), found)
+
+
 def q_normalize_text(spark, root):
     return tables.load(spark, root, "documents").select(
         "doc_id", F.md5(T.normalize_text(F.col("text"))).alias("normalized_md5")
@@ -319,6 +339,8 @@ QUERIES = {
     "source_objects": q_source_objects,
     "format_citations": q_format_citations,
     "dedup_queries_search": q_dedup_queries_search,
+    "ann_search": q_ann_search,
+    "ann_recall": q_ann_recall,
     "normalize_text": q_normalize_text,
     "extract_keywords": q_extract_keywords,
     "title_boost": q_title_boost,
@@ -339,6 +361,8 @@ ORACLES = {
 SELECT v.query_id, v.rank::INT AS rank, v.chunk_id, v.document_id, d.title AS document_title,
        d.source AS document_source, md5(c.content) AS content_md5, round(v.similarity, 9) AS similarity
 FROM vector_leg v JOIN chunks c USING (chunk_id) JOIN docs d ON d.document_id = v.document_id""",
+    "ann_search": f"""WITH {_VECTOR}
+SELECT query_id, rank::INT AS rank, chunk_id, round(similarity, 9) AS similarity FROM vector_leg""",
     "semantic_leg": f"""WITH {Q.CORPUS}, {Q.nearest('vector_leg', 90, 0.3, True)}
 SELECT query_id, rank::INT AS rank, chunk_id, round(similarity, 9) AS similarity FROM vector_leg""",
     "toc_filter": f"WITH {Q.CORPUS} SELECT chunk_id, document_id FROM chunks WHERE NOT is_toc",

@@ -259,3 +259,18 @@ def test_expand(spark):
     synonyms = spark.createDataFrame([("api", "endpoints REST"), ("webhook", "callback")], "term string, extra string")
     got = {r["query_id"]: r["expanded"] for r in S.expand_queries(queries, synonyms).collect()}
     assert got == {1: "The API and webhook? endpoints REST callback", 2: "plain"}
+
+
+def test_inverted_lists(vectors):
+    from docmill.operators import ann as A
+
+    queries, chunks, plain_q, plain_c = vectors
+    centroids = A.train_lists(chunks, 8)
+    listed = A.assign_lists(chunks, centroids)
+    everything = A.ann_search(queries, listed, centroids, 10, probes=8).collect()
+    assert {(r["query_id"], r["rank"]): (r["chunk_id"], round(r["similarity"], 9)) for r in everything} == brute(plain_q, plain_c, 10, 0.0)
+    some = A.ann_search(queries, listed, centroids, 10, probes=4)
+    shares = [r["recall"] for r in A.recall(VS.vector_leg(queries, chunks, 10), some).collect()]
+    assert all(0 <= s <= 1 for s in shares) and sum(shares) / len(shares) > 0.5
+    with pytest.raises(ValueError):
+        A.train_lists(chunks, 0)
