@@ -181,9 +181,12 @@ def site_inventory(files: DataFrame) -> DataFrame:
 
 def inventory_totals(files: DataFrame, sites: DataFrame) -> DataFrame:
     """Number of PDF files, sites and pages."""
-    pdf = files.agg(F.count_if(F.col("type") == "pdf").alias("pdf_documents"))
-    web = sites.agg(
-        F.count(F.lit(1)).alias("sites"),
-        F.coalesce(F.sum("pages_count"), F.lit(0)).alias("pages"),
+    zero = F.lit(0).cast("bigint")
+    pdf = (F.col("type") == "pdf").cast("bigint")
+    rows = files.select(pdf.alias("p"), zero.alias("s"), zero.alias("n")).unionByName(
+        sites.select(zero.alias("p"), F.lit(1).cast("bigint").alias("s"), F.col("pages_count").alias("n"))
+    )
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    return rows.agg(
+        total("p").alias("pdf_documents"), total("s").alias("sites"), total("n").alias("pages")
     )
-    return pdf.join(F.broadcast(web))  # one row each

@@ -14,6 +14,7 @@ from docmill.operators.ranking import top_per_key
 Analyzer = Callable[[Column], Column]
 LEAD_ROWS = 4_000  # most query alternatives sent to every executor (a query has 10,000 letters at most)
 WEIGHT = 0.1  # weight of a word without a label
+_PLACE = 2**31
 ITEM = "struct<negated:boolean,words:array<string>>"
 
 
@@ -146,46 +147,45 @@ def cover_density(tokens: Column, terms: Column, slots: Column) -> Column:
     """Sum over the shortest stretches that hold all words of an alternative; a stretch adds
     ``0.1 / (1 + words in it that the query does not name)``."""
     hits = F.filter(
-        F.transform(tokens, lambda t, i: F.struct(i.alias("at"), t.alias("term"))),
-        lambda e: F.array_contains(terms, e["term"]),
+        F.transform(
+            tokens,
+            lambda t, i: F.struct(F.array_position(terms, t).alias("term"), i.alias("at")),
+        ),
+        lambda e: e["term"] > 0,
     )
+    # a hit as one number: its place among the hits and its position in the text
     hits = F.transform(
-        hits, lambda e, i: F.struct(e["at"].alias("at"), e["term"].alias("term"), i.alias("no"))
+        hits,
+        lambda e, i: F.struct(
+            e["term"].alias("term"), (i * F.lit(_PLACE) + e["at"]).alias("hit")
+        ),
     )
-    # per word the last hit seen, as (hit number, position); -1 before the first one
-    nothing = F.struct(F.lit(-1).alias("no"), F.lit(-1).alias("at"))
     state = F.struct(
-        F.transform(terms, lambda _: nothing).alias("last"),
-        F.lit(-1).alias("begin"),
+        # per word the last hit seen, -1 before the first one
+        F.transform(terms, lambda _: F.lit(-1).cast("bigint")).alias("last"),
+        F.lit(-1).cast("bigint").alias("begin"),
         F.lit(0.0).alias("score"),
     )
 
+    def latest_start(last: Column) -> Column:
+        return F.array_max(
+            F.transform(slots, lambda g: F.array_min(F.transform(g, lambda j: F.get(last, j))))
+        )
+
     def score(acc: Column, e: Column, last: Column, begin: Column) -> Column:
-        noise = (e["at"] - begin["at"]) - (e["no"] - begin["no"])
+        words = e["hit"] % _PLACE - begin % _PLACE
+        named = F.floor(e["hit"] / _PLACE) - F.floor(begin / _PLACE)
         gain = F.when(
-            begin["no"] > acc["begin"], F.lit(WEIGHT) / (1 + noise).cast("double")
+            begin > acc["begin"], F.lit(WEIGHT) / (1 + words - named).cast("double")
         ).otherwise(F.lit(0.0))
         return F.struct(
-            last.alias("last"),
-            begin["no"].alias("begin"),
-            (acc["score"] + gain).alias("score"),
+            last.alias("last"), begin.alias("begin"), (acc["score"] + gain).alias("score")
         )
 
     def step(acc: Column, e: Column) -> Column:
         seen = F.transform(
-            terms,
-            lambda w, j: F.when(
-                w == e["term"], F.struct(e["no"].alias("no"), e["at"].alias("at"))
-            ).otherwise(F.get(acc["last"], j)),
+            acc["last"], lambda hit, j: F.when(j + 1 == e["term"], e["hit"]).otherwise(hit)
         )
-
-        def latest_start(last: Column) -> Column:
-            return F.array_max(
-                F.transform(
-                    slots, lambda g: F.array_min(F.transform(g, lambda j: F.get(last, j)))
-                )
-            )
-
         return let(
             seen, lambda last: let(latest_start(last), lambda begin: score(acc, e, last, begin))
         )

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -322,6 +325,21 @@ def expand_queries(queries: DataFrame, synonyms: DataFrame) -> DataFrame:
     ).drop("extra")
 
 
+def expand_with(queries: DataFrame, expander: Callable[[list[str]], list[str]]) -> DataFrame:
+    """Question plus what a function from questions to extra text (a language model) adds.
+    A batch that fails keeps its questions unchanged."""
+
+    @F.pandas_udf("string")
+    def extra(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            try:
+                yield pd.Series([t.strip() or None for t in expander(texts.tolist())])
+            except Exception:  # expansion is optional: a failed batch is searched as asked
+                yield pd.Series([None] * len(texts), dtype="object")
+
+    return queries.withColumn("expanded", F.concat_ws(" ", "query", extra("query")))
+
+
 def dedup_queries(queries: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Distinct questions (one ``query_id`` each) and the map from every question to it."""
     printed = queries.withColumn(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +13,7 @@ from docmill.operators import chunking as C
 from docmill.operators import documents as D
 from docmill.operators import embedding as E
 from docmill.plans import sql as Q
+from docmill.session import checkpoint_dir
 from docmill.sources import files as SF
 from docmill.sources import store as ST
 
@@ -373,6 +376,25 @@ def q_union_counts(spark, root):
     return ST.table_counts(*_stored(spark, root))
 
 
+def q_corpus_roundtrip(spark, root):
+    """Texts and their chunks stored, the chunks with a vector appended once more, read back."""
+    vectors = tables.load(spark, root, "embeddings").select(
+        F.col("vec_id").alias("document_id"), "embedding")
+    docs = tables.load(spark, root, "documents").select(F.col("doc_id").alias("document_id"), "source")
+    chunks = _chunks(spark, root).select(
+        F.col("doc_id").alias("document_id"), "chunk_index", "content", "token_count"
+    ).join(vectors, "document_id", "left")
+    path = f"{checkpoint_dir(spark)}/corpus-{uuid.uuid4().hex}"
+    ST.write_corpus(docs, chunks, path)
+    ST.write_corpus(docs, chunks, path, mode="append", keep_null_embeddings=False)
+    saved_docs, saved = ST.read_corpus(spark, path)
+    per_doc = saved.groupBy("document_id").agg(
+        F.count(F.lit(1)).alias("chunks"), F.sum("token_count").alias("tokens"),
+        F.count("embedding").alias("vectors"))
+    return saved_docs.groupBy("document_id").agg(F.count(F.lit(1)).alias("copies")).join(
+        per_doc, "document_id", "left")
+
+
 def q_upsert_documents(spark, root):
     """Labels as new versions of documents; shifted numbers make some of them new."""
     old = F.lit("2024-01-01 00:00:00").cast("timestamp")
@@ -419,6 +441,7 @@ QUERIES = {
     "render_markdown": q_render_markdown,
     "cascade_delete": q_cascade_delete,
     "union_counts": q_union_counts,
+    "corpus_roundtrip": q_corpus_roundtrip,
     "upsert_documents": q_upsert_documents,
 }
 
@@ -621,6 +644,14 @@ FROM kept_docs d LEFT JOIN kept_chunks c USING (doc_id) GROUP BY ALL""",
     "union_counts": f"""WITH RECURSIVE {sliding()}, {_KEPT}
 SELECT 'documents' AS table_name, count(*) AS rows FROM kept_docs
 UNION ALL SELECT 'chunks', count(*) FROM kept_chunks""",
+    "corpus_roundtrip": f"""WITH RECURSIVE {sliding()},
+c AS (SELECT c.doc_id, length(c.content) // 4 AS t, e.vec_id IS NOT NULL AS v
+      FROM chunks c LEFT JOIN embeddings e ON e.vec_id = c.doc_id)
+SELECT d.doc_id AS document_id, 2::BIGINT AS copies,
+       nullif(count(c.doc_id) + count(*) FILTER (c.v), 0) AS chunks,
+       (sum(c.t) + coalesce(sum(c.t) FILTER (c.v), 0))::BIGINT AS tokens,
+       CASE WHEN count(c.doc_id) > 0 THEN 2 * count(*) FILTER (c.v) END AS vectors
+FROM documents d LEFT JOIN c USING (doc_id) GROUP BY d.doc_id""",
     "upsert_documents": """
 WITH stored AS (SELECT doc_id AS document_id, source, md5(text) AS content FROM documents),
 incoming AS (SELECT doc_id + 50 AS document_id, 'quality ' || quality AS content FROM labels)

@@ -274,3 +274,23 @@ def test_inverted_lists(vectors):
     assert all(0 <= s <= 1 for s in shares) and sum(shares) / len(shares) > 0.5
     with pytest.raises(ValueError):
         A.train_lists(chunks, 0)
+
+
+def test_expander_function(spark):
+    def expander(texts):
+        if "bad" in texts:
+            raise RuntimeError("no model")
+        return [f"more {t}" for t in texts]
+
+    queries = spark.createDataFrame([(1, "good"), (2, "bad")], "query_id int, query string").repartition(2, "query_id")
+    got = {r["query"]: r["expanded"] for r in S.expand_with(queries.where("query_id = 1"), expander).collect()}
+    got |= {r["query"]: r["expanded"] for r in S.expand_with(queries.where("query_id = 2"), expander).collect()}
+    assert got == {"good": "good more good", "bad": "bad"}
+
+
+def test_call_by_name(spark):
+    from docmill.operators.catalog import call_function
+
+    queries, chunks, docs = corpus(spark)
+    rows = call_function("match_chunks", queries=queries, chunks=chunks, docs=docs, k=2, threshold=0.5).collect()
+    assert sorted((r["query_id"], r["rank"]) for r in rows) == [(1, 1), (1, 2), (3, 1), (3, 2)]
