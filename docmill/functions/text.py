@@ -292,13 +292,14 @@ def is_toc(content: Column) -> Column:
     """True when a chunk looks like a table of contents.
 
     Header words anywhere; or more than 0.4 marks per line, where trailing page numbers and
-    dot leaders each count; or one line shaped like an entry. Header patterns 2 and 3 need
-    the whole text, which the ten-character minimum has already refused.
+    dot leaders each count; or one line shaped like an entry. Only the first header pattern is
+    run: the others need the whole text, and the ten-character minimum refuses such a text. A
+    plain substring test keeps the patterns off most texts.
     """
     text = strip(content)
-    headers = F.lit(False)
-    for pattern in TOC_HEADERS:
-        headers = headers | content.rlike(f"(?iu){pattern}")
+    headers = F.contains(F.lower(content), F.lit("table")) & content.rlike(
+        f"(?iu){TOC_HEADERS[0]}"
+    )
     # lines are looked at only where a cheap test finds a digit at a line end or three dots
     lines = F.transform(F.split(text, "\n"), strip)
     marks = F.aggregate(

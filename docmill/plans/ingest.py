@@ -580,6 +580,39 @@ SELECT count(*) FILTER (markdown <> '') AS converted, count(*) AS documents,
        sum(length(markdown))::BIGINT AS characters FROM md""",
     "chunk_sliding": f"""WITH RECURSIVE {sliding()}
 SELECT doc_id, chunk_index, start_char, end_char, total_chunks, md5(content) AS content_md5 FROM chunks""",
+    "chunk_structured": rf"""WITH RECURSIVE {_MARKDOWN},
+spaced AS (SELECT page_id, regexp_replace(markdown, '(?m)^(#{{1,6}}[\t-\r\x20]+.*)$',
+             chr(10) || chr(10) || '\1' || chr(10) || chr(10), 'g') AS t FROM md),
+split_up AS (SELECT page_id, string_split_regex(t, '\n[\t\x20]*\n\s*') AS bs FROM spaced),
+blocks AS (SELECT page_id, no, {Q.strip('b')} AS b FROM (
+             SELECT page_id, unnest(bs) AS b, unnest(range(len(bs))) AS no FROM split_up) WHERE {Q.strip('b')} <> ''),
+leveled AS (SELECT *, length(regexp_extract(b, '^(#{{1,6}})[\t-\r\x20]', 1)) AS level FROM blocks),
+cuts AS (
+  SELECT page_id, no, level, b AS rest, 0 AS part, NULL::VARCHAR AS piece FROM leveled WHERE level = 0
+  UNION ALL
+  SELECT page_id, no, level, {Q.strip('substr(rest, n + 1)')}, part + 1, {Q.strip('substr(rest, 1, n)')}
+  FROM (SELECT *, CASE WHEN length(rest) <= 2048 THEN length(rest)
+          ELSE coalesce(nullif(length(regexp_extract(substr(rest, 1, 2049), '^((?s:.*))\s', 1)), 0), 2048) END AS n
+        FROM cuts WHERE rest <> '')),
+pieces AS (SELECT page_id, no, piece, row_number() OVER (PARTITION BY page_id ORDER BY no, part) AS i
+           FROM cuts WHERE part > 0),
+heads AS (SELECT page_id, no, level, {Q.strip("regexp_replace(b, '^#{1,6}[\t-\r\x20]+', '')")} AS name FROM leveled WHERE level > 0),
+paths AS (SELECT p.page_id, p.i, any_value(p.piece) AS piece, coalesce(string_agg(h.name, chr(10) ORDER BY h.no), '') AS path
+          FROM pieces p LEFT JOIN heads h ON h.page_id = p.page_id AND h.no < p.no AND NOT EXISTS (
+            SELECT 1 FROM heads k WHERE k.page_id = h.page_id AND k.no > h.no AND k.no < p.no AND k.level <= h.level)
+          GROUP BY p.page_id, p.i),
+packed AS (
+  SELECT page_id, i, path, piece AS body, 0 AS c FROM paths WHERE i = 1
+  UNION ALL
+  SELECT n.page_id, n.i, n.path,
+         CASE WHEN n.path = p.path AND length(p.body) + 1 + length(n.piece) <= 2048
+              THEN p.body || chr(10) || n.piece ELSE n.piece END,
+         CASE WHEN n.path = p.path AND length(p.body) + 1 + length(n.piece) <= 2048 THEN p.c ELSE p.c + 1 END
+  FROM packed p JOIN paths n ON n.page_id = p.page_id AND n.i = p.i + 1),
+chunks AS (SELECT page_id, c, any_value(path) AS path, arg_max(body, i) AS body FROM packed GROUP BY page_id, c),
+whole AS (SELECT *, CASE WHEN path = '' THEN body ELSE path || chr(10) || body END AS content FROM chunks)
+SELECT page_id, c::INT AS chunk_index, (count(*) OVER (PARTITION BY page_id))::INT AS total_chunks, path AS heading_path,
+       (length(content) // 4)::INT AS token_count, md5(content) AS content_md5 FROM whole""",
     "export_chunks": f"""WITH RECURSIVE {sliding()}
 SELECT doc_id, chunk_index, md5(concat_ws(chr(10), repeat('=', 60), 'CHUNK ' || chunk_index,
        repeat('=', 60), content, '')) AS value_md5 FROM chunks""",
