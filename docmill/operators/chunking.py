@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,9 +37,9 @@ class ChunkingConfig:
 
 def check_window(size: int, overlap: int, min_size: int) -> None:
     if overlap >= size:
-        raise ValueError("Chunk overlap must be less than chunk size")
+        raise ValueError(f"overlap {overlap} does not fit windows of {size}")
     if min_size <= 0:
-        raise ValueError("Minimum chunk size must be positive")
+        raise ValueError("the least window size must be above zero")
     if overlap >= max(min_size, size - LOOKBACK) + 2:
         raise ValueError("these settings could move a window backwards")
 
@@ -296,6 +298,23 @@ def chunk_stats(chunks: DataFrame, tokens: str = "token_count", by: list[str] =
     )
 
 
+def with_token_count(
+    chunks: DataFrame,
+    tokenizer: Callable[[str], list] | None = None,
+    text_col: str = "content",
+) -> DataFrame:
+    """Token count by a tokenizer function, or a quarter of the characters without one."""
+    if tokenizer is None:
+        return chunks.withColumn("token_count", T.token_estimate(F.col(text_col)))
+
+    @F.pandas_udf("int")
+    def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield texts.map(lambda t: len(tokenizer(t)), na_action="ignore").astype("Int32")
+
+    return chunks.withColumn("token_count", count(text_col))
+
+
 def export_text(chunks: DataFrame, text_col: str = "content") -> DataFrame:
     """Chunk as a printable block between separator lines."""
     bar = F.lit("=" * 60)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import time
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -40,18 +41,65 @@ class HashedWords:
         return np.divide(out, size, out=out, where=size > 0)
 
 
+class RateLimited(Exception):
+    """Raised by an embedder that must be asked again later."""
+
+
+def _with_retries(ask: Callable[[], np.ndarray], retries: int, delay: float) -> np.ndarray:
+    """Ask up to ``retries`` times; the pause doubles when the model was too busy."""
+    for attempt in range(retries):
+        try:
+            return ask()
+        except RateLimited:
+            pause = delay * 2**attempt
+            if attempt == retries - 1:
+                raise
+        except Exception:
+            pause = delay
+            if attempt == retries - 1:
+                raise
+        time.sleep(pause)
+
+
+def embed_batch(
+    model: Embedder, texts: list[str], dim: int, retries: int = 3, delay: float = 1.0
+) -> tuple[list[np.ndarray], list[str | None]]:
+    """Vectors and errors of one batch. A model that stays busy fails the whole batch; after
+    any other error the texts are tried one by one, and only those that fail again get a zero
+    vector. The error is kept either way."""
+    zero = np.zeros(dim, dtype=np.float32)
+    try:
+        found = _with_retries(lambda: model(texts), retries, delay)
+        return list(np.asarray(found, dtype=np.float32)), [None] * len(texts)
+    except RateLimited as error:
+        return [zero] * len(texts), [str(error)] * len(texts)
+    except Exception:
+        vectors, errors = [], []
+        for text in texts:
+            try:
+                # blank text is not sent on its own
+                one = model([text])[0] if text.strip() else zero
+                vectors.append(np.asarray(one, dtype=np.float32))
+                errors.append(None)
+            except Exception as error:
+                vectors.append(zero)
+                errors.append(str(error))
+        return vectors, errors
+
+
 def embed(
     df: DataFrame,
     text_col: str = "content",
     embedder: Embedder | None = None,
     batch_size: int = 100,
     dim: int = 64,
+    retries: int = 3,
+    delay: float = 1.0,
 ) -> DataFrame:
     """Add ``embedding``, ``embedding_error``, ``embedding_model``, ``embedding_generated_at``.
 
     Text is cut at the model's limit and blank text becomes an empty string. Texts go to the
-    embedder ``batch_size`` at a time; when a batch fails its texts get zero vectors and the
-    error is kept beside them.
+    embedder ``batch_size`` at a time, see ``embed_batch`` for failures.
     """
     model = embedder or HashedWords(dim)
     size = getattr(model, "dim", dim)
@@ -63,12 +111,9 @@ def embed(
             found, errors = [], []
             for at in range(0, len(texts), batch_size):
                 part = texts.iloc[at : at + batch_size].tolist()
-                try:
-                    found.extend(np.asarray(model(part), dtype=np.float32))
-                    errors.extend([None] * len(part))
-                except Exception as error:  # one bad batch must not stop the run
-                    found.extend(np.zeros((len(part), size), dtype=np.float32))
-                    errors.extend([str(error)] * len(part))
+                more, wrong = embed_batch(model, part, size, retries, delay)
+                found.extend(more)
+                errors.extend(wrong)
             yield pd.DataFrame({"embedding": found, "embedding_error": errors})
 
     prepared = embedding_text(F.col(text_col))

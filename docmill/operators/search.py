@@ -12,7 +12,7 @@ from docmill.functions import text as T
 from docmill.functions import vectors as V
 from docmill.operators.fulltext import Analyzer, fts_search, simple_analyzer, token_table
 from docmill.operators.ranking import top_per_key
-from docmill.operators.vector_search import vector_leg, vector_search
+from docmill.operators.vector_search import QUERY_ROWS, vector_leg, vector_search
 
 LIMIT = 30
 THRESHOLD = 0.30
@@ -59,8 +59,10 @@ def limit_per_document(fused: DataFrame, max_per_doc: int = MAX_PER_DOCUMENT) ->
 
 
 def is_small(queries: DataFrame, k: int) -> bool:
-    """True when ``k`` results for every query are few enough to broadcast as narrow rows."""
-    return queries.limit(BROADCAST_ROWS // k + 1).count() * k <= BROADCAST_ROWS
+    """True when ``k`` results for every query are few enough to broadcast as narrow rows, and
+    the query vectors are too."""
+    most = min(BROADCAST_ROWS // k, QUERY_ROWS)
+    return queries.limit(most + 1).count() <= most
 
 
 def attach_chunks(

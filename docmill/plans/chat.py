@@ -198,8 +198,8 @@ def q_tool_call_runs(spark, root):
 def _calls(spark, root):
     return _talk(spark, root).select(
         F.col("conv_id").alias("session_id"), "turn",
-        F.when(F.col("role") == "user", "search_knowledge_base").when(F.col("role") == "assistant", "get_weather")
-        .otherwise("list_documents").alias("tool_name"),
+        F.when(F.col("role") == "user", "search").when(F.col("role") == "assistant", "weather")
+        .otherwise("listing").alias("tool_name"),
         F.when(F.col("role") == "system", "{}").when(
             F.col("turn") % 2 == 0, F.to_json(F.struct(F.col("text").alias("query"), F.col("turn").alias("limit"))))
         .otherwise(F.to_json(F.struct(F.substring("text", 1, 30).alias("query")))).alias("args"))
@@ -505,8 +505,8 @@ g AS (SELECT *, sum(change) OVER (PARTITION BY user_id ORDER BY ts, event_id)::B
 SELECT user_id, group_no, any_value(event_type) AS event_type, count(*) AS count,
        first(event_id ORDER BY ts, event_id) AS first_event FROM g GROUP BY user_id, group_no""",
     "tool_usage": """
-WITH c AS (SELECT conv_id AS session_id, turn, CASE role WHEN 'user' THEN 'search_knowledge_base'
-      WHEN 'assistant' THEN 'get_weather' ELSE 'list_documents' END AS tool_name,
+WITH c AS (SELECT conv_id AS session_id, turn, CASE role WHEN 'user' THEN 'search'
+      WHEN 'assistant' THEN 'weather' ELSE 'listing' END AS tool_name,
     CASE WHEN role = 'system' THEN '' WHEN turn % 2 = 0 THEN ' (query=''' || CASE WHEN length(text) > 50
       THEN substr(text, 1, 50) || '...' ELSE text END || ''', limit=' || turn || ')'
     ELSE ' (query=''' || substr(text, 1, 30) || ''')' END AS args FROM conversations)

@@ -70,7 +70,9 @@ def reuse_stream(
     requests: DataFrame, key: str, ttl_seconds: int, ts: str = "ts", inclusive: bool = True
 ) -> DataFrame:
     """Each request with ``reused``: false when it stored the value. Requests of a key are
-    taken in time order inside a micro-batch; the state per key is one moment."""
+    taken in time order inside a micro-batch, so limit its size (``maxFilesPerTrigger``) to what
+    a task may hold of the busiest key; the state per key is one moment. For stored events use
+    ``ttl_reuse``, which has no such limit."""
     ttl = ttl_seconds * 1_000_000 - (0 if inclusive else 1)
     key_type = requests.schema[key].dataType.simpleString()
 

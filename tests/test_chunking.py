@@ -115,9 +115,35 @@ def test_embedding_errors_and_blanks(spark):
             return super().__call__(texts)
 
     frame = spark.createDataFrame([(1, "good words"), (2, "bad"), (3, "  "), (4, "x" * 40000)], "id int, content string")
-    rows = {r["id"]: r for r in E.embed(frame.coalesce(1), embedder=Failing(8), batch_size=1).collect()}
+    rows = {r["id"]: r for r in E.embed(frame.coalesce(1), embedder=Failing(8), batch_size=3, delay=0.0).collect()}
     assert sum(x * x for x in rows[1]["embedding"]) == pytest.approx(1)
     assert rows[2]["embedding"] == [0.0] * 8 and rows[2]["embedding_error"] == "model down"
     assert rows[3]["embedding"] == [0.0] * 8 and rows[3]["embedding_error"] is None
     cut = frame.select(F.length(E.embedding_text(F.col("content")))).collect()
     assert [r[0] for r in cut] == [10, 3, 0, 32764]
+
+
+def test_busy_model_is_asked_again():
+    calls = []
+
+    def busy(texts):
+        calls.append(len(texts))
+        if len(calls) < 3:
+            raise E.RateLimited("slow down")
+        return [[1.0, 2.0]] * len(texts)
+
+    vectors, errors = E.embed_batch(busy, ["a", "b"], 2, delay=0.0)
+    assert calls == [2, 2, 2] and errors == [None, None] and [list(v) for v in vectors] == [[1.0, 2.0]] * 2
+
+    def always(texts):
+        raise E.RateLimited("closed")
+
+    vectors, errors = E.embed_batch(always, ["a"], 2, delay=0.0)
+    assert errors == ["closed"] and list(vectors[0]) == [0.0, 0.0]
+
+
+def test_tokenizer(spark):
+    frame = spark.createDataFrame([(1, "a b c"), (2, "")], "id int, content string")
+    got = {r["id"]: r["token_count"] for r in C.with_token_count(frame, str.split).collect()}
+    assert got == {1: 3, 2: 0}
+    assert [r["token_count"] for r in C.with_token_count(frame).orderBy("id").collect()] == [1, 0]
