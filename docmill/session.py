@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,7 +22,23 @@ def get_session(app: str = "docmill", master: str | None = None, **conf: str) ->
     }
     for key, value in options.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    return ship_package(builder.getOrCreate())
+
+
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> SparkSession:
+    """Send this package to the Python workers, once per application. They do not inherit the
+    driver's import path, so functions that run in them could not find it otherwise."""
+    context = spark.sparkContext
+    if context.applicationId not in _shipped:
+        package = Path(__file__).resolve().parent
+        target = Path(tempfile.mkdtemp(prefix="docmill-package-")) / "docmill"
+        archive = shutil.make_archive(str(target), "zip", package.parent, package.name)
+        context.addPyFile(archive)
+        _shipped.add(context.applicationId)
+    return spark
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
