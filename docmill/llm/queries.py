@@ -5,9 +5,9 @@ from __future__ import annotations
 
 from functools import wraps
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from docmill.llm import op10_sentencepiece
+from docmill.llm import op1_sharding, op3_topk, op10_sentencepiece
 from docmill.llm.common import read_table, ship_package
 
 
@@ -18,14 +18,39 @@ def vocabulary() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def sharding_query(spark: SparkSession, root: str) -> DataFrame:
+    return op1_sharding.shard(read_table(spark, root, "documents"), 8)
+
+
+def topk_query(spark: SparkSession, root: str) -> DataFrame:
+    vectors = read_table(spark, root, "embeddings")
+    return op3_topk.top_k(vectors, vectors.where(F.col("vec_id") % 100 == 0), 10)
+
+
 def sentencepiece_query(spark: SparkSession, root: str) -> DataFrame:
     return op10_sentencepiece.encode_digests(read_table(spark, root, "documents"), vocabulary())
 
 
 QUERIES = {
+    "op1_sharding": sharding_query,
+    "op3_topk": topk_query,
     "op10_sentencepiece": sentencepiece_query,
 }
-ORACLES: dict[str, str] = {}
+TOPK_SQL = """
+with v as (
+  select vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)) as v from embeddings
+  where vec_id is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (
+  select q.vec_id as query_id, c.vec_id, list_inner_product(q.v, c.v)::bigint as score
+  from v q join v c on q.vec_id % 100 = 0 and c.vec_id <> q.vec_id and len(c.v) = len(q.v)),
+r as (
+  select query_id, row_number() over (partition by query_id order by score desc, vec_id)::integer as rank,
+    vec_id, score from s)
+select query_id, rank, vec_id, score from r where rank <= 10
+"""
+
+ORACLES: dict[str, str] = {"op3_topk": TOPK_SQL}
 
 
 def _shipped(query):
