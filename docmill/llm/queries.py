@@ -7,7 +7,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from docmill.llm import op1_sharding, op3_topk, op10_sentencepiece
+from docmill.llm import op1_sharding, op3_topk, op9_minhash, op10_sentencepiece
 from docmill.llm.common import read_table, ship_package
 
 
@@ -27,6 +27,10 @@ def topk_query(spark: SparkSession, root: str) -> DataFrame:
     return op3_topk.top_k(vectors, vectors.where(F.col("vec_id") % 100 == 0), 10)
 
 
+def minhash_query(spark: SparkSession, root: str) -> DataFrame:
+    return op9_minhash.near_duplicates(read_table(spark, root, "documents"))
+
+
 def sentencepiece_query(spark: SparkSession, root: str) -> DataFrame:
     return op10_sentencepiece.encode_digests(read_table(spark, root, "documents"), vocabulary())
 
@@ -34,6 +38,7 @@ def sentencepiece_query(spark: SparkSession, root: str) -> DataFrame:
 QUERIES = {
     "op1_sharding": sharding_query,
     "op3_topk": topk_query,
+    "op9_minhash": minhash_query,
     "op10_sentencepiece": sentencepiece_query,
 }
 TOPK_SQL = """
