@@ -7,8 +7,8 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from docmill.llm import op1_sharding, op3_topk, op9_minhash, op10_sentencepiece
-from docmill.llm.common import read_table, ship_package
+from docmill.llm import op1_sharding, op3_topk, op6_language, op9_minhash, op10_sentencepiece
+from docmill.llm.common import crc_remainder, read_table, ship_package
 
 
 def vocabulary() -> str:
@@ -27,6 +27,19 @@ def topk_query(spark: SparkSession, root: str) -> DataFrame:
     return op3_topk.top_k(vectors, vectors.where(F.col("vec_id") % 100 == 0), 10)
 
 
+def language_model(docs: DataFrame) -> op6_language.Model:
+    """Model from the rows that are not held out."""
+    return op6_language.train(docs.where(crc_remainder("doc_id", 4) != 2))
+
+
+def language_query(spark: SparkSession, root: str) -> DataFrame:
+    docs = read_table(spark, root, "documents")
+    found = op6_language.identify(docs, language_model(docs), passed=["doc_id"])
+    return found.select(
+        "doc_id", (crc_remainder("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "rejected"
+    )
+
+
 def minhash_query(spark: SparkSession, root: str) -> DataFrame:
     return op9_minhash.near_duplicates(read_table(spark, root, "documents"))
 
@@ -38,6 +51,7 @@ def sentencepiece_query(spark: SparkSession, root: str) -> DataFrame:
 QUERIES = {
     "op1_sharding": sharding_query,
     "op3_topk": topk_query,
+    "op6_language": language_query,
     "op9_minhash": minhash_query,
     "op10_sentencepiece": sentencepiece_query,
 }
