@@ -7,7 +7,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from docmill.llm import op1_sharding, op3_topk, op6_language, op9_minhash, op10_sentencepiece
+from docmill.llm import op1_sharding, op3_topk, op6_language, op7_hmm, op9_minhash, op10_sentencepiece
 from docmill.llm.common import crc_remainder, read_table, ship_package
 
 
@@ -40,6 +40,10 @@ def language_query(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+def hmm_query(spark: SparkSession, root: str) -> DataFrame:
+    return op7_hmm.score(read_table(spark, root, "documents"), crc_remainder("doc_id", 10) == 0)
+
+
 def minhash_query(spark: SparkSession, root: str) -> DataFrame:
     return op9_minhash.near_duplicates(read_table(spark, root, "documents"))
 
@@ -52,6 +56,7 @@ QUERIES = {
     "op1_sharding": sharding_query,
     "op3_topk": topk_query,
     "op6_language": language_query,
+    "op7_hmm": hmm_query,
     "op9_minhash": minhash_query,
     "op10_sentencepiece": sentencepiece_query,
 }
