@@ -6,19 +6,58 @@ of ``documents``. Stages hand over Parquet files below the shared checkpoint fol
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from docmill.llm import op10_sentencepiece
+from docmill.llm import op2_lines, op6_language, op8_decontaminate, op9_minhash, op10_sentencepiece
 from docmill.llm.common import read_table, ship_package, stored
-from docmill.llm.queries import vocabulary
+from docmill.llm.queries import language_model, vocabulary
+
+
+def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language that the model knows."""
+    ship_package(spark)
+    found = op6_language.identify(docs, language_model(docs))
+    return found.where(~F.col("rejected")).select(*docs.columns)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the later copies of repeated line runs; one that loses all its lines goes."""
+    ship_package(spark)
+    kept = op2_lines.without_lines(docs, op2_lines.repeated_lines(docs))
+    if "n_chars" not in kept.columns:
+        return kept
+    counted = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return kept.withColumn("n_chars", F.when(F.col("text").isNotNull(), counted).otherwise(F.col("n_chars")))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates: the one with the smallest doc_id."""
+    ship_package(spark)
+    groups = op9_minhash.near_duplicates(docs)
+    gone = groups.where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
+    kept = docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone"]), "leftanti")
+    return kept.select(*docs.columns)
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    ship_package(spark)
+    leaks = op8_decontaminate.contaminated(docs, read_table(spark, sf_dir, "benchmark"))
+    leaks = leaks.select(F.col("doc_id").alias("_leak")).distinct()
+    return docs.join(leaks, docs["doc_id"].eqNullSafe(leaks["_leak"]), "leftanti")
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Counts and digests of the ids and of the decoded text of every document kept."""
+    ship_package(spark)
     return op10_sentencepiece.encode_digests(docs, vocabulary())
 
 
 STAGES = [
+    ("language", languages),
+    ("lines", lines),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontaminated),
     ("sentencepiece", tokens),
 ]
 

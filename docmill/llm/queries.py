@@ -7,7 +7,17 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from docmill.llm import op1_sharding, op3_topk, op6_language, op7_hmm, op9_minhash, op10_sentencepiece
+from docmill.llm import (
+    op1_sharding,
+    op2_lines,
+    op3_topk,
+    op4_units,
+    op6_language,
+    op7_hmm,
+    op8_decontaminate,
+    op9_minhash,
+    op10_sentencepiece,
+)
 from docmill.llm.common import crc_remainder, read_table, ship_package
 
 
@@ -22,11 +32,21 @@ def sharding_query(spark: SparkSession, root: str) -> DataFrame:
     return op1_sharding.shard(read_table(spark, root, "documents"), 8)
 
 
+def lines_query(spark: SparkSession, root: str) -> DataFrame:
+    """Every deleted run of lines, with its place and the place of the copy that stays."""
+    return op2_lines.deleted_runs(op2_lines.repeated_lines(read_table(spark, root, "documents")))
+
+
 def topk_query(spark: SparkSession, root: str) -> DataFrame:
     vectors = read_table(spark, root, "embeddings")
     return op3_topk.top_k(vectors, vectors.where(F.col("vec_id") % 100 == 0), 10)
 
 
+def units_query(spark: SparkSession, root: str) -> DataFrame:
+    """Every removed unit, with its original offsets and the occurrence that stays."""
+    return op4_units.repeated_units(read_table(spark, root, "documents"))
+
+
 def language_model(docs: DataFrame) -> op6_language.Model:
     """Model from the rows that are not held out."""
     return op6_language.train(docs.where(crc_remainder("doc_id", 4) != 2))
@@ -44,6 +64,13 @@ def hmm_query(spark: SparkSession, root: str) -> DataFrame:
     return op7_hmm.score(read_table(spark, root, "documents"), crc_remainder("doc_id", 10) == 0)
 
 
+def decontaminate_query(spark: SparkSession, root: str) -> DataFrame:
+    """Every region of a document that matches a benchmark item."""
+    return op8_decontaminate.contaminated(
+        read_table(spark, root, "documents"), read_table(spark, root, "benchmark")
+    )
+
+
 def minhash_query(spark: SparkSession, root: str) -> DataFrame:
     return op9_minhash.near_duplicates(read_table(spark, root, "documents"))
 
@@ -54,9 +81,12 @@ def sentencepiece_query(spark: SparkSession, root: str) -> DataFrame:
 
 QUERIES = {
     "op1_sharding": sharding_query,
+    "op2_lines": lines_query,
     "op3_topk": topk_query,
+    "op4_units": units_query,
     "op6_language": language_query,
     "op7_hmm": hmm_query,
+    "op8_decontaminate": decontaminate_query,
     "op9_minhash": minhash_query,
     "op10_sentencepiece": sentencepiece_query,
 }
