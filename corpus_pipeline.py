@@ -30,21 +30,40 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return kept.withColumn("n_chars", F.when(F.col("text").isNotNull(), counted).otherwise(F.col("n_chars")))
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with one key for rows that are equal in id and text, and only those."""
+    return docs.withColumn("_key", F.struct("doc_id", F.xxhash64("text").alias("text_hash")))
+
+
+def _except(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """``docs`` without the rows of ``keys``."""
+    keys = keys.select(F.col("_key.doc_id").alias("_id"), F.col("_key.text_hash").alias("_hash")).distinct()
+    same = docs["doc_id"].eqNullSafe(keys["_id"]) & (F.xxhash64(docs["text"]) == keys["_hash"])
+    return docs.join(keys, same, "leftanti")
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the smallest doc_id."""
+    """One document of each group of near-duplicates: the one with the smallest doc_id. Of rows that
+    are equal in id and text one stays, unless the text has no words."""
     ship_package(spark)
-    groups = op9_minhash.near_duplicates(docs)
-    gone = groups.where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    kept = docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone"]), "leftanti")
-    return kept.select(*docs.columns)
+    groups = op9_minhash.near_duplicates(_keyed(docs), id_col="_key").withColumnRenamed("doc_id", "_key")
+    groups = stored(groups)
+    again = groups.where("kept and n_shingles > 0").groupBy("_key").count().where("count > 1")
+    kept = _except(docs, groups.where(~F.col("kept")).select("_key"))
+    if again.isEmpty():
+        return kept
+    several = again.select(F.col("_key.doc_id").alias("_id"), F.col("_key.text_hash").alias("_hash"))
+    same = docs["doc_id"].eqNullSafe(several["_id"]) & (F.xxhash64(docs["text"]) == several["_hash"])
+    one = docs.join(several, same, "leftsemi").dropDuplicates(["doc_id", "text"])
+    return _except(kept, again.select("_key")).unionByName(one)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
     ship_package(spark)
-    leaks = op8_decontaminate.contaminated(docs, read_table(spark, sf_dir, "benchmark"))
-    leaks = leaks.select(F.col("doc_id").alias("_leak")).distinct()
-    return docs.join(leaks, docs["doc_id"].eqNullSafe(leaks["_leak"]), "leftanti")
+    benchmark = read_table(spark, sf_dir, "benchmark")
+    leaks = op8_decontaminate.contaminated(_keyed(docs), benchmark, id_col="_key")
+    return _except(docs, leaks.select(F.col("doc_id").alias("_key")))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
