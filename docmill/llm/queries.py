@@ -12,6 +12,7 @@ from docmill.llm import (
     op2_lines,
     op3_topk,
     op4_units,
+    op5_blocks,
     op6_language,
     op7_hmm,
     op8_decontaminate,
@@ -47,6 +48,11 @@ def units_query(spark: SparkSession, root: str) -> DataFrame:
     return op4_units.repeated_units(read_table(spark, root, "documents"))
 
 
+def blocks_query(spark: SparkSession, root: str) -> DataFrame:
+    pages = read_table(spark, root, "pages")
+    return op5_blocks.extract(pages, op5_blocks.train(pages))
+
+
 def language_model(docs: DataFrame) -> op6_language.Model:
     """Model from the rows that are not held out."""
     return op6_language.train(docs.where(crc_remainder("doc_id", 4) != 2))
@@ -84,6 +90,7 @@ QUERIES = {
     "op2_lines": lines_query,
     "op3_topk": topk_query,
     "op4_units": units_query,
+    "op5_blocks": blocks_query,
     "op6_language": language_query,
     "op7_hmm": hmm_query,
     "op8_decontaminate": decontaminate_query,
