@@ -6,11 +6,12 @@ first half of the rounds any bin still empty gets a round in which all shingles
 every coordinate fills and the share of equal coordinates concentrates around the similarity. Four
 coordinates make a band; 32 bands miss a pair at the threshold with probability below 1e-5.
 
-Equal sets are one node from the start. Within a bucket of equal bands no pairs are listed as long
-as there are many: pivots are compared with the members, verified links join components, and only
-members of different components are looked at again. A bucket is done when it lies in one component
-or when all its remaining pairs across components, then few, were compared. Every link is confirmed
-on the full sets.
+Equal sets are one node from the start. Within a bucket of equal bands no pairs are listed: every
+member is compared with the bucket's first one, in large buckets with further pivots, and verified
+links join components. What is left are members outside their bucket's largest component; these meet
+the members of other components, chunk by block, in tasks of bounded size that give only the links
+that join components. Every link is confirmed on the full sets, which are made again from the texts
+of documents that share a bucket.
 
 Defined cases: null and empty texts, and texts without words, have an empty set and link with
 nothing; fewer than five words are one shingle; rows with equal ids and different texts are separate
@@ -35,8 +36,8 @@ ROWS = 4  # coordinates in a band
 PERCENT = 75
 #: A pair at the threshold is below this share of equal coordinates with probability 1e-7.
 LEAST_AGREEMENT = 0.55
-FEW = 2  # pairs across components for each member up to which a bucket is compared in full
-PIVOT_ROUNDS = 6
+BLOCK = 512  # members of a bucket that are compared with each other in one task
+PIVOT_ROUNDS = 2
 _VALUE_BITS = 40
 _M1, _M2, _GOLDEN = (np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15))
 
@@ -174,44 +175,34 @@ def _agreement(a, b):
     return pd.Series((left == right).mean(axis=1) if len(a) else [], dtype=float)
 
 
-class Verifier:
-    """Confirms pairs of nodes on the full sets, which are made again from the texts of those
-    documents that are in a promising pair."""
-
-    def __init__(self, docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, percent: int):
-        self.docs, self.nodes, self.percent = docs, nodes, percent
-        self.id_col, self.text_col = id_col, text_col
+def _promising(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    short = nodes.select("node", "short")
+    return (
+        pairs.join(short.toDF("a", "short_a"), "a").join(short.toDF("b", "short_b"), "b")
+        .where(_agreement("short_a", "short_b") >= LEAST_AGREEMENT).select("a", "b")
+    )
 
-    def promising(self, pairs: DataFrame) -> DataFrame:
-        short = self.nodes.select("node", "short")
-        return (
-            pairs.join(short.toDF("a", "short_a"), "a").join(short.toDF("b", "short_b"), "b")
-            .where(_agreement("short_a", "short_b") >= LEAST_AGREEMENT).select("a", "b")
-        )
 
-    def sets(self, pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        wanted = self.nodes.select("node", "doc_id", "digest").join(wanted, "node")
-        ids = wanted.select("doc_id").distinct()
-        texts = self.docs.join(ids, self.docs[self.id_col].eqNullSafe(ids["doc_id"]), "leftsemi")
-        schema = T.StructType([T.StructField("digest", T.BinaryType()),
-                               T.StructField("shingles", T.ArrayType(T.LongType()))])
-        made = _python(texts, self.id_col, self.text_col, schema, _set_rows)
-        made = made.join(wanted.select("digest", "node"), "digest")
-        return stored(made.select("node", "shingles").dropDuplicates(["node"]))
-
-    def links(self, pairs: DataFrame) -> DataFrame:
-        """The pairs with enough in common."""
-        pairs = stored(self.promising(pairs))
-        if pairs.isEmpty():
-            return pairs
-        sets = self.sets(pairs)
-        both = pairs.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b")
-        common = F.size(F.array_intersect("set_a", "set_b")).cast("long")
-        union = F.size("set_a") + F.size("set_b") - F.col("_common")
-        return stored(
-            both.withColumn("_common", common).where(100 * F.col("_common") >= self.percent * union).select("a", "b")
-        )
+def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """node and shingles of the ``wanted`` nodes (node, doc_id, digest), made again from the texts of
+    their documents only."""
+    ids = wanted.select(F.col("doc_id").alias("_wanted")).distinct()
+    texts = docs.join(ids, docs[id_col].eqNullSafe(ids["_wanted"]), "leftsemi")
+    schema = T.StructType([T.StructField("digest", T.BinaryType()),
+                           T.StructField("shingles", T.ArrayType(T.LongType()))])
+    made = _python(texts, id_col, text_col, schema, _set_rows)
+    made = made.join(wanted.select("digest", "node"), "digest")
+    return stored(made.select("node", "shingles").dropDuplicates(["node"]))
+
+
+def _links(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs with enough in common, compared on the full sets."""
+    both = _promising(pairs, nodes).join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b")
+    common = F.size(F.array_intersect("set_a", "set_b")).cast("long")
+    union = F.size("set_a") + F.size("set_b") - F.col("_common")
+    return stored(
+        both.withColumn("_common", common).where(100 * F.col("_common") >= percent * union).select("a", "b")
+    )
 
 
 def _relabel(labels: DataFrame | None, links: DataFrame) -> DataFrame:
@@ -228,8 +219,97 @@ def _relabel(labels: DataFrame | None, links: DataFrame) -> DataFrame:
     return stored(moved.unionAll(fresh.join(old, "node", "leftanti")))
 
 
+def _open(members: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
+    """Members of buckets that lie in several components, with the bucket's size ``n``, the number
+    ``rest`` of members outside its largest component, and the pivot and label of that and of the
+    rest."""
+    placed = members.join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
+    parts = placed.groupBy("bucket", "label").agg(
+        F.count(F.lit(1)).alias("n"), F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node")).alias("one")
+    )
+    buckets = parts.groupBy("bucket").agg(
+        F.count(F.lit(1)).alias("parts"), F.sum("n").alias("n"),
+        F.max(F.struct("n", "label", F.col("one.node").alias("node"))).alias("top"),
+    ).where("parts > 1")
+    second = parts.join(buckets.select("bucket", F.col("top.label").alias("major")), "bucket")
+    second = second.where("label <> major").groupBy("bucket").agg(
+        F.min(F.struct("one.h", "one.node", "label")).alias("two")
+    )
+    buckets = buckets.join(second, "bucket").select(
+        "bucket", "n", (F.col("n") - F.col("top.n")).alias("rest"), F.col("top.node").alias("p1"),
+        F.col("top.label").alias("l1"), F.col("two.node").alias("p2"), F.col("two.label").alias("l2"),
+    )
+    return stored(placed.join(buckets, "bucket"))
+
+
+def _pivot_pairs(open_: DataFrame) -> DataFrame:
+    first = open_.where("label <> l1").select("p1", "node").toDF("a", "b")
+    rest = open_.where("label <> l2").select("p2", "node").toDF("a", "b")
+    return first.unionAll(rest).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _block_links(open_: DataFrame, sets: DataFrame, percent: int, block: int) -> DataFrame:
+    """Links between members of different components of a bucket. The members outside the largest
+    component, in chunks, meet all members, in blocks; a task holds one chunk and one block. It gives
+    links that join components, at most one for each member."""
+    rows = open_.withColumn("_chunks", F.ceil(F.col("rest") / block)).withColumn("_blocks", F.ceil(F.col("n") / block))
+    minor = F.col("label") != F.col("l1")
+    several = (F.col("_chunks") > 1) | (F.col("_blocks") > 1)
+    columns = ["bucket", "_chunk", "_block", "_left", "node", "label"]
+    right = rows.withColumn("_block", F.pmod(F.xxhash64("node", F.lit(1)), F.col("_blocks")))
+    right = right.withColumn("_left", minor & ~several).withColumn(
+        "_chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_chunks") - 1))
+    )
+    left = rows.where(minor & several).withColumn("_chunk", F.pmod(F.xxhash64("node", F.lit(2)), F.col("_chunks")))
+    left = left.withColumn("_left", F.lit(True)).withColumn(
+        "_block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1))
+    )
+    sent = right.select(*columns, F.lit(True).alias("_right")).unionAll(left.select(*columns, F.lit(False)))
+    sent = sent.join(sets, "node")
+
+    def work(table: pa.Table) -> pa.Table:
+        a, b = _compare(
+            table.column("node").to_numpy(), table.column("label").to_numpy(),
+            table.column("_left").to_numpy(), table.column("_right").to_numpy(),
+            table.column("shingles").combine_chunks(), percent,
+        )
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return stored(sent.groupBy("bucket", "_chunk", "_block").applyInArrow(work, "a long, b long").distinct())
+
+
+def _compare(nodes, labels, left, right, sets, percent) -> tuple[list, list]:
+    """Links from the left rows to right rows of other labels, while labels are joined."""
+    if isinstance(sets, pa.ChunkedArray):
+        sets = pa.concat_arrays(sets.chunks)
+    sizes = sets.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    _, flat = np.unique(sets.flatten().to_numpy(zero_copy_only=False), return_inverse=True)
+    starts = np.cumsum(sizes) - sizes
+    label = labels.copy()
+    rows = np.flatnonzero(right)
+    ends = np.concatenate([flat[starts[r] : starts[r] + sizes[r]] for r in rows])
+    begins = np.cumsum(sizes[rows]) - sizes[rows]
+    seen = np.zeros(len(flat) + 1, dtype=np.int32)
+    a, b = [], []
+    for i in np.flatnonzero(left):
+        open_ = label[rows] != label[i]
+        if not open_.any():
+            continue
+        own = flat[starts[i] : starts[i] + sizes[i]]
+        seen[own] = 1
+        common = np.add.reduceat(seen[ends], begins)
+        seen[own] = 0
+        near = open_ & (100 * common >= percent * (sizes[i] + sizes[rows] - common))
+        for j in rows[near]:
+            if label[j] != label[i]:
+                a.append(int(nodes[i]))
+                b.append(int(nodes[j]))
+                label[label == label[j]] = label[i]
+    return a, b
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                    percent: int = PERCENT) -> DataFrame:
+                    percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
     """``doc_id``, ``n_shingles``, ``component_id`` (smallest doc_id reachable), ``kept``."""
     rows = stored(sketched(docs, id_col, text_col))
     filled = rows.where("digest is not null")
@@ -238,23 +318,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .agg(F.min("doc_id").alias("doc_id"), F.first(F.struct("bands", "short")).alias("_one"))
         .select(F.monotonically_increasing_id().alias("node"), "digest", "doc_id", "_one.*")
     )
-    banded = nodes.select("node", F.explode("bands").alias("bucket"))
-    crowded = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n"), F.min("node").alias("pivot"))
-    members = stored(banded.join(crowded.where("_n > 1").drop("_n"), "bucket"))
-    verifier = Verifier(docs, nodes, id_col, text_col, percent)
-    stars = members.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-    labels = _relabel(None, verifier.links(stars))
-    members = members.select("bucket", "node")
-    for turn in range(PIVOT_ROUNDS + 1):
-        members, pairs, left = _next_pairs(members, labels, turn, last=turn == PIVOT_ROUNDS)
-        if pairs.isEmpty():
-            break
-        found = verifier.links(pairs)
-        if not found.isEmpty():
-            labels = _relabel(labels, found)
-        if not left:
-            break
-    ids = nodes.join(labels, "node", "left").select(
+    labels = _labels(docs, nodes, id_col, text_col, percent, block)
+    ids = nodes.select("node", "digest", "doc_id").join(labels, "node", "left").select(
         "digest", "doc_id", F.coalesce("label", "node").alias("label")
     )
     smallest = ids.groupBy("label").agg(F.min("doc_id").alias("component_id"))
@@ -264,37 +329,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return found.unionAll(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def _next_pairs(members: DataFrame, labels: DataFrame, turn: int, last: bool):
-    """Pairs of different components to compare next, the members of the buckets that stay open
-    after that, and whether there are such. Buckets with few pairs left give them all and are done;
-    in the others one pivot of the largest component and one of the rest meet all members of other
-    components. In the last turn every bucket gives all its pairs."""
-    placed = members.join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
-    parts = placed.groupBy("bucket", "label").agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node")).alias("one")
-    )
-    top = F.max(F.struct("n", F.col("label"), F.col("one.node").alias("node"))).alias("top")
-    buckets = parts.groupBy("bucket").agg(
-        F.count(F.lit(1)).alias("parts"), F.sum("n").alias("n"),
-        F.sum(F.col("n") * F.col("n")).alias("within"), top,
-    ).where("parts > 1")
-    buckets = buckets.withColumn(
-        "few", (F.col("n") * F.col("n") - F.col("within")) / 2 <= F.col("n") * FEW if not last else F.lit(True)
-    )
-    small = parts.alias("p").join(buckets.select("bucket", F.col("top.label").alias("major")), "bucket")
-    second = small.where("label <> major").groupBy("bucket").agg(F.min(F.struct("one.h", "one.node", "label")).alias("two"))
-    buckets = stored(buckets.join(second, "bucket").select(
-        "bucket", "few", F.col("top.node").alias("p1"), F.col("top.label").alias("l1"),
-        F.col("two.node").alias("p2"), F.col("two.label").alias("l2"),
-    ))
-    open_ = stored(placed.join(buckets, "bucket"))
-    few = open_.where("few").select("bucket", "node", "label")
-    other = few.toDF("bucket", "node2", "label2")
-    direct = few.join(other, "bucket").where("node < node2 and label <> label2").select("node", "node2")
-    many = open_.where("not few")
-    first = many.where("label <> l1").select("p1", "node")
-    rest = many.where("label <> l2").select("p2", "node")
-    pairs = direct.toDF("a", "b").unionAll(first.toDF("a", "b")).unionAll(rest.toDF("a", "b"))
-    pairs = stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    left = many.select("bucket", "node")
-    return left, pairs, not left.isEmpty()
+def _labels(docs, nodes, id_col, text_col, percent, block) -> DataFrame:
+    """node, label of the nodes that have links."""
+    banded = nodes.select("node", F.explode("bands").alias("bucket"))
+    crowded = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n"), F.min("node").alias("pivot"))
+    members = stored(banded.join(crowded.where("_n > 1").drop("_n"), "bucket"))
+    stars = members.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
+    members = members.select("bucket", "node")
+    wanted = nodes.select("node", "doc_id", "digest").join(members.select("node").distinct(), "node")
+    sets = _sets(docs, stored(wanted), id_col, text_col)
+    labels = _relabel(None, _links(stars, nodes, sets, percent))
+    open_ = _open(members, labels, 0)
+    for turn in range(1, PIVOT_ROUNDS + 1):
+        large = open_.where(F.col("n") > block)
+        if large.isEmpty():
+            break
+        links = _links(_pivot_pairs(large), nodes, sets, percent)
+        if links.isEmpty():
+            break
+        labels = _relabel(labels, links)
+        open_ = _open(open_.select("bucket", "node"), labels, turn)
+    links = _block_links(open_, sets, percent, block)
+    return labels if links.isEmpty() else _relabel(labels, links)
