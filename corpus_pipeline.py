@@ -16,8 +16,9 @@ from docmill.llm.queries import language_model, vocabulary
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the model knows."""
     ship_package(spark)
-    found = op6_language.identify(docs, language_model(docs))
-    return found.where(~F.col("rejected")).select(*docs.columns)
+    made = tuple(f"_{len(docs.columns)}_{name}" for name in op6_language.MADE)
+    found = op6_language.identify(docs, language_model(docs), made=made)
+    return found.where(~F.col(made[-1])).select(*docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -218,7 +218,7 @@ def without_lines(docs: DataFrame, repeated: DataFrame, id_col: str = "doc_id",
             arrays[at] = pa.array(texts, type=arrow.field(at).type)
             yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
 
-    return joined.select(*[docs[c] for c in docs.columns], "_cut").mapInArrow(work, schema)
+    return joined.select(*[docs[c] for c in docs.columns], cuts["_cut"].alias("_lines_to_cut")).mapInArrow(work, schema)
 
 
 def _cut(text: str, gone: set[int]) -> tuple[str, bool]:

@@ -31,8 +31,8 @@ from docmill.llm.common import text_batches
 SAMPLE_PAGES = 300
 SAMPLE_CHARS = 100_000  # longest page in the sample
 SAMPLE_BLOCKS = 300
-VARIANTS = 2
-EPOCHS = 8
+EXAMPLES = 900  # sampled pages and their variants, at least; two variants of each page at least
+STEPS = 300
 WORD_SLOTS, WORD_DIMS = 1024, 12
 PATH_SLOTS, PATH_DIMS = 2048, 16
 MEASURES = 7
@@ -323,8 +323,9 @@ class Labeller:
             grads[name] = np.stack(sums, axis=1).astype(np.float32)
         return grads
 
-    def fit(self, pages: list, epochs: int = EPOCHS, batch: int = 48, rate: float = 0.01, seed: int = 5) -> None:
-        """Adam over (features, labels, weights) of pages."""
+    def fit(self, pages: list, steps: int = STEPS, batch: int = 48, rate: float = 0.01, seed: int = 5) -> None:
+        """Adam over (features, labels, weights) of pages, for ``steps`` batches or a little more."""
+        epochs = -(-steps // -(-len(pages) // batch))
         random = np.random.default_rng(seed)
         first = {k: np.zeros_like(v) for k, v in self.p.items()}
         second = {k: np.zeros_like(v) for k, v in self.p.items()}
@@ -426,8 +427,9 @@ def train_on(pages: list[str]) -> Labeller | None:
     variants = _Variants(read)
     features = Features()
     data = []
+    each = max(2, -(-EXAMPLES // len(told)) - 1)
     for i in told:
-        made = [(read[i], labels[i])] + [variants.page(read[i], labels[i]) for _ in range(VARIANTS)]
+        made = [(read[i], labels[i])] + [variants.page(read[i], labels[i]) for _ in range(each)]
         for blocks, found in made:
             data.append((
                 features(blocks), np.array([float(x or 0) for x in found], dtype=np.float32),

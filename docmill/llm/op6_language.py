@@ -48,7 +48,9 @@ def words_of(text: str) -> list[str]:
     found = _WORD.findall(text.lower())
     if max(map(len, found), default=0) > PIECE:
         found = [w[i : i + PIECE] for w in found for i in range(0, len(w), PIECE)]
-    return [w for w in found if w.isalpha()] if not all(map(str.isalpha, found)) else found
+    if not all(map(str.isalpha, found)):  # numbers that are not digits, like a superscript
+        found = [part for w in found for part in "".join(c if c.isalpha() else " " for c in w).split()]
+    return found
 
 
 def _extend(hashes: np.ndarray, codes: np.ndarray) -> np.ndarray:
@@ -293,15 +295,19 @@ def _entropies(batches, model: Model):
         )
 
 
-def identify(docs: DataFrame, model: Model, text_col: str = "text", passed: list[str] | None = None) -> DataFrame:
+MADE = ("lang_pred", "score", "entropy", "rejected")
+
+
+def identify(docs: DataFrame, model: Model, text_col: str = "text", passed: list[str] | None = None,
+             made: tuple[str, str, str, str] = MADE) -> DataFrame:
     """The ``passed`` columns of every row (all, if not named) with ``lang_pred``, ``score`` (share
-    of the winner, 0 to 1), ``entropy`` (per character, in nats) and ``rejected``. Passed columns
-    must not bear these four names."""
+    of the winner, 0 to 1), ``entropy`` (per character, in nats) and ``rejected``; ``made`` gives
+    these four other names where passed columns bear them."""
     passed = docs.columns if passed is None else passed
     sent = docs.sparkSession.sparkContext.broadcast(model)
     schema = T.StructType([docs.schema[c] for c in passed] + [
-        T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()),
-        T.StructField("entropy", T.DoubleType()), T.StructField("rejected", T.BooleanType()),
+        T.StructField(made[0], T.StringType()), T.StructField(made[1], T.DoubleType()),
+        T.StructField(made[2], T.DoubleType()), T.StructField(made[3], T.BooleanType()),
     ])
 
     def work(batches):
@@ -310,10 +316,10 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", passed: list
         arrow = to_arrow_schema(schema)
         read = Reader(sent.value) if sent.value.languages else None
         for batch in text_batches(batches, 2_000, 4 << 20, column=0):
-            made = _predict(sent.value, read, batch.column(0).to_pylist())
+            values = _predict(sent.value, read, batch.column(0).to_pylist())
             kept = [batch.column(i + 1).cast(arrow.field(i).type) for i in range(len(passed))]
-            made = [pa.array(v, type=arrow.field(len(passed) + i).type) for i, v in enumerate(made)]
-            yield pa.RecordBatch.from_arrays(kept + made, schema=arrow)
+            kept += [pa.array(v, type=arrow.field(len(passed) + i).type) for i, v in enumerate(values)]
+            yield pa.RecordBatch.from_arrays(kept, schema=arrow)
 
     source = docs.select(F.col(text_col).alias("_text"), *[F.col(c) for c in passed])
     return source.mapInArrow(work, schema)

@@ -84,10 +84,12 @@ class Shingler:
 def sketches(sets: list[np.ndarray], size: int = COORDINATES) -> np.ndarray:
     """Fast similarity sketch of each non-empty set: one row of ``size`` coordinates."""
     full = np.uint64(2**64 - 1)
+    if not sets:
+        return np.empty((0, size), dtype=np.uint64)
     out = np.full(len(sets) * size, full, dtype=np.uint64)
     todo = np.arange(len(sets))
     lengths = np.array([len(s) for s in sets])
-    items = np.concatenate(sets) if sets else np.empty(0, dtype=np.uint64)
+    items = np.concatenate(sets)
     owner = np.repeat(todo, lengths)
     for turn in range(2 * size):
         x = _mix(items + np.uint64((turn + 1) * int(_GOLDEN) % 2**64))

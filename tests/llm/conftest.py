@@ -16,7 +16,7 @@ def awkward(spark):
     clashes = CLASHES.split()
     data = [(i, t, "en", "src0", None if t is None else len(t), *["x"] * len(clashes)) for i, t in rows]
     columns = "doc_id long, text string, lang string, source string, n_chars long, "
-    return spark.createDataFrame(data, columns + ", ".join(f"{c} string" for c in clashes)).repartition(3)
+    return spark.createDataFrame(data, columns + ", ".join(f"{c} string" for c in clashes))
 
 
 @pytest.fixture(scope="session")
