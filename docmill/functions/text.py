@@ -22,33 +22,16 @@ WORD_CLASS = (
     r"\u1681-\u1fff\u200b-\u2027\u202a-\u202e\u2030-\u205e\u2060-\u2fff\u3001-\x{10ffff}"
 )
 
-# Stop words per language for query keywords.
-STOPWORDS = {
-    "default": [
-        "quoi", "quel", "quelle", "quels", "quelles", "est", "sont", "une", "des", "les",
-        "pour", "dans", "avec", "que", "qui", "comment", "pourquoi",
-    ],
-    "fr": [
-        "quoi", "quel", "quelle", "quels", "quelles", "est", "sont", "une", "des", "les",
-        "pour", "dans", "avec", "que", "qui", "comment", "pourquoi", "cette", "tout", "tous",
-        "etre", "avoir", "faire", "peut", "plus", "moins", "tres", "bien", "aussi",
-    ],
-    "en": [
-        "what", "which", "is", "are", "the", "for", "in", "with", "that", "who", "how", "why",
-        "this", "all", "be", "have", "do", "can", "more", "less", "very", "well", "also",
-        "from", "about", "when", "where",
-    ],
-    "nl": [
-        "wat", "welke", "is", "zijn", "de", "het", "voor", "in", "met", "dat", "wie", "hoe",
-        "waarom", "dit", "alle", "zijn", "hebben", "doen", "kan", "meer", "minder", "zeer",
-        "goed", "ook", "van", "over", "wanneer", "waar",
-    ],
-}
+# Stop words of query keywords.
+STOPWORDS = [
+    "quoi", "quel", "quelle", "quels", "quelles", "est", "sont", "une", "des", "les",
+    "pour", "dans", "avec", "que", "qui", "comment", "pourquoi",
+]
 # Words that announce a classification such as "type D" or "phase 2".
 CLASSIFIERS = ["type", "classe", "categorie", "niveau", "phase", "etape", "version"]
 
 # Table-of-contents patterns (header anywhere, then line shapes).
-TOC_HEADERS = [r"table\s*(des\s*)?mati[èe]res?", r"^\s*sommaire\s*$", r"^\s*contents?\s*$"]
+TOC_HEADER = r"table\s*(des\s*)?mati[èe]res?"
 TOC_LINES = [r"\.{3,}\s*\d+", r"^[A-Z\s\.]+\s+\d+\s*$", r"^\d+\.\s+.{5,50}\s+\d+\s*$"]
 
 # Formats by extension.
@@ -60,6 +43,25 @@ STRUCTURED_FORMATS = [
 EMBED_MAX_CHARS = 32764  # 8,191 tokens at four characters each
 
 
+def unicode_pattern(pattern: str) -> str:
+    """A pattern whose ``\\s`` and ``\\d`` stand for every white space and every decimal digit."""
+    out, inside, at = [], False, 0
+    while at < len(pattern):
+        pair = pattern[at : at + 2]
+        if pair == r"\s":
+            out.append(WS_CLASS if inside else f"[{WS_CLASS}]")
+        elif pair == r"\d":
+            out.append(r"\p{Nd}")
+        elif pair.startswith("\\"):
+            out.append(pair)
+        else:
+            inside = pair[0] == "[" or (inside and pair[0] != "]")
+            out.append(pair[0])
+            pair = pair[0]
+        at += len(pair)
+    return "".join(out)
+
+
 def strip(col: Column) -> Column:
     """Trim every kind of white space, not only blanks."""
     return F.btrim(col, F.lit(WHITESPACE))
@@ -88,7 +90,7 @@ def _accent_table() -> tuple[str, str]:
         if parts == char:
             continue
         base = [c for c in parts if unicodedata.category(c) != "Mn"]
-        if len(base) == 1 and code <= 0xFFFF:
+        if len(base) == 1:
             accented.append(char)
             plain.append(base[0])
     return "".join(accented), "".join(plain)
@@ -119,11 +121,12 @@ def extract_keywords(
     text = col if normalized else normalize_text(col)
 
     def phrase(name: str) -> Column:
-        values = F.regexp_extract_all(text, F.lit(rf"{name}\s*([a-z0-9]+|[ivxlc]+)"), F.lit(1))
+        shape = unicode_pattern(rf"{name}\s*([a-z0-9]+|[ivxlc]+)")
+        values = F.regexp_extract_all(text, F.lit(shape), F.lit(1))
         return F.transform(values, lambda v: F.concat(F.lit(f"{name} "), F.upper(v)))
 
     phrases = [phrase(name) for name in (CLASSIFIERS if classifiers is None else classifiers)]
-    stop = literal_array(STOPWORDS["default"] if stopwords is None else stopwords)
+    stop = literal_array(STOPWORDS if stopwords is None else stopwords)
     words = F.filter(
         F.regexp_extract_all(text, F.lit(r"(?U)\b([a-z]{4,})\b"), F.lit(1)),
         lambda w: ~F.array_contains(stop, w),
@@ -288,8 +291,13 @@ def token_estimate(content: Column) -> Column:
     return F.floor(F.length(content) / 4).cast("int")
 
 
-def is_toc(content: Column) -> Column:
-    """True when a chunk looks like a table of contents.
+# Element labels that mark a table of contents.
+TOC_LABELS = ["document_index"]
+
+
+def is_toc(content: Column, label: Column | None = None) -> Column:
+    """True when a chunk looks like a table of contents. A ``label`` of its element that names one
+    decides; without such a label the text does.
 
     Header words anywhere; or more than 0.4 marks per line, where trailing page numbers and
     dot leaders each count; or one line shaped like an entry. Only the first header pattern is
@@ -298,54 +306,101 @@ def is_toc(content: Column) -> Column:
     """
     text = strip(content)
     headers = F.contains(F.lower(content), F.lit("table")) & content.rlike(
-        f"(?iu){TOC_HEADERS[0]}"
+        f"(?iud){unicode_pattern(TOC_HEADER)}"
     )
+    page = r"[\s.]\d{1,3}$"
     # lines are looked at only where a cheap test finds a digit at a line end or three dots
     lines = F.transform(F.split(text, "\n"), strip)
     marks = F.aggregate(
         lines,
         F.lit(0),
         lambda acc, line: acc
-        + line.rlike(r"[\s.]\d{1,3}$").cast("int")
+        + line.rlike(f"(?d){unicode_pattern(page)}").cast("int")
         + F.contains(line, F.lit("...")).cast("int"),
     )
     candidate = F.contains(content, F.lit("...")) | content.rlike(
-        rf"\d[{WS_CLASS}]*(?:\n|$)"
+        rf"(?d)\p{{Nd}}[{WS_CLASS}]*(?:\n|$)"
     )
     entry = F.lit(False)
     for pattern in TOC_LINES:
-        entry = entry | content.rlike(f"(?imu){pattern}")
-    return F.coalesce(
+        entry = entry | content.rlike(f"(?imud){unicode_pattern(pattern)}")
+    shaped = F.coalesce(
         (F.length(text) >= 10)
         & (headers | (candidate & ((marks / F.size(lines) > 0.4) | entry))),
         F.lit(False),
     )
+    if label is None:
+        return shaped
+    return F.coalesce(F.lower(label).isin(TOC_LABELS), F.lit(False)) | shaped
 
 
 # --- html and urls -----------------------------------------------------------------------
 
-# Elements whose start or end breaks a line, and named character references.
+# Elements whose start or end breaks a line, and elements without readable text.
 BLOCK_TAGS = (
-    "address|article|aside|blockquote|br|dd|div|dl|dt|figure|footer|form|h[1-6]|header|hr|li"
-    "|main|ol|p|pre|section|table|td|th|tr|ul"
+    "address|article|aside|blockquote|br|dd|div|dl|dt|figcaption|figure|footer|form|header|hr"
+    "|main|ol|p|pre|section|table|ul"
 )
-ENTITIES = {
-    "&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'",
-    "&copy;": "©", "&middot;": "·", "&amp;": "&",
-}
+SILENT_TAGS = ["script", "style", "nav", "head"]
+
+
+@lru_cache
+def _named_characters() -> dict[str, str]:
+    """Character references by name, as the HTML standard lists them for Latin and symbols."""
+    from html.entities import name2codepoint
+
+    return {name: chr(code) for name, code in name2codepoint.items()} | {"apos": "'"}
+
+
+def unescape(col: Column) -> Column:
+    """Text with named, decimal and hexadecimal character references resolved in one pass. Unknown
+    references stay as they are; a no-break space becomes a space."""
+    reference = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]{1,31});"
+    names = F.create_map(*[F.lit(x) for pair in _named_characters().items() for x in pair])
+
+    def character(code: Column) -> Column:
+        valid = (code > 0) & (code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+        raw = F.unhex(F.lpad(F.hex(F.when(valid, code)), 8, "0"))
+        return F.decode(raw, "UTF-32")
+
+    def resolved(found: Column) -> Column:
+        inner = F.substring(found, F.lit(2), F.length(found) - 2)
+        number = F.substring(inner, F.lit(2), F.length(inner))
+        return F.coalesce(
+            F.when(inner.rlike("^#[xX]"), character(F.conv(F.substring(inner, F.lit(3), F.length(inner)), 16, 10).cast("bigint")))
+            .when(F.startswith(inner, F.lit("#")), character(number.cast("bigint")))
+            .otherwise(F.try_element_at(names, inner)),
+            found,
+        )
+
+    between = F.split(col, reference, -1)
+    found = F.transform(F.regexp_extract_all(col, F.lit(f"({reference})"), F.lit(1)), resolved)
+    pieces = F.zip_with(between, F.array_append(found, F.lit("")), lambda a, b: F.concat(a, b))
+    whole = F.when(F.contains(col, F.lit("&")), F.array_join(pieces, "")).otherwise(col)
+    return F.replace(whole, F.lit("\u00a0"), F.lit(" "))
+
+
+#: Start of a link with its address in one of three forms.
+LINK_START = r"<a\b[^>]*?\shref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))"
 
 
 def html_to_text(html: Column) -> Column:
-    """Readable text: boilerplate elements dropped, level-one headings as ``# ``, block
-    elements on their own lines, entities resolved, blank runs squeezed."""
+    """Markdown of a page: boilerplate elements dropped, headings as ``#`` lines, list items as
+    ``- `` lines, links as ``[text](address)``, table rows as ``| cell |`` lines, other block
+    elements on their own lines, character references resolved, blank runs squeezed."""
     text = F.regexp_replace(html, r"(?is)<!--.*?-->", "")
-    for tag in ("script", "style", "nav", "head"):
+    for tag in SILENT_TAGS:
         text = F.regexp_replace(text, rf"(?is)<{tag}\b.*?</{tag}>", "")
-    text = F.regexp_replace(text, r"(?is)<h1\b[^>]*>", "\n# ")
-    text = F.regexp_replace(text, rf"(?is)</?(?:{BLOCK_TAGS})\b[^>]*>", "\n")
+    text = F.regexp_replace(text, rf"(?is){LINK_START}[^>]*>(.*?)</a>", "[$4]($1$2$3)")
+    for level in range(1, 7):
+        text = F.regexp_replace(text, rf"(?is)<h{level}\b[^>]*>", "\n" + "#" * level + " ")
+    text = F.regexp_replace(text, r"(?is)<li\b[^>]*>", "\n- ")
+    text = F.regexp_replace(text, r"(?is)<tr\b[^>]*>", "\n|")
+    text = F.regexp_replace(text, r"(?is)<t[dh]\b[^>]*>", " ")
+    text = F.regexp_replace(text, r"(?is)</t[dh]\s*>", " |")
+    text = F.regexp_replace(text, rf"(?is)</?(?:{BLOCK_TAGS})\b[^>]*>|</(?:h[1-6]|li|tr)\s*>", "\n")
     text = F.regexp_replace(text, r"(?s)<[^>]*>", "")
-    for name, char in ENTITIES.items():
-        text = F.replace(text, F.lit(name), F.lit(char))
+    text = unescape(text)
     text = F.regexp_replace(text, r"[ \t\r]+", " ")
     text = F.regexp_replace(text, r" ?\n[\n ]*", "\n")
     return strip(text)

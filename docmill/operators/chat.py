@@ -173,6 +173,14 @@ def describe_tool_calls(calls: DataFrame, args_col: str = "args") -> DataFrame:
     )
 
 
+def list_tool_calls(calls: DataFrame, key: str, bucket: Column, order: list[str]) -> DataFrame:
+    """Every call of a session with its number from 1 and its arguments as shown. ``bucket`` must
+    not decrease along ``order``; it bounds what is sorted in one task."""
+    return number_rows(
+        describe_tool_calls(calls), key, bucket, [F.col(c) for c in order], "call_no"
+    )
+
+
 def tool_usage(calls: DataFrame, order: list[str]) -> DataFrame:
     """Calls per session and tool with the first one as shown."""
     return describe_tool_calls(calls).groupBy("session_id", "tool_name").agg(

@@ -145,9 +145,10 @@ def chunk_structured(
     """Chunks that follow the structure of markdown text.
 
     Blocks are paragraphs (blank-line separated) and headings. Neighbouring blocks under the
-    same heading path are packed up to ``max_tokens`` estimated tokens, a block longer than
-    that is cut at white space, and every chunk starts with its heading path. All of it is a
-    fold over the blocks of one row, so documents never meet.
+    same heading path are packed as long as path and blocks together have up to ``max_tokens``
+    estimated tokens, a block longer than that is cut at white space, and every chunk starts
+    with its heading path. Of a path that takes more than half a chunk only the end is kept. All
+    of it is a fold over the blocks of one row, so documents never meet.
     """
     limit = max_tokens * 4
     block = T.strip
@@ -163,70 +164,77 @@ def chunk_structured(
         ),
         lambda b: b != "",
     )
-    # cut over-long blocks at the last white space that fits, else at the limit
-    pieces = F.flatten(
-        F.transform(
-            blocks,
-            lambda b: F.when(F.length(b) <= limit, F.array(b)).otherwise(
-                F.transform(
-                    F.regexp_extract_all(
-                        b, F.lit(rf"(?s)(\S.{{0,{limit - 1}}}(?=\s|$)|\S.{{0,{limit - 1}}})"),
-                        F.lit(1),
-                    ),
-                    block,
-                )
-            ),
-        )
-    )
     level = lambda b: F.length(F.regexp_extract(b, r"^(#{1,6})[\t-\r\x20]", 1))
     empty = F.array().cast("array<struct<level:int,name:string>>")
     chunk_type = "array<struct<path:string,body:string>>"
 
+    def room(path: Column) -> Column:
+        """Characters that the path leaves for the body."""
+        return F.lit(limit) - F.when(path == "", 0).otherwise(F.length(path) + 1)
+
     def heading(acc: Column, b: Column, depth: Column) -> Column:
         name = T.strip(F.regexp_replace(b, r"^#{1,6}[\t-\r\x20]+", ""))
         heads = F.array_append(
             F.filter(acc["heads"], lambda h: h["level"] < depth),
             F.struct(depth.cast("int").alias("level"), name.alias("name")),
         )
-        return F.struct(heads.alias("heads"), acc["chunks"].alias("chunks"))
+        return F.struct(heads.alias("heads"), acc["blocks"].alias("blocks"))
 
-    def pack(acc: Column, b: Column, path: Column) -> Column:
-        last = F.try_element_at(acc["chunks"], F.lit(-1))
-        joins = (
-            last.isNotNull()
-            & (last["path"] == path)
-            & (F.length(last["body"]) + 1 + F.length(b) <= limit)
-        )
-        packed = F.when(
-            joins,
-            F.array_append(
-                F.slice(acc["chunks"], F.lit(1), F.size(acc["chunks"]) - 1),
-                F.struct(
-                    path.alias("path"), F.concat(last["body"], F.lit("\n"), b).alias("body")
-                ),
-            ),
-        ).otherwise(
-            F.array_append(acc["chunks"], F.struct(path.alias("path"), b.alias("body")))
-        )
-        return F.struct(acc["heads"].alias("heads"), packed.alias("chunks"))
+    def place(acc: Column, b: Column) -> Column:
+        path = F.array_join(F.transform(acc["heads"], lambda h: h["name"]), "\n")
+        path = F.when(F.length(path) > limit // 2, block(F.right(path, F.lit(limit // 2)))).otherwise(path)
+        placed = F.array_append(acc["blocks"], F.struct(path.alias("path"), b.alias("body")))
+        return F.struct(acc["heads"].alias("heads"), placed.alias("blocks"))
 
     def step(acc: Column, b: Column) -> Column:
-        path = F.array_join(F.transform(acc["heads"], lambda h: h["name"]), "\n")
         return let(
             level(b),
-            lambda depth: F.when(depth > 0, heading(acc, b, depth)).otherwise(
-                let(path, lambda p: pack(acc, b, p))
-            ),
+            lambda depth: F.when(depth > 0, heading(acc, b, depth)).otherwise(place(acc, b)),
         )
 
-    packed = F.aggregate(
-        F.col("_blocks"),
-        F.struct(empty.alias("heads"), F.array().cast(chunk_type).alias("chunks")),
+    placed = F.aggregate(
+        blocks,
+        F.struct(empty.alias("heads"), F.array().cast(chunk_type).alias("blocks")),
         step,
-        lambda acc: acc["chunks"],
+        lambda acc: acc["blocks"],
     )
+
+    # cut over-long blocks at the last white space that fits, else at the limit
+    def cut(x: Column) -> Column:
+        most = (room(x["path"]) - 1).cast("string")
+        shape = F.concat(
+            F.lit(r"(?s)(\S.{0,"), most, F.lit(r"}(?=\s|$)|\S.{0,"), most, F.lit("})")
+        )
+        return F.transform(
+            F.regexp_extract_all(x["body"], shape, F.lit(1)),
+            lambda part: F.struct(x["path"].alias("path"), block(part).alias("body")),
+        )
+
+    pieces = F.flatten(
+        F.transform(
+            F.col("_placed"),
+            lambda x: F.when(F.length(x["body"]) <= room(x["path"]), F.array(x)).otherwise(cut(x)),
+        )
+    )
+
+    def pack(chunks: Column, x: Column) -> Column:
+        last = F.try_element_at(chunks, F.lit(-1))
+        joins = (
+            last.isNotNull()
+            & (last["path"] == x["path"])
+            & (F.length(last["body"]) + 1 + F.length(x["body"]) <= room(x["path"]))
+        )
+        joined = F.struct(
+            x["path"].alias("path"), F.concat(last["body"], F.lit("\n"), x["body"]).alias("body")
+        )
+        return F.when(
+            joins, F.array_append(F.slice(chunks, F.lit(1), F.size(chunks) - 1), joined)
+        ).otherwise(F.array_append(chunks, x))
+
+    packed = F.aggregate(F.col("_pieces"), F.array().cast(chunk_type), pack)
     keep = [c for c in docs.columns if c != text_col]
-    rows = docs.select(*keep, pieces.alias("_blocks")).select(*keep, packed.alias("_c"))
+    rows = docs.select(*keep, placed.alias("_placed")).select(*keep, pieces.alias("_pieces"))
+    rows = rows.select(*keep, packed.alias("_c"))
     body = F.when(F.col("col.path") == "", F.col("col.body")).otherwise(
         F.concat_ws("\n", "col.path", "col.body")
     )

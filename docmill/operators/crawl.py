@@ -18,7 +18,11 @@ MAX_PAGES = 100
 
 def extract_links(pages: DataFrame, keep: list[str] = ()) -> DataFrame:
     """Internal links of every page, absolute, in page order: ``url, position, link``."""
-    found = F.regexp_extract_all("html", F.lit(r"(?i)<a\b[^>]*?\shref=\"([^\"]*)\""), F.lit(1))
+    def form(group: int) -> Column:
+        return F.regexp_extract_all("html", F.lit(f"(?i){T.LINK_START}"), F.lit(group))
+
+    either = F.zip_with(form(1), form(2), lambda a, b: F.concat(a, b))
+    found = F.transform(F.zip_with(either, form(3), lambda a, b: F.concat(a, b)), T.unescape)
     rows = explode_rows(pages.select(*keep, "url", found.alias("_f")), "_f", [*keep, "url"], "href", "position")
     link = T.resolve_url(F.col("url"), F.col("href"))
     rows = rows.where(F.col("href") != "").select(*keep, "url", "position", link.alias("link"))
@@ -82,6 +86,7 @@ def crawl_frontier(
         )
         return cut_lineage(kept)
 
+    links = cut_lineage(links.select("name", "url", "position", "link"))  # read by every round
     # place = (visit number of the finder, position on its page)
     seeds = starts.select(
         "name", "url", F.struct(F.lit(0).alias("finder"), F.col("position").alias("at")).alias("place")
@@ -132,9 +137,15 @@ def crawl_report(results: DataFrame, now: Column) -> DataFrame:
     top = totals.select("name", F.lit(0).alias("section"), F.posexplode(head).alias("line_no", "line"))
 
     def titles(section: int, title: str, where: Column) -> DataFrame:
-        return results.where(where).select("name").distinct().select(
-            "name", F.lit(section).alias("section"),
-            F.posexplode(F.array(F.lit(title), F.lit(""))).alias("line_no", "line"),
+        """Title, blank line, and the blank line after the section's last page."""
+        ends = results.where(where).groupBy("name").agg((F.max("visit") + 2).cast("int").alias("_end"))
+        lines = F.array(
+            F.struct(F.lit(0).alias("no"), F.lit(title).alias("text")),
+            F.struct(F.lit(1).alias("no"), F.lit("").alias("text")),
+            F.struct(F.col("_end").alias("no"), F.lit("").alias("text")),
+        )
+        return ends.select("name", F.lit(section).alias("section"), F.explode(lines).alias("_l")).select(
+            "name", "section", F.col("_l.no").alias("line_no"), F.col("_l.text").alias("line")
         )
 
     ok = F.col("success")
@@ -160,10 +171,11 @@ def title_case(col: Column) -> Column:
 
 def site_inventory(files: DataFrame) -> DataFrame:
     """One row per folder of ``files`` (folder, path, content, modified): page count, newest
-    time, title from the folder and the first address in the head of its first file."""
+    time, title from the folder and the first address in the head of its first file. An address
+    ends where the next one begins. The newest folder comes first."""
     head = F.substring("content", 1, 500)
     lines = F.filter(F.slice(F.split(head, "\n"), 1, 10), lambda s: F.contains(s, F.lit("http")))
-    raw = F.regexp_extract(F.get(lines, F.lit(0)), rf"(http[^{T.WS_CLASS}]*)", 1)
+    raw = F.regexp_extract(F.get(lines, F.lit(0)), rf"(http(?:(?!http)[^{T.WS_CLASS}])*)", 1)
     address = F.btrim(raw, F.lit("[]()\"',"))
     sites = files.groupBy("folder").agg(
         F.count(F.lit(1)).alias("pages_count"),
@@ -176,7 +188,7 @@ def site_inventory(files: DataFrame) -> DataFrame:
         title_case(F.replace("folder", F.lit("-"), F.lit(" "))).alias("title"),
         "pages_count",
         "scraped_at",
-    )
+    ).orderBy(F.col("scraped_at").desc(), "folder")
 
 
 def inventory_totals(files: DataFrame, sites: DataFrame) -> DataFrame:

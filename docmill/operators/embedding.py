@@ -27,16 +27,13 @@ class HashedWords:
         self.dim = dim
 
     def __call__(self, texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), self.dim))
-        seen: dict[str, int] = {}
-        for i, text in enumerate(texts):
-            for word in re.findall(r"[^\W_]+", text.lower()):
-                slot = seen.get(word)
-                if slot is None:
-                    slot = int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % self.dim
-                    if len(seen) < 100_000:
-                        seen[word] = slot
-                out[i, slot] += 1
+        found = [re.findall(r"[^\W_]+", text.lower()) for text in texts]
+        words = [word for part in found for word in part]
+        slots = {w: int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % self.dim for w in set(words)}
+        row = np.repeat(np.arange(len(texts)), [len(part) for part in found])
+        slot = np.fromiter(map(slots.__getitem__, words), dtype=np.int64, count=len(words))
+        out = np.bincount(row * self.dim + slot, minlength=len(texts) * self.dim)
+        out = out.reshape(len(texts), self.dim).astype(np.float64)
         size = np.linalg.norm(out, axis=1, keepdims=True)
         return np.divide(out, size, out=out, where=size > 0)
 
@@ -65,8 +62,8 @@ def embed_batch(
     model: Embedder, texts: list[str], dim: int, retries: int = 3, delay: float = 1.0
 ) -> tuple[list[np.ndarray], list[str | None]]:
     """Vectors and errors of one batch. A model that stays busy fails the whole batch; after
-    any other error the texts are tried one by one, and only those that fail again get a zero
-    vector. The error is kept either way."""
+    any other error the texts are tried one by one, with as many retries, and only those that fail
+    again get a zero vector. The error is kept either way."""
     zero = np.zeros(dim, dtype=np.float32)
     try:
         found = _with_retries(lambda: model(texts), retries, delay)
@@ -78,7 +75,8 @@ def embed_batch(
         for text in texts:
             try:
                 # blank text is not sent on its own
-                one = model([text])[0] if text.strip() else zero
+                ask = lambda text=text: model([text])[0]
+                one = _with_retries(ask, retries, delay) if text.strip() else zero
                 vectors.append(np.asarray(one, dtype=np.float32))
                 errors.append(None)
             except Exception as error:

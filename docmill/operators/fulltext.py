@@ -240,10 +240,11 @@ def fts_matches(
         )
     leads = leads.drop("_words")
     # an alternative made of exclusions only has no lead word: the empty one, which every
-    # chunk is given
-    words = F.array_distinct(F.array_append("tokens", F.lit("")))
+    # chunk is given if there is such an alternative
+    size = leads.agg(F.count(F.lit(1)), F.max(F.col("lead") == "")).first()
+    words = F.array_distinct(F.array_append("tokens", F.lit("")) if size[1] else F.col("tokens"))
     columns = ["chunk_id", *carry]
-    if leads.limit(lead_rows + 1).count() <= lead_rows:
+    if size[0] <= lead_rows:
         pairs = tokens.select(*columns, "tokens", F.explode(words).alias("lead")).join(
             F.broadcast(leads), "lead"
         )

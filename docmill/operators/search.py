@@ -71,8 +71,9 @@ def attach_chunks(
     """Add document columns and then chunk text to result rows ``(query_id, chunk_id,
     document_id, ...)``.
 
-    Results hold at most ``k`` narrow rows per query. When that is ``small`` they are broadcast
-    to both tables, which are scanned once and never shuffled.
+    Results hold at most ``k`` rows of ids and numbers per query. When that is ``small`` these, and
+    no titles or texts, are broadcast to both tables, which are scanned and not shuffled; what is
+    left of them, the rows of the results, is joined as its size allows.
     """
     def near(rows: DataFrame) -> DataFrame:
         return F.broadcast(rows) if small else rows
@@ -83,10 +84,10 @@ def attach_chunks(
         F.col("source").alias("document_source"),
         *([F.col("metadata").alias("document_metadata")] if "metadata" in docs.columns else []),
     )
-    placed = about.join(near(hits), "document_id")
+    about = about.join(near(hits.select("document_id").distinct()), "document_id", "leftsemi")
     extra = [c for c in ("metadata", "page_start", "page_end") if c in chunks.columns]
     text = chunks.select("chunk_id", "content", *extra, *columns)
-    return text.join(near(placed), "chunk_id")
+    return text.join(near(hits), "chunk_id").join(about, "document_id")
 
 
 def hybrid_candidates(
@@ -100,18 +101,21 @@ def hybrid_candidates(
     tokens: DataFrame | None = None,
     stats: DataFrame | None = None,
     analyzer: Analyzer = simple_analyzer,
+    vectors: DataFrame | None = None,
 ) -> DataFrame:
     """Fused, capped and cut result ids: ``(query_id, chunk_id, document_id, text_rank,
     vector_rank, score, rank)``. Only ids and ranks travel; text is joined afterwards.
 
     The similarity threshold applies to the vector leg alone, and a query without keyword
-    matches keeps its vector results.
+    matches keeps its vector results. ``vectors`` (chunk_id, document_id, is_toc, embedding) are the
+    chunks' vectors if ``chunks`` does not hold them; the keyword leg never reads them.
     """
     pool = without_toc(chunks, exclude_toc)
     if tokens is None:
         tokens = token_table(pool, analyzer, ["document_id"])
     text_hits = fts_search(queries, tokens, CANDIDATES * k, stats, analyzer, ["document_id"])
-    near = vector_leg(queries, pool, CANDIDATES * k, threshold, ["document_id"])
+    beside = pool if vectors is None else without_toc(vectors, exclude_toc)
+    near = vector_leg(queries, beside, CANDIDATES * k, threshold, ["document_id"])
     fused = limit_per_document(rrf_fuse(text_hits, near, rrf_k), max_per_doc)
     return top_per_key(fused, ["query_id"], [F.col("score").desc(), F.col("chunk_id")], k)
 
@@ -126,24 +130,33 @@ def hybrid_search(
     exclude_toc: bool = True,
     max_per_doc: int = MAX_PER_DOCUMENT,
     mode: str = "hybrid",
+    vectors: DataFrame | None = None,
     **index,
 ) -> DataFrame:
     """Chunks found by meaning and by words, fused by reciprocal rank, with their similarity
-    (NULL without a vector), text and document. ``mode="vector"`` uses the vectors alone."""
+    (NULL without a vector), text and document. ``mode="vector"`` uses the vectors alone.
+    ``vectors`` (chunk_id, document_id, is_toc, embedding) are the chunks' vectors if ``chunks`` does
+    not hold them."""
     small = is_small(queries, k)
     if mode == "vector":
-        return vector_search(queries, chunks, docs, k, threshold)
-    if "embedding" not in chunks.columns:
-        chunks = chunks.withColumn("embedding", F.lit(None).cast("array<float>"))
+        return vector_search(queries, chunks, docs, k, threshold, vectors)
+    if vectors is None and "embedding" not in chunks.columns:
+        vectors = chunks.select(
+            "chunk_id", "document_id", "is_toc", F.lit(None).cast("array<float>").alias("embedding")
+        )
     found = hybrid_candidates(
-        queries, chunks, k, threshold, rrf_k, exclude_toc, max_per_doc, **index
+        queries, chunks, k, threshold, rrf_k, exclude_toc, max_per_doc, vectors=vectors, **index
     )
-    rows = attach_chunks(found, chunks, docs, small, ["embedding"])
+    own = (chunks if vectors is None else vectors).select("chunk_id", "embedding")
     asked = queries.select("query_id", F.col("embedding").alias("_asked"))
-    rows = rows.join(F.broadcast(asked) if small else asked, "query_id", "left")
-    return rows.withColumn(
-        "similarity", F.round(V.cosine(F.col("embedding"), F.col("_asked")), 12)
-    ).drop("embedding", "_asked")
+    pairs = found.select("query_id", "chunk_id")
+    known = own.join(F.broadcast(pairs) if small else pairs, "chunk_id")
+    known = known.join(F.broadcast(asked) if small else asked, "query_id").select(
+        "query_id", "chunk_id",
+        F.round(V.cosine(F.col("embedding"), F.col("_asked")), 12).alias("similarity"),
+    )
+    found = found.join(known, ["query_id", "chunk_id"], "left")
+    return attach_chunks(found, chunks, docs, small)
 
 
 def rerank(

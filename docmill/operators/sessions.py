@@ -1,9 +1,7 @@
-"""Session expiry, slow requests and reuse of values with a lifetime, over stored events."""
+"""Session expiry and slow requests, over stored events."""
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,11 +10,6 @@ SLOW_MS = 500.0
 # Request paths that are not timed.
 UNTIMED_PATHS = ["/health", "/favicon.ico", "/docs", "/redoc", "/openapi.json"]
 
-# Lifetimes in seconds.
-DOCUMENT_TTL = 300
-QUERY_TTL = 60
-PAYLOAD_TTL = 900
-
 
 def sessions(
     events: DataFrame, key: str, ts: str = "ts", idle_seconds: int = IDLE_SECONDS
@@ -63,104 +56,3 @@ def slow_requests(
     for prefix in UNTIMED_PATHS if untimed is None else untimed:
         timed = timed & ~F.startswith(F.col(path), F.lit(prefix))
     return requests.where(timed & (F.col(latency) > threshold_ms))
-
-
-# --- reuse with a lifetime -----------------------------------------------------------------
-
-FREE = np.iinfo(np.int64).min  # nothing stored
-NEVER = np.iinfo(np.int64).max  # entry meaning "no event here after the lifetime"
-BLOCK_SCHEMA = "{key}, block bigint, entry bigint, until bigint, stored bigint"
-
-
-def _block_function(at: np.ndarray, start: int, ttl: int):
-    """What a block of sorted times does to a value stored before it.
-
-    Returns parallel arrays: for the first event after the old value ran out (``entry``), until
-    when the last value stored in the block lives, and how many were stored. Only events in the
-    block's first lifetime, and the one after them, can be such an event.
-    """
-    n = len(at)
-    following = np.searchsorted(at, at + ttl, side="right")
-    until, stored = at + ttl, np.ones(n, dtype=np.int64)
-    for i in range(n - 1, -1, -1):
-        if following[i] < n:
-            until[i] = until[following[i]]
-            stored[i] += stored[following[i]]
-    keep = min(n, np.searchsorted(at, start + ttl, side="right") + 1)
-    return (
-        np.append(at[:keep], NEVER),
-        np.append(until[:keep], FREE),
-        np.append(stored[:keep], 0),
-    )
-
-
-def _follow(entry, until, stored, alive):
-    """Send values that live until ``alive`` through a block."""
-    at = np.searchsorted(entry, alive, side="right")
-    at = np.minimum(at, len(entry) - 1)
-    return until[at], stored[at]
-
-
-def ttl_reuse(
-    events: DataFrame,
-    key: str,
-    ttl_seconds: int,
-    ts: str = "ts",
-    inclusive: bool = True,
-    block_seconds: int = 21600,
-    fan_in: int = 24,
-    levels: int = 2,
-) -> DataFrame:
-    """Requests, stored values and reuses per key when a value lives ``ttl_seconds`` from the
-    moment it was stored and reading does not extend it.
-
-    Which event stores a value depends on all earlier ones, so a key cannot be cut freely. But
-    a block of time only needs to know until when the value before it lives. Each (key, block)
-    is turned into that function in parallel; ``fan_in`` neighbouring functions are composed
-    per level, and the last step per key reads only the few rows left. Choose ``block_seconds``
-    so that the busiest key fits a task for that long. ``inclusive`` says
-    whether a value still counts exactly at the end of its life.
-    """
-    ttl = ttl_seconds * 1_000_000 - (0 if inclusive else 1)
-    width = max(block_seconds, ttl_seconds + 1) * 1_000_000
-    key_type = f"{key} {events.schema[key].dataType.simpleString()}"
-    schema = BLOCK_SCHEMA.format(key=key_type)
-    at = F.unix_micros(F.col(ts).cast("timestamp"))
-    rows = events.select(key, at.alias("at"), F.floor(at / width).alias("block"))
-
-    def rows_of(owner, block, entry, until, stored):
-        return pd.DataFrame(
-            {key: owner, "block": block, "entry": entry, "until": until, "stored": stored}
-        )
-
-    def one_block(pdf: pd.DataFrame) -> pd.DataFrame:
-        block = int(pdf["block"].iloc[0])
-        times = np.sort(pdf["at"].to_numpy())
-        return rows_of(pdf[key].iloc[0], block, *_block_function(times, block * width, ttl))
-
-    def compose(pdf: pd.DataFrame) -> pd.DataFrame:
-        parts = [
-            (int(b), g.sort_values("entry")[["entry", "until", "stored"]].to_numpy().T)
-            for b, g in sorted(pdf.groupby("block"), key=lambda p: p[0])
-        ]
-        (first, (entry, until, stored)), rest = parts[0], parts[1:]
-        until, stored = until.copy(), stored.copy()
-        for _, (e, u, s) in rest:
-            alive, more = _follow(e, u, s, until)
-            until, stored = alive, stored + more
-        return rows_of(pdf[key].iloc[0], first // fan_in, entry, until, stored)
-
-    # equal times of a key act as one
-    functions = rows.distinct().groupBy(key, "block").applyInPandas(one_block, schema)
-    for _ in range(levels):
-        functions = functions.groupBy(key, F.floor(F.col("block") / fan_in)).applyInPandas(
-            compose, schema
-        )
-
-    def finish(pdf: pd.DataFrame) -> pd.DataFrame:
-        whole = compose(pdf)
-        return pd.DataFrame({key: [whole[key].iloc[0]], "stored": [int(whole["stored"].iloc[0])]})
-
-    stored = functions.groupBy(key).applyInPandas(finish, f"{key_type}, stored bigint")
-    asked = events.groupBy(key).agg(F.count(F.lit(1)).alias("requests"))
-    return asked.join(stored, key).withColumn("reused", F.col("requests") - F.col("stored"))

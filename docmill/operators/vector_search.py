@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -60,23 +60,17 @@ def vector_candidates(
     threshold: float = 0.0,
     carry: list[str] = (),
     query_rows: int = QUERY_ROWS,
-    allowed: tuple[str, Callable[[np.ndarray], np.ndarray]] | None = None,
 ) -> DataFrame:
     """``(query_id, chunk_id, *carry, similarity)``: at most ``k`` rows per query and task,
     always holding the overall first ``k``.
 
     Up to ``query_rows`` query vectors are sent to the executors; chunks
     are then only scanned, never shuffled. A larger batch is cut into blocks of queries and
-    blocks of chunks that meet in groups of bounded size.
-
-    ``allowed`` names a list-number column of the chunks and a function from unit query vectors
-    to a table (query, list) of the lists each query looks at. The shuffled path looks at all.
+    blocks of chunks that meet in groups of bounded size, which sends every chunk once for each
+    block of queries. Both ways give the same rows.
     """
     wanted = queries.where(F.col("embedding").isNotNull()).select("query_id", "embedding")
-    list_col = [allowed[0]] if allowed else []
-    rows = chunks.where(F.col("embedding").isNotNull()).select(
-        "chunk_id", *carry, *list_col, "embedding"
-    )
+    rows = chunks.where(F.col("embedding").isNotNull()).select("chunk_id", *carry, "embedding")
     fields = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
     query_type = wanted.schema["query_id"].dataType.simpleString()
     schema = ", ".join(
@@ -92,13 +86,10 @@ def vector_candidates(
             _unit(np.stack(head["embedding"]).astype(np.float64))
             if len(head) else np.zeros((0, 1))
         )
-        looks = allowed[1](matrix) if allowed and len(head) else None
-        shared = queries.sparkSession.sparkContext.broadcast(
-            (head["query_id"].to_numpy(), matrix, looks)
-        )
+        shared = queries.sparkSession.sparkContext.broadcast((head["query_id"].to_numpy(), matrix))
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            names, vectors, looks = shared.value
+            names, vectors = shared.value
             held = None
             for batch in batches:
                 if not batch.num_rows or not len(names):
@@ -108,9 +99,6 @@ def vector_candidates(
                 ids = _sortable(table["chunk_id"].to_numpy())
                 for at in range(0, len(names), QUERY_BLOCK):
                     sims = np.round(unit @ vectors[at : at + QUERY_BLOCK].T, DIGITS)
-                    if looks is not None:
-                        mine = table[list_col[0]].to_numpy()
-                        sims[~looks[at : at + QUERY_BLOCK, mine].T] = np.nan
                     row, query = _best(sims, ids, k, threshold)
                     part = (query + at, sims[row, query], table.select(kept).take(row))
                     held = part if held is None else (
@@ -193,9 +181,11 @@ def vector_search(
     docs: DataFrame,
     k: int = 10,
     threshold: float = 0.0,
+    vectors: DataFrame | None = None,
 ) -> DataFrame:
-    """Nearest chunks with their text and document, best first per query."""
+    """Nearest chunks with their text and document, best first per query. ``vectors`` (chunk_id,
+    document_id, embedding) are the chunks' vectors if ``chunks`` does not hold them."""
     from docmill.operators.search import attach_chunks, is_small
 
-    found = vector_leg(queries, chunks, k, threshold, ["document_id"])
+    found = vector_leg(queries, chunks if vectors is None else vectors, k, threshold, ["document_id"])
     return attach_chunks(found, chunks, docs, is_small(queries, k))

@@ -107,7 +107,7 @@ def _frontier(spark, root):
     starts = pages.select(base.alias("name"), "url", F.col("page_id").alias("position"))
     links = _allowed(spark, root).select("name", "url", F.col("position").cast("bigint").alias("position"), "link")
     starts = starts.withColumn("position", F.col("position").cast("bigint"))
-    return W.crawl_frontier(starts, links, pages, max_depth=2, max_pages=20)
+    return W.crawl_frontier(starts, links, pages, max_depth=2)
 
 
 def q_crawl_frontier(spark, root):
@@ -185,9 +185,10 @@ QUERIES = {
 }
 
 # links in the given pages are all of the form "/path"
+# of the references only "&amp;" occurs in them
 _LINKS = r"""
 bases AS (SELECT page_id, url, html, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) AS base FROM pages),
-links AS (SELECT page_id, url, base, unnest(range(len(hs))) AS position, base || unnest(hs) AS link
+links AS (SELECT page_id, url, base, unnest(range(len(hs))) AS position, base || replace(unnest(hs), '&amp;', '&') AS link
           FROM (SELECT *, regexp_extract_all(html, '<a [^>]*?href="([^"]*)"', 1) AS hs FROM bases)),
 allowed AS (SELECT *, base AS name FROM links
             WHERE NOT regexp_matches(link, '/the') AND NOT regexp_matches(link, '[.,]$')
@@ -195,18 +196,18 @@ allowed AS (SELECT *, base AS name FROM links
 """
 _FRONTIER = _LINKS + r""",
 d0 AS (SELECT name, url, row_number() OVER (PARTITION BY name ORDER BY p, url) AS visit FROM (
-         SELECT base AS name, url, min(page_id) AS p FROM bases GROUP BY ALL) QUALIFY visit <= 20),
+         SELECT base AS name, url, min(page_id) AS p FROM bases GROUP BY ALL) QUALIFY visit <= 100),
 f1 AS (SELECT a.name, a.link AS url, min(d.visit * 100000 + a.position) AS p
        FROM d0 d JOIN allowed a ON a.name = d.name AND a.url = d.url
        WHERE (a.name, a.link) NOT IN (SELECT (name, url) FROM d0) GROUP BY ALL),
 d1 AS (SELECT name, url, row_number() OVER (PARTITION BY name ORDER BY p, url)
-         + (SELECT count(*) FROM d0 WHERE d0.name = f1.name) AS visit FROM f1 QUALIFY visit <= 20),
+         + (SELECT count(*) FROM d0 WHERE d0.name = f1.name) AS visit FROM f1 QUALIFY visit <= 100),
 f2 AS (SELECT a.name, a.link AS url, min(d.visit * 100000 + a.position) AS p
        FROM d1 d JOIN allowed a ON a.name = d.name AND a.url = d.url
        WHERE (a.name, a.link) NOT IN (SELECT (name, url) FROM d0 UNION ALL SELECT (name, url) FROM d1) GROUP BY ALL),
 d2 AS (SELECT name, url, row_number() OVER (PARTITION BY name ORDER BY p, url)
          + (SELECT count(*) FROM d0 WHERE d0.name = f2.name)
-         + (SELECT count(*) FROM d1 WHERE d1.name = f2.name) AS visit FROM f2 QUALIFY visit <= 20),
+         + (SELECT count(*) FROM d1 WHERE d1.name = f2.name) AS visit FROM f2 QUALIFY visit <= 100),
 frontier AS (SELECT name, url, 0 AS depth, visit FROM d0 UNION ALL SELECT name, url, 1, visit FROM d1
              UNION ALL SELECT name, url, 2, visit FROM d2),
 results AS (SELECT f.name, f.url, f.visit, p.title, p.url IS NOT NULL AS success,
@@ -263,6 +264,8 @@ rows_out AS (
     '**Failed**: ' || (total_urls - successful), '']) AS line FROM totals
   UNION ALL SELECT name, 1, unnest([0, 1]), unnest(['## Successful Crawls', '']) FROM totals WHERE successful > 0
   UNION ALL SELECT name, 2, unnest([0, 1]), unnest(['## Failed Crawls', '']) FROM totals WHERE total_urls > successful
+  UNION ALL SELECT name, 1, max(visit) + 2, '' FROM results WHERE success GROUP BY name
+  UNION ALL SELECT name, 2, max(visit) + 2, '' FROM results WHERE NOT success GROUP BY name
   UNION ALL SELECT name, 1, visit + 1, '- [' || coalesce(title, 'Untitled') || '](' || url || ')' FROM results WHERE success
   UNION ALL SELECT name, 2, visit + 1, '- ' || url || ': ' || coalesce(error, 'None') FROM results WHERE NOT success)
 SELECT name, section::INT AS section, line_no::INT AS line_no, line FROM rows_out""",

@@ -156,7 +156,7 @@ def q_group_sources(spark, root):
 
 def q_filter_group_sources(spark, root):
     cited = _answers(spark, root).select("message_id", H.cited_indices(F.col("answer")).alias("cited_indices"))
-    shown = H.filter_group_sources(_sources(spark, root), cited, KEY, max_documents=3)
+    shown = H.filter_group_sources(_sources(spark, root), cited, KEY)
     return shown.select(
         "message_id", F.col("shown_no").cast("bigint").alias("shown_no"), "path", "title", "cited",
         F.round("max_similarity", 9).alias("max_similarity"), _chunk_list().alias("chunks"))
@@ -202,13 +202,19 @@ def _calls(spark, root):
         .otherwise("listing").alias("tool_name"),
         F.when(F.col("role") == "system", "{}").when(
             F.col("turn") % 2 == 0, F.to_json(F.struct(F.col("text").alias("query"), F.col("turn").alias("limit"))))
-        .otherwise(F.to_json(F.struct(F.substring("text", 1, 30).alias("query")))).alias("args"))
+        .otherwise(F.to_json(F.struct(F.col("text").alias("query")))).alias("args"))
 
 
 def q_tool_usage(spark, root):
     return H.tool_usage(_calls(spark, root), ["turn"]).select("session_id", "tool_name", "calls", "first_call")
 
 
+def q_tool_calls(spark, root):
+    """Every call of a session in order, with its arguments as shown."""
+    listed = H.list_tool_calls(_calls(spark, root), "session_id", F.floor(F.col("turn") / 1000), ["turn"])
+    return listed.select("session_id", F.col("call_no").cast("bigint").alias("call_no"), "shown")
+
+
 # --- event streams -------------------------------------------------------------------------
 
 
@@ -250,20 +256,24 @@ def q_assemble_message(spark, root):
 
 
 def _golden(spark, root):
-    """Benchmark texts as golden questions; their longer words are the expected keywords."""
-    words = F.filter(F.array_distinct(T.tokens(F.col("query"))), lambda w: F.length(w) >= 8)
-    return tables.query_table(spark, root).select(
+    """Benchmark texts as golden questions; their words are the expected keywords."""
+    words = F.array_distinct(T.tokens(F.col("query")))
+    return tables.question_table(spark, root).select(
         "query_id", words.alias("expected_keywords"),
         F.when(F.length("query") % 3 == 0, "semantic").when(F.length("query") % 3 == 1, "keyword")
         .otherwise("procedural").alias("query_type"))
 
 
 def _eval_inputs(spark, root):
-    return (tables.query_table(spark, root), tables.chunk_table(spark, root), tables.document_table(spark, root))
+    return (tables.query_table(spark, root), tables.chunk_texts(spark, root), tables.document_table(spark, root))
+
+
+def _eval_vectors(spark, root):
+    return tables.chunk_vectors(spark, root)
 
 
 def q_keyword_hits(spark, root):
-    found = vector_search(*_eval_inputs(spark, root), k=5, threshold=0.2)
+    found = vector_search(*_eval_inputs(spark, root), k=5, threshold=0.2, vectors=_eval_vectors(spark, root))
     return V.keyword_hits(found, _golden(spark, root)).select(
         "query_id", "query_type", F.col("hits").cast("bigint").alias("hits"),
         F.col("total").cast("bigint").alias("total"), F.round("top_similarity", 9).alias("top_similarity"))
@@ -271,8 +281,8 @@ def q_keyword_hits(spark, root):
 
 def q_search_benchmark(spark, root):
     golden = _golden(spark, root)
-    near = V.keyword_hits(vector_search(*_eval_inputs(spark, root), k=5, threshold=0.2), golden)
-    both = V.keyword_hits(S.hybrid_search(*_eval_inputs(spark, root), k=5, threshold=0.2), golden)
+    near = V.keyword_hits(vector_search(*_eval_inputs(spark, root), k=5, threshold=0.2, vectors=_eval_vectors(spark, root)), golden)
+    both = V.keyword_hits(S.hybrid_search(*_eval_inputs(spark, root), k=5, threshold=0.2, vectors=_eval_vectors(spark, root)), golden)
     return V.compare_search(near, both).select(
         "query_type", "vector_hits", "hybrid_hits", "total",
         F.round("vector_similarity", 9).alias("vector_similarity"),
@@ -281,7 +291,7 @@ def q_search_benchmark(spark, root):
 
 def q_threshold_sweep(spark, root):
     queries = tables.query_table(spark, root)
-    found = vector_search(*_eval_inputs(spark, root), k=10, threshold=0.0)
+    found = vector_search(*_eval_inputs(spark, root), k=10, threshold=0.0, vectors=_eval_vectors(spark, root))
     return V.threshold_sweep(queries, found).select(
         "query_id", "threshold", "results", F.round("max_similarity", 9).alias("max_similarity"),
         F.round("avg_similarity", 9).alias("avg_similarity"), F.round("min_similarity", 9).alias("min_similarity"))
@@ -289,7 +299,7 @@ def q_threshold_sweep(spark, root):
 
 def q_threshold_recommend(spark, root):
     queries = tables.query_table(spark, root)
-    found = vector_search(*_eval_inputs(spark, root), k=30, threshold=0.3)
+    found = vector_search(*_eval_inputs(spark, root), k=30, threshold=0.3, vectors=_eval_vectors(spark, root))
     sweep = V.threshold_sweep(queries, found, V.ANALYSIS_GRID)
     return V.recommend_threshold(sweep).select(
         "query_id", "recommended", F.round("best_similarity", 9).alias("best_similarity"), "relevance")
@@ -388,6 +398,7 @@ QUERIES = {
     "pair_tool_calls": q_pair_tool_calls,
     "tool_call_runs": q_tool_call_runs,
     "tool_usage": q_tool_usage,
+    "tool_calls": q_tool_calls,
     "sse_parse": q_sse_parse,
     "assemble_message": q_assemble_message,
     "keyword_hits": q_keyword_hits,
@@ -409,9 +420,16 @@ groups AS (SELECT message_id, path, min(position) AS first_position, arg_min(tit
 ranked AS (SELECT *, row_number() OVER (PARTITION BY message_id ORDER BY max_similarity DESC, first_position) AS group_no
   FROM groups)
 """
+_CALLS = """
+WITH c AS (SELECT conv_id AS session_id, turn, CASE role WHEN 'user' THEN 'search'
+      WHEN 'assistant' THEN 'weather' ELSE 'listing' END AS tool_name,
+    CASE WHEN role = 'system' THEN '' ELSE ' (query=''' || CASE WHEN length(text) > 50
+      THEN substr(text, 1, 50) || '...' ELSE text END || '''' || CASE WHEN turn % 2 = 0 THEN ', limit=' || turn ELSE '' END
+      || ')' END AS args FROM conversations)
+"""
 _GOLDEN = f"""
 golden AS (SELECT query_id, length(query) AS n,
-    list_filter(list_distinct({Q.tokens('query')}), lambda w: length(w) >= 8) AS kw,
+    list_distinct({Q.tokens('query')}) AS kw,
     CASE length(query) % 3 WHEN 0 THEN 'semantic' WHEN 1 THEN 'keyword' ELSE 'procedural' END AS query_type FROM asked)
 """
 
@@ -487,7 +505,7 @@ marked AS (SELECT k.*, coalesce(k.no = c.a OR k.no = c.b, false) AS is_cited FRO
 {_GROUPS},
 shown AS (SELECT *, row_number() OVER (PARTITION BY message_id ORDER BY cited DESC, group_no) AS shown_no FROM ranked)
 SELECT message_id, shown_no, path, title, cited, round(max_similarity, 9) AS max_similarity, chunks
-FROM shown WHERE cited OR shown_no <= 3""",
+FROM shown WHERE cited OR shown_no <= 5""",
     "dedup_sources": f"""WITH {SOURCES}
 SELECT message_id, path, position, title, round(similarity, 9) AS similarity FROM (
   SELECT *, row_number() OVER (PARTITION BY message_id, path ORDER BY similarity DESC, position) AS r FROM sources)
@@ -504,12 +522,9 @@ WITH c AS (SELECT *, coalesce(lag(event_type) OVER w <> event_type, true)::INT A
 g AS (SELECT *, sum(change) OVER (PARTITION BY user_id ORDER BY ts, event_id)::BIGINT AS group_no FROM c)
 SELECT user_id, group_no, any_value(event_type) AS event_type, count(*) AS count,
        first(event_id ORDER BY ts, event_id) AS first_event FROM g GROUP BY user_id, group_no""",
-    "tool_usage": """
-WITH c AS (SELECT conv_id AS session_id, turn, CASE role WHEN 'user' THEN 'search'
-      WHEN 'assistant' THEN 'weather' ELSE 'listing' END AS tool_name,
-    CASE WHEN role = 'system' THEN '' WHEN turn % 2 = 0 THEN ' (query=''' || CASE WHEN length(text) > 50
-      THEN substr(text, 1, 50) || '...' ELSE text END || ''', limit=' || turn || ')'
-    ELSE ' (query=''' || substr(text, 1, 30) || ''')' END AS args FROM conversations)
+    "tool_calls": f"""{_CALLS}
+SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY turn) AS call_no, tool_name || args AS shown FROM c""",
+    "tool_usage": f"""{_CALLS}
 SELECT session_id, tool_name, count(*) AS calls, arg_min(tool_name || args, turn) AS first_call FROM c GROUP BY ALL""",
     "sse_parse": r"""
 WITH w AS (SELECT conv_id, turn, role, regexp_extract_all(text, '\S+\s*') AS ws FROM conversations),

@@ -26,11 +26,6 @@ def _pages(spark, root) -> DataFrame:
     return tables.spread(tables.load(spark, root, "pages"), "page_id")
 
 
-def q_file_inventory(spark, root):
-    found = SF.file_inventory(spark, root).where("filename like '%.parquet'")
-    return found.select("filename", "path", "size", "type")
-
-
 # every extension in turn, some in capitals, some without one
 _EXTENSIONS = [
     ".md", ".PDF", ".txt", ".Docx", ".html", ".mp3", ".wav", ".xlsx", "", ".tar.gz", ".FLAC", ".m4a",
@@ -319,6 +314,25 @@ def q_embed_truncate(spark, root):
         "doc_id", F.length("t").cast("bigint").alias("size"), F.md5("t").alias("text_md5"))
 
 
+class _Picky(E.HashedWords):
+    """A model that refuses texts with a quotation mark or an exclamation mark."""
+
+    name = "picky"
+
+    def __call__(self, texts):
+        if any("!" in text or '"' in text for text in texts):
+            raise ValueError("refused")
+        return super().__call__(texts)
+
+
+def q_embed_errors(spark, root):
+    """Whole texts sent to a model that fails on some: those alone get an error and a zero vector."""
+    rows = E.embed(_docs(spark, root).select("doc_id", "text"), "text", _Picky(), delay=0.0)
+    return rows.select(
+        "doc_id", F.col("embedding_error").alias("error"),
+        F.forall("embedding", lambda x: x == 0).alias("is_zero"))
+
+
 def q_embed_chunks(spark, root):
     rows = E.embed(_chunks(spark, root).select("doc_id", "chunk_index", "content"))
     x = F.col("embedding")
@@ -412,7 +426,6 @@ def q_upsert_documents(spark, root):
 
 
 QUERIES = {
-    "file_inventory": q_file_inventory,
     "format_route": q_format_route,
     "text_decode": q_text_decode,
     "html_to_text": q_html_to_text,
@@ -437,6 +450,7 @@ QUERIES = {
     "chunk_stats": q_chunk_stats,
     "embed_truncate": q_embed_truncate,
     "embed_chunks": q_embed_chunks,
+    "embed_errors": q_embed_errors,
     "url_to_filename": q_url_to_filename,
     "render_markdown": q_render_markdown,
     "cascade_delete": q_cascade_delete,
@@ -494,6 +508,11 @@ _BUCKETS = ", ".join(
 )
 
 ORACLES = {
+    "embed_errors": f"""
+WITH t AS (SELECT doc_id, substr(text, 1, 32764) AS t FROM documents),
+f AS (SELECT doc_id, t, contains(t, '!') OR contains(t, '"') AS bad FROM t)
+SELECT doc_id, CASE WHEN bad THEN 'refused' END AS error,
+       bad OR NOT regexp_matches(t, '[\\p{{L}}\\p{{N}}]') AS is_zero FROM f""",
     "format_route": rf"""WITH {PATHS},
 named AS (SELECT doc_id, path, split_part(path, '/', -1) AS name FROM paths),
 dotted AS (SELECT *, CASE WHEN contains(name, '.') THEN '.' || lower(split_part(name, '.', -1)) ELSE '' END AS ext
@@ -587,28 +606,30 @@ split_up AS (SELECT page_id, string_split_regex(t, '\n[\t\x20]*\n\s*') AS bs FRO
 blocks AS (SELECT page_id, no, {Q.strip('b')} AS b FROM (
              SELECT page_id, unnest(bs) AS b, unnest(range(len(bs))) AS no FROM split_up) WHERE {Q.strip('b')} <> ''),
 leveled AS (SELECT *, length(regexp_extract(b, '^(#{{1,6}})[\t-\r\x20]', 1)) AS level FROM blocks),
+heads AS (SELECT page_id, no, level, {Q.strip("regexp_replace(b, '^#{1,6}[\t-\r\x20]+', '')")} AS name FROM leveled WHERE level > 0),
+under AS (SELECT p.page_id, p.no, any_value(p.b) AS b, coalesce(string_agg(h.name, chr(10) ORDER BY h.no), '') AS full_path
+          FROM leveled p LEFT JOIN heads h ON h.page_id = p.page_id AND h.no < p.no AND NOT EXISTS (
+            SELECT 1 FROM heads k WHERE k.page_id = h.page_id AND k.no > h.no AND k.no < p.no AND k.level <= h.level)
+          WHERE p.level = 0 GROUP BY p.page_id, p.no),
+paths AS (SELECT *, CASE WHEN length(full_path) > 1024 THEN {Q.strip('right(full_path, 1024)')} ELSE full_path END AS path FROM under),
+roomy AS (SELECT *, 2048 - CASE WHEN path = '' THEN 0 ELSE length(path) + 1 END AS room FROM paths),
 cuts AS (
-  SELECT page_id, no, level, b AS rest, 0 AS part, NULL::VARCHAR AS piece FROM leveled WHERE level = 0
+  SELECT page_id, no, path, room, b AS rest, 0 AS part, NULL::VARCHAR AS piece FROM roomy
   UNION ALL
-  SELECT page_id, no, level, {Q.strip('substr(rest, n + 1)')}, part + 1, {Q.strip('substr(rest, 1, n)')}
-  FROM (SELECT *, CASE WHEN length(rest) <= 2048 THEN length(rest)
-          ELSE coalesce(nullif(length(regexp_extract(substr(rest, 1, 2049), '^((?s:.*))\s', 1)), 0), 2048) END AS n
+  SELECT page_id, no, path, room, {Q.strip('substr(rest, n + 1)')}, part + 1, {Q.strip('substr(rest, 1, n)')}
+  FROM (SELECT *, CASE WHEN length(rest) <= room THEN length(rest)
+          ELSE coalesce(nullif(length(regexp_extract(substr(rest, 1, room + 1), '^((?s:.*))\s', 1)), 0), room) END AS n
         FROM cuts WHERE rest <> '')),
-pieces AS (SELECT page_id, no, piece, row_number() OVER (PARTITION BY page_id ORDER BY no, part) AS i
+pieces AS (SELECT page_id, path, room, piece, row_number() OVER (PARTITION BY page_id ORDER BY no, part) AS i
            FROM cuts WHERE part > 0),
-heads AS (SELECT page_id, no, level, {Q.strip("regexp_replace(b, '^#{1,6}[\t-\r\x20]+', '')")} AS name FROM leveled WHERE level > 0),
-paths AS (SELECT p.page_id, p.i, any_value(p.piece) AS piece, coalesce(string_agg(h.name, chr(10) ORDER BY h.no), '') AS path
-          FROM pieces p LEFT JOIN heads h ON h.page_id = p.page_id AND h.no < p.no AND NOT EXISTS (
-            SELECT 1 FROM heads k WHERE k.page_id = h.page_id AND k.no > h.no AND k.no < p.no AND k.level <= h.level)
-          GROUP BY p.page_id, p.i),
 packed AS (
-  SELECT page_id, i, path, piece AS body, 0 AS c FROM paths WHERE i = 1
+  SELECT page_id, i, path, piece AS body, 0 AS c FROM pieces WHERE i = 1
   UNION ALL
   SELECT n.page_id, n.i, n.path,
-         CASE WHEN n.path = p.path AND length(p.body) + 1 + length(n.piece) <= 2048
+         CASE WHEN n.path = p.path AND length(p.body) + 1 + length(n.piece) <= n.room
               THEN p.body || chr(10) || n.piece ELSE n.piece END,
-         CASE WHEN n.path = p.path AND length(p.body) + 1 + length(n.piece) <= 2048 THEN p.c ELSE p.c + 1 END
-  FROM packed p JOIN paths n ON n.page_id = p.page_id AND n.i = p.i + 1),
+         CASE WHEN n.path = p.path AND length(p.body) + 1 + length(n.piece) <= n.room THEN p.c ELSE p.c + 1 END
+  FROM packed p JOIN pieces n ON n.page_id = p.page_id AND n.i = p.i + 1),
 chunks AS (SELECT page_id, c, any_value(path) AS path, arg_max(body, i) AS body FROM packed GROUP BY page_id, c),
 whole AS (SELECT *, CASE WHEN path = '' THEN body ELSE path || chr(10) || body END AS content FROM chunks)
 SELECT page_id, c::INT AS chunk_index, (count(*) OVER (PARTITION BY page_id))::INT AS total_chunks, path AS heading_path,

@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from docmill import tables
 from docmill.functions import text as T
 from docmill.functions import vectors as V
-from docmill.functions.french import french_analyzer
-from docmill.operators import ann as A
 from docmill.operators import fulltext as FT
 from docmill.operators import search as S
 from docmill.operators.vector_search import vector_leg, vector_search
@@ -23,8 +21,9 @@ def _round(name: str):
 def q_vector_search(spark: SparkSession, root: str) -> DataFrame:
     found = vector_search(
         tables.query_table(spark, root),
-        tables.chunk_table(spark, root, toc=False),
+        tables.chunk_texts(spark, root, toc=False),
         tables.document_table(spark, root),
+        vectors=tables.chunk_vectors(spark, root, toc=False),
     )
     return found.select(
         "query_id", "rank", "chunk_id", "document_id", "document_title", "document_source",
@@ -33,45 +32,41 @@ def q_vector_search(spark: SparkSession, root: str) -> DataFrame:
 
 
 def q_semantic_leg(spark, root):
-    chunks = S.without_toc(tables.chunk_table(spark, root))
+    chunks = S.without_toc(tables.chunk_vectors(spark, root))
     found = vector_leg(tables.query_table(spark, root), chunks, 3 * S.LIMIT, S.THRESHOLD)
     return found.select("query_id", "rank", "chunk_id", _round("similarity"))
 
 
 def q_toc_filter(spark, root):
-    return S.without_toc(tables.chunk_table(spark, root)).select("chunk_id", "document_id")
+    return S.without_toc(tables.chunk_texts(spark, root)).select("chunk_id", "document_id")
 
 
 def _tokens(spark, root):
-    return FT.token_table(tables.chunk_table(spark, root, toc=False))
+    return FT.token_table(tables.chunk_texts(spark, root, toc=False))
 
 
 def q_fts_search(spark, root):
-    found = FT.fts_search(tables.query_table(spark, root), _tokens(spark, root), 3 * S.LIMIT)
+    found = FT.fts_search(tables.question_table(spark, root), _tokens(spark, root), 3 * S.LIMIT)
     return found.select("query_id", "rank", "chunk_id", _round("rank_cd"))
 
 
 def _web_queries(spark, root):
-    """Keyword questions in web-search form made from every benchmark text: a phrase and a
-    word, or two words without a third."""
+    """Keyword questions in web-search form made from every whole benchmark text: its first two
+    words as a phrase, all further words as alternatives, without its last word."""
     words = tables.load(spark, root, "benchmark").select(
         F.col("item_id").alias("query_id"), T.tokens(F.col("text")).alias("w")
     )
-    w = lambda i: F.get("w", F.lit(i))
-    return words.select(
-        "query_id",
-        F.concat(
-            F.lit('"'), w(0), F.lit(" "), w(1), F.lit('" '), w(2), F.lit(" or "), w(3),
-            F.lit(" "), w(4), F.lit(" -"), w(5),
-        ).alias("query"),
-    ).where(F.col("query").isNotNull())
+    n = F.size("w")
+    phrase = F.array_join(F.slice("w", 1, 2), " ")
+    middle = F.array_join(F.slice("w", 3, F.greatest(n - 3, F.lit(0))), " or ")
+    last = F.when(n >= 3, F.concat(F.lit(" -"), F.get("w", n - 1))).otherwise("")
+    return words.select("query_id", F.concat(F.lit('"'), phrase, F.lit('" '), middle, last).alias("query"))
 
 
 WEB_QUERIES = f"""
-web AS (SELECT query_id, '"' || w[1] || ' ' || w[2] || '" ' || w[3] || ' or ' || w[4] || ' ' || w[5]
-               || ' -' || w[6] AS query
-        FROM (SELECT item_id AS query_id, {Q.tokens('text')} AS w FROM benchmark)
-        WHERE len(w) >= 6)
+web AS (SELECT query_id, '"' || array_to_string(w[1:2], ' ') || '" ' || array_to_string(w[3:greatest(len(w) - 1, 2)], ' or ')
+               || CASE WHEN len(w) >= 3 THEN ' -' || w[-1] ELSE '' END AS query
+        FROM (SELECT item_id AS query_id, {Q.tokens('text')} AS w FROM benchmark))
 """
 
 
@@ -80,19 +75,10 @@ def q_fts_websearch(spark, root):
     return found.select("query_id", "rank", "chunk_id", _round("rank_cd"))
 
 
-def q_fts_french(spark, root):
-    """Keyword search over French stems, for the benchmark texts and for web-form queries."""
-    asked = tables.query_table(spark, root).select("query_id", "query").unionByName(
-        _web_queries(spark, root).withColumn("query_id", -F.col("query_id") - 1))
-    tokens = FT.token_table(tables.chunk_table(spark, root, toc=False), french_analyzer)
-    found = FT.fts_search(asked, tokens, S.LIMIT, analyzer=french_analyzer)
-    return found.select("query_id", "rank", "chunk_id", _round("rank_cd"))
-
-
 def q_cover_density(spark, root):
     tokens = _tokens(spark, root)
     stats = FT.term_stats(FT.build_postings(tokens))
-    found = FT.fts_matches(tables.query_table(spark, root), tokens, stats)
+    found = FT.fts_matches(tables.question_table(spark, root), tokens, stats)
     return found.select("query_id", "chunk_id", _round("rank_cd"))
 
 
@@ -106,8 +92,9 @@ def q_postings(spark, root):
 def _hybrid(spark, root, **params):
     return S.hybrid_search(
         tables.query_table(spark, root),
-        tables.chunk_table(spark, root),
+        tables.chunk_texts(spark, root),
         tables.document_table(spark, root),
+        vectors=tables.chunk_vectors(spark, root, toc=params.get("mode") != "vector"),
         **params,
     )
 
@@ -121,11 +108,12 @@ def q_hybrid_search(spark, root):
 
 def _legs(spark, root):
     queries = tables.query_table(spark, root)
-    pool = S.without_toc(tables.chunk_table(spark, root))
+    texts = S.without_toc(tables.chunk_texts(spark, root))
+    vectors = S.without_toc(tables.chunk_vectors(spark, root))
     text = FT.fts_search(
-        queries, FT.token_table(pool, carry=["document_id"]), 3 * S.LIMIT, carry=["document_id"]
+        queries, FT.token_table(texts, carry=["document_id"]), 3 * S.LIMIT, carry=["document_id"]
     )
-    return text, vector_leg(queries, pool, 3 * S.LIMIT, S.THRESHOLD, ["document_id"])
+    return text, vector_leg(queries, vectors, 3 * S.LIMIT, S.THRESHOLD, ["document_id"])
 
 
 def q_rrf_fusion(spark, root):
@@ -203,32 +191,14 @@ def q_dedup_queries_search(spark, root):
     twice = queries.unionByName(queries.withColumn("query_id", F.col("query_id") + 1_000_000))
     found = S.search_distinct(
         twice,
-        tables.chunk_table(spark, root, toc=False),
+        tables.chunk_texts(spark, root, toc=False),
         tables.document_table(spark, root),
         k=10,
+        vectors=tables.chunk_vectors(spark, root, toc=False),
     )
     return found.select("query_id", "rank", "chunk_id", _round("similarity"))
 
 
-def _ann(spark, root, lists, probes):
-    queries = tables.query_table(spark, root)
-    chunks = tables.chunk_table(spark, root, toc=False)
-    centroids = A.train_lists(chunks, lists)
-    found = A.ann_search(queries, A.assign_lists(chunks, centroids), centroids, 10, probes=probes)
-    return queries, chunks, found
-
-
-def q_ann_search(spark, root):
-    """One list, as in the original store: exact."""
-    _, _, found = _ann(spark, root, 1, 1)
-    return found.select("query_id", "rank", "chunk_id", _round("similarity"))
-
-
-def q_ann_recall(spark, root):
-    queries, chunks, found = _ann(spark, root, 16, 6)
-    return A.recall(vector_leg(queries, chunks, 10), found)
-
-
 def q_normalize_text(spark, root):
     return tables.load(spark, root, "documents").select(
         "doc_id", F.md5(T.normalize_text(F.col("text"))).alias("normalized_md5")
@@ -295,8 +265,8 @@ def q_query_expand(spark, root):
 
 
 def q_query_fingerprint(spark, root):
-    """How often each question text was asked, by its fingerprint."""
-    asked = tables.load(spark, root, "conversations").where("role = 'user'")
+    """How often each turn's text was written, by its fingerprint."""
+    asked = tables.load(spark, root, "conversations")
     return asked.groupBy(T.fingerprint(F.col("text")).alias("fingerprint")).agg(
         F.count(F.lit(1)).alias("asked"), F.min(F.struct("conv_id", "turn"))["conv_id"].alias("first_conv")
     )
@@ -326,7 +296,6 @@ QUERIES = {
     "toc_filter": q_toc_filter,
     "fts_search": q_fts_search,
     "fts_websearch": q_fts_websearch,
-    "fts_french": q_fts_french,
     "cover_density": q_cover_density,
     "postings": q_postings,
     "hybrid_search": q_hybrid_search,
@@ -339,8 +308,6 @@ QUERIES = {
     "source_objects": q_source_objects,
     "format_citations": q_format_citations,
     "dedup_queries_search": q_dedup_queries_search,
-    "ann_search": q_ann_search,
-    "ann_recall": q_ann_recall,
     "normalize_text": q_normalize_text,
     "extract_keywords": q_extract_keywords,
     "title_boost": q_title_boost,
@@ -361,8 +328,6 @@ ORACLES = {
 SELECT v.query_id, v.rank::INT AS rank, v.chunk_id, v.document_id, d.title AS document_title,
        d.source AS document_source, md5(c.content) AS content_md5, round(v.similarity, 9) AS similarity
 FROM vector_leg v JOIN chunks c USING (chunk_id) JOIN docs d ON d.document_id = v.document_id""",
-    "ann_search": f"""WITH {_VECTOR}
-SELECT query_id, rank::INT AS rank, chunk_id, round(similarity, 9) AS similarity FROM vector_leg""",
     "semantic_leg": f"""WITH {Q.CORPUS}, {Q.nearest('vector_leg', 90, 0.3, True)}
 SELECT query_id, rank::INT AS rank, chunk_id, round(similarity, 9) AS similarity FROM vector_leg""",
     "toc_filter": f"WITH {Q.CORPUS} SELECT chunk_id, document_id FROM chunks WHERE NOT is_toc",
@@ -447,9 +412,9 @@ FROM questions q LEFT JOIN hits h USING (query_id)""",
     "query_fingerprint": """
 SELECT substr(sha256(to_json({'f0': text})::VARCHAR), 1, 16) AS fingerprint, count(*) AS asked,
        arg_min(conv_id, conv_id * 1000000 + turn) AS first_conv
-FROM conversations WHERE role = 'user' GROUP BY 1""",
+FROM conversations GROUP BY 1""",
     "vector_literal": """
-SELECT vec_id, len(embedding) AS dim, true AS same,
+SELECT vec_id, len(embedding) AS dim, ('[' || array_to_string(embedding, ',') || ']')::FLOAT[] = embedding AS same,
        round(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS norm
 FROM embeddings""",
 }

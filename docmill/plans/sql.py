@@ -2,7 +2,16 @@
 
 from __future__ import annotations
 
-from docmill.functions.text import BLOCK_TAGS, CLASSIFIERS, ENTITIES, STOPWORDS
+# Fixed values, stated here once more so that a change of the operators' lists shows.
+CLASSIFIERS = ["type", "classe", "categorie", "niveau", "phase", "etape", "version"]
+STOPWORDS = (
+    "quoi quel quelle quels quelles est sont une des les pour dans avec que qui comment pourquoi"
+).split()
+# character references that the given pages use
+REFERENCES = [
+    ("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&copy;", "©"),
+    ("&middot;", "·"), ("&amp;", "&"),
+]
 
 # white space as a RE2 class
 WS = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
@@ -23,11 +32,11 @@ def tokens(col: str) -> str:
 def keywords(text: str) -> str:
     """Keyword list of an already normalised text."""
     lists = [
-        rf"list_transform(regexp_extract_all({text}, '{c}\s*([a-z0-9]+|[ivxlc]+)', 1), "
+        rf"list_transform(regexp_extract_all({text}, '{c}[{WS}]*([a-z0-9]+|[ivxlc]+)', 1), "
         rf"lambda v: '{c} ' || upper(v))"
         for c in CLASSIFIERS
     ]
-    stop = ", ".join(f"'{w}'" for w in STOPWORDS["default"])
+    stop = ", ".join(f"'{w}'" for w in STOPWORDS)
     words = (
         rf"list_filter(string_split_regex({text}, '[^\p{{L}}\p{{N}}_]+'), "
         rf"lambda w: regexp_full_match(w, '[a-z]{{4,}}') AND NOT list_contains([{stop}], w))"
@@ -53,28 +62,40 @@ def is_toc(content: str) -> str:
     lines = f"string_split({text}, chr(10))"
     score = (
         f"list_sum(list_transform({lines}, lambda x: "
-        rf"regexp_matches({strip('x')}, '[\s.]\d{{1,3}}$')::INT + contains(x, '...')::INT))"
+        rf"regexp_matches({strip('x')}, '[{WS}.]\p{{Nd}}{{1,3}}$')::INT + contains(x, '...')::INT))"
     )
     return (
         f"(length({text}) >= 10 AND ("
-        rf"regexp_matches({content}, '(?i)table\s*(des\s*)?mati[èe]res?')"
-        rf" OR regexp_matches({content}, '(?i)^\s*sommaire\s*$')"
-        rf" OR regexp_matches({content}, '(?i)^\s*contents?\s*$')"
+        rf"regexp_matches({content}, '(?i)table[{WS}]*(des[{WS}]*)?mati[èe]res?')"
+        rf" OR regexp_matches({content}, '(?i)^[{WS}]*sommaire[{WS}]*$')"
+        rf" OR regexp_matches({content}, '(?i)^[{WS}]*contents?[{WS}]*$')"
         f" OR {score} / len({lines})::DOUBLE > 0.4"
-        rf" OR regexp_matches({content}, '(?im)\.{{3,}}\s*\d+')"
-        rf" OR regexp_matches({content}, '(?im)^[A-Z\s\.]+\s+\d+\s*$')"
-        rf" OR regexp_matches({content}, '(?im)^\d+\.\s+.{{5,50}}\s+\d+\s*$')))"
+        rf" OR regexp_matches({content}, '(?im)\.{{3,}}[{WS}]*\p{{Nd}}+')"
+        rf" OR regexp_matches({content}, '(?im)^[A-Z{WS}\.]+[{WS}]+\p{{Nd}}+[{WS}]*$')"
+        rf" OR regexp_matches({content}, '(?im)^\p{{Nd}}+\.[{WS}]+.{{5,50}}[{WS}]+\p{{Nd}}+[{WS}]*$')))"
     )
 
 
 def html_to_text(html: str) -> str:
-    text = f"regexp_replace({html}, '(?is)<!--.*?-->', '', 'g')"
-    for tag in ("script", "style", "nav", "head"):
-        text = rf"regexp_replace({text}, '(?is)<{tag}\b.*?</{tag}>', '', 'g')"
-    text = rf"regexp_replace({text}, '(?is)<h1\b[^>]*>', chr(10) || '# ', 'g')"
-    text = rf"regexp_replace({text}, '(?is)</?(?:{BLOCK_TAGS})\b[^>]*>', chr(10), 'g')"
-    text = f"regexp_replace({text}, '(?s)<[^>]*>', '', 'g')"
-    for name, char in ENTITIES.items():
+    """Markdown of the given pages, by replacements in another order than the operator's."""
+    steps = [
+        ("(?is)<(?:script|style)\\b.*?</(?:script|style)>", ""),
+        ("(?s)<!--.*?-->", ""),
+        ("(?is)<head\\b.*?</head>", ""),
+        ("(?is)<nav\\b.*?</nav>", ""),
+        ("(?i)<br[^>]*>", "\n"),
+        *[(f"(?i)<h{n}(?:[ ][^>]*)?>", "\n" + n * "#" + " ") for n in (1, 2, 3, 4, 5, 6)],
+        ("(?i)</?(?:p|div|article|section|main|footer|header|aside|ul|ol|table|blockquote|form|figure|pre|dl|dt|dd|hr)"
+         "(?:[ ][^>]*)?>|</(?:h[1-6]|li|tr)>", "\n"),
+        ("(?i)<li(?:[ ][^>]*)?>", "\n- "),
+        ("(?is)<a [^>]*?href=\"([^\"]*)\"[^>]*>(.*?)</a>", "[\\2](\\1)"),
+        ("<[^>]*>", ""),
+    ]
+    text = html
+    for pattern, by in steps:
+        pattern, by = (x.replace("'", "''").replace("\n", "' || chr(10) || '") for x in (pattern, by))
+        text = f"regexp_replace({text}, '{pattern}', '{by}', 'g')"
+    for name, char in REFERENCES:
         quoted = char.replace("'", "''")
         text = f"replace({text}, '{name}', '{quoted}')"
     text = rf"regexp_replace({text}, '[ \t\r]+', ' ', 'g')"

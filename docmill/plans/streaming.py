@@ -48,7 +48,8 @@ def q_session_expiry(spark, root):
     return _session_columns(E.sessions(_events(spark, root), "user_id"))
 
 
-def q_stream_sessions(spark, root):
+def q_stream_closed_sessions(spark, root):
+    """The sessions that the stream knows to be over; those still open stay in its state."""
     return _session_columns(_run(spark, jobs.session_stream(_stream(spark, root, "events"), "user_id")))
 
 
@@ -63,8 +64,7 @@ def q_stream_assemble(spark, root):
     """Event text arriving as a stream, assembled per message as batches come in."""
     talk = _stream(spark, root, "conversations")
     events = H.parse_sse(_bodies(None, None, talk), ["conv_id", "turn"])
-    rows = _run(spark, events)
-    done = H.assemble_messages(rows, ["conv_id", "turn"])
+    done = _run(spark, jobs.assemble_stream(events, ["conv_id", "turn"]))
     calls = F.array_join(F.transform("tool_calls", lambda c: F.concat(c["tool_name"], c["tool_args"])), "|")
     return done.select(
         "conv_id", "turn", F.md5("content").alias("content_md5"), F.length("content").cast("bigint").alias("size"),
@@ -89,27 +89,13 @@ def q_stream_slow_requests(spark, root):
     return rows.select("event_id", "path", F.round("latency_ms", 6).alias("latency_ms"))
 
 
-def q_ttl_reuse(spark, root):
-    return E.ttl_reuse(_events(spark, root), "event_type", E.PAYLOAD_TTL, inclusive=False)
-
-
-def q_stream_reuse(spark, root):
-    rows = _run(spark, jobs.reuse_stream(
-        _stream(spark, root, "events"), "event_type", E.PAYLOAD_TTL, inclusive=False))
-    return rows.groupBy("event_type").agg(
-        F.count(F.lit(1)).alias("requests"), F.count_if(~F.col("reused")).alias("stored"),
-        F.count_if("reused").alias("reused"))
-
-
 QUERIES = {
     "session_expiry": q_session_expiry,
-    "stream_sessions": q_stream_sessions,
+    "stream_closed_sessions": q_stream_closed_sessions,
     "stream_ingest": q_stream_ingest,
     "stream_assemble": q_stream_assemble,
     "slow_requests": q_slow_requests,
     "stream_slow_requests": q_stream_slow_requests,
-    "ttl_reuse": q_ttl_reuse,
-    "stream_reuse": q_stream_reuse,
 }
 
 _SESSIONS = """
@@ -123,19 +109,10 @@ WITH r AS (SELECT event_id, CASE event_type WHEN 'view' THEN '/health/live' WHEN
              ELSE '/api/v1/' || event_type END AS path, value * 10 AS latency_ms FROM events)
 SELECT event_id, path, round(latency_ms, 6) AS latency_ms FROM r
 WHERE latency_ms > 500 AND NOT starts_with(path, '/health') AND NOT starts_with(path, '/docs')"""
-_REUSE = """
-WITH RECURSIVE e AS (SELECT event_type, epoch_us(ts) AS t FROM events),
-walk AS (SELECT event_type, min(t) AS t FROM e GROUP BY event_type
-  UNION ALL SELECT w.event_type, (SELECT min(e.t) FROM e WHERE e.event_type = w.event_type AND e.t >= w.t + 900000000)
-  FROM walk w WHERE w.t IS NOT NULL),
-stored AS (SELECT event_type, count(t) AS stored FROM walk GROUP BY event_type)
-SELECT event_type, count(*) AS requests, any_value(s.stored) AS stored, count(*) - any_value(s.stored) AS reused
-FROM e JOIN stored s USING (event_type) GROUP BY event_type"""
-
 ORACLES = {
     "session_expiry": f"""WITH {_SESSIONS}
 SELECT user_id, epoch_us(a) AS session_start, epoch_us(z) AS last_event, events FROM sessions""",
-    "stream_sessions": f"""WITH {_SESSIONS}
+    "stream_closed_sessions": f"""WITH {_SESSIONS}
 SELECT user_id, epoch_us(a) AS session_start, epoch_us(z) AS last_event, events FROM sessions
 WHERE z + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE""",
     "stream_ingest": f"""WITH RECURSIVE {sliding()}
@@ -143,6 +120,4 @@ SELECT doc_id, chunk_index, md5(content) AS content_md5, {Q.is_toc('content')} A
     "stream_assemble": CHAT["assemble_message"],
     "slow_requests": _SLOW,
     "stream_slow_requests": _SLOW,
-    "ttl_reuse": _REUSE,
-    "stream_reuse": _REUSE,
 }

@@ -87,28 +87,6 @@ def file_type(path: Column, types: dict[str, str]) -> Column:
     return F.coalesce(known, F.lit("other"))
 
 
-def file_inventory(spark: SparkSession, root: str, area: str = "raw") -> DataFrame:
-    """Name, path below ``root``, size, time and type of every visible file, newest first.
-    Only file metadata is read."""
-    files = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-        .select("path", "length", "modificationTime")
-    )
-    name = F.element_at(F.split("path", "/"), -1)
-    base = root.rstrip("/")
-    return (
-        files.where(~name.startswith("."))
-        .select(
-            name.alias("filename"),
-            F.regexp_replace("path", rf"^(?:file:/*)?\Q{base}\E/", "").alias("path"),
-            F.col("length").alias("size"),
-            F.col("modificationTime").alias("ingested_at"),
-            file_type(F.col("path"), RAW_TYPES if area == "raw" else PROCESSED_TYPES).alias("type"),
-        )
-        .orderBy(F.col("ingested_at").desc(), "path")
-    )
-
-
 def clean_request(path: Column) -> Column:
     """Requested path without a leading ``documents/`` and then ``data/``."""
     return F.regexp_replace(F.regexp_replace(path, "^documents/", ""), "^data/", "")
@@ -187,6 +165,6 @@ def read_stopwords(spark: SparkSession, path: str, language: str = "default") ->
     row = spark.read.json(path, multiLine=True).first()
     data = row.asDict() if row else {}
     found = data.get(language) or data.get("default")
-    return list(found) if found else T.STOPWORDS["default"]
+    return list(found) if found else T.STOPWORDS
 
 

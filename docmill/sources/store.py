@@ -101,13 +101,3 @@ def render_markdown(pages: DataFrame, fields: dict[str, Column], body: Column) -
         "document",
         F.concat_ws("\n", F.lit("---"), *lines, F.lit("---"), F.lit(""), body),
     )
-
-
-def write_pages(pages: DataFrame, path: str, subdir: Column) -> None:
-    """Store rendered pages as text, one record per page, in a folder per site."""
-    rows = pages.select(
-        subdir.alias("site"),
-        F.to_json(F.struct(T.url_to_filename(F.col("url")).alias("file"), "document"))
-        .alias("value"),
-    )
-    rows.write.mode("overwrite").partitionBy("site").text(path)

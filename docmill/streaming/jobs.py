@@ -1,7 +1,8 @@
-"""Structured Streaming jobs for ingestion, event assembly, sessions and reuse."""
+"""Structured Streaming jobs for ingestion, event assembly and sessions."""
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -15,12 +16,17 @@ from docmill.operators.chunking import chunk_sliding
 from docmill.operators.sessions import IDLE_SECONDS
 
 
+FILES_PER_BATCH = 1_000
+
+
 def read_table_stream(spark: SparkSession, folder: str, name: str, schema, **options) -> DataFrame:
-    """Stream of the parquet files called ``name`` in a folder."""
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", name)
+    """Stream of the parquet table ``name`` in a folder: one file, or a folder of part files. A batch
+    takes a bounded number of files."""
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", FILES_PER_BATCH)
     for key, value in options.items():
         reader = reader.option(key, value)
-    return reader.parquet(folder)
+    # as a pattern the path may name a file, which the reader refuses otherwise
+    return reader.parquet(f"{folder}/{name[:-1]}[{name[-1]}]")
 
 
 def append_batches(rows: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
@@ -52,11 +58,9 @@ def session_stream(
     idle_seconds: int = IDLE_SECONDS,
     delay: str = "10 minutes",
 ) -> DataFrame:
-    """Sessions per key, given out once the watermark says that they are over. Rows are merged
-    into sessions before the shuffle, so a busy key sends few rows to its task."""
-    events.sparkSession.conf.set(
-        "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true"
-    )
+    """Sessions per key, given out once the watermark says that they are over. With the session
+    option of ``get_session`` rows are merged into sessions before the shuffle, so that a busy key
+    sends few rows to its task."""
     timed = events.withColumn("_ts", F.col(ts).cast("timestamp")).withWatermark("_ts", delay)
     closed = timed.groupBy(
         key, F.session_window("_ts", f"{idle_seconds} seconds").alias("session")
@@ -66,38 +70,52 @@ def session_stream(
     )
 
 
-def reuse_stream(
-    requests: DataFrame, key: str, ttl_seconds: int, ts: str = "ts", inclusive: bool = True
-) -> DataFrame:
-    """Each request with ``reused``: false when it stored the value. Requests of a key are
-    taken in time order inside a micro-batch, so limit its size (``maxFilesPerTrigger``) to what
-    a task may hold of the busiest key; the state per key is one moment. For stored events use
-    ``ttl_reuse``, which has no such limit."""
-    ttl = ttl_seconds * 1_000_000 - (0 if inclusive else 1)
-    key_type = requests.schema[key].dataType.simpleString()
-
-    def decide(
-        name: tuple, batches: Iterator[pd.DataFrame], state: GroupState
-    ) -> Iterator[pd.DataFrame]:
-        stored = state.get[0] if state.exists else None
-        rows = pd.concat(list(batches)).sort_values("at")
-        reused = []
-        for at in rows["at"]:
-            hit = stored is not None and at <= stored + ttl
-            if not hit:
-                stored = int(at)
-            reused.append(hit)
-        state.update((stored,))
-        yield pd.DataFrame({key: rows[key], "at": rows["at"], "reused": reused})
-
-    timed = requests.select(key, F.unix_micros(F.col(ts).cast("timestamp")).alias("at"))
-    return timed.groupBy(key).applyInPandasWithState(
-        decide,
-        f"{key} {key_type}, at bigint, reused boolean",
-        "stored bigint",
-        "append",
-        GroupStateTimeout.NoTimeout,
+def assemble_stream(events: DataFrame, key: list[str]) -> DataFrame:
+    """Messages from a stream of parsed events, given out when they are done or have failed. Until
+    then the state of a message holds what has come of it, so it does not matter where the stream is
+    cut into batches; a message without an end stays in the state. The events of a message are taken
+    in ``seq`` order inside a batch; columns as in ``assemble_messages``."""
+    fields = {f.name: f.dataType.simpleString() for f in events.schema.fields}
+    names = ["content", "sources", "cited_indices", "tool_calls", "error"]
+    kept = ", ".join(f"{n} string" for n in names)
+
+    def fold(name: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        out = []
+
+        def give(held, done):
+            out.append([*name, *held, done])
+            return ["", None, None, "[]", None]
+
+        held = list(state.get) if state.exists else ["", None, None, "[]", None]
+        begun = state.exists
+        for row in pd.concat(list(batches)).sort_values("seq").itertuples():
+            begun = True
+            if row.type == "token":
+                held[0] += row.content
+            elif row.type == "sources" and row.sources is not None:
+                held[1], held[2] = row.sources, row.cited_indices
+            elif row.type == "tool_call":
+                call = [row.tool_name, row.tool_args, row.tool_result]
+                held[3] = json.dumps([*json.loads(held[3]), call])
+            elif row.type == "error":
+                held[4] = row.content or "An error occurred"
+            if row.type in ("done", "error"):
+                held, begun = give(held, row.type == "done"), False
+        if begun:
+            state.update(tuple(held))
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame(out, columns=[*key, *names, "done"])
+
+    keyed = ", ".join(f"{k} {fields[k]}" for k in key)
+    found = events.groupBy(*key).applyInPandasWithState(
+        fold, f"{keyed}, {kept}, done boolean", kept, "append", GroupStateTimeout.NoTimeout
+    )
+    calls = F.transform(
+        F.from_json("tool_calls", "array<array<string>>"),
+        lambda c: F.struct(c[0].alias("tool_name"), c[1].alias("tool_args"), c[2].alias("tool_result")),
     )
+    return found.withColumn("tool_calls", calls)
 
 
 def first_per_period(requests: DataFrame, key: list[str], ts: str, period: str) -> DataFrame:

@@ -2,17 +2,14 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docmill.functions import text as T
 
 
-@lru_cache(maxsize=64)
 def load(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """A given table. Kept per session, so its files are listed and its schema read once."""
+    """A given table, with the files that it has now."""
     return spark.read.parquet(f"{root}/{name}.parquet")
 
 
@@ -23,14 +20,11 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
 
 
-def chunk_table(spark: SparkSession, root: str, toc: bool = True) -> DataFrame:
-    """One chunk per text. The parent document is its ``source``, so a parent holds many
-    chunks; texts without a vector keep a NULL embedding."""
+def chunk_texts(spark: SparkSession, root: str, toc: bool = True) -> DataFrame:
+    """One chunk per text, without vectors. The parent document is its ``source``, so a parent holds
+    many chunks."""
     docs = spread(load(spark, root, "documents").select("doc_id", "source", "text"), "doc_id")
-    vectors = load(spark, root, "embeddings").select(
-        F.col("vec_id").alias("chunk_id"), "embedding"
-    )
-    chunks = docs.select(
+    return docs.select(
         F.col("doc_id").alias("chunk_id"),
         F.col("source").alias("document_id"),
         F.col("text").alias("content"),
@@ -38,7 +32,13 @@ def chunk_table(spark: SparkSession, root: str, toc: bool = True) -> DataFrame:
         # the repartitioning instead of running the patterns in the one task that reads the file
         *([F.explode_outer(F.array(T.is_toc(F.col("text")))).alias("is_toc")] if toc else []),
     )
-    return chunks.join(vectors, "chunk_id", "left")
+
+
+def chunk_vectors(spark: SparkSession, root: str, toc: bool = True) -> DataFrame:
+    """Vectors of the chunks with the chunk's document and contents flag, without texts. Only these
+    narrow columns meet in the join."""
+    vectors = load(spark, root, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
+    return chunk_texts(spark, root, toc).drop("content").join(vectors, "chunk_id")
 
 
 def document_table(spark: SparkSession, root: str) -> DataFrame:
@@ -50,12 +50,16 @@ def document_table(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
-def query_table(spark: SparkSession, root: str) -> DataFrame:
-    """Every benchmark text as a question, with the vector of the same number."""
-    items = load(spark, root, "benchmark").select(
+def question_table(spark: SparkSession, root: str) -> DataFrame:
+    """Every benchmark text as a question, without vectors."""
+    return load(spark, root, "benchmark").select(
         F.col("item_id").alias("query_id"), F.col("text").alias("query")
     )
+
+
+def query_table(spark: SparkSession, root: str) -> DataFrame:
+    """Every question with the vector of the same number."""
     vectors = load(spark, root, "embeddings").select(
         F.col("vec_id").alias("query_id"), "embedding"
     )
-    return items.join(vectors, "query_id", "left")
+    return question_table(spark, root).join(vectors, "query_id", "left")

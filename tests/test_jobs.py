@@ -31,16 +31,6 @@ def test_read_documents(spark, tmp_path):
     assert rows["s.pdf"]["errors"] == ["no converter for .pdf"] and rows["s.pdf"]["format"] == "structured"
 
 
-def test_inventory(spark, tmp_path):
-    for name in ("x.pdf", "y.md", ".hidden.md", "z.text", "w.bin"):
-        write(tmp_path / "raw" / name, "data")
-    rows = {r["filename"]: r for r in files.file_inventory(spark, str(tmp_path)).collect()}
-    assert {k: r["type"] for k, r in rows.items()} == {"x.pdf": "pdf", "y.md": "markdown", "z.text": "text", "w.bin": "other"}
-    assert rows["y.md"]["path"] == "raw/y.md" and rows["y.md"]["size"] == 4
-    late = {r["filename"]: r["type"] for r in files.file_inventory(spark, str(tmp_path), "processed").collect()}
-    assert late["x.pdf"] == "other" and late["z.text"] == "other"
-
-
 def test_golden_and_stopwords(spark, tmp_path):
     write(tmp_path / "g.csv", 'query,expected_doc_path,expected_keywords,min_similarity,query_type\n'
           '"What, now?",data/,"[\'API key\',\'l\'eau\',\'429\']",0.65,semantic\n')
@@ -244,31 +234,10 @@ def test_threshold_report(spark):
 # --- sessions and streams ------------------------------------------------------------------
 
 
-def plain_reuse(times, ttl, inclusive):
-    stored, last = 0, None
-    for t in sorted(times):
-        if last is None or (t > last + ttl if inclusive else t >= last + ttl):
-            stored, last = stored + 1, t
-    return stored
-
-
 def moments(rng, n, span):
     return sorted(rng.randrange(span) for _ in range(n))
 
 
-@pytest.mark.parametrize("ttl,inclusive,block,fan_in,levels", [
-    (60, True, 100, 3, 2), (60, False, 61, 2, 3), (900, True, 1, 4, 1), (5, False, 40, 5, 0)])
-def test_reuse_against_plain_walk(spark, ttl, inclusive, block, fan_in, levels):
-    rng = random.Random(ttl)
-    data = {"hot": moments(rng, 800, 6000), "rare": moments(rng, 12, 20000), "one": [7], "same": [5, 5, 5, 5 + ttl, 6 + ttl]}
-    rows = [(k, t) for k, ts in data.items() for t in ts]
-    frame = spark.createDataFrame(rows, "k string, t int").withColumn("ts", F.timestamp_seconds("t"))
-    got = sessions.ttl_reuse(frame, "k", ttl, inclusive=inclusive, block_seconds=block, fan_in=fan_in, levels=levels)
-    found = {r["k"]: (r["requests"], r["stored"], r["reused"]) for r in got.collect()}
-    want = {k: (len(ts), plain_reuse(ts, ttl, inclusive)) for k, ts in data.items()}
-    assert found == {k: (n, s, n - s) for k, (n, s) in want.items()}
-
-
 def test_sessions_against_plain_walk(spark):
     rng = random.Random(9)
     data = {"a": moments(rng, 300, 200_000), "b": [0, 3600, 7199, 10800]}
@@ -295,7 +264,7 @@ def test_slow_requests(spark):
 
 
 def test_stream_in_many_batches(spark, tmp_path):
-    """Files arriving one by one give the same chunks, reuse and sessions as all at once."""
+    """Files arriving one by one give the same chunks and sessions as all at once."""
     from docmill.operators.chunking import chunk_sliding
 
     source = str(tmp_path / "in")
@@ -317,10 +286,6 @@ def test_stream_in_many_batches(spark, tmp_path):
     want = chunk_sliding(frame.select("doc_id", "text")).collect()
     assert sorted((r["doc_id"], r["chunk_index"], r["content"]) for r in chunks) == sorted(
         (r["doc_id"], r["chunk_index"], r["content"]) for r in want)
-    reuse = run("reuse", lambda s: jobs.reuse_stream(s, "k", 60))
-    for k in ("k0", "k1", "k2"):
-        mine = [t for i, t in enumerate(times) if f"k{i % 3}" == k]
-        assert sum(not r["reused"] for r in reuse if r["k"] == k) == plain_reuse(mine, 60, True)
     closed = run("sessions", lambda s: jobs.session_stream(s, "k", idle_seconds=100, delay="1 second"))
     every = sessions.sessions(frame, "k", idle_seconds=100).collect()
     end = max(times) - 1
@@ -328,3 +293,40 @@ def test_stream_in_many_batches(spark, tmp_path):
     assert {(r["k"], r["session_start"], r["events"]) for r in closed} == done
     first = run("first", lambda s: jobs.first_per_period(s.select("k", "ts"), ["k"], "ts", "1 day"))
     assert sorted(r["k"] for r in first) == ["k0", "k1", "k2"]
+
+
+def test_table_stream_of_a_file_and_of_a_folder(spark, tmp_path, root):
+    """A table may be one file or a folder of part files."""
+    events = spark.read.parquet(f"{root}/events.parquet")
+    events.repartition(5).write.parquet(str(tmp_path / "events.parquet"))
+    for at, folder in enumerate((root, str(tmp_path))):
+        rows = jobs.read_table_stream(spark, folder, "events.parquet", events.schema)
+        query = jobs.append_batches(rows, str(tmp_path / f"out{at}"), str(tmp_path / f"cp{at}"))
+        query.awaitTermination()
+        assert spark.read.parquet(str(tmp_path / f"out{at}")).count() == events.count()
+
+
+def test_messages_cut_between_batches(spark, tmp_path):
+    """Events that arrive in three batches give the same messages as all at once."""
+    from docmill.operators import chat
+
+    schema = "m int, seq int, type string, content string, sources string, cited_indices string, " \
+        "tool_name string, tool_args string, tool_result string"
+    none = (None,) * 5
+    events = [
+        (1, 0, "tool_call", "", None, None, "search", "{}", None), (1, 1, "token", "Hel", *none),
+        (2, 0, "token", "a", *none), (1, 2, "token", "lo", *none), (1, 3, "sources", "", "[1]", "[2]", None, None, None),
+        (2, 1, "error", "", *none), (1, 4, "token", "!", *none), (1, 5, "done", "", *none), (3, 0, "token", "open", *none),
+    ]
+    frame = spark.createDataFrame(events, schema)
+    for part in range(3):
+        spark.createDataFrame(events[part * 3 : part * 3 + 3], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    out = jobs.assemble_stream(stream, ["m"])
+    jobs.append_batches(out, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    found = spark.read.schema(out.schema).parquet(str(tmp_path / "out")).collect()
+    whole = {r["m"]: r for r in chat.assemble_messages(frame, ["m"]).collect()}
+    assert sorted(r["m"] for r in found) == [1, 2]
+    for r in found:
+        for column in ("content", "sources", "cited_indices", "tool_calls", "error", "done"):
+            assert r[column] == whole[r["m"]][column], column

@@ -5,7 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-import __spark_entry__ as entry_point
+from docmill import plans
 from docmill.functions import text as T
 from docmill.operators import catalog, chunking, fulltext, search, vector_search
 
@@ -77,7 +77,35 @@ def test_listing_counts_only_its_page(spark, root):
     assert "TakeOrderedAndProject" in text and "LeftSemi" in text and "text" not in re.findall(r"ReadSchema: (\S+)", text)
 
 
-@pytest.mark.parametrize("name", sorted(n for n in entry_point.queries() if not n.startswith("stream")))
+@pytest.mark.parametrize("name", ["fts_search", "fts_websearch", "cover_density", "postings"])
+def test_registered_keyword_queries_read_no_vectors(spark, root, name):
+    text = plan(plans.all_queries()[name](spark, root))
+    assert "embedding" not in text
+
+
+@pytest.mark.parametrize("name", ["hybrid_search", "rerank", "format_citations", "vector_search", "vector_fallback"])
+def test_registered_searches_never_shuffle_texts(spark, root, name):
+    """Hash exchanges before the final texts carry ids, numbers and vectors only; the texts of all
+    chunks are spread once by key (small input) and joined by broadcast."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        frame = plans.all_queries()[name](spark, root)
+        nodes = shuffled(frame._jdf.queryExecution().optimizedPlan(), frame)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert nodes["texts beside vectors"] == 0
+
+
+def shuffled(optimized, frame):
+    """Number of joins whose both sides hold a whole text or a vector."""
+    both = 0
+    for line in optimized.toString().split("\n"):
+        if re.search(r"Project \[.*\bcontent#\d+.*\bembedding#\d+|Project \[.*\bembedding#\d+.*\bcontent#\d+", line):
+            both += 1
+    return {"texts beside vectors": both}
+
+
+@pytest.mark.parametrize("name", sorted(n for n in plans.all_queries() if not n.startswith("stream")))
 def test_no_query_multiplies_tables(spark, root, name):
-    text = plan(entry_point.queries()[name](spark, root))
+    text = plan(plans.all_queries()[name](spark, root))
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text

@@ -261,21 +261,6 @@ def test_expand(spark):
     assert got == {1: "The API and webhook? endpoints REST callback", 2: "plain"}
 
 
-def test_inverted_lists(vectors):
-    from docmill.operators import ann as A
-
-    queries, chunks, plain_q, plain_c = vectors
-    centroids = A.train_lists(chunks, 8)
-    listed = A.assign_lists(chunks, centroids)
-    everything = A.ann_search(queries, listed, centroids, 10, probes=8).collect()
-    assert {(r["query_id"], r["rank"]): (r["chunk_id"], round(r["similarity"], 9)) for r in everything} == brute(plain_q, plain_c, 10, 0.0)
-    some = A.ann_search(queries, listed, centroids, 10, probes=4)
-    shares = [r["recall"] for r in A.recall(VS.vector_leg(queries, chunks, 10), some).collect()]
-    assert all(0 <= s <= 1 for s in shares) and sum(shares) / len(shares) > 0.5
-    with pytest.raises(ValueError):
-        A.train_lists(chunks, 0)
-
-
 def test_expander_function(spark):
     def expander(texts):
         if "bad" in texts:
@@ -294,3 +279,38 @@ def test_call_by_name(spark):
     queries, chunks, docs = corpus(spark)
     rows = call_function("match_chunks", queries=queries, chunks=chunks, docs=docs, k=2, threshold=0.5).collect()
     assert sorted((r["query_id"], r["rank"]) for r in rows) == [(1, 1), (1, 2), (3, 1), (3, 2)]
+
+
+def test_vectors_beside_the_texts(spark):
+    """Search over one table and over texts and vectors kept apart give the same rows."""
+    queries, chunks, docs = corpus(spark)
+    if "is_toc" not in chunks.columns:
+        chunks = chunks.withColumn("is_toc", F.lit(False))
+    texts = chunks.drop("embedding")
+    vectors = chunks.where("embedding is not null").select("chunk_id", "document_id", "is_toc", "embedding")
+    columns = ["query_id", "chunk_id", "rank", "similarity", "content", "document_title"]
+    for mode in ("hybrid", "vector"):
+        whole = S.hybrid_search(queries, chunks, docs, k=3, threshold=0.1, mode=mode)
+        apart = S.hybrid_search(queries, texts, docs, k=3, threshold=0.1, mode=mode, vectors=vectors)
+        assert sorted(map(str, whole.select(columns).collect())) == sorted(map(str, apart.select(columns).collect()))
+
+
+@pytest.mark.parametrize("k", [1, 4])
+def test_switches_change_the_plan_only(spark, monkeypatch, k):
+    """Both sides of every size switch give the same rows."""
+    import docmill.operators.search as module
+
+    queries, chunks, docs = corpus(spark)
+    if "is_toc" not in chunks.columns:
+        chunks = chunks.withColumn("is_toc", F.lit(False))
+    near = [sorted(map(str, VS.vector_leg(queries, chunks, k, query_rows=n).collect())) for n in (1, 4096)]
+    assert near[0] == near[1]
+    tokens = FT.token_table(chunks)
+    words = [sorted(map(str, FT.fts_matches(queries, tokens, lead_rows=n).collect())) for n in (0, 10_000)]
+    assert words[0] == words[1]
+    found = []
+    for most in (0, 120_000):
+        monkeypatch.setattr(module, "BROADCAST_ROWS", most)
+        rows = S.hybrid_search(queries, chunks, docs, k=k, threshold=0.1)
+        found.append(sorted(map(str, rows.select("query_id", "chunk_id", "rank", "similarity", "content").collect())))
+    assert found[0] == found[1]

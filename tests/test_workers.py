@@ -13,7 +13,7 @@ from pyspark.sql import SparkSession
 spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").getOrCreate()
 import __spark_entry__ as e
 print("rows", len(e.entry(spark).collect()))
-for name in ("embed_chunks", "fts_french", "ann_search", "ttl_reuse", "stream_reuse"):
+for name in ("embed_chunks", "vector_search", "stream_assemble"):
     print(name, len(e.queries()[name](spark, e.SMOKE_DIR).collect()))
 """
 
@@ -25,4 +25,4 @@ def test_from_another_folder(tmp_path):
         [sys.executable, "-c", SCRIPT.format(repo=repo)], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=400)
     assert done.returncode == 0, done.stderr[-3000:]
     counts = dict(line.rsplit(" ", 1) for line in done.stdout.split("\n") if " " in line)
-    assert len(counts) == 6 and all(int(n) > 0 for n in counts.values())
+    assert len(counts) == 4 and all(int(n) > 0 for n in counts.values())
