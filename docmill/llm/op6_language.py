@@ -145,16 +145,20 @@ def _grams(words: DataFrame, order: int) -> DataFrame:
 
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id",
           order: int = ORDER, sample_rows: int = SAMPLE_ROWS, max_grams: int = MAX_GRAMS) -> Model:
-    """Model of the languages in ``docs``. At most ``sample_rows`` rows of a language are read, those
-    with the smallest hash of id and text; their texts are read whole."""
+    """Model of the languages in ``docs``. Of each language ``sample_rows`` rows are read, those with
+    the smallest hash of id and length (and rows equal to the last of them); their texts are read
+    whole. ``lang`` has as many values as there are languages."""
     rows = docs.where(F.col(lang_col).isNotNull() & (F.length(text_col) > 0))
-    pick = Window.partitionBy("lang").orderBy("_pick", "id")
     rows = rows.select(
         F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), F.col(id_col).alias("id"),
         F.xxhash64(F.col(id_col).cast("string"), F.length(text_col)).alias("_pick"),
     )
-    rows = rows.withColumn("_at", F.row_number().over(pick)).where(F.col("_at") <= sample_rows)
-    rows = stored(rows.select("lang", "text", (F.col("_at") % CALIBRATION == 0).alias("calibrates")))
+    # the last place of each language's sample is found without the texts
+    pick = Window.partitionBy("lang").orderBy("_pick", "id")
+    chosen = rows.select("lang", "_pick", "id").withColumn("_at", F.row_number().over(pick))
+    last = chosen.where(F.col("_at") <= sample_rows).groupBy("lang").agg(F.max(F.struct("_pick", "id")).alias("_last"))
+    rows = rows.join(F.broadcast(last), "lang").where(F.struct("_pick", "id") <= F.col("_last"))
+    rows = stored(rows.select("lang", "text", (F.pmod("_pick", F.lit(CALIBRATION)) == 0).alias("calibrates")))
     counted = rows.where(~F.col("calibrates")).unionAll(  # a language with few rows counts them all
         rows.where("calibrates").join(
             rows.groupBy("lang").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") < 10 * CALIBRATION).drop("_n"), "lang"
