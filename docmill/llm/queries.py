@@ -111,7 +111,28 @@ r as (
 select query_id, rank, vec_id, score from r where rank <= 10
 """
 
-ORACLES: dict[str, str] = {"op3_topk": TOPK_SQL}
+MINHASH_SQL = r"""
+with recursive
+w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+s as (
+  select distinct doc_id, unnest(case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
+    else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) end) as shingle from w),
+n as (select doc_id, count(*) as n from s group by doc_id),
+c as (
+  select a.doc_id as a, b.doc_id as b, count(*) as k from s a join s b on a.shingle = b.shingle and a.doc_id < b.doc_id
+  group by all),
+e as (select a, b from c join n x on x.doc_id = a join n y on y.doc_id = b where 100 * k >= 75 * (x.n + y.n - k)),
+g as (select a, b from e union all select b, a from e),
+r as (select a as doc_id, a as m from g union select r.doc_id, g.b from r join g on g.a = r.m),
+m as (select doc_id, min(m) as m from r group by doc_id)
+select d.doc_id, coalesce(n.n, 0) as n_shingles, coalesce(m.m, d.doc_id) as component_id,
+  coalesce(m.m, d.doc_id) = d.doc_id as kept
+from documents d left join n using (doc_id) left join m using (doc_id)
+"""
+
+ORACLES: dict[str, str] = {"op3_topk": TOPK_SQL, "op9_minhash": MINHASH_SQL}
 
 
 def _shipped(query):
