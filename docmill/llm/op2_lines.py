@@ -100,7 +100,7 @@ def _first_ranks(found: DataFrame) -> DataFrame:
     groups = found.groupBy("digest").agg(
         F.count(F.lit(1)).alias("n"), F.min(place).alias("_first"), F.max(place).alias("_last")
     ).where("not (_first <=> _last)").select("digest", "n")
-    ranked = numbered(groups, ["digest"], "n", "rank").select("digest", "rank")
+    ranked = stored(numbered(groups, ["digest"], "n", "rank").select("digest", "rank"))
     again = found.select(*PLACE, "line", "digest", "ahead", "behind", "start", "length").join(ranked, "digest")
     return stored(again.drop("digest").dropDuplicates([*PLACE, "line"]))
 
@@ -158,6 +158,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     intervals = named.groupBy("n", "head", "tail").agg(
         F.min(F.struct(*PLACE, "line")).alias("kept"), F.count(F.lit(1)).alias("_members")
     ).where("_members > 1").drop("_members")
+    intervals = stored(intervals)  # so that the join deals both its sides and splits a large interval
     copies = named.join(intervals, ["n", "head", "tail"]).where(
         ~F.struct(*PLACE, "line").eqNullSafe(F.col("kept"))
     )

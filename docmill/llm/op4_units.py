@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from docmill.llm.common import text_batches
+from docmill.llm.common import stored, text_batches
 
 MIN_WORDS = 6
 _CUT = re.compile(r"(?<=[.!?])[^\S\n]+|\n")
@@ -76,6 +76,8 @@ def repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     first = found.groupBy("digest").agg(
         F.count(F.lit(1)).alias("_n"), F.min(F.struct("doc_id", "start")).alias("_kept")
     ).where("_n > 1")
+    # read from a file, so that the join deals both its sides and a frequent digest can be split
+    first = stored(first)
     again = found.join(first, "digest")
     same = F.col("doc_id").eqNullSafe(F.col("_kept.doc_id")) & (F.col("start") == F.col("_kept.start"))
     return again.where(~same).select(
