@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 from docmill.session import checkpoint_dir, cut_lineage, ship_package
 
 __all__ = [
-    "crc_remainder", "cut_lineage", "numbered", "read_table", "ship_package", "stored", "text_batches",
+    "bounded_sample", "crc_remainder", "cut_lineage", "numbered", "read_table", "ship_package", "stored", "text_batches",
 ]
 
 
@@ -60,6 +60,16 @@ def text_batches(batches: Iterator[pa.RecordBatch], rows: int, size: int, column
             start = stop
 
 
+def bounded_sample(df: DataFrame, pick: str, rows: int) -> DataFrame:
+    """The ``rows`` rows with the smallest hash ``pick`` among about twice as many that another hash
+    of it lets through, so that few rows come together however many tasks there are."""
+    total = df.count()
+    if total > 4 * rows:
+        share = int(2 * rows / total * (1 << 40))
+        df = df.where(F.pmod(F.xxhash64(pick), F.lit(1 << 40)) < share)
+    return df.orderBy(pick).limit(rows)
+
+
 def _byte_ends(values: pa.Array):
     """Running total of bytes at the end of each value."""
     import numpy as np

@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from docmill.llm.common import text_batches
+from docmill.llm.common import bounded_sample, text_batches
 
 SAMPLE_PAGES = 300
 SAMPLE_CHARS = 100_000  # longest page in the sample
@@ -441,11 +441,10 @@ def train_on(pages: list[str]) -> Labeller | None:
 
 
 def train(pages: DataFrame, html_col: str = "html", id_col: str = "page_id", sample: int = SAMPLE_PAGES) -> Labeller | None:
-    """Labeller from at most ``sample`` pages of at most ``SAMPLE_CHARS`` characters: those with the
-    smallest hash."""
+    """Labeller from at most ``sample`` pages of at most ``SAMPLE_CHARS`` characters, chosen by hash."""
     rows = pages.where((F.length(html_col) > 0) & (F.length(html_col) <= SAMPLE_CHARS))
     rows = rows.select(F.col(html_col).alias("html"), F.xxhash64(F.col(id_col).cast("string"), html_col).alias("_pick"))
-    return train_on([r["html"] for r in rows.orderBy("_pick", "html").limit(sample).collect()])
+    return train_on([r["html"] for r in bounded_sample(rows, "_pick", sample).collect()])
 
 
 def main_texts(pages: list[str | None], labeller: Labeller | None, features: Features) -> list[str]:
