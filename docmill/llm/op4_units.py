@@ -6,6 +6,10 @@ is collapsed, and units of at least ``min_words`` words are hashed to 128 bits.
 globally (combined on the map side) with their earliest occurrence, by document id and offset; only
 digests that repeat are joined back.
 
+The ends of a passage set into the middle of a sentence share a unit with the words around it.
+``repeated_text`` therefore adds runs of at least ``min_run`` words that occur before, compared word
+by word wherever they stand (``passages``).
+
 Defined cases: null and empty texts have no units; a null id ranks before all others; rows with
 equal ids are one document, so equal units at equal offsets in them are one occurrence; offsets and
 lengths are in code points of the original text. Other columns of the input take no part.
@@ -20,8 +24,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from docmill.llm.common import stored, text_batches
+from docmill.llm.passages import repeated_passages
 
 MIN_WORDS = 6
+MIN_RUN = 12
 _CUT = re.compile(r"(?<=[.!?])[^\S\n]+|\n")
 
 
@@ -86,6 +92,18 @@ def repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     )
 
 
+def repeated_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                  min_words: int = MIN_WORDS, min_run: int = MIN_RUN) -> DataFrame:
+    """``repeated_units`` and, in the same columns, all runs of ``min_run`` words or more that occur
+    before. Spans may overlap."""
+    named = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    runs = repeated_passages(named, ["doc_id"], min_run, fold=True).select(
+        "doc_id", "start", "length", F.col("kept.doc_id").alias("kept_doc_id"),
+        F.col("kept.start").cast("long").alias("kept_start"),
+    )
+    return repeated_units(docs, id_col, text_col, min_words).unionByName(runs).distinct()
+
+
 def without(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the spans cut out of their texts; all columns stay as they are."""
     cuts = spans.groupBy(F.col("doc_id").alias("_id")).agg(

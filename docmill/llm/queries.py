@@ -44,8 +44,8 @@ def topk_query(spark: SparkSession, root: str) -> DataFrame:
 
 
 def units_query(spark: SparkSession, root: str) -> DataFrame:
-    """Every removed unit, with its original offsets and the occurrence that stays."""
-    return op4_units.repeated_units(read_table(spark, root, "documents"))
+    """Every removed unit or run of words, with its original offsets and the occurrence that stays."""
+    return op4_units.repeated_text(read_table(spark, root, "documents"))
 
 
 def blocks_query(spark: SparkSession, root: str) -> DataFrame:

@@ -1,4 +1,6 @@
-from docmill.llm.op4_units import repeated_units, units, without
+import random
+
+from docmill.llm.op4_units import repeated_text, repeated_units, units, without
 
 PASSAGE = "Shared words go on here for long. And a second sentence of the passage follows it."
 
@@ -48,3 +50,51 @@ def test_awkward_rows(awkward, nothing):
     cut = without(awkward, found)
     assert cut.columns == awkward.columns and cut.count() == awkward.count()
     assert repeated_units(nothing).count() == 0
+
+
+def _words(r, n):
+    return " ".join(f"w{r.randint(0, 10**9)}" for _ in range(n))
+
+
+def test_passages_in_mid_sentence_are_covered_whole(spark):
+    r = random.Random(3)
+    long = f"{_words(r, 30)}. {_words(r, 25)}! {_words(r, 20)}"
+    short = _words(r, 12)
+    rows = [(i, f"{_words(r, 9 + i)} {p.upper() if i == 3 else p} {_words(r, 7)}. {_words(r, 8)}.")
+            for i, p in ((1, long), (2, short), (3, long), (4, short.replace(" ", "\n ")), (5, f"{long} {short}"))]
+    docs, texts = spark.createDataFrame(rows, "doc_id long, text string"), dict(rows)
+    found = repeated_text(docs).collect()
+    for x in found:
+        a = texts[x["doc_id"]][x["start"] : x["start"] + x["length"]].lower().split()
+        assert texts[x["kept_doc_id"]][x["kept_start"] :].lower().split()[: len(a)] == a
+    cut = {x["doc_id"]: x["text"] for x in without(docs, repeated_text(docs)).collect()}
+    assert cut[1] == texts[1] and cut[2] == texts[2]
+    for i, p in ((3, long), (4, short), (5, f"{long} {short}")):
+        left = texts[i].lower().split()
+        at = left.index(p.split()[0])
+        assert cut[i].lower().split() == left[:at] + left[at + len(p.split()) :]
+
+
+def test_runs_against_brute_force(spark):
+    r = random.Random(8)
+    some = [" ".join(f"v{r.randint(0, 2)}" for _ in range(r.randint(3, 9))) for _ in range(5)]
+    rows = [(i // 2 or None, r.choice([" ", "\n", "  "]).join(r.choice(some) for _ in range(r.randint(0, 6))))
+            for i in range(0, 40, 2)]
+    seen, expected = {}, set()
+    for doc, text in sorted(rows, key=lambda x: x[0] or 0):
+        words = text.split()
+        for i in range(len(words) - 4):
+            run = tuple(words[i : i + 5])
+            first = seen.setdefault(run, (doc, i))
+            if first[0] != doc or i - first[1] >= 5:
+                expected |= {(doc, i + k) for k in range(5)}
+    docs, texts, got = spark.createDataFrame(rows, "doc_id long, text string"), dict(rows), set()
+    for x in repeated_text(docs, min_words=100, min_run=5).collect():
+        at = len(texts[x["doc_id"]][: x["start"]].split())
+        got |= {(x["doc_id"], at + k) for k in range(len(texts[x["doc_id"]][x["start"] :][: x["length"]].split()))}
+    assert got == expected and expected
+
+
+def test_runs_of_awkward_rows(awkward, nothing):
+    assert {(r["doc_id"], r["kept_doc_id"]) for r in repeated_text(awkward, min_run=3).collect()} == {(6, 1)}
+    assert repeated_text(nothing).count() == 0
