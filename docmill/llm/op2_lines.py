@@ -15,6 +15,10 @@ Documents rank by id (null first), then by a hash of the text. Defined cases: ro
 text are one document and get one result; null and empty texts have no lines; lines are compared
 without white space at their ends, blank lines are neither compared nor deleted. Other columns of
 the input take no part.
+
+A passage inside a line gives other lines in each document. ``repeated_runs`` therefore adds the runs
+of ``min_words`` words that occur before, compared word by word (``passages``); a copy that overlaps
+its own original is no such run.
 """
 
 from __future__ import annotations
@@ -25,6 +29,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.window import Window
 
 from docmill.llm.common import numbered, stored, text_batches
+from docmill.llm.passages import repeated_passages
 
 MIN_WORDS = 50
 PLACE = ["doc_id", "text_hash"]
@@ -176,9 +181,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     )
 
 
-def deleted_runs(repeated: DataFrame) -> DataFrame:
-    """Neighbouring lines to delete as runs: doc_id, first_line, n_lines, start, length (code
-    points of the original text, white space between included), kept_doc_id, kept_line."""
+def _runs(repeated: DataFrame) -> DataFrame:
     inside = Window.partitionBy(*PLACE).orderBy("line")
     rows = repeated.withColumn("_run", F.col("line") - F.row_number().over(inside))
     return rows.groupBy(*PLACE, "_run").agg(
@@ -186,11 +189,34 @@ def deleted_runs(repeated: DataFrame) -> DataFrame:
         F.max(F.col("start") + F.col("length")).alias("_end"),
         F.min(F.struct("line", "kept_doc_id", "kept_line")).alias("_kept"),
     ).select(
-        "doc_id", "first_line", "n_lines", "start", (F.col("_end") - F.col("start")).alias("length"),
+        *PLACE, "first_line", "n_lines", "start", (F.col("_end") - F.col("start")).alias("length"),
         F.col("_kept.kept_doc_id").alias("kept_doc_id"), F.col("_kept.kept_line").alias("kept_line"),
     )
 
 
+def deleted_runs(repeated: DataFrame) -> DataFrame:
+    """Neighbouring lines to delete as runs: doc_id, first_line, n_lines, start, length (code
+    points of the original text, white space between included), kept_doc_id, kept_line."""
+    return _runs(repeated).drop("text_hash")
+
+
+def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                  min_words: int = MIN_WORDS) -> DataFrame:
+    """``deleted_runs`` and, in the same columns, the repeated runs of words that do not lie inside
+    one of them. ``first_line`` and ``n_lines`` tell the lines that such a run touches, ``kept_line``
+    the line in which its copy begins; spans may overlap."""
+    whole = stored(_runs(repeated_lines(docs, id_col, text_col, min_words)))
+    inner = repeated_passages(_source(docs, id_col, text_col), PLACE, min_words, fold=False).select(
+        *PLACE, F.col("line").alias("first_line"), (F.col("last_line") - F.col("line") + 1).alias("n_lines"),
+        "start", "length", F.col("kept.doc_id").alias("kept_doc_id"),
+        F.col("kept.line").cast("long").alias("kept_line"),
+    ).alias("a")
+    end = "{0}.start + {0}.length"
+    covered = F.expr(f"a.start >= b.start and {end.format('a')} <= {end.format('b')}")
+    inner = inner.join(whole.alias("b"), _same("a", "b") & covered, "leftanti")
+    return whole.unionByName(inner).drop("text_hash")
+
+
 def without_lines(docs: DataFrame, repeated: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the lines to delete. A document that loses all its non-blank lines goes;
     all others stay, with all their columns."""

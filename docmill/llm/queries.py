@@ -34,8 +34,8 @@ def sharding_query(spark: SparkSession, root: str) -> DataFrame:
 
 
 def lines_query(spark: SparkSession, root: str) -> DataFrame:
-    """Every deleted run of lines, with its place and the place of the copy that stays."""
-    return op2_lines.deleted_runs(op2_lines.repeated_lines(read_table(spark, root, "documents")))
+    """Every deleted run of lines or words, with its place and the place of the copy that stays."""
+    return op2_lines.repeated_runs(read_table(spark, root, "documents"))
 
 
 def topk_query(spark: SparkSession, root: str) -> DataFrame:

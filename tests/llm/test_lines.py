@@ -1,6 +1,6 @@
 import random
 
-from docmill.llm.op2_lines import deleted_runs, repeated_lines, shortest_runs, without_lines
+from docmill.llm.op2_lines import deleted_runs, repeated_lines, repeated_runs, shortest_runs, without_lines
 
 
 def brute(docs, least):
@@ -63,3 +63,18 @@ def test_awkward_rows(awkward, nothing):
     kept = without_lines(awkward, found)
     assert kept.columns == awkward.columns and kept.count() == awkward.count() - 2
     assert repeated_lines(nothing).count() == 0 and without_lines(nothing, repeated_lines(nothing)).count() == 0
+
+
+def test_passages_inside_lines(spark):
+    r = random.Random(4)
+    some = [" ".join(f"w{r.randint(0, 10**9)}" for _ in range(n)) for n in (50, 70)]
+    rows = [
+        (1, f"first line\nbefore {some[0]} after"), (2, f"{some[1]}\nmore"), (3, f"a\n\nb c {some[0]} d\ne"),
+        (4, f"x\n{some[1]}\ny"), (5, f"z {some[1].replace(' ', chr(10), 1)} z"), (6, some[0].upper()),
+        (7, "b " + some[0].split(" ", 1)[1]),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = sorted(tuple(x) for x in repeated_runs(docs).collect())
+    assert found == [
+        (3, 1, 1, 7, len(some[0]), 1, 1), (4, 1, 1, 2, len(some[1]), 2, 0), (5, 0, 2, 2, len(some[1]), 2, 0),
+    ]
