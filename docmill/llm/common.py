@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 from docmill.session import checkpoint_dir, cut_lineage, ship_package
 
 __all__ = [
-    "bounded_sample", "crc_remainder", "cut_lineage", "numbered", "read_table", "ship_package", "stored", "text_batches",
+    "bounded_sample", "crc_remainder", "cut_lineage", "numbered", "read_table", "release", "ship_package", "stored", "text_batches",
 ]
 
 
@@ -29,6 +29,16 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(df: DataFrame) -> None:
+    """Remove a table made by :func:`stored` that nothing reads any more."""
+    spark = df.sparkSession
+    for file in {path.rsplit("/", 1)[0] for path in df.inputFiles()}:
+        if not file.rsplit("/", 1)[-1].startswith("stored-"):
+            raise ValueError(f"{file} is not an intermediate table")
+        place = spark._jvm.org.apache.hadoop.fs.Path(file)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def shared_folder(spark: SparkSession) -> str:
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
