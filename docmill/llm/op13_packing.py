@@ -9,7 +9,7 @@ then above ``slack`` ids are closed up: their pieces are laid end to end and cut
 ids. So at most ``slack`` ids of a sequence are padding, but for one sequence a group.
 
 A task holds one group (about ``group * width`` ids at most), whatever the size of the table and of
-a document; long texts are tokenized in slices cut before a blank, where no token can cross.
+a document; long texts are tokenized in slices cut before white space, where no token can cross.
 
 Defined cases: a null text counts as empty and has the end id alone; a null or repeated id is kept as
 it is, and repeated rows are documents each; strings of special tokens in a text are ordinary text;
@@ -20,6 +20,7 @@ consecutive.
 from __future__ import annotations
 
 import re
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,8 +35,16 @@ SLACK = WIDTH // 64
 END = 1
 TOKENIZER_LIMIT = 64 << 20
 SLICE = 1 << 20  # letters tokenized at once
-_CUT = re.compile(r"(?<=\S)(?=[ \n])")
-_tokenizers: dict[bytes, object] = {}
+KNOWN = 1 << 19  # stretches remembered per worker
+LONG = 64  # letters of a stretch that is remembered
+# The letters of Unicode's White_Space property.
+_BLANK = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_CUT = re.compile(rf"(?<=[^{_BLANK}])(?=[{_BLANK}])")
+# Words of Latin letters that end at an ASCII sign, white space or the end of the text; else all up to
+# the next white space.
+_WORD = r"[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u024f]++"
+_PLAIN = re.compile(f" ?{_WORD}")
+_STRETCH = re.compile(rf"[{_BLANK}]*+(?:{_WORD}(?=[\x00-@\[-`{{-\x7f{_BLANK}]|\Z)|[^{_BLANK}]++)|[{_BLANK}]++")
 
 
 def read_tokenizer(path: str) -> bytes:
@@ -47,22 +56,20 @@ def read_tokenizer(path: str) -> bytes:
 
 
 def tokenizer(made: bytes):
-    """One tokenizer per worker and file; a task uses one core."""
+    """The tokenizer of a file; a task uses one core."""
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    if made not in _tokenizers:
-        _tokenizers.clear()
-        _tokenizers[made] = Tokenizer.from_buffer(made)
-        _tokenizers[made].encode_special_tokens = True
-    return _tokenizers[made]
+    found = Tokenizer.from_buffer(made)
+    found.encode_special_tokens = True
+    return found
 
 
 def slices(text: str, size: int = SLICE) -> Iterator[str]:
-    """``text`` in parts of ``size`` letters or a little more, cut between a word and the blank behind
-    it: there a token of a byte-level tokenizer always ends."""
+    """``text`` in parts of ``size`` letters or a little more, cut before white space behind another
+    letter: there a token of a byte-level tokenizer always ends."""
     start = 0
     while len(text) - start > size:
         cut = _CUT.search(text, start + size)
@@ -73,25 +80,58 @@ def slices(text: str, size: int = SLICE) -> Iterator[str]:
     yield text[start:]
 
 
-def token_ids(texts: list[str], made: bytes) -> Iterator[np.ndarray]:
-    """The ids of each text, without special ones."""
-    parts, counts = [], []
-    for text in texts:
-        cut = list(slices(text))
-        counts.append(len(cut))
-        parts += cut
-    use = tokenizer(made)
-    if len(parts) == len(texts):
-        for found in use.encode_batch_fast(parts, add_special_tokens=False):
-            yield np.array(found.ids, dtype="<u4")
-        return
-    at = iter(parts)
-    for count in counts:  # slices one by one, so that only the ids of a long text are held
-        ids = [
-            np.array(use.encode_batch_fast([next(at)], add_special_tokens=False)[0].ids, dtype="<u4")
-            for _ in range(count)
-        ]
-        yield ids[0] if count == 1 else np.concatenate(ids)
+class Ids:
+    """Ids of whole texts (little-endian unsigned 32-bit) by the tokenizer. A byte-level tokenizer
+    splits texts before white space behind another letter, and behind a word before a sign. So texts are
+    looked up in such stretches, and only those not met lately are tokenized; plain words, which are
+    never split further, by the tokenizer's model alone."""
+
+    def __init__(self, made: bytes):
+        self.tokenizer, self.known = tokenizer(made), {}
+        letters = [chr(c) for c in range(0x20, 0x250) if _PLAIN.fullmatch(chr(c))] + [" "]
+        split = self.tokenizer.pre_tokenizer.pre_tokenize_str
+        self.letters = str.maketrans({c: split(c)[0][0] for c in letters})
+
+    def _tokenized(self, stretches: list[str]) -> Iterator[tuple[str, bytes]]:
+        tokenize, others = self.tokenizer.model.tokenize, []
+        for stretch in stretches:
+            if _PLAIN.fullmatch(stretch):
+                ids = [token.id for token in tokenize(stretch.translate(self.letters))]
+                yield stretch, struct.pack(f"<{len(ids)}I", *ids)
+            else:
+                others.append(stretch)
+        for stretch, found in zip(others, self.tokenizer.encode_batch_fast(others, add_special_tokens=False), strict=True):
+            yield stretch, struct.pack(f"<{len(found.ids)}I", *found.ids)
+
+    def of(self, texts: list[str]) -> Iterator[bytes]:
+        if sum(map(len, texts)) <= 4 * SLICE:
+            yield from self._looked_up(texts)
+            return
+        for text in texts:
+            yield b"".join(b"".join(self._looked_up([part])) for part in slices(text))
+
+    def _looked_up(self, texts: list[str]) -> Iterator[bytes]:
+        cut = [_STRETCH.findall(text) for text in texts]
+        if len(self.known) > KNOWN:
+            self.known.clear()
+        new = list(set().union(*cut).difference(self.known))
+        self.known.update(self._tokenized(new))
+        for stretches in cut:
+            yield b"".join(map(self.known.__getitem__, stretches))
+        for stretch in new:
+            if len(stretch) > LONG:
+                del self.known[stretch]
+
+
+_ids: dict[bytes, Ids] = {}
+
+
+def ids_by(made: bytes) -> Ids:
+    """What a worker knows of a tokenizer, over all its tasks."""
+    if made not in _ids:
+        _ids.clear()
+        _ids[made] = Ids(made)
+    return _ids[made]
 
 
 class RoomTree:
@@ -168,18 +208,18 @@ def tokenized(docs: DataFrame, tokenizer_path: str, width: int = WIDTH, id_col:
     def work(batches):
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        arrow = to_arrow_schema(schema)
+        arrow, ids = to_arrow_schema(schema), ids_by(sent.value)
         for batch in text_batches(batches, 1_000, 4 << 20):
             rows, starts, lengths, totals, pieces = [], [], [], [], []
-            for row, found in enumerate(token_ids([t or "" for t in batch.column(1).to_pylist()], sent.value)):
-                ids = np.append(found, np.uint32(end)).astype("<u4")
-                for start in range(0, len(ids), width):
-                    piece = ids[start : start + width]
+            for row, found in enumerate(ids.of([text or "" for text in batch.column(1).to_pylist()])):
+                whole = found + struct.pack("<I", end)
+                for start in range(0, len(whole), 4 * width):
+                    piece = whole[start : start + 4 * width]
                     rows.append(row)
-                    starts.append(start)
-                    lengths.append(len(piece))
-                    totals.append(len(ids))
-                    pieces.append(piece.tobytes())
+                    starts.append(start // 4)
+                    lengths.append(len(piece) // 4)
+                    totals.append(len(whole) // 4)
+                    pieces.append(piece)
             names = batch.column(0).take(pa.array(rows, type=pa.int64())).cast(arrow.field(0).type)
             arrays = [names, *(pa.array(v, type=f.type) for v, f in zip([starts, lengths, totals, pieces], list(arrow)[1:], strict=True))]
             whole = pa.RecordBatch.from_arrays(arrays, schema=arrow)

@@ -56,13 +56,22 @@ def test_group_is_whole_and_tight(lengths):
     assert loose <= 1
 
 
-def test_long_texts_tokenize_alike_in_slices(plain, monkeypatch):
-    text = " ".join(["word", "café's", "12,5", "  two", "line\n\nnext", "<|endoftext|>", "日本", "x" * 50, "\x1c \x85 a"] * 40)
-    monkeypatch.setattr(P, "SLICE", 37)
+def test_stretches_tokenize_as_the_whole(plain, monkeypatch):
+    text = " ".join(["word", "café's", "12,5", "  two", "line\n\nnext", "<|endoftext|>", "日本", "x" * 150, "\x1c \x85 a"] * 40)
     assert len(list(P.slices(text, 37))) > 20 and "".join(P.slices(text, 37)) == text
-    for found in P.token_ids([text, "", "short"], P.read_tokenizer(byte_tokenizer())):
-        assert found.tolist() == plain(text)[:-1]
-        text = "" if text and text != "short" else "short"
+    monkeypatch.setattr(P, "SLICE", 37)
+    monkeypatch.setattr(P, "KNOWN", 20)
+    ids = P.Ids(P.read_tokenizer(byte_tokenizer()))
+    dice = random.Random(1)
+    odd = [chr(c) for c in [*range(0x20), 0x20, 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x2010), 0x2028, 0x2029, 0x202F, 0x205F,
+                            0x2060, 0x3000, 0xFEFF, 0x301]] + list("abst1.,'é日ªд²ñ×_ \n\t  ") * 3
+    texts = [text, "", "short", " ", "x \n "] + ["".join(dice.choices(odd, k=dice.randint(1, 40))) for _ in range(3_000)]
+    for at in range(0, len(texts), 7):
+        part = texts[at : at + 7]
+        for t, found in zip(part, ids.of(part), strict=True):
+            assert np.frombuffer(found, "<u4").tolist() == plain(t)[:-1], repr(t)
+    whole = "".join(texts)
+    assert np.frombuffer(next(ids.of([whole])), "<u4").tolist() == plain(whole)[:-1]
 
 
 def rows_of(frame):
