@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from docmill.functions import text as T
 from docmill.functions.arrays import explode_rows, let
 from docmill.operators.ranking import top_per_key
+from docmill.session import cut_lineage
 
 Analyzer = Callable[[Column], Column]
 LEAD_ROWS = 4_000  # most query alternatives sent to every executor (a query has 10,000 letters at most)
@@ -46,11 +47,13 @@ def term_stats(postings: DataFrame) -> DataFrame:
     return postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
+PIECES = r'(-?"[^"]*"|[^\s"]+)'
+
+
 def parse_queries(queries: DataFrame, analyzer: Analyzer = simple_analyzer) -> DataFrame:
     """Add ``alternatives``: words side by side must all occur, ``or`` separates alternatives,
     a leading ``-`` excludes, quotes make a phrase. A word the analyzer splits is a phrase."""
-    pieces = F.regexp_extract_all(F.col("query"), F.lit(r'(-?"[^"]*"|[^\s"]+)'), F.lit(1))
-    no_items = F.array().cast(f"array<{ITEM}>")
+    pieces = F.regexp_extract_all(F.col("query"), F.lit(PIECES), F.lit(1))
 
     def described(piece: Column) -> Column:
         return F.struct(
@@ -59,16 +62,6 @@ def parse_queries(queries: DataFrame, analyzer: Analyzer = simple_analyzer) -> D
             analyzer(piece).alias("words"),
         )
 
-    def step(acc: Column, p: Column) -> Column:
-        item = F.struct(p["negated"].alias("negated"), _trim_gaps(p["words"]).alias("words"))
-        last = F.element_at(acc, -1)
-        front = F.slice(acc, F.lit(1), F.size(acc) - 1)
-        return (
-            F.when(p["split"], F.array_append(acc, no_items))
-            .when(F.size(item["words"]) == 0, acc)
-            .otherwise(F.array_append(front, F.array_append(last, item)))
-        )
-
     if getattr(analyzer, "outside_lambda", False):
         # one row per piece, analysed there and gathered again
         rows = explode_rows(queries, pieces, ["query_id"], "_piece", "_no")
@@ -81,10 +74,24 @@ def parse_queries(queries: DataFrame, analyzer: Analyzer = simple_analyzer) -> D
         )
     else:
         ready = queries.withColumn("_words", F.transform(pieces, described))
-    parsed = F.filter(
-        F.aggregate("_words", F.array(no_items), step), lambda items: F.size(items) > 0
-    )
-    return ready.select(*queries.columns, parsed.alias("alternatives"))
+    return ready.select(*queries.columns, _alternatives(F.col("_words")).alias("alternatives"))
+
+
+def _alternatives(words: Column) -> Column:
+    """Alternatives from described pieces: (split, negated, words) each."""
+    no_items = F.array().cast(f"array<{ITEM}>")
+
+    def step(acc: Column, p: Column) -> Column:
+        item = F.struct(p["negated"].alias("negated"), _trim_gaps(p["words"]).alias("words"))
+        last = F.element_at(acc, -1)
+        front = F.slice(acc, F.lit(1), F.size(acc) - 1)
+        return (
+            F.when(p["split"], F.array_append(acc, no_items))
+            .when(F.size(item["words"]) == 0, acc)
+            .otherwise(F.array_append(front, F.array_append(last, item)))
+        )
+
+    return F.filter(F.aggregate(words, F.array(no_items), step), lambda items: F.size(items) > 0)
 
 
 def _trim_gaps(words: Column) -> Column:
@@ -207,10 +214,12 @@ def fts_matches(
     word when ``stats`` (term, df) is given, else its longest. The other words, phrases and
     exclusions are checked on the chunk's own tokens, so frequent words never produce rows.
     A bounded set of lead words is broadcast and chunks are only scanned; a larger one meets
-    the words in a shuffled join of ids.
+    the words in a shuffled join of ids. Queries that have ``alternatives`` are taken as parsed.
     """
     terms, slots = rank_words(F.col("alternatives"))
-    parsed = parse_queries(queries.select("query_id", "query"), analyzer).select(
+    if "alternatives" not in queries.columns:
+        queries = parse_queries(queries.select("query_id", "query"), analyzer)
+    parsed = queries.select(
         "query_id",
         "alternatives",
         terms.alias("terms"),
@@ -282,3 +291,47 @@ def fts_search(
         k,
         salt=F.col("chunk_id"),
     )
+
+
+Stems = Callable[[DataFrame], DataFrame]
+
+
+def analysed(
+    queries: DataFrame, chunks: DataFrame, stems: Stems, carry: list[str] = ()
+) -> tuple[DataFrame, DataFrame]:
+    """Queries with ``alternatives`` and a token table, both of analysed words, for ``fts_matches``.
+
+    ``stems`` gives (word, stem) for distinct words, the empty stem for a stop word. It runs once
+    over the words of the queries and once over the distinct words of all chunks; only words with a
+    stem that some query has become rows of a chunk, by a join with that small list. Every other
+    word is an empty token, so distances are those of the text.
+    """
+    asked = explode_rows(queries, T.tokens(F.col("query")), [], "word").distinct()
+    asked = cut_lineage(stems(asked).select("word", "stem"))
+    words = explode_rows(chunks, F.array_distinct(T.tokens(F.col("content"))), [], "word").distinct()
+    forms = stems(words).where("stem <> ''").join(asked.select("stem").distinct(), "stem", "left_semi")
+    forms = cut_lineage(forms.select("word", "stem"))
+
+    pieces = F.regexp_extract_all(F.col("query"), F.lit(PIECES), F.lit(1))
+    rows = explode_rows(queries, pieces, ["query_id"], "piece", "no")
+    placed = rows.select("query_id", "no", "piece", F.posexplode_outer(T.tokens(F.col("piece"))).alias("at", "word"))
+    stemmed = placed.join(asked, "word", "left").groupBy("query_id", "no", "piece").agg(
+        F.array_sort(F.collect_list(F.when(F.col("at").isNotNull(), F.struct("at", "stem")))).alias("words")
+    )
+    described = F.struct(
+        "no", (F.lower("piece") == "or").alias("split"), F.startswith("piece", F.lit("-")).alias("negated"),
+        F.transform("words", lambda w: F.coalesce(w["stem"], F.lit(""))).alias("words"),
+    )
+    gathered = stemmed.groupBy("query_id").agg(F.array_sort(F.collect_list(described)).alias("_words"))
+    parsed = queries.join(gathered, "query_id").select(*queries.columns, _alternatives(F.col("_words")).alias("alternatives"))
+
+    # a last row per chunk tells its number of words and keeps chunks without any asked word
+    all_words = F.array_append(T.tokens(F.col("content")), F.lit(""))
+    at = explode_rows(chunks, all_words, ["chunk_id", *carry], "word", "at")
+    found = at.join(forms.unionAll(forms.sparkSession.createDataFrame([("", "")], "word string, stem string")), "word")
+    found = found.groupBy("chunk_id", *carry).agg(
+        F.max("at").alias("_size"), F.map_from_entries(F.collect_list(F.struct("at", "stem"))).alias("_stems")
+    )
+    places = F.when(F.col("_size") > 0, F.sequence(F.lit(0), F.col("_size") - 1)).otherwise(F.array().cast("array<int>"))
+    tokens = F.transform(places, lambda i: F.coalesce(F.try_element_at("_stems", i), F.lit("")))
+    return parsed, found.select("chunk_id", *carry, tokens.alias("tokens"))

@@ -409,6 +409,47 @@ def q_corpus_roundtrip(spark, root):
         per_doc, "document_id", "left")
 
 
+def q_store_changes(spark, root):
+    """A stored corpus replaced by another one, documents deleted, others upserted: what it holds
+    then, and which buckets still have the files of before the deletion."""
+    path = f"{checkpoint_dir(spark)}/store-{uuid.uuid4().hex}"
+    old, now = (F.lit(f"2024-0{m}-01 00:00:00").cast("timestamp") for m in (1, 2))
+    docs = tables.load(spark, root, "documents").select(
+        F.col("doc_id").alias("document_id"), "source", F.md5("text").alias("content"),
+        old.alias("created_at"), old.alias("updated_at"))
+    chunks = _chunks(spark, root).select(F.col("doc_id").alias("document_id"), "chunk_index", "content")
+    ST.write_bucketed(docs.withColumn("source", F.lit("old")), chunks.limit(0), path, _STORE_BUCKETS)
+    ST.write_bucketed(docs, chunks, path, _STORE_BUCKETS)
+    names = ["documents", "chunks"]
+    before = {n: spark.createDataFrame(ST.bucket_versions(spark, path, n).collect(), "bucket int, version decimal(38,0)")
+              for n in names}
+    labels = tables.load(spark, root, "labels").withColumn("bucket", ST.bucket_of(F.col("doc_id"), _STORE_BUCKETS))
+    doomed = labels.where("bucket % 4 = 0 and (toxic = 1 or quality = 0)").select(F.col("doc_id").alias("document_id"))
+    emptied = docs.where(ST.bucket_of(F.col("document_id"), _STORE_BUCKETS) == 4).select("document_id")
+    ST.delete_bucketed(spark, path, doomed.unionAll(emptied))
+    moved = labels.select(
+        (F.col("doc_id") + 50).alias("document_id"),
+        F.concat(F.lit("quality "), F.col("quality").cast("string")).alias("content"))
+    ST.upsert_bucketed(
+        spark, path, moved.where(ST.bucket_of(F.col("document_id"), _STORE_BUCKETS) % 4 == 1), now)
+    found = ST.read_bucketed(spark, path, "documents").select(
+        "document_id", "source", "content", "bucket",
+        F.date_format("created_at", "yyyy-MM-dd").alias("created"),
+        F.date_format("updated_at", "yyyy-MM-dd").alias("updated"))
+    kept = ST.read_bucketed(spark, path, "chunks").groupBy("document_id").agg(F.count(F.lit(1)).alias("chunks"))
+    found = found.join(kept, "document_id", "left")
+    for name in names:
+        same = before[name].join(ST.bucket_versions(spark, path, name), ["bucket", "version"])
+        same = same.select("bucket", F.lit(True).alias(f"{name}_unchanged"))
+        found = found.join(F.broadcast(same), "bucket", "left")  # a row per bucket
+    flags = [F.coalesce(f"{n}_unchanged", F.lit(False)).alias(f"{n}_unchanged") for n in names]
+    return found.select(
+        "document_id", "source", "content", "created", "updated", F.coalesce("chunks", F.lit(0)).alias("chunks"), *flags)
+
+
+_STORE_BUCKETS = 16
+
+
 def q_upsert_documents(spark, root):
     """Labels as new versions of documents; shifted numbers make some of them new."""
     old = F.lit("2024-01-01 00:00:00").cast("timestamp")
@@ -457,6 +498,7 @@ QUERIES = {
     "union_counts": q_union_counts,
     "corpus_roundtrip": q_corpus_roundtrip,
     "upsert_documents": q_upsert_documents,
+    "store_changes": q_store_changes,
 }
 
 
@@ -507,6 +549,10 @@ _BUCKETS = ", ".join(
     f"count(*) FILTER (t >= {lo} AND t < {hi}) AS tokens_{lo}_{hi}" for lo, hi in C.TOKEN_BUCKETS
 )
 
+def _bucket(key: str) -> str:
+    return f"('0x' || substr(md5(({key})::VARCHAR), 1, 8))::BIGINT % {_STORE_BUCKETS}"
+
+
 ORACLES = {
     "embed_errors": f"""
 WITH t AS (SELECT doc_id, substr(text, 1, 32764) AS t FROM documents),
@@ -706,6 +752,25 @@ SELECT d.doc_id AS document_id, 2::BIGINT AS copies,
        (sum(c.t) + coalesce(sum(c.t) FILTER (c.v), 0))::BIGINT AS tokens,
        CASE WHEN count(c.doc_id) > 0 THEN 2 * count(*) FILTER (c.v) END AS vectors
 FROM documents d LEFT JOIN c USING (doc_id) GROUP BY d.doc_id""",
+    "store_changes": f"""WITH RECURSIVE {sliding()},
+d AS (SELECT doc_id AS document_id, source, md5(text) AS content, {_bucket('doc_id')} AS bucket FROM documents),
+l AS (SELECT *, {_bucket('doc_id')} AS bucket, {_bucket('doc_id + 50')} AS next FROM labels),
+doomed AS (SELECT doc_id AS document_id FROM l WHERE bucket % 4 = 0 AND (toxic = 1 OR quality = 0)
+           UNION SELECT document_id FROM d WHERE bucket = 4),
+incoming AS (SELECT doc_id + 50 AS document_id, 'quality ' || quality AS content, next AS bucket FROM l WHERE next % 4 = 1),
+n AS (SELECT doc_id AS document_id, {_bucket('doc_id')} AS bucket, count(*) AS chunks FROM chunks GROUP BY ALL),
+left_docs AS (SELECT * FROM d WHERE document_id NOT IN (SELECT document_id FROM doomed)),
+docs_touched AS (SELECT bucket FROM d WHERE document_id IN (SELECT document_id FROM doomed) UNION SELECT bucket FROM incoming),
+chunks_touched AS (SELECT bucket FROM n WHERE document_id IN (SELECT document_id FROM doomed)),
+merged AS (
+  SELECT document_id, s.source, coalesce(i.content, s.content) AS content, coalesce(s.bucket, i.bucket) AS bucket,
+       CASE WHEN s.content IS NULL THEN '2024-02-01' ELSE '2024-01-01' END AS created,
+       CASE WHEN i.content IS NULL THEN '2024-01-01' ELSE '2024-02-01' END AS updated
+  FROM left_docs s FULL JOIN incoming i USING (document_id))
+SELECT document_id, source, content, created, updated, coalesce(chunks, 0) AS chunks,
+  m.bucket NOT IN (SELECT bucket FROM docs_touched) AND m.bucket IN (SELECT bucket FROM d) AS documents_unchanged,
+  m.bucket NOT IN (SELECT bucket FROM chunks_touched) AND m.bucket IN (SELECT bucket FROM n) AS chunks_unchanged
+FROM merged m LEFT JOIN n USING (document_id)""",
     "upsert_documents": """
 WITH stored AS (SELECT doc_id AS document_id, source, md5(text) AS content FROM documents),
 incoming AS (SELECT doc_id + 50 AS document_id, 'quality ' || quality AS content FROM labels)

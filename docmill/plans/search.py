@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from docmill import tables
 from docmill.functions import text as T
 from docmill.functions import vectors as V
+from docmill.functions.arrays import explode_rows
+from docmill.functions.stemming import french_stems, stems_sql
 from docmill.operators import fulltext as FT
 from docmill.operators import search as S
 from docmill.operators.vector_search import vector_leg, vector_search
@@ -75,6 +77,21 @@ def q_fts_websearch(spark, root):
     return found.select("query_id", "rank", "chunk_id", _round("rank_cd"))
 
 
+def q_fts_french(spark, root):
+    """The web-search questions over French stems, stop words left out."""
+    queries, tokens = FT.analysed(
+        _web_queries(spark, root), tables.chunk_texts(spark, root, toc=False), french_stems)
+    found = FT.fts_search(queries, tokens, S.LIMIT)
+    return found.select("query_id", "rank", "chunk_id", _round("rank_cd"))
+
+
+def q_french_stems(spark, root):
+    """The stem of every distinct word of the texts."""
+    docs = tables.spread(tables.load(spark, root, "documents"), "doc_id")
+    words = explode_rows(docs, F.array_distinct(T.tokens(F.col("text"))), [], "word").distinct()
+    return french_stems(words)
+
+
 def q_cover_density(spark, root):
     tokens = _tokens(spark, root)
     stats = FT.term_stats(FT.build_postings(tokens))
@@ -296,6 +313,8 @@ QUERIES = {
     "toc_filter": q_toc_filter,
     "fts_search": q_fts_search,
     "fts_websearch": q_fts_websearch,
+    "fts_french": q_fts_french,
+    "french_stems": q_french_stems,
     "cover_density": q_cover_density,
     "postings": q_postings,
     "hybrid_search": q_hybrid_search,
@@ -323,6 +342,29 @@ paged AS (SELECT *, CASE WHEN chunk_id % 5 <> 0 THEN (chunk_id % 40)::INT END AS
           FROM final)
 """
 
+# texts and questions with every word replaced by its stem, and stop words by a mark
+_STEMMED = rf"""
+all_words AS (SELECT DISTINCT unnest({Q.tokens('text')}) AS word
+              FROM (SELECT text FROM documents UNION ALL SELECT text FROM benchmark)),
+stems AS MATERIALIZED (SELECT word, CASE WHEN stem = '' THEN '0stop0' ELSE stem END AS stem FROM {stems_sql('all_words')}),
+chunk_stems AS (
+  SELECT d.doc_id AS chunk_id, coalesce(string_agg(s.stem, ' ' ORDER BY p.pos), '') AS content
+  FROM documents d LEFT JOIN (SELECT doc_id, unnest(t) AS word, unnest(range(len(t))) AS pos
+    FROM (SELECT doc_id, {Q.tokens('text')} AS t FROM documents)) p USING (doc_id)
+  LEFT JOIN stems s USING (word) GROUP BY d.doc_id),
+web_pieces AS (
+  SELECT query_id, unnest(ps) AS piece, unnest(range(len(ps))) AS no
+  FROM (SELECT query_id, regexp_extract_all(query, '-?"[^"]*"|[^\s"]+') AS ps FROM web)),
+web_words AS (
+  SELECT query_id, no, piece, unnest(t) AS word, unnest(range(len(t))) AS pos
+  FROM (SELECT *, {Q.tokens('piece')} AS t FROM web_pieces) WHERE lower(piece) <> 'or'),
+web_said AS (
+  SELECT query_id, no, CASE WHEN starts_with(piece, '-') THEN '-' ELSE '' END || '"' ||
+         string_agg(stem, ' ' ORDER BY pos) || '"' AS said
+  FROM web_words JOIN stems USING (word) GROUP BY query_id, no, piece
+  UNION ALL SELECT query_id, no, 'or' FROM web_pieces WHERE lower(piece) = 'or'),
+web_stems AS (SELECT query_id, string_agg(said, ' ' ORDER BY no) AS query FROM web_said GROUP BY query_id)
+"""
 ORACLES = {
     "vector_search": f"""WITH {_VECTOR}
 SELECT v.query_id, v.rank::INT AS rank, v.chunk_id, v.document_id, d.title AS document_title,
@@ -336,6 +378,13 @@ SELECT query_id, rank::INT AS rank, chunk_id, round(rank_cd, 9) AS rank_cd FROM
     "fts_websearch": f"""WITH {Q.CORPUS}, {WEB_QUERIES}, {Q.keyword_ctes('web', 'chunks')},
 {Q.keyword_leg(30)}
 SELECT query_id, rank::INT AS rank, chunk_id, round(rank_cd, 9) AS rank_cd FROM text_leg""",
+    "fts_french": f"""WITH {WEB_QUERIES}, {_STEMMED},
+{Q.keyword_ctes('web_stems', 'chunk_stems', lambda col: f"list_transform({Q.tokens(col)}, lambda w: replace(w, '0stop0', ''))")},
+{Q.keyword_leg(30)}
+SELECT query_id, rank::INT AS rank, chunk_id, round(rank_cd, 9) AS rank_cd FROM text_leg""",
+    "french_stems": f"""
+WITH words AS (SELECT DISTINCT unnest({Q.tokens('text')}) AS word FROM documents)
+SELECT word, stem FROM {stems_sql('words')}""",
     "cover_density": f"""WITH {_ALL_CHUNKS}
 SELECT query_id, chunk_id, round(rank_cd, 9) AS rank_cd FROM scored""",
     "postings": f"""

@@ -141,8 +141,10 @@ def nearest(name: str, k: int, threshold: float, toc: bool) -> str:
 """
 
 
-def keyword_ctes(queries: str, chunks: str) -> str:
-    """CTEs up to ``scored(query_id, chunk_id, rank_cd)``: every match of every query."""
+def keyword_ctes(queries: str, chunks: str, words=tokens) -> str:
+    """CTEs up to ``scored(query_id, chunk_id, rank_cd)``: every match of every query. ``words``
+    gives the analysed words of a text, empty ones where a word is left out."""
+    tokens = words
     return rf"""
 toks AS (SELECT chunk_id, {tokens('content')} AS toks FROM {chunks}),
 places AS (SELECT chunk_id, unnest(toks) AS term, unnest(range(len(toks))) AS pos FROM toks),
@@ -153,12 +155,12 @@ items AS (
   SELECT query_id, alt, no, starts_with(piece, '-') AS negated, {tokens('piece')} AS words
   FROM (SELECT *, sum((lower(piece) = 'or')::INT) OVER (PARTITION BY query_id ORDER BY no) AS alt
         FROM pieces)
-  WHERE lower(piece) <> 'or' AND len({tokens('piece')}) > 0),
+  WHERE lower(piece) <> 'or' AND len(list_filter({tokens('piece')}, lambda w: w <> '')) > 0),
 item_hits AS (
   SELECT DISTINCT query_id, no, chunk_id FROM (
     SELECT i.query_id, i.no, p.chunk_id
-    FROM (SELECT query_id, no, len(words) AS m, unnest(words) AS w, unnest(range(len(words))) AS j
-          FROM items) i JOIN places p ON p.term = i.w
+    FROM (SELECT query_id, no, len(list_filter(words, lambda w: w <> '')) AS m, unnest(words) AS w,
+            unnest(range(len(words))) AS j FROM items) i JOIN places p ON p.term = i.w AND i.w <> ''
     GROUP BY i.query_id, i.no, p.chunk_id, p.pos - i.j, i.m HAVING count(*) = i.m)),
 checked AS (
   SELECT i.query_id, i.alt, t.chunk_id,
@@ -167,7 +169,7 @@ checked AS (
   LEFT JOIN item_hits h ON h.query_id = i.query_id AND h.no = i.no AND h.chunk_id = t.chunk_id
   GROUP BY ALL),
 hit AS (SELECT query_id, chunk_id FROM checked GROUP BY ALL HAVING bool_or(ok)),
-terms AS (SELECT DISTINCT query_id, alt, unnest(words) AS term FROM items WHERE NOT negated),
+terms AS (SELECT DISTINCT query_id, alt, unnest(list_filter(words, lambda w: w <> '')) AS term FROM items WHERE NOT negated),
 entries AS (
   SELECT h.query_id, h.chunk_id, p.pos, p.term,
          row_number() OVER (PARTITION BY h.query_id, h.chunk_id ORDER BY p.pos) AS no

@@ -12,11 +12,13 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from docmill.functions import text as T
+from docmill.operators.chat import parse_sse
 from docmill.operators.chunking import chunk_sliding
 from docmill.operators.sessions import IDLE_SECONDS
 
 
 FILES_PER_BATCH = 1_000
+LIMIT_SECONDS = 60  # a message fails when it has no end by then
 
 
 def read_table_stream(spark: SparkSession, folder: str, name: str, schema, **options) -> DataFrame:
@@ -70,46 +72,87 @@ def session_stream(
     )
 
 
-def assemble_stream(events: DataFrame, key: list[str]) -> DataFrame:
+class _Message:
+    """A message while its events come in; texts are joined once, when it is given out or stored."""
+
+    NAMES = ["content", "sources", "cited_indices", "tool_calls", "error"]
+
+    def __init__(self, held: tuple | None = None) -> None:
+        content, self.sources, self.cited, calls, self.error = held or ("", None, None, "[]", None)
+        self.tokens, self.calls = [content], json.loads(calls)
+
+    def take(self, event) -> None:
+        if event.type == "token":
+            self.tokens.append(event.content)
+        elif event.type == "sources" and event.sources is not None:
+            self.sources, self.cited = event.sources, event.cited_indices
+        elif event.type == "tool_call":
+            self.calls.append([event.tool_name, event.tool_args, event.tool_result])
+        elif event.type == "error":
+            self.fail(event.content)
+
+    def fail(self, reason: str = "") -> None:
+        self.error = reason or "An error occurred"
+
+    def row(self) -> tuple:
+        return "".join(self.tokens), self.sources, self.cited, json.dumps(self.calls), self.error
+
+
+def assemble_stream(
+    events: DataFrame, key: list[str], ts: str | None = None, limit_seconds: int = LIMIT_SECONDS, delay: str = "10 minutes"
+) -> DataFrame:
     """Messages from a stream of parsed events, given out when they are done or have failed. Until
     then the state of a message holds what has come of it, so it does not matter where the stream is
-    cut into batches; a message without an end stays in the state. The events of a message are taken
-    in ``seq`` order inside a batch; columns as in ``assemble_messages``."""
+    cut into batches. The events of a message are taken in ``seq`` order inside a batch; columns as in
+    ``assemble_messages``.
+
+    With ``ts`` (event time) a message has ``limit_seconds`` from its first event: one without an end
+    by then fails, when the watermark passes the limit or a later event of its key comes, which then
+    opens the next message. So no state outlives its limit. Without ``ts`` messages wait for their end.
+    """
     fields = {f.name: f.dataType.simpleString() for f in events.schema.fields}
-    names = ["content", "sources", "cited_indices", "tool_calls", "error"]
+    names = _Message.NAMES
     kept = ", ".join(f"{n} string" for n in names)
+    if ts:
+        events = events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay)
+        events = events.withColumn("_ms", F.unix_millis(ts))
+    timed = ts is not None
+    limit = limit_seconds * 1000
 
     def fold(name: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         out = []
-
-        def give(held, done):
-            out.append([*name, *held, done])
-            return ["", None, None, "[]", None]
-
-        held = list(state.get) if state.exists else ["", None, None, "[]", None]
-        begun = state.exists
-        for row in pd.concat(list(batches)).sort_values("seq").itertuples():
-            begun = True
-            if row.type == "token":
-                held[0] += row.content
-            elif row.type == "sources" and row.sources is not None:
-                held[1], held[2] = row.sources, row.cited_indices
-            elif row.type == "tool_call":
-                call = [row.tool_name, row.tool_args, row.tool_result]
-                held[3] = json.dumps([*json.loads(held[3]), call])
-            elif row.type == "error":
-                held[4] = row.content or "An error occurred"
-            if row.type in ("done", "error"):
-                held, begun = give(held, row.type == "done"), False
-        if begun:
-            state.update(tuple(held))
+        message = started = None
+        if state.exists:
+            *held, started = state.get
+            message = _Message(tuple(held))
+        if state.hasTimedOut:
+            message.fail()
+            out.append([*name, *message.row(), False])
+            message = None
+        else:
+            for event in pd.concat(list(batches)).sort_values("seq").itertuples():
+                if timed and message and event.ms >= started + limit:
+                    message.fail()
+                    out.append([*name, *message.row(), False])
+                    message = None
+                if message is None:
+                    message, started = _Message(), event.ms if timed else 0
+                message.take(event)
+                if event.type in ("done", "error"):
+                    out.append([*name, *message.row(), event.type == "done"])
+                    message = None
+        if message:
+            state.update((*message.row(), started))
+            if timed:
+                state.setTimeoutTimestamp(max(started + limit, state.getCurrentWatermarkMs() + 1))
         elif state.exists:
             state.remove()
         yield pd.DataFrame(out, columns=[*key, *names, "done"])
 
     keyed = ", ".join(f"{k} {fields[k]}" for k in key)
-    found = events.groupBy(*key).applyInPandasWithState(
-        fold, f"{keyed}, {kept}, done boolean", kept, "append", GroupStateTimeout.NoTimeout
+    timeout = GroupStateTimeout.EventTimeTimeout if timed else GroupStateTimeout.NoTimeout
+    found = events.withColumnRenamed("_ms", "ms").groupBy(*key).applyInPandasWithState(
+        fold, f"{keyed}, {kept}, done boolean", f"{kept}, started long", "append", timeout
     )
     calls = F.transform(
         F.from_json("tool_calls", "array<array<string>>"),
@@ -118,6 +161,133 @@ def assemble_stream(events: DataFrame, key: list[str]) -> DataFrame:
     return found.withColumn("tool_calls", calls)
 
 
+def frame_stream(
+    pieces: DataFrame,
+    key: list[str],
+    number: str = "piece_no",
+    piece: str = "piece",
+    ts: str = "ts",
+    idle_seconds: int = IDLE_SECONDS,
+    delay: str = "10 minutes",
+) -> DataFrame:
+    """Whole events out of a stream of byte pieces that end anywhere: in an event, a line or a
+    letter. Gives ``frame`` (text that ends with a blank line) and ``first_event`` (how many events of
+    the connection came before it) per connection and batch; :func:`parse_frames` reads them.
+
+    The state of a connection holds the bytes after its last blank line. Pieces are taken by their
+    number from 0 on: one that comes again is dropped, one that comes early waits for those before it.
+    What has no end after ``idle_seconds`` without a piece is forgotten, so the state is bounded by the
+    connections that are open.
+    """
+    fields = {f.name: f.dataType.simpleString() for f in pieces.schema.fields}
+    keyed = ", ".join(f"{k} {fields[k]}" for k in key)
+    timed = pieces.withColumn("_ts", F.col(ts).cast("timestamp")).withWatermark("_ts", delay)
+    rows = timed.select(
+        *key, "_ts", F.unix_millis("_ts").alias("ms"), F.col(number).cast("long").alias("no"),
+        F.col(piece).cast("binary").alias("bytes"),
+    )
+    held = "next long, events long, last long, rest binary, early_no array<long>, early array<binary>"
+
+    def fold(name: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        out = []
+        if state.hasTimedOut:
+            state.remove()
+        else:
+            next_, events, last, rest, early_no, early = state.get if state.exists else (0, 0, 0, b"", [], [])
+            waiting = dict(zip(early_no, early, strict=True))
+            for batch in batches:
+                last = max(last, int(batch["ms"].max()))
+                waiting.update((n, p) for n, p in zip(batch["no"], batch["bytes"], strict=True) if n >= next_)
+            ready = []
+            while next_ in waiting:
+                ready.append(bytes(waiting.pop(next_) or b""))
+                next_ += 1
+            whole, count, rest = split_frames(bytes(rest), b"".join(ready))
+            if count:
+                out.append([*name, events, whole.decode("utf-8", "replace")])
+            events += count
+            state.update((next_, events, last, rest, list(waiting), list(waiting.values())))
+            state.setTimeoutTimestamp(max(last + idle_seconds * 1000, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(out, columns=[*key, "first_event", "frame"])
+
+    return rows.groupBy(*key).applyInPandasWithState(
+        fold, f"{keyed}, first_event long, frame string", held, "append", GroupStateTimeout.EventTimeTimeout
+    )
+
+
+def split_frames(rest: bytes, new: bytes) -> tuple[bytes, int, bytes]:
+    """``rest + new`` up to its last blank line, the number of events in it, and what is left over.
+    ``rest`` has no blank line."""
+    whole = rest + new
+    ends, at = [], whole.find(b"\n\n", max(0, len(rest) - 1))
+    while at >= 0:
+        ends.append(at + 2)
+        at = whole.find(b"\n\n", at + 2)
+    return (whole[: ends[-1]], len(ends), whole[ends[-1] :]) if ends else (b"", 0, whole)
+
+
+def parse_frames(frames: DataFrame, key: list[str]) -> DataFrame:
+    """The events of :func:`frame_stream`'s text, as ``parse_sse`` gives them for whole bodies."""
+    rows = parse_sse(frames, [*key, "first_event"], "frame")
+    return rows.withColumn("seq", F.col("first_event") + F.col("seq")).drop("first_event")
+
+
+def history_stream(
+    messages: DataFrame,
+    key: str,
+    order: str,
+    ts: str = "ts",
+    model: str = "model",
+    idle_seconds: int = IDLE_SECONDS,
+    delay: str = "10 minutes",
+) -> DataFrame:
+    """Every message of a stream with the history that is valid when it comes: ``history`` (array of
+    role and content), the earlier messages of its session since the last reset. System messages are
+    no part of it and get no row.
+
+    A session is reset by ``idle_seconds`` without a message or by a message of another model than the
+    last one named. An idle session's state goes once the watermark is past it, so the state is
+    bounded by the sessions in use. Messages are taken by ``ts``, then ``order``, inside a batch.
+    """
+    fields = {f.name: f.dataType.simpleString() for f in messages.schema.fields}
+    timed = messages.where(F.col("role") != "system")
+    timed = timed.withColumn("_ts", F.col(ts).cast("timestamp")).withWatermark("_ts", delay)
+    rows = timed.select(
+        key, "_ts", F.unix_millis("_ts").alias("ms"), F.col(order).alias("no"), "role", "content", F.col(model).alias("named")
+    )
+    idle = idle_seconds * 1000
+
+    def fold(name: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        out = []
+        if state.hasTimedOut:
+            state.remove()
+        else:
+            last, used, roles, texts = state.get if state.exists else (None, None, [], [])
+            roles, texts = list(roles), list(texts)
+            for row in pd.concat(list(batches)).sort_values(["ms", "no"]).itertuples():
+                named = row.named if isinstance(row.named, str) and row.named else None
+                idled = last is not None and row.ms - last >= idle
+                if idled or (named and used and named != used):
+                    roles, texts = [], []
+                used = named or (None if idled else used)
+                history = [{"role": r, "content": t} for r, t in zip(roles, texts, strict=True)]
+                out.append([*name, row.no, history])
+                roles.append(row.role)
+                texts.append(row.content)
+                last = row.ms
+            state.update((last, used, roles, texts))
+            state.setTimeoutTimestamp(max(last + idle, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(out, columns=[key, order, "history"])
+
+    return rows.groupBy(key).applyInPandasWithState(
+        fold,
+        f"{key} {fields[key]}, {order} {fields[order]}, history array<struct<role: string, content: string>>",
+        "last long, used string, roles array<string>, texts array<string>",
+        "append",
+        GroupStateTimeout.EventTimeTimeout,
+    )
+
+
 def first_per_period(requests: DataFrame, key: list[str], ts: str, period: str) -> DataFrame:
     """First request of each key per period of event time; repeats inside it are dropped."""
     timed = requests.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, period)
