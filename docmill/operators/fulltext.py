@@ -248,6 +248,10 @@ def fts_matches(
             "lead", F.coalesce("lead", F.lit(""))
         )
     leads = leads.drop("_words")
+    per_query = leads.groupBy("query_id").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("alternative", "lead"))), lambda x: x["lead"]).alias("leads")
+    )
+    leads = leads.join(per_query, "query_id")
     # an alternative made of exclusions only has no lead word: the empty one, which every
     # chunk is given if there is such an alternative
     size = leads.agg(F.count(F.lit(1)), F.max(F.col("lead") == "")).first()
@@ -260,9 +264,13 @@ def fts_matches(
     else:
         ids = tokens.select("chunk_id", F.explode(words).alias("lead")).join(leads, "lead")
         pairs = ids.join(tokens.select(*columns, "tokens"), "chunk_id")
-    met = F.transform("alternatives", lambda items: _satisfied(F.col("tokens"), items))
-    # a chunk found through several alternatives is kept for the first one it satisfies
-    found = F.array_position(met, F.lit(True)) == F.col("alternative") + 1
+    # a chunk that holds the leads of several alternatives is looked at once, for the first of them
+    again = F.exists(
+        F.slice("leads", F.lit(1), F.col("alternative")),
+        lambda lead: (lead == "") | F.array_contains("tokens", lead),
+    )
+    met = F.exists("alternatives", lambda items: _satisfied(F.col("tokens"), items))
+    found = F.when(again, False).otherwise(met)
     density = cover_density(F.col("tokens"), F.col("terms"), F.col("slots"))
     # generated rather than filtered: a plain filter would become a condition of the join and
     # take the explode above out of generated code, copying the tokens of every word

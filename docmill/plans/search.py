@@ -52,35 +52,41 @@ def q_fts_search(spark, root):
     return found.select("query_id", "rank", "chunk_id", _round("rank_cd"))
 
 
-def _web_queries(spark, root):
+def _web_queries(spark, root, alternatives: int = 10_000):
     """Keyword questions in web-search form made from every whole benchmark text: its first two
-    words as a phrase, all further words as alternatives, without its last word."""
+    words as a phrase, all further words (or so many) as alternatives, without its last word."""
     words = tables.load(spark, root, "benchmark").select(
         F.col("item_id").alias("query_id"), T.tokens(F.col("text")).alias("w")
     )
     n = F.size("w")
     phrase = F.array_join(F.slice("w", 1, 2), " ")
-    middle = F.array_join(F.slice("w", 3, F.greatest(n - 3, F.lit(0))), " or ")
+    middle = F.array_join(F.slice("w", 3, F.least(F.greatest(n - 3, F.lit(0)), F.lit(alternatives))), " or ")
     last = F.when(n >= 3, F.concat(F.lit(" -"), F.get("w", n - 1))).otherwise("")
     return words.select("query_id", F.concat(F.lit('"'), phrase, F.lit('" '), middle, last).alias("query"))
 
 
-WEB_QUERIES = f"""
-web AS (SELECT query_id, '"' || array_to_string(w[1:2], ' ') || '" ' || array_to_string(w[3:greatest(len(w) - 1, 2)], ' or ')
+def _web_sql(alternatives: int = 10_000) -> str:
+    return f"""
+web AS (SELECT query_id, '"' || array_to_string(w[1:2], ' ') || '" '
+               || array_to_string(w[3:least(greatest(len(w) - 1, 2), {alternatives + 2})], ' or ')
                || CASE WHEN len(w) >= 3 THEN ' -' || w[-1] ELSE '' END AS query
         FROM (SELECT item_id AS query_id, {Q.tokens('text')} AS w FROM benchmark))
 """
 
 
+FRENCH_WORDS = 4
+WEB_QUERIES = _web_sql()
+
+
 def q_fts_websearch(spark, root):
     found = FT.fts_search(_web_queries(spark, root), _tokens(spark, root), S.LIMIT)
     return found.select("query_id", "rank", "chunk_id", _round("rank_cd"))
 
 
 def q_fts_french(spark, root):
-    """The web-search questions over French stems, stop words left out."""
+    """Short web-search questions over French stems, stop words left out."""
     queries, tokens = FT.analysed(
-        _web_queries(spark, root), tables.chunk_texts(spark, root, toc=False), french_stems)
+        _web_queries(spark, root, FRENCH_WORDS), tables.chunk_texts(spark, root, toc=False), french_stems)
     found = FT.fts_search(queries, tokens, S.LIMIT)
     return found.select("query_id", "rank", "chunk_id", _round("rank_cd"))
 
@@ -378,7 +384,7 @@ SELECT query_id, rank::INT AS rank, chunk_id, round(rank_cd, 9) AS rank_cd FROM
     "fts_websearch": f"""WITH {Q.CORPUS}, {WEB_QUERIES}, {Q.keyword_ctes('web', 'chunks')},
 {Q.keyword_leg(30)}
 SELECT query_id, rank::INT AS rank, chunk_id, round(rank_cd, 9) AS rank_cd FROM text_leg""",
-    "fts_french": f"""WITH {WEB_QUERIES}, {_STEMMED},
+    "fts_french": f"""WITH {_web_sql(FRENCH_WORDS)}, {_STEMMED},
 {Q.keyword_ctes('web_stems', 'chunk_stems', lambda col: f"list_transform({Q.tokens(col)}, lambda w: replace(w, '0stop0', ''))")},
 {Q.keyword_leg(30)}
 SELECT query_id, rank::INT AS rank, chunk_id, round(rank_cd, 9) AS rank_cd FROM text_leg""",
