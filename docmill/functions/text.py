@@ -9,6 +9,8 @@ from functools import lru_cache
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from docmill.functions.arrays import let
+
 # The characters that count as white space when text is stripped or split.
 WHITESPACE = (
     "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
@@ -224,7 +226,8 @@ def frontmatter_text(content: Column) -> Column:
 def frontmatter(content: Column) -> Column:
     """Header as a map. Flat ``key: value`` lines; a quoted value loses its quotes and the
     lines nested under a key are kept as its raw text."""
-    entry = r"(?m)^([^\s#:][^:\n]*):(?:[ \t]+(.*))?((?:\n[ \t-].*)*)$"
+    # possessive: the nested lines are taken in a loop, not one inside the other
+    entry = r"(?m)^([^\s#:][^:\n]*+):(?:[ \t]+(.*+))?+((?:\n[ \t-].*+)*+)$"
     head = frontmatter_text(content)
 
     def unquote(v: Column) -> Column:
@@ -236,13 +239,14 @@ def frontmatter(content: Column) -> Column:
     values = F.zip_with(flat, nested, lambda a, b: F.when(a == "", b).otherwise(a))
     # last one wins when a key is repeated
     pairs = F.arrays_zip(keys.alias("k"), values.alias("v"))
-    return F.aggregate(
+    once = F.size(F.array_distinct(keys)) == F.size(keys)
+    return F.when(once, F.map_from_arrays(keys, values)).otherwise(F.aggregate(
         pairs,
         F.create_map().cast("map<string,string>"),
         lambda acc, p: F.map_concat(
             F.map_filter(acc, lambda k, _: k != p["k"]), F.create_map(p["k"], p["v"])
         ),
-    )
+    ))
 
 
 def extract_title(content: Column, path: Column) -> Column:
@@ -381,17 +385,34 @@ def unescape(col: Column) -> Column:
 
 
 #: Start of a link with its address in one of three forms.
-LINK_START = r"<a\b[^>]*?\shref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))"
+LINK_START = r"<a\b[^<>]*?\shref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))"
+
+
+def _between(text: Column, end: str, pattern: str, new: str, kept: str) -> Column:
+    """Replace ``pattern``, which runs from a start to the end of a part, in the parts of ``text`` that
+    ``end`` closes. A part without a start keeps its end; the part behind the last end stays."""
+    parts = F.split(text, end)
+
+    def closed(part: Column, at: Column, last: Column) -> Column:
+        done = F.regexp_replace(part, pattern, new)
+        return F.when(at == last, part).when(part.rlike(pattern), done).otherwise(F.concat(part, F.lit(kept)))
+
+    return F.array_join(
+        let(parts, lambda ps: F.transform(ps, lambda part, at: closed(part, at, F.size(ps) - 1))), "")
 
 
 def html_to_text(html: Column) -> Column:
     """Markdown of a page: boilerplate elements dropped, headings as ``#`` lines, list items as
     ``- `` lines, links as ``[text](address)``, table rows as ``| cell |`` lines, other block
     elements on their own lines, character references resolved, blank runs squeezed."""
-    text = F.regexp_replace(html, r"(?is)<!--.*?-->", "")
+    text = _between(html, "-->", r"(?s)<!--.*+", "", "-->")
     for tag in SILENT_TAGS:
-        text = F.regexp_replace(text, rf"(?is)<{tag}\b.*?</{tag}>", "")
-    text = F.regexp_replace(text, rf"(?is){LINK_START}[^>]*>(.*?)</a>", "[$4]($1$2$3)")
+        text = _between(text, f"(?i)</{tag}>", rf"(?is)<{tag}\b.*+", "", f"</{tag}>")
+    text = _between(text, "(?i)</a>", rf"(?is){LINK_START}[^>]*>(.*+)", "[$4]($1$2$3)", "</a>")
+    # no tag ends behind the last bracket, so no pattern has to look through what follows it
+    cut = F.substring_index(text, ">", -1)
+    rest = F.when(F.contains(text, F.lit(">")), cut).otherwise(text)
+    text = F.substring(text, F.lit(1), F.length(text) - F.length(rest))
     for level in range(1, 7):
         text = F.regexp_replace(text, rf"(?is)<h{level}\b[^>]*>", "\n" + "#" * level + " ")
     text = F.regexp_replace(text, r"(?is)<li\b[^>]*>", "\n- ")
@@ -399,7 +420,7 @@ def html_to_text(html: Column) -> Column:
     text = F.regexp_replace(text, r"(?is)<t[dh]\b[^>]*>", " ")
     text = F.regexp_replace(text, r"(?is)</t[dh]\s*>", " |")
     text = F.regexp_replace(text, rf"(?is)</?(?:{BLOCK_TAGS})\b[^>]*>|</(?:h[1-6]|li|tr)\s*>", "\n")
-    text = F.regexp_replace(text, r"(?s)<[^>]*>", "")
+    text = F.concat(F.regexp_replace(text, r"(?s)<[^>]*>", ""), rest)
     text = unescape(text)
     text = F.regexp_replace(text, r"[ \t\r]+", " ")
     text = F.regexp_replace(text, r" ?\n[\n ]*", "\n")

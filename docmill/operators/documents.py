@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from docmill.functions import text as T
@@ -76,6 +78,17 @@ def run_totals(summary: DataFrame, by: list[str] = ()) -> DataFrame:
     )
 
 
+def write_counted(docs: DataFrame, chunker: Callable[[DataFrame], DataFrame], path: str, first: Column) -> dict[str, int]:
+    """Write the chunks that ``chunker`` makes of ``docs`` and return the totals of ``run_totals``,
+    counted by the writing job itself. ``first`` is true for one chunk of every document that has any."""
+    arrived, made = Observation(), Observation()
+    chunks = chunker(docs.observe(arrived, F.count(F.lit(1)).alias("documents")))
+    counted = chunks.observe(made, F.count(F.lit(1)).alias("chunks"), F.count_if(first).alias("succeeded"))
+    counted.write.mode("overwrite").parquet(path)
+    totals = arrived.get | made.get
+    return totals | {"errors": totals["documents"] - totals["succeeded"]}
+
+
 def conversion_summary(converted: DataFrame, text_col: str = "markdown") -> DataFrame:
     """Add status, length and a one-line preview of 200 characters."""
     text = F.col(text_col)

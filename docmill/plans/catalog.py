@@ -54,6 +54,51 @@ def q_list_documents(spark, root):
         "chunk_count")
 
 
+def _nested(spark, root):
+    """Documents with JSON metadata: objects in objects, an array of strings and objects, numbers."""
+    docs = tables.load(spark, root, "documents")
+    third = (F.col("doc_id") % 3).cast("string")
+    text = F.concat(
+        F.lit('{"lang": "'), "lang", F.lit('", "stats": {"chars": '), F.col("n_chars").cast("string"),
+        F.lit(', "long": '), F.when(F.col("n_chars") > 900, "true").otherwise("false"), F.lit(', "rate": '), third,
+        F.lit('.0, "none": null}, "tags": ["'), "source", F.lit('", {"k": '), third, F.lit(', "deep": [1, '), third, F.lit("]}]}"))
+    created = F.timestamp_seconds(F.lit(1704067200) + (F.col("n_chars") * 3600))
+    return docs.select(F.col("doc_id").alias("document_id"), "source", created.alias("created_at"), text.alias("metadata"))
+
+
+NESTED_FILTER = {"lang": "en", "stats": {"long": True, "rate": 1, "none": None}, "tags": [{"k": 1.0, "deep": [1]}]}
+
+
+def q_list_documents_nested(spark, root):
+    """All documents that a nested filter finds, with their chunk counts."""
+    page = K.list_documents(
+        _nested(spark, root), _chunks(spark, root), limit=2**31 - 1, metadata_filter=NESTED_FILTER)
+    return page.select("document_id", "source", "chunk_count")
+
+
+def q_metadata_containment(spark, root):
+    """What every document's metadata holds."""
+    value = F.col("value")
+    wanted = {
+        "text_for_number": {"stats": {"rate": "1"}}, "deep": {"tags": [{"deep": [2]}]}, "empty": {"stats": {}, "tags": []},
+        "missing": {"stats": {"none": {"x": 1}}}, "array": {"tags": ["src1"]}, "scalar": {"tags": "src1"}, "false": {"stats": {"long": False}},
+    }
+    rows = _nested(spark, root).withColumn("value", F.parse_json("metadata"))
+    return rows.select("document_id", *(K.contains_json(value, w).alias(f"has_{n}") for n, w in wanted.items()))
+
+
+def q_sql_match_chunks(spark, root):
+    """An ad-hoc statement that joins the search function with questions and labels."""
+    vectors = tables.chunk_vectors(spark, root, toc=False).drop("document_id")
+    chunks = tables.chunk_texts(spark, root, toc=False).join(vectors, "chunk_id")
+    K.create_search_function(spark, chunks, tables.document_table(spark, root))
+    return K.run_sql(spark, """
+        SELECT q.query_id, m.chunk_id, m.document_title, m.document_source, round(m.similarity, 9) AS similarity, l.quality
+        FROM {questions} q, LATERAL match_chunks(q.embedding, :k, :least) m
+        LEFT JOIN {labels} l ON l.doc_id = m.chunk_id""", {"k": 5, "least": 0.2},
+        questions=tables.query_table(spark, root).where("embedding is not null"), labels=tables.load(spark, root, "labels"))
+
+
 def q_table_counts(spark, root):
     return K.table_counts(_documents(spark, root), _chunks(spark, root))
 
@@ -172,6 +217,9 @@ QUERIES = {
     "get_document": q_get_document,
     "get_by_source": q_get_by_source,
     "list_documents": q_list_documents,
+    "list_documents_nested": q_list_documents_nested,
+    "metadata_containment": q_metadata_containment,
+    "sql_match_chunks": q_sql_match_chunks,
     "table_counts": q_table_counts,
     "adhoc_sql": q_adhoc_sql,
     "file_types": q_file_types,
@@ -241,6 +289,16 @@ SELECT d.doc_id AS document_id, d.source, strftime({_CREATED}, '%Y-%m-%d %H:%M:%
        count(c.doc_id) AS chunk_count
 FROM documents d LEFT JOIN chunks c USING (doc_id) WHERE d.lang = 'fr'
 GROUP BY d.doc_id, d.source, d.n_chars ORDER BY d.n_chars DESC, d.doc_id LIMIT 100 OFFSET 20""",
+    "list_documents_nested": f"""WITH RECURSIVE {sliding()}
+SELECT d.doc_id AS document_id, d.source, count(c.doc_id) AS chunk_count
+FROM documents d LEFT JOIN chunks c USING (doc_id) WHERE d.lang = 'en' AND d.n_chars > 900 AND d.doc_id % 3 = 1
+GROUP BY d.doc_id, d.source""",
+    "metadata_containment": """
+SELECT doc_id AS document_id, false AS has_text_for_number, doc_id % 3 = 2 AS has_deep, true AS has_empty,
+  false AS has_missing, source = 'src1' AS has_array, false AS has_scalar, n_chars <= 900 AS has_false FROM documents""",
+    "sql_match_chunks": f"""WITH {Q.CORPUS}, {Q.nearest('found', 5, 0.2, False)}
+SELECT f.query_id, f.chunk_id, d.title AS document_title, d.source AS document_source, round(f.similarity, 9) AS similarity, l.quality
+FROM found f JOIN docs d USING (document_id) LEFT JOIN labels l ON l.doc_id = f.chunk_id""",
     "table_counts": f"""WITH RECURSIVE {sliding()}
 SELECT 'documents' AS table_name, count(*) AS rows FROM documents
 UNION ALL SELECT 'chunks', count(*) FROM chunks""",

@@ -202,11 +202,15 @@ def q_doc_stats(spark, root):
     )
 
 
-def _run(spark, root):
-    """An ingestion run in which texts labelled toxic arrive blank."""
+def _run_docs(spark, root):
     toxic = tables.load(spark, root, "labels").where("toxic = 1").select("doc_id", F.lit(True).alias("blank"))
-    docs = _docs(spark, root).join(toxic, "doc_id", "left").withColumn(
+    return _docs(spark, root).join(toxic, "doc_id", "left").withColumn(
         "text", F.when(F.col("blank"), "  \n ").otherwise(F.col("text"))).drop("blank")
+
+
+def _run(spark, root):
+    """An ingestion run in which texts labelled toxic arrive blank."""
+    docs = _run_docs(spark, root)
     chunks = C.chunk_sliding(docs.select("doc_id", "text"))
     return D.ingest_summary(docs, chunks)
 
@@ -215,6 +219,16 @@ def q_ingest_summary(spark, root):
     return D.run_totals(_run(spark, root), ["source"])
 
 
+def q_ingest_write(spark, root):
+    """The totals of the run, counted while its chunks are written, and how many are there."""
+    path = f"{checkpoint_dir(spark)}/chunks-{uuid.uuid4().hex}"
+    docs = _run_docs(spark, root).select("doc_id", "text")
+    totals = D.write_counted(docs, C.chunk_sliding, path, F.col("chunk_index") == 0)
+    names = ["documents", "chunks", "succeeded", "errors"]
+    return spark.read.parquet(path).agg(F.count(F.lit(1)).alias("stored")).select(
+        "stored", *(F.lit(totals[n]).cast("bigint").alias(n) for n in names))
+
+
 def q_ingest_status(spark, root):
     return _run(spark, root).select(
         "doc_id", "chunks_created", F.array_join("errors", "|").alias("errors"))
@@ -478,6 +492,7 @@ QUERIES = {
     "frontmatter": q_frontmatter,
     "doc_stats": q_doc_stats,
     "ingest_summary": q_ingest_summary,
+    "ingest_write": q_ingest_write,
     "ingest_status": q_ingest_status,
     "convert_summary": q_convert_summary,
     "convert_totals": q_convert_totals,
@@ -634,6 +649,9 @@ FROM documents""",
 SELECT source, count(*) AS documents, sum(chunks_created)::BIGINT AS chunks,
        count(*) FILTER (chunks_created = 0) AS errors,
        count(*) FILTER (chunks_created > 0) AS succeeded FROM status GROUP BY source""",
+    "ingest_write": f"""WITH RECURSIVE {_BLANKED}, {sliding('run_docs')}, {_RUN}
+SELECT sum(chunks_created)::BIGINT AS stored, count(*) AS documents, sum(chunks_created)::BIGINT AS chunks,
+       count(*) FILTER (chunks_created > 0) AS succeeded, count(*) FILTER (chunks_created = 0) AS errors FROM status""",
     "ingest_status": f"""WITH RECURSIVE {_BLANKED}, {sliding('run_docs')}, {_RUN}
 SELECT doc_id, chunks_created, CASE WHEN chunks_created = 0 THEN 'No chunks created' ELSE '' END AS errors
 FROM status""",

@@ -140,7 +140,7 @@ def transcript_segments(
 def keyword_list(text: Column) -> Column:
     """``['a','b']`` as an array; an apostrophe between two letters belongs to the word."""
     return F.regexp_extract_all(
-        text, F.lit(r"'((?:[^']|(?<=\p{L})'(?=\p{L}))*)'"), F.lit(1)
+        text, F.lit(r"'([^']*+(?:(?<=\p{L})'(?=\p{L})[^']*+)*+)'"), F.lit(1)
     )
 
 
