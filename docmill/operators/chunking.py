@@ -136,27 +136,15 @@ def chunk_sliding(
     )
 
 
-def chunk_structured(
-    docs: DataFrame,
-    max_tokens: int = 512,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-) -> DataFrame:
-    """Chunks that follow the structure of markdown text.
-
-    Blocks are paragraphs (blank-line separated) and headings. Neighbouring blocks under the
-    same heading path are packed as long as path and blocks together have up to ``max_tokens``
-    estimated tokens, a block longer than that is cut at white space, and every chunk starts
-    with its heading path. Of a path that takes more than half a chunk only the end is kept. All
-    of it is a fold over the blocks of one row, so documents never meet.
-    """
-    limit = max_tokens * 4
+def _blocks_under_paths(text: Column, longest: int | None = None) -> Column:
+    """Paragraphs of markdown text in order, each with the headings above it, one a line. Of a path
+    above ``longest`` letters the end is kept."""
     block = T.strip
     blocks = F.filter(
         F.transform(
             F.split(
                 F.regexp_replace(
-                    F.col(text_col), r"(?m)^(#{1,6}[\t-\r\x20]+.*)$", "\n\n$1\n\n"
+                    text, r"(?m)^(#{1,6}[\t-\r\x20]+.*)$", "\n\n$1\n\n"
                 ),
                 r"\n[\t\x20]*\n\s*",
             ),
@@ -168,10 +156,6 @@ def chunk_structured(
     empty = F.array().cast("array<struct<level:int,name:string>>")
     chunk_type = "array<struct<path:string,body:string>>"
 
-    def room(path: Column) -> Column:
-        """Characters that the path leaves for the body."""
-        return F.lit(limit) - F.when(path == "", 0).otherwise(F.length(path) + 1)
-
     def heading(acc: Column, b: Column, depth: Column) -> Column:
         name = T.strip(F.regexp_replace(b, r"^#{1,6}[\t-\r\x20]+", ""))
         heads = F.array_append(
@@ -182,7 +166,8 @@ def chunk_structured(
 
     def place(acc: Column, b: Column) -> Column:
         path = F.array_join(F.transform(acc["heads"], lambda h: h["name"]), "\n")
-        path = F.when(F.length(path) > limit // 2, block(F.right(path, F.lit(limit // 2)))).otherwise(path)
+        if longest is not None:
+            path = F.when(F.length(path) > longest, block(F.right(path, F.lit(longest)))).otherwise(path)
         placed = F.array_append(acc["blocks"], F.struct(path.alias("path"), b.alias("body")))
         return F.struct(acc["heads"].alias("heads"), placed.alias("blocks"))
 
@@ -192,13 +177,38 @@ def chunk_structured(
             lambda depth: F.when(depth > 0, heading(acc, b, depth)).otherwise(place(acc, b)),
         )
 
-    placed = F.aggregate(
+    return F.aggregate(
         blocks,
         F.struct(empty.alias("heads"), F.array().cast(chunk_type).alias("blocks")),
         step,
         lambda acc: acc["blocks"],
     )
 
+
+def chunk_structured(
+    docs: DataFrame,
+    max_tokens: int = 512,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+) -> DataFrame:
+    """Chunks that follow the structure of markdown text.
+
+    Blocks are paragraphs (blank-line separated) and headings. Neighbouring blocks under the
+    same heading path are packed as long as path and blocks together have up to ``max_tokens``
+    estimated tokens, a block longer than that is cut at white space, and every chunk starts
+    with its heading path. Of a path that takes more than half a chunk only the end is kept. All
+    of it is a fold over the blocks of one row, so documents never meet.
+    """
+    limit = max_tokens * 4
+    block = T.strip
+    chunk_type = "array<struct<path:string,body:string>>"
+
+    def room(path: Column) -> Column:
+        """Characters that the path leaves for the body."""
+        return F.lit(limit) - F.when(path == "", 0).otherwise(F.length(path) + 1)
+
+    placed = _blocks_under_paths(F.col(text_col), limit // 2)
+
     # cut over-long blocks at the last white space that fits, else at the limit
     def cut(x: Column) -> Column:
         most = (room(x["path"]) - 1).cast("string")
@@ -249,6 +259,99 @@ def chunk_structured(
     return out.withColumn("token_count", T.token_estimate(F.col("content")))
 
 
+Counter = Callable[[Column], Column]
+
+
+def word_counter(texts: Column) -> Column:
+    """Words of each text of an array."""
+    return F.transform(texts, lambda t: F.size(F.regexp_extract_all(t, F.lit(r"\S+"), F.lit(0))))
+
+
+def tokenizer_counter(tokenizer: Callable[[str], list]) -> Counter:
+    """Tokens of each text of an array by a tokenizer function."""
+
+    @F.pandas_udf("array<int>")
+    def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for rows in batches:
+            yield rows.map(lambda texts: [len(tokenizer(t)) for t in texts], na_action="ignore")
+
+    return count
+
+
+def token_cuts(blocks: list[int], counts: list[int], path_ids: list[int], path_sizes: list[int], most: int, line: int) -> list[int]:
+    """Where chunks begin among the pieces of a text. ``blocks`` and ``counts`` belong to a piece,
+    ``path_ids`` and ``path_sizes`` to a block; a line break takes ``line`` tokens."""
+    sizes: dict[int, int] = {}
+    for block, count in zip(blocks, counts, strict=True):
+        sizes[block] = sizes.get(block, 0) + count
+    starts, used, path, before, room = [], 0, None, None, most
+    for at, (block, count) in enumerate(zip(blocks, counts, strict=True)):
+        if block != before:  # a block joins the chunk if all of it fits
+            if path is None or path_ids[block] != path or used + line + sizes[block] > room:
+                starts.append(at)
+                path, used = path_ids[block], 0
+                room = most - path_sizes[block] - (line if path_sizes[block] else 0)
+            else:
+                used += line
+            before = block
+        elif used + count > room and used:  # a block longer than a chunk is cut between pieces
+            starts.append(at)
+            used = 0
+        used += count
+    return starts
+
+
+def chunk_tokens(
+    docs: DataFrame, counter: Counter, max_tokens: int = 512, line_tokens: int = 0, text_col: str = "text"
+) -> DataFrame:
+    """Chunks as ``chunk_structured`` makes them, packed by counted tokens.
+
+    ``counter`` counts the tokens of every word with the white space before it; running totals decide
+    where a chunk ends, so the work is linear in the text. Paragraphs under the same headings share a
+    chunk while all of them fit; one that is longer by itself is cut between words. Headings that take
+    more than half of a chunk are left out. ``line_tokens`` is what a line break takes. A single word
+    above the limit is a chunk of its own.
+    """
+    keep = [c for c in docs.columns if c != text_col]
+    rows = docs.select(*keep, _blocks_under_paths(F.col(text_col)).alias("_placed"))
+    words = F.flatten(F.transform("_placed", lambda x, i: F.transform(
+        F.regexp_extract_all(x["body"], F.lit(r"\s*\S+"), F.lit(0)),
+        lambda w, j: F.struct(i.alias("block"), (j == 0).alias("opens"), w.alias("text")),
+    )))
+    rows = rows.select(*keep, words.alias("_words"), F.transform("_placed", lambda x: x["path"]).alias("_paths"))
+    rows = rows.withColumns({
+        "_counts": counter(F.transform("_words", lambda w: w["text"])), "_sizes": counter(F.col("_paths")),
+    })
+    # one row's columns through Python: numbers only
+    short = F.transform("_sizes", lambda n: F.when(n * 2 <= max_tokens, n).otherwise(0))
+    shown = F.zip_with("_paths", "_sizes", lambda p, n: F.when(n * 2 <= max_tokens, p).otherwise(""))
+    rows = rows.withColumns({"_sizes": short, "_paths": shown})
+    ids = F.transform("_paths", lambda p: F.array_position("_paths", p).cast("int"))
+
+    @F.pandas_udf("array<int>")
+    def cuts(blocks: pd.Series, counts: pd.Series, path_ids: pd.Series, path_sizes: pd.Series) -> pd.Series:
+        made = zip(blocks, counts, path_ids, path_sizes, strict=True)
+        return pd.Series([token_cuts(*(list(x) for x in row), max_tokens, line_tokens) for row in made])
+
+    rows = rows.withColumn("_ids", ids).withColumn(
+        "_starts", cuts(F.transform("_words", lambda w: w["block"]), F.col("_counts"), F.col("_ids"), F.col("_sizes")))
+    stop = lambda i: F.coalesce(F.get("_starts", i + 1), F.size("_words"))
+    parts = F.transform("_starts", lambda s, i: F.struct(
+        F.get("_paths", F.get("_words", s)["block"]).alias("path"),
+        T.strip(F.array_join(F.transform(
+            F.slice("_words", s + 1, stop(i) - s),
+            lambda w: F.when(w["opens"], F.concat(F.lit("\n"), w["text"])).otherwise(w["text"])), "")).alias("body"),
+        F.aggregate(F.slice("_counts", s + 1, stop(i) - s), F.lit(0), lambda n, c: n + c).alias("count"),
+    ))
+    rows = rows.select(*keep, parts.alias("_c"))
+    out = explode_rows(rows, "_c", [*keep, F.size("_c").alias("total_chunks")], "col", "pos")
+    body = F.when(F.col("col.path") == "", F.col("col.body")).otherwise(F.concat_ws("\n", "col.path", "col.body"))
+    return out.select(
+        *keep, F.col("pos").alias("chunk_index"), F.col("col.path").alias("heading_path"), body.alias("content"),
+        "total_chunks", F.col("col.count").alias("body_tokens"),
+    )
+
+
 def with_page_range(items: DataFrame, chunk_cols: list[str]) -> DataFrame:
     """First and last page per chunk from one row per item.
 

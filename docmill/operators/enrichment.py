@@ -53,6 +53,7 @@ def weather_readings(
             "low_24h": F.array_min(hours),
         }
     ).drop("_p", payload_col)
+    # The words of the summary sentence.
     sentence = F.concat(
         F.col("location_name"), F.lit(": "), F.col("temperature").cast("string"), F.lit(sign + ", "),
         F.col("description"), F.lit(", humidity "), F.col("humidity").cast("string"),

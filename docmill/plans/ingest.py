@@ -287,6 +287,13 @@ def q_chunk_structured(spark, root):
         F.md5("content").alias("content_md5"))
 
 
+def q_chunk_tokens(spark, root):
+    """Markdown pages packed by counted words."""
+    pages = _markdown(spark, root).select("page_id", F.col("markdown").alias("text"))
+    return C.chunk_tokens(pages, C.word_counter, max_tokens=40).select(
+        "page_id", "chunk_index", "total_chunks", "heading_path", "body_tokens", F.md5("content").alias("content_md5"))
+
+
 def q_export_chunks(spark, root):
     return C.export_text(_chunks(spark, root)).select(
         "doc_id", F.col("chunk_index").cast("bigint").alias("chunk_index"), F.md5("value").alias("value_md5"))
@@ -498,6 +505,7 @@ QUERIES = {
     "convert_totals": q_convert_totals,
     "chunk_sliding": q_chunk_sliding,
     "chunk_structured": q_chunk_structured,
+    "chunk_tokens": q_chunk_tokens,
     "export_chunks": q_export_chunks,
     "page_range": q_page_range,
     "toc_flag": q_toc_flag,
@@ -564,6 +572,19 @@ _BUCKETS = ", ".join(
     f"count(*) FILTER (t >= {lo} AND t < {hi}) AS tokens_{lo}_{hi}" for lo, hi in C.TOKEN_BUCKETS
 )
 
+_UNDER = rf"""spaced AS (SELECT page_id, regexp_replace(markdown, '(?m)^(#{{1,6}}[\t-\r\x20]+.*)$',
+             chr(10) || chr(10) || '\1' || chr(10) || chr(10), 'g') AS t FROM md),
+split_up AS (SELECT page_id, string_split_regex(t, '\n[\t\x20]*\n\s*') AS bs FROM spaced),
+blocks AS (SELECT page_id, no, {Q.strip('b')} AS b FROM (
+             SELECT page_id, unnest(bs) AS b, unnest(range(len(bs))) AS no FROM split_up) WHERE {Q.strip('b')} <> ''),
+leveled AS (SELECT *, length(regexp_extract(b, '^(#{{1,6}})[\t-\r\x20]', 1)) AS level FROM blocks),
+heads AS (SELECT page_id, no, level, {Q.strip("regexp_replace(b, '^#{1,6}[\t-\r\x20]+', '')")} AS name FROM leveled WHERE level > 0),
+under AS (SELECT p.page_id, p.no, any_value(p.b) AS b, coalesce(string_agg(h.name, chr(10) ORDER BY h.no), '') AS full_path
+          FROM leveled p LEFT JOIN heads h ON h.page_id = p.page_id AND h.no < p.no AND NOT EXISTS (
+            SELECT 1 FROM heads k WHERE k.page_id = h.page_id AND k.no > h.no AND k.no < p.no AND k.level <= h.level)
+          WHERE p.level = 0 GROUP BY p.page_id, p.no)"""
+
+
 def _bucket(key: str) -> str:
     return f"('0x' || substr(md5(({key})::VARCHAR), 1, 8))::BIGINT % {_STORE_BUCKETS}"
 
@@ -664,17 +685,7 @@ SELECT count(*) FILTER (markdown <> '') AS converted, count(*) AS documents,
     "chunk_sliding": f"""WITH RECURSIVE {sliding()}
 SELECT doc_id, chunk_index, start_char, end_char, total_chunks, md5(content) AS content_md5 FROM chunks""",
     "chunk_structured": rf"""WITH RECURSIVE {_MARKDOWN},
-spaced AS (SELECT page_id, regexp_replace(markdown, '(?m)^(#{{1,6}}[\t-\r\x20]+.*)$',
-             chr(10) || chr(10) || '\1' || chr(10) || chr(10), 'g') AS t FROM md),
-split_up AS (SELECT page_id, string_split_regex(t, '\n[\t\x20]*\n\s*') AS bs FROM spaced),
-blocks AS (SELECT page_id, no, {Q.strip('b')} AS b FROM (
-             SELECT page_id, unnest(bs) AS b, unnest(range(len(bs))) AS no FROM split_up) WHERE {Q.strip('b')} <> ''),
-leveled AS (SELECT *, length(regexp_extract(b, '^(#{{1,6}})[\t-\r\x20]', 1)) AS level FROM blocks),
-heads AS (SELECT page_id, no, level, {Q.strip("regexp_replace(b, '^#{1,6}[\t-\r\x20]+', '')")} AS name FROM leveled WHERE level > 0),
-under AS (SELECT p.page_id, p.no, any_value(p.b) AS b, coalesce(string_agg(h.name, chr(10) ORDER BY h.no), '') AS full_path
-          FROM leveled p LEFT JOIN heads h ON h.page_id = p.page_id AND h.no < p.no AND NOT EXISTS (
-            SELECT 1 FROM heads k WHERE k.page_id = h.page_id AND k.no > h.no AND k.no < p.no AND k.level <= h.level)
-          WHERE p.level = 0 GROUP BY p.page_id, p.no),
+{_UNDER},
 paths AS (SELECT *, CASE WHEN length(full_path) > 1024 THEN {Q.strip('right(full_path, 1024)')} ELSE full_path END AS path FROM under),
 roomy AS (SELECT *, 2048 - CASE WHEN path = '' THEN 0 ELSE length(path) + 1 END AS room FROM paths),
 cuts AS (
@@ -698,6 +709,26 @@ chunks AS (SELECT page_id, c, any_value(path) AS path, arg_max(body, i) AS body
 whole AS (SELECT *, CASE WHEN path = '' THEN body ELSE path || chr(10) || body END AS content FROM chunks)
 SELECT page_id, c::INT AS chunk_index, (count(*) OVER (PARTITION BY page_id))::INT AS total_chunks, path AS heading_path,
        (length(content) // 4)::INT AS token_count, md5(content) AS content_md5 FROM whole""",
+    "chunk_tokens": rf"""WITH RECURSIVE {_MARKDOWN},
+{_UNDER},
+sized AS (SELECT *, len(regexp_extract_all(full_path, '\S+')) AS np, regexp_extract_all(b, '\s*\S+') AS ws FROM under),
+paths AS (SELECT page_id, no, CASE WHEN 2 * np <= 40 THEN full_path ELSE '' END AS path,
+            40 - CASE WHEN 2 * np <= 40 THEN np ELSE 0 END AS room, ws FROM sized WHERE len(ws) > 0),
+pieces AS (SELECT page_id, path, room, row_number() OVER (PARTITION BY page_id ORDER BY no, part) AS i, part,
+             ws[part * room + 1:least(len(ws), part * room + room)] AS ws, len(ws) AS whole
+           FROM (SELECT *, unnest(range((len(ws) + room - 1) // room)) AS part FROM paths)),
+packed AS (
+  SELECT page_id, i, path, {Q.strip("array_to_string(ws, '')")} AS body, len(ws) AS n, 0 AS c FROM pieces WHERE i = 1
+  UNION ALL
+  SELECT x.page_id, x.i, x.path,
+         CASE WHEN x.part = 0 AND x.path = p.path AND p.n + x.whole <= x.room
+              THEN p.body || chr(10) || array_to_string(x.ws, '') ELSE {Q.strip("array_to_string(x.ws, '')")} END,
+         CASE WHEN x.part = 0 AND x.path = p.path AND p.n + x.whole <= x.room THEN p.n + len(x.ws) ELSE len(x.ws) END,
+         CASE WHEN x.part = 0 AND x.path = p.path AND p.n + x.whole <= x.room THEN p.c ELSE p.c + 1 END
+  FROM packed p JOIN pieces x ON x.page_id = p.page_id AND x.i = p.i + 1),
+chunks AS (SELECT page_id, c, any_value(path) AS path, arg_max(body, i) AS body, max(n) AS n FROM packed GROUP BY page_id, c)
+SELECT page_id, c::INT AS chunk_index, (count(*) OVER (PARTITION BY page_id))::INT AS total_chunks, path AS heading_path,
+       n::INT AS body_tokens, md5(CASE WHEN path = '' THEN body ELSE path || chr(10) || body END) AS content_md5 FROM chunks""",
     "export_chunks": f"""WITH RECURSIVE {sliding()}
 SELECT doc_id, chunk_index, md5(concat_ws(chr(10), repeat('=', 60), 'CHUNK ' || chunk_index,
        repeat('=', 60), content, '')) AS value_md5 FROM chunks""",

@@ -147,3 +147,38 @@ def test_tokenizer(spark):
     got = {r["id"]: r["token_count"] for r in C.with_token_count(frame, str.split).collect()}
     assert got == {1: 3, 2: 0}
     assert [r["token_count"] for r in C.with_token_count(frame).orderBy("id").collect()] == [1, 0]
+
+
+def test_counted_chunks_fit_the_tokenizer(spark):
+    """No chunk is above the limit by the tokenizer's own count, and no word is lost."""
+    import re
+
+    rng = random.Random(6)
+    tokenizer = lambda text: re.findall(r"\n| ?[a-z]{1,3}|[^a-z]", text)
+    texts = []
+    for _ in range(30):
+        parts = []
+        for _ in range(rng.randrange(0, 12)):
+            if rng.random() < 0.3:
+                parts.append("#" * rng.randrange(1, 4) + " head" + "x" * rng.randrange(0, 30))
+            parts.append(" ".join("w" * rng.randrange(1, 9) for _ in range(rng.choice([1, 3, 20, 80]))))
+        texts.append("\n\n".join(parts))
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    rows = C.chunk_tokens(frame, C.tokenizer_counter(tokenizer), 40, line_tokens=1).orderBy("doc_id", "chunk_index").collect()
+    assert max(len(tokenizer(r["content"])) for r in rows) <= 40
+    said = {i: [] for i in range(len(texts))}
+    for r in rows:
+        body = r["content"][len(r["heading_path"]) :] if r["heading_path"] else r["content"]
+        said[r["doc_id"]] += body.split()
+    assert said == {i: [w for b in t.split("\n\n") if not b.startswith("#") for w in b.split()] for i, t in enumerate(texts)}
+    joined = [r for r in rows if "\n" in r["content"]]
+    assert joined
+
+
+def test_long_text_is_packed_in_linear_time(spark):
+    import time
+
+    frame = spark.createDataFrame([(1, "word " * 200_000)], "doc_id int, text string")
+    begun = time.time()
+    sizes = [r["body_tokens"] for r in C.chunk_tokens(frame, C.word_counter, 512).select("body_tokens").collect()]
+    assert sum(sizes) == 200_000 and max(sizes) == 512 and time.time() - begun < 30

@@ -102,18 +102,18 @@ def test_list_documents_pages(spark):
     assert len(everything) == 6
 
 
-def plain_crawl(starts, links, fetched, max_depth, max_pages):
-    pending, visited = [(u, 0) for u in starts], []
-    while pending:
-        url, depth = pending.pop(0)
-        if url in [v[0] for v in visited] or depth > max_depth:
-            continue
-        if len(visited) >= max_pages:
-            break
-        visited.append((url, depth))
-        if url in fetched:
-            pending += [(link, depth + 1) for link in links.get(url, [])]
-    return visited
+def crawl_by_levels(starts, links, fetched, max_depth, max_pages):
+    """Pages in order of level, then of their first finder and its link's position."""
+    order, level = {}, {}
+    for place, url in enumerate(starts):
+        level.setdefault(url, (0, place))
+    for depth in range(max_depth + 1):
+        ranked = sorted(level, key=level.get)
+        order |= {url: depth for url in ranked}
+        finders = [(rank, place, link) for rank, url in enumerate(ranked) if url in fetched
+                   for place, link in enumerate(links.get(url, []))]
+        level = {link: (rank, place) for rank, place, link in reversed(finders) if link not in order}
+    return list(order.items())[:max_pages]
 
 
 @pytest.mark.parametrize("max_depth,max_pages", [(2, 100), (3, 8), (0, 5), (2, 1)])
@@ -127,7 +127,7 @@ def test_frontier(spark, max_depth, max_pages):
         spark.createDataFrame([("s", "u00", 0), ("s", "u07", 1), ("s", "u00", 2)], "name string, url string, position int"),
         spark.createDataFrame(rows, "name string, url string, position int, link string"),
         spark.createDataFrame([(u,) for u in fetched], "url string"), max_depth, max_pages).orderBy("visit").collect()
-    assert [(r["url"], r["depth"]) for r in got] == plain_crawl(["u00", "u07", "u00"], links, fetched, max_depth, max_pages)
+    assert [(r["url"], r["depth"]) for r in got] == crawl_by_levels(["u00", "u07", "u00"], links, fetched, max_depth, max_pages)
 
 
 def test_follow_rules(spark):
