@@ -20,12 +20,21 @@ def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{root}/{name}.parquet")
 
 
-def stored(df: DataFrame) -> DataFrame:
+_FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def stored(df: DataFrame, tidy: bool = False) -> DataFrame:
     """Write ``df`` as Parquet below the shared checkpoint folder and read it from there: later
-    steps read only the columns they need, and a lost executor loses nothing."""
+    steps read only the columns they need, and a lost executor loses nothing. With ``tidy`` Spark
+    removes the shuffle files of the writing job at once, not when the driver's garbage is collected."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/stored-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_FREE_SHUFFLES, "false")
+    spark.conf.set(_FREE_SHUFFLES, "true" if tidy else before)
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_FREE_SHUFFLES, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

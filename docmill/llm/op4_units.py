@@ -83,7 +83,7 @@ def repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         F.count(F.lit(1)).alias("_n"), F.min(F.struct("doc_id", "start")).alias("_kept")
     ).where("_n > 1")
     # read from a file, so that the join deals both its sides and a frequent digest can be split
-    first = stored(first)
+    first = stored(first, tidy=True)
     again = found.join(first, "digest")
     same = F.col("doc_id").eqNullSafe(F.col("_kept.doc_id")) & (F.col("start") == F.col("_kept.start"))
     return again.where(~same).select(
@@ -97,11 +97,12 @@ def repeated_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """``repeated_units`` and, in the same columns, all runs of ``min_run`` words or more that occur
     before. Spans may overlap."""
     named = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    runs = repeated_passages(named, ["doc_id"], min_run, fold=True).select(
+    runs = repeated_passages(named, ["doc_id"], min_run, fold=True, lines=False).select(
         "doc_id", "start", "length", F.col("kept.doc_id").alias("kept_doc_id"),
         F.col("kept.start").cast("long").alias("kept_start"),
     )
-    return repeated_units(docs, id_col, text_col, min_words).unionByName(runs).distinct()
+    whole = stored(repeated_units(docs, id_col, text_col, min_words), tidy=True)
+    return whole.unionByName(runs).distinct()
 
 
 def without(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.window import Window
 
-from docmill.llm.common import stored, text_batches
+from docmill.llm.common import release, stored, text_batches
 
 SLOTS = 1 << 28
 _BUCKET = 1 << 15  # bits in one value of bitmap_construct_agg
@@ -166,27 +166,29 @@ def _bitmap(hashes: DataFrame) -> bytes:
     parts = hashes.select(
         F.shiftright(slot, 15).alias("bucket"), slot.bitwiseAND(F.lit(_BUCKET - 1)).alias("bit")
     ).groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    parts = stored(parts, tidy=True)
     marks = np.zeros((SLOTS // _BUCKET, _BUCKET // 8), np.uint8)
     for bucket, bits in parts.toLocalIterator():
         marks[bucket] = np.frombuffer(bytes(bits), np.uint8)
+    release(parts)
     return marks.tobytes()
 
 
 def _batches(batches, fold: bool):
     """Batches with the words of their texts and the hashes of their keys."""
-    for batch in text_batches(batches, 1_000, 4 << 20, column=-1):
+    for batch in text_batches(batches, 1_000, 2 << 20, column=-1):
         keys = batch.column(batch.num_columns - 2).to_numpy().view(np.uint64)
         yield batch, Words([t or "" for t in batch.column(batch.num_columns - 1).to_pylist()], fold), keys
 
 
-def _placed(docs: DataFrame, key: list[str], more: list[str], fold: bool, found) -> DataFrame:
-    """``key``, word, words, start, stop (code points), line, last_line (non-blank lines before) and
-    ``more`` of the stretches that ``found`` gives for the words of a batch: first words, numbers of
-    words, and arrays for ``more``."""
+def _placed(docs: DataFrame, key: list[str], names: list[str], more: dict[str, T.DataType], fold: bool, found) -> DataFrame:
+    """``key``, ``names`` (of word, words, start, stop: code points, line, last_line: non-blank lines
+    before) and ``more`` of the stretches that ``found`` gives for the words of a batch: first words,
+    numbers of words, and arrays for ``more``."""
     schema = T.StructType([
         *[docs.schema[c] for c in key],
-        *[T.StructField(c, T.IntegerType()) for c in ("word", "words", "start", "stop", "line", "last_line")],
-        *[T.StructField(c, T.LongType()) for c in more],
+        *[T.StructField(c, T.IntegerType()) for c in names],
+        *[T.StructField(c, kind) for c, kind in more.items()],
     ])
 
     def work(batches):
@@ -197,12 +199,15 @@ def _placed(docs: DataFrame, key: list[str], more: list[str], fold: bool, found)
             at, sizes, others = found(words, keys)
             if not len(at):
                 continue
-            text, stop, line = words.text[at], at + sizes - 1, _line_numbers(words)
-            columns = [at - words.first[text], sizes, words.start[at], words.stop[stop], line[at], line[stop]]
+            text, stop = words.text[at], at + sizes - 1
+            columns = {"word": at - words.first[text], "words": sizes, "start": words.start[at], "stop": words.stop[stop]}
+            if "line" in names:
+                line = _line_numbers(words)
+                columns |= {"line": line[at], "last_line": line[stop]}
             rows = pa.array(text)
             arrays = [batch.column(i).take(rows).cast(arrow.field(i).type) for i in range(len(key))]
-            arrays += [pa.array(c.astype(np.int32)) for c in columns]
-            arrays += [pa.array(c.view(np.int64)) for c in others]
+            arrays += [pa.array(columns[n].astype(np.int32)) for n in names]
+            arrays += [pa.array(c.view(np.int64) if c.dtype == np.uint64 else c) for c in others]
             for i in range(0, len(at), 50_000):
                 yield pa.RecordBatch.from_arrays([a.slice(i, 50_000) for a in arrays], schema=arrow)
 
@@ -221,23 +226,25 @@ def _copies(found: DataFrame, key: list[str], least: int) -> tuple[DataFrame, Da
     earliest one stay out."""
     place = [c for c in found.columns if c not in ("h1", "h2", "words", "stop", "last_line")]
     first = found.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*place)).alias("kept"))
-    first = stored(first)  # read from a file, so that the join can split a frequent digest
+    first = stored(first, tidy=True)  # read from a file, so that the join can split a frequent digest
     same = F.lit(True)
     for c in key:
         same &= F.col(c).eqNullSafe(F.col(f"kept.{c}"))
     ahead = F.col("word") - F.col("kept.word")
     copies = found.join(first.where("n > 1"), ["h1", "h2"]).where(~same | (ahead >= least)).select(
-        *key, "word", "words", "start", "stop", "line", "last_line",
-        F.struct(*[f"kept.{c}" for c in key]).alias("_from"), ahead.alias("_ahead"),
-        F.struct(*[f"kept.{c}" for c in (*key, "word", "start", "line")]).alias("kept"),
+        *[c for c in found.columns if c not in ("h1", "h2")], ahead.alias("_ahead"),
+        F.struct(*[f"kept.{c}" for c in place if c != "spot"]).alias("kept"),
     )
     return first, copies
 
 
-def repeated_passages(docs: DataFrame, key: list[str], least: int, fold: bool) -> DataFrame:
-    """Every passage to remove: ``key``, start, length (code points), line, last_line, and ``kept``:
-    ``key``, word, start and line of the earliest place of its words. ``docs`` holds ``key`` and text."""
+def repeated_passages(docs: DataFrame, key: list[str], least: int, fold: bool, lines: bool = True) -> DataFrame:
+    """Every passage to remove: ``key``, start, length (code points), line, last_line (with ``lines``),
+    and ``kept``: ``key``, word, start and line of the earliest place of its words. ``docs`` holds
+    ``key`` and text."""
     docs = docs.select(*key, F.xxhash64(*key).alias("_hash"), "text")
+    numbers = ["line", "last_line"] if lines else []
+    long, short = T.LongType(), T.IntegerType()
     context = docs.sparkSession.sparkContext
 
     def pieces(words, keys):
@@ -245,9 +252,13 @@ def repeated_passages(docs: DataFrame, key: list[str], least: int, fold: bool) -
         h1, h2 = (words.spans(starts, sizes, base) for base in _BASES)
         return starts, sizes, [h1, h2, _spots(words, keys, starts, h1)]
 
-    found = stored(_placed(docs, key, ["h1", "h2", "spot"], fold, pieces))
+    names = ["word", "words", "start", "stop", *numbers]
+    found = stored(_placed(docs, key, names, {"h1": long, "h2": long, "spot": long}, fold, pieces), tidy=True)
     first, copies = _copies(found, key, least)
+    pieces_found, pieces_first, copies = found, first, stored(copies.drop("spot"), tidy=True)
     firsts = context.broadcast(_bitmap(first.select("kept.spot")))
+    release(pieces_found)
+    release(pieces_first)
 
     def groups(batches):
         bits = np.frombuffer(firsts.value, np.uint8)
@@ -262,17 +273,26 @@ def repeated_passages(docs: DataFrame, key: list[str], least: int, fold: bool) -
         needed = _needed(words, keys, least, np.frombuffer(firsts.value, np.uint8))
         _, small = _smallest(words, least, needed)
         at = np.flatnonzero(needed & _marked(np.frombuffer(repeated.value, np.uint8), small))
-        return at, np.full(len(at), least), [words.groups(least, base)[at] for base in _BASES]
-
-    found = stored(_placed(docs, key, ["h1", "h2"], fold, windows))
-    copies = copies.unionByName(_copies(found, key, least)[1])
+        h1, h2 = (words.groups(least, base)[at] for base in _BASES)
+        # 96 bits are enough to tell windows apart
+        return at, np.full(len(at), least), [h1, (h2 >> np.uint64(32)).astype(np.uint32).view(np.int32)]
+
+    names = ["word", "start", "stop", *numbers]
+    found = stored(_placed(docs, key, names, {"h1": long, "h2": short}, fold, windows), tidy=True)
+    first, later = _copies(found, key, least)
+    early, copies = copies, copies.unionByName(later.withColumn("words", F.lit(least)))
+    copies = copies.withColumn("_from", F.struct(*[f"kept.{c}" for c in key]))
     inside = Window.partitionBy(*key, "_from", "_ahead").orderBy("word")
     before = inside.rowsBetween(Window.unboundedPreceding, -1)
     runs = copies.withColumn("_end", F.max(F.col("word") + F.col("words")).over(before))
     opens = F.when(F.col("word") <= F.col("_end"), 0).otherwise(1)
     runs = runs.withColumn("_run", F.sum(opens).over(inside))
-    return runs.groupBy(*key, "_from", "_ahead", "_run").agg(
+    touched = [F.min("line").cast("long").alias("line"), F.max("last_line").cast("long").alias("last_line")]
+    passages = runs.groupBy(*key, "_from", "_ahead", "_run").agg(
         F.min("start").cast("long").alias("start"), (F.max("stop") - F.min("start")).cast("long").alias("length"),
-        F.min("line").cast("long").alias("line"), F.max("last_line").cast("long").alias("last_line"),
-        F.min("kept").alias("kept"),
+        *(touched if lines else []), F.min("kept").alias("kept"),
     ).drop("_from", "_ahead", "_run")
+    passages = stored(passages, tidy=True)
+    for table in (found, first, early):
+        release(table)
+    return passages
