@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from docmill import tables
 from docmill.functions import text as T
+from docmill.functions.markup import html_to_markdown
 from docmill.operators import chunking as C
 from docmill.operators import documents as D
 from docmill.operators import embedding as E
@@ -73,6 +74,11 @@ def q_html_to_text(spark, root):
     ).select("page_id", F.length("t").cast("bigint").alias("size"), F.md5("t").alias("text_md5"))
 
 
+def q_html_to_markdown(spark, root):
+    return _pages(spark, root).select("page_id", html_to_markdown("html").alias("t")).select(
+        "page_id", F.length("t").cast("bigint").alias("size"), F.md5("t").alias("text_md5"))
+
+
 def _markdown(spark, root):
     return _pages(spark, root).withColumn("markdown", T.html_to_text(F.col("html")))
 
@@ -491,6 +497,7 @@ QUERIES = {
     "format_route": q_format_route,
     "text_decode": q_text_decode,
     "html_to_text": q_html_to_text,
+    "html_to_markdown": q_html_to_markdown,
     "page_title": q_page_title,
     "transcript_segments": q_transcript_segments,
     "golden_load": q_golden_load,
