@@ -20,12 +20,14 @@ from __future__ import annotations
 import html as entities
 import re
 import zlib
+from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from docmill.functions.markup import DEPTH, INLINE, VOID, tokens
 from docmill.llm.common import bounded_sample, text_batches
 
 SAMPLE_PAGES = 300
@@ -37,16 +39,9 @@ WORD_SLOTS, WORD_DIMS = 1024, 12
 PATH_SLOTS, PATH_DIMS = 2048, 16
 MEASURES = 7
 HIDDEN = 16
+NEAR = 64  # last steps of a path that are read
 
-# Element names of HTML by kind, and words in names that tell the purpose of a container.
-VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-SILENT = (
-    "script style noscript template title textarea select iframe object svg canvas audio video head"
-).split()
-INLINE = frozenset(
-    "a abbr acronym b bdi bdo big br cite code data dfn del em font i img ins kbd label mark q s samp small "
-    "span strike strong sub sup time tt u var wbr".split()
-)
+# Words in names that tell the purpose of a container.
 MAIN_NAMES = frozenset("article main content post entry story articlebody".split())
 OTHER_TAGS = frozenset("nav footer aside form button menu dialog".split())
 OTHER_NAMES = frozenset(
@@ -55,14 +50,6 @@ OTHER_NAMES = frozenset(
     "reply replies related share sharing social newsletter subscribe login search form pagination".split()
 )
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<silent>" + "|".join(SILENT[:-1]) + r")\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=silent)\s*>|\Z)"
-    r"|<(?P<close>/?)(?P<tag>[a-zA-Z][\w:-]*)(?P<attributes>(?:[^>\"']|\"[^\"]*\"|'[^']*')*|[^>]*)>"
-    r"|<[!?/][^>]*>"
-    r"|(?P<text>[^<]+|<)",
-    re.S | re.I,
-)
 _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _PART = re.compile(r"[a-z]+")
 
@@ -79,18 +66,24 @@ class Block:
 @dataclass
 class _Reader:
     stack: list[Step] = field(default_factory=list)
+    opened: Counter[str] = field(default_factory=Counter)  # elements of each name in the stack
     parts: list[str] = field(default_factory=list)
     linked: int = 0
     blocks: list[Block] = field(default_factory=list)
+    paths: dict[tuple[Step, ...], tuple[Step, ...]] = field(default_factory=dict)
 
     def flush(self) -> None:
         if self.parts:
             text = " ".join(entities.unescape("".join(self.parts)).split())
             if text:
                 path = tuple(s for s in self.stack if s[0] not in INLINE)
-                self.blocks.append(Block(path, text, self.linked))
+                self.blocks.append(Block(self.paths.setdefault(path, path), text, self.linked))
             self.parts, self.linked = [], 0
 
+    def _cut(self, at: int) -> None:
+        self.opened.subtract(s[0] for s in self.stack[at:])
+        del self.stack[at:]
+
     def open(self, tag: str, attributes: str) -> None:
         if tag not in INLINE:
             self.flush()
@@ -109,14 +102,18 @@ class _Reader:
         if attributes:
             found = (next(filter(None, m), "") for m in _NAMED.findall(attributes))
             names = tuple(w for value in found for w in _PART.findall(value.lower()))
-        self.stack.append((tag, names))
+        if len(self.stack) < DEPTH:
+            self.stack.append((tag, names))
+            self.opened[tag] += 1
 
     def _end(self, tags, inside) -> None:
+        if not any(self.opened[t] for t in tags):
+            return
         for at in range(len(self.stack) - 1, -1, -1):
             if self.stack[at][0] in inside:
                 return
             if self.stack[at][0] in tags:
-                del self.stack[at:]
+                self._cut(at)
                 return
             if tags == ("p",) and self.stack[at][0] not in INLINE:
                 return
@@ -124,37 +121,41 @@ class _Reader:
     def close(self, tag: str) -> None:
         if tag not in INLINE:
             self.flush()
+        if not self.opened[tag]:
+            return
         for at in range(len(self.stack) - 1, -1, -1):
             if self.stack[at][0] == tag:
-                del self.stack[at:]
+                self._cut(at)
                 return
             if tag in INLINE and self.stack[at][0] not in INLINE:
                 return
 
 
 def blocks_of(page: str) -> list[Block]:
-    """Leaf blocks of a page, in order."""
+    """Leaf blocks of a page, in order. Scripts, embedded elements and comments hold no text; what
+    ``tokens`` says of those without an end holds here too. Elements deeper than ``DEPTH`` count as
+    part of the one above them."""
     reader = _Reader()
     head = False
-    for m in _TOKEN.finditer(page):
-        text = m["text"]
-        if text is not None:
+    for value, attributes, closes in tokens(page):
+        if attributes is None:
             if not head:
-                reader.parts.append(text)
-                if any(s[0] == "a" for s in reader.stack):
-                    reader.linked += len(text)
-        elif m["tag"]:
-            tag = m["tag"].lower()
-            if tag == "head":
-                head = not m["close"]
-            elif tag == "body" or (head and tag not in VOID):
-                head = False
-            if tag in ("html", "head", "body"):
-                reader.flush()
-            elif m["close"]:
-                reader.close(tag)
-            else:
-                reader.open(tag, m["attributes"] or "")
+                reader.parts.append(value)
+                if reader.opened["a"]:
+                    reader.linked += len(value)
+            continue
+        if closes is None:
+            continue
+        if value == "head":
+            head = not closes
+        elif value == "body" or (head and value not in VOID):
+            head = False
+        if value in ("html", "head", "body"):
+            reader.flush()
+        elif closes:
+            reader.close(value)
+        else:
+            reader.open(value, attributes)
     reader.flush()
     return reader.blocks
 
@@ -180,13 +181,14 @@ class Features:
     def path_slots(self, path: tuple[Step, ...]) -> np.ndarray:
         slots = self.paths.get(path)
         if slots is None:
+            path, whole = path[-NEAR:], path
             names = [f"<{tag}" for tag, _ in path] + [f".{w}" for _, words in path for w in words]
             names.append(f"last<{path[-1][0] if path else ''}")
             names += [f"{a[0]}>{b[0]}" for a, b in zip(path, path[1:])]
             slots = np.array([zlib.crc32(n.encode()) % PATH_SLOTS for n in names])
             if len(self.paths) >= 50_000:
                 self.paths.clear()
-            self.paths[path] = slots
+            self.paths[whole] = slots
         return slots
 
     def word_slot(self, word: str) -> int:

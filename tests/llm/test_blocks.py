@@ -1,8 +1,9 @@
 import re
+import time
 
 import pytest
 
-from docmill.llm.op5_blocks import Features, Labeller, blocks_of, extract, joined, main_texts, named_purpose, train, train_on
+from docmill.llm.op5_blocks import DEPTH, Features, Labeller, blocks_of, extract, joined, main_texts, named_purpose, train, train_on
 
 # Blocks and text of one page, written by hand.
 PAGE = """<!DOCTYPE html><html><head><title>no</title><style>p{}</style></head><body>
@@ -26,6 +27,37 @@ def test_broken_markup(page):
     blocks_of(page)
 
 
+@pytest.mark.parametrize("page, texts", [
+    ('<svg class="i"/><article><p>Text</p></article>', ["Text"]),
+    ("<object data=x /><p>a</p><object><p>b</p></object><p>c</p>", ["a", "c"]),
+    ("<select><option>1<option>2<p>Text</p>", ["Text"]),
+    ("<p>a <svg><svg><text>x</text></svg>y</svg> b</p>", ["a b"]),
+    ("<p>a</p><svg><p>b</p>", ["a", "b"]),
+    ("<canvas><p>a</p><noscript><p>b</p><title>c<p>d</p>", ["a", "b", "c", "d"]),
+    ("<p>a</p><script>if (a<b) '</p>'", ["a"]),
+    ("<script>'<svg>'</script><p>a <svg>x</svg>b</p>", ["a b"]),
+    ('<p title="x > y">a</p><p title=\'x" > <b>z</b>\'>b</p>', ["a", "b"]),
+    ("<p title='x>a</p><p>b</p>", ["a", "b"]),
+    ("a < b <3 <> c", ["a < b <3 <> c"]),
+    ("<!doctype html><?xml x?><p>a</p><!-- b", ["a"]),
+])
+def test_elements_without_text(page, texts):
+    assert [b.text for b in blocks_of(page)] == texts
+
+
+@pytest.mark.parametrize("piece", [
+    "<div ", "<div><p>", "<div>x", "<a href='x'>y", "<svg>", "<svg ", "<select>", "<title>", "<script", "<!-- ", "<", "</p>", "<x a='y=\"",
+    "<li><div>x", "<table><tr><td>x", "<object/>", "<option>x", "&amp", "</div><div>", "<b>", "<!x",
+])
+def test_long_broken_pages_take_linear_time(piece):
+    begun = time.time()
+    blocks = blocks_of("<p>first</p>" + piece * ((1 << 20) // len(piece)) + "<p>last</p>")
+    assert blocks[0].text == "first" and time.time() - begun < 20
+    features = Features()
+    for b in blocks[:: len(blocks) // 50 + 1]:
+        assert len(b.path) <= DEPTH and len(features.path_slots(b.path)) < 1_000
+
+
 def test_gradients_match_differences():
     import numpy as np
 
