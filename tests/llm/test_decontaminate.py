@@ -1,5 +1,7 @@
 import random
+import re
 
+from docmill.llm import op8_decontaminate
 from docmill.llm.op8_decontaminate import _codes, _grams, _offsets, _searches, contaminated, normalised
 
 
@@ -53,6 +55,40 @@ def test_repetitive_texts():
     assert found and all(edits == 0 and text[a:b] == item for _, a, b, edits in found)
 
 
+def test_short_items_match_whole_words_exactly():
+    r = random.Random(5)
+    words = ["a", "the", "ab", "café", "seven", "42", "x-ray", "no", "quickly"]
+    for _ in range(200):
+        items = [(i, " ".join(r.choice(words) for _ in range(r.randint(1, 4)))) for i in range(5)]
+        items = [(i, t) for i, t in items if len(t) < 25]
+        text = "".join(r.choice(words) + r.choice([" ", " ", "", ", "]) for _ in range(30)).strip()
+        found = {s.ids[m[0]]: m for s in _searches(items, 0.1) for m in s.search(text, _codes(text))}
+        expected = {
+            i for i, t in items
+            if re.search(("(?<![^\\W_])" if t[0].isalnum() else "") + re.escape(t) + ("(?![^\\W_])" if t[-1].isalnum() else ""), text)
+        }
+        assert set(found) == expected
+        assert all(edits == 0 and text[a:b] == dict(items)[i] for i, (_, a, b, edits) in found.items())
+
+
+def test_long_repetitive_texts_in_stretches(monkeypatch):
+    """Many shared q-grams: bounded slices give what one count of all gives."""
+    r = random.Random(6)
+    items = [(0, normalised("on and on " * 60)), (1, normalised("and so on and on it goes " * 4)), (2, "on and on and on again and again")]
+    parts = ["on and ", "on it goes ", "again ", "and so "]
+    text = normalised("".join(r.choice(parts) for _ in range(300)) + "on and on " * 70 + "".join(r.choice(parts) for _ in range(300)))
+    whole = [(s.ids[m[0]], *m[1:]) for s in _searches(items, 0.1) for m in s.search(text, _codes(text))]
+    monkeypatch.setattr(op8_decontaminate, "PAIRS", 1_000)
+    sliced = [(s.ids[m[0]], *m[1:]) for s in _searches(items, 0.1) for m in s.search(text, _codes(text))]
+    assert whole == sliced and {0} <= {m[0] for m in whole}
+    monkeypatch.setattr(op8_decontaminate, "STRETCH", 256)
+    parted = [(s.ids[m[0]], *m[1:]) for s in _searches(items, 0.1) for m in s.search(text, _codes(text))]
+    assert {m[0] for m in parted} == {m[0] for m in whole}
+    assert {i for i, t in items if distance(t, text) <= int(len(t) * 0.1)} == {m[0] for m in whole}
+    long = normalised("con de la " * 100_000)
+    assert [m for s in _searches([(1, normalised("con de la " * 6))], 0.1) for m in s.search(long, _codes(long))]
+
+
 def test_offsets_of_the_original():
     text = "  Ab\n C  d\t"
     places, length = _offsets(text)
