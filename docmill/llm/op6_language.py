@@ -5,13 +5,18 @@ each language the counts of character n-grams are taken by Spark from a bounded
 rows, lower orders from continuation counts, and become interpolated probabilities and back-off
 weights. All n-grams of an order lie in one sorted array of 64-bit hashes with one column per
 language, so one binary search serves every language. The language with the lowest cross-entropy
-per character wins. Other rows of the sample, not counted, calibrate the rejection: a text is
-rejected if its cross-entropy exceeds ``MARGIN`` times the highest seen there in that language.
+per character wins. Other rows of the sample, never counted, calibrate the rejection. Entropies of
+short texts scatter more, with the root of their length, so a text of n letters is rejected if its
+cross-entropy exceeds ``MARGIN`` times (median + ``WIDE`` * spread / sqrt(n)); the spread is the 90 %
+quantile of (entropy - median) * sqrt(letters), so up to a tenth of mislabelled rows does not widen it.
+
+The model holds every n-gram of the sample. It grows with the number of languages, not with the rows.
 
 Defined cases: null and empty texts and texts without a letter are ``und`` with score 0 and
 rejected; texts with fewer than ``SHORT`` letters are never rejected otherwise; ties go to the
 language first in order; words of more than ``PIECE`` letters are read in pieces; repeated rows are
-predicted alike; without any training row every text is ``und``. Columns other than text (and
+predicted alike and count once in the sample; a language with fewer than ``RARE`` sampled rows counts them
+all, and no text is rejected in it; without any training row every text is ``und``. Columns other than text (and
 the language of training rows) take no part in a prediction.
 """
 
@@ -29,9 +34,11 @@ from docmill.llm.common import stored, text_batches
 
 ORDER = 4
 SAMPLE_ROWS = 1_500  # labelled rows of each language that are counted or calibrate
-MAX_GRAMS = 1_000_000  # n-grams kept in the model, the most frequent first
+SAMPLE_CHARS = 8_000_000  # and their characters: a text that begins beyond is not sampled
 CALIBRATION = 5  # one sample row in so many calibrates
-MARGIN = 1.25
+RARE = 10
+MARGIN = 1.6
+WIDE = 3.0
 SHORT = 20
 SHARPNESS = 10.0
 PIECE = 1_000
@@ -75,7 +82,8 @@ class Model:
     logp: list[np.ndarray]  # n-gram x language, nan where not seen
     backoff: list[np.ndarray]  # of the n-gram as a context; 0 where not seen
     empty: np.ndarray  # log probability of a character never seen, by language
-    limits: np.ndarray  # cross-entropy above which a text is rejected
+    limits: np.ndarray  # cross-entropy above which a long text is rejected
+    spread: np.ndarray  # what is added for shorter texts, times the root of their letters
 
     def score(self, words: list[str]) -> np.ndarray:
         """Log probability of each word in each language."""
@@ -144,26 +152,34 @@ def _grams(words: DataFrame, order: int) -> DataFrame:
 
 
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id",
-          order: int = ORDER, sample_rows: int = SAMPLE_ROWS, max_grams: int = MAX_GRAMS) -> Model:
-    """Model of the languages in ``docs``. Of each language ``sample_rows`` rows are read, those with
-    the smallest hash of id and length (and rows equal to the last of them); their texts are read
-    whole. ``lang`` has as many values as there are languages."""
-    rows = docs.where(F.col(lang_col).isNotNull() & (F.length(text_col) > 0))
+          order: int = ORDER, sample_rows: int = SAMPLE_ROWS, sample_chars: int = SAMPLE_CHARS) -> Model:
+    """Model of the languages in ``docs``. Of each language up to ``sample_rows`` rows are read, those
+    with the smallest hash of id and length, as long as those before hold fewer than ``sample_chars``
+    characters; their texts are read whole. ``lang`` has as many values as there are languages."""
+    rows = docs.where(F.col(lang_col).isNotNull() & (F.col(text_col) != ""))
     rows = rows.select(
         F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), F.col(id_col).alias("id"),
         F.xxhash64(F.col(id_col).cast("string"), F.length(text_col)).alias("_pick"),
     )
-    # the last place of each language's sample is found without the texts
-    pick = Window.partitionBy("lang").orderBy("_pick", "id")
-    chosen = rows.select("lang", "_pick", "id").withColumn("_at", F.row_number().over(pick))
-    last = chosen.where(F.col("_at") <= sample_rows).groupBy("lang").agg(F.max(F.struct("_pick", "id")).alias("_last"))
-    rows = rows.join(F.broadcast(last), "lang").where(F.struct("_pick", "id") <= F.col("_last"))
-    rows = stored(rows.select("lang", "text", (F.pmod("_pick", F.lit(CALIBRATION)) == 0).alias("calibrates")))
-    counted = rows.where(~F.col("calibrates")).unionAll(  # a language with few rows counts them all
-        rows.where("calibrates").join(
-            rows.groupBy("lang").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") < 10 * CALIBRATION).drop("_n"), "lang"
-        ).select("lang", "text", "calibrates")
-    )
+    # the last place of each language's sample is found without the texts; of a frequent language only
+    # about twice the sample comes together
+    counts = rows.groupBy("lang").agg(F.approx_count_distinct("_pick").alias("_n"))
+    whole = 1 << 40
+    share = F.when(F.col("_n") > 4 * sample_rows, (2 * sample_rows * whole / F.col("_n")).cast("long")).otherwise(whole)
+    few = rows.select("lang", "_pick", "id", F.length("text").alias("size")).join(F.broadcast(counts), "lang")
+    few = few.where(F.pmod(F.xxhash64("_pick"), F.lit(whole)) < share).groupBy("lang", "_pick", "id").agg(F.max("size").alias("size"))
+    place = Window.partitionBy("lang").orderBy("_pick", "id")
+    before = place.rowsBetween(Window.unboundedPreceding, -1)
+    few = few.withColumn("_at", F.row_number().over(place)).withColumn("_before", F.coalesce(F.sum("size").over(before), F.lit(0)))
+    few = few.where((F.col("_at") <= sample_rows) & (F.col("_before") < sample_chars)).select("lang", "_pick", "id")
+    sample = F.broadcast(few.withColumn("_rows", F.count(F.lit(1)).over(Window.partitionBy("lang"))).select(
+        F.col("lang").alias("_lang"), F.col("_pick").alias("_p"), F.col("id").alias("_i"), "_rows"
+    ))
+    same = (F.col("lang") == F.col("_lang")) & (F.col("_pick") == F.col("_p")) & F.col("id").eqNullSafe(F.col("_i"))
+    rows = rows.join(sample, same).dropDuplicates(["lang", "_pick", "id", "text"])
+    calibrates = (F.pmod("_pick", F.lit(CALIBRATION)) == 0) & (F.col("_rows") >= RARE)
+    rows = stored(rows.select("lang", "text", calibrates.alias("calibrates")))
+    counted = rows.where(~F.col("calibrates"))
     words = counted.select("lang", "text").mapInArrow(_word_counts, "lang string, word string, n long")
     words = stored(words.groupBy("lang", "word").agg(F.sum("n").alias("n")))
     raw = stored(_grams(words, order))
@@ -177,17 +193,23 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_co
     table = levels[order]
     for k in range(1, order):
         table = table.unionByName(levels[k])
-    kept = table.orderBy(F.desc("n"), "lang", "gram").limit(max_grams).collect()
-    model = _estimate([tuple(r) for r in kept], order)
+    model = _estimate([tuple(r) for r in table.collect()], order)
     if not model.languages:
         return model
     sent = docs.sparkSession.sparkContext.broadcast(model)
     checked = rows.where("calibrates").select("lang", "text").mapInArrow(
         lambda batches: _entropies(batches, sent.value), "lang string, entropy double, letters long"
     )
-    found = checked.where(F.col("letters") >= 2 * SHORT).groupBy("lang").agg(F.max("entropy").alias("most")).collect()
-    most = {r["lang"]: r["most"] for r in found}
-    model.limits = np.array([most.get(lang, np.inf) * MARGIN for lang in model.languages])
+    checked = stored(checked.where(F.col("letters") >= 2 * SHORT))
+    middle = checked.groupBy("lang").agg(F.percentile("entropy", 0.5).alias("middle"))
+    off = F.greatest(F.col("entropy") - F.col("middle"), F.lit(0.0)) * F.sqrt("letters")
+    found = checked.join(F.broadcast(middle), "lang").groupBy("lang").agg(
+        F.first("middle").alias("middle"), F.percentile(off, 0.9).alias("spread")
+    ).collect()
+    middle = {r["lang"]: r["middle"] for r in found}
+    spread = {r["lang"]: r["spread"] for r in found}
+    model.limits = np.array([MARGIN * middle.get(lang, np.inf) for lang in model.languages])
+    model.spread = np.array([MARGIN * WIDE * spread.get(lang, 0.0) for lang in model.languages])
     return model
 
 
@@ -244,7 +266,7 @@ def _estimate(rows: list[tuple[str, str, int]], order: int) -> Model:
         hashes.append(keys[turn])
         logps.append(logp)
         backoffs.append(backoff)
-    return Model(languages, hashes, logps, backoffs, empty, np.full(size, np.inf))
+    return Model(languages, hashes, logps, backoffs, empty, np.full(size, np.inf), np.zeros(size))
 
 
 class Reader:
@@ -338,7 +360,8 @@ def _predict(model: Model, read: Reader | None, texts: list[str | None]):
     least = entropy[np.arange(n), best]
     share = 1 / np.exp(-SHARPNESS * (entropy - least[:, None])).sum(axis=1)
     some = letters > 0
-    rejected = ~some | ((letters >= SHORT) & (least > model.limits[best]))
+    limit = model.limits[best] + model.spread[best] / np.sqrt(np.maximum(letters, 1))
+    rejected = ~some | ((letters >= SHORT) & (least > limit))
     return (
         [model.languages[b] if s else UNKNOWN for b, s in zip(best, some, strict=True)],
         np.where(some, share, 0.0).tolist(),

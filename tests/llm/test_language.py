@@ -1,7 +1,9 @@
 import math
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from docmill.llm.op6_language import END, START, _estimate, identify, train, words_of
 from docmill.llm.queries import language_query
@@ -95,6 +97,32 @@ def test_rejection(spark, root):
     assert found[1]["rejected"] and not found[2]["rejected"]
 
 
+def test_mislabelled_rows_do_not_open_the_filter(spark, root):
+    """Every 25th row of a language is junk; such texts are rejected all the same, the language's are not."""
+    docs = spark.read.parquet(f"{root}/documents.parquet").where("lang = 'en'").select("doc_id", "text", "lang")
+
+    def junk(seed):
+        return F.translate(F.concat_ws(" ", *(F.sha2(F.concat(seed.cast("string"), F.lit(str(i))), 256) for i in range(6))), "0123456789", "qxzjkvwpyg")
+
+    mixed = docs.withColumn("text", F.when(F.col("doc_id") % 25 == 0, junk(F.col("doc_id"))).otherwise(F.col("text")))
+    odd = spark.range(-20, 0).select(F.col("id").alias("doc_id"), junk(F.col("id")).alias("text"), F.lit("en").alias("lang"))
+    rejected = {r["doc_id"] for r in identify(docs.unionByName(odd), train(mixed)).where("rejected").collect()}
+    assert set(range(-20, 0)) <= rejected and len(rejected) - 20 < 0.01 * docs.count()
+
+
+def test_rare_languages_and_bounds(spark, root):
+    docs = spark.read.parquet(f"{root}/documents.parquet").where("lang = 'en'").select("doc_id", "text", "lang")
+    rare = spark.createDataFrame([(-i, "zażółć gęślą jaźń w Szczebrzeszynie chrząszcz brzmi", "pl") for i in range(1, 4)], docs.schema)
+    model = train(docs.unionByName(rare), sample_rows=60, sample_chars=20_000)
+    at = model.languages.index("pl")
+    assert model.languages == ["en", "pl"] and np.isinf(model.limits[at]) and np.isfinite(model.limits[1 - at])
+    found = identify(rare, model).collect()
+    assert {(r["lang_pred"], r["rejected"]) for r in found} == {("pl", False)}
+    whole = train(docs.unionByName(docs).unionByName(docs), sample_rows=60)  # repeated rows count once
+    once = train(docs, sample_rows=60)
+    assert [h.tolist() for h in whole.hashes] == [h.tolist() for h in once.hashes]
+
+
 def test_awkward_rows(awkward, nothing):
     model = train(awkward)
     found = identify(awkward, model, passed=["doc_id", "text"]).collect()
