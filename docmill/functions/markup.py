@@ -41,7 +41,7 @@ _TICKS = re.compile("`+")
 
 
 def _closed(page: str) -> dict[int, int]:
-    """Place behind every embedded element that is closed, by the place of its start."""
+    """Place behind every element passed over that is closed, by the place of its start."""
     ends, opened, stop = {}, {}, 0
     for m in _SKIPPED.finditer(page):
         if not m[3] or m.start() < stop:
