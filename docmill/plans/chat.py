@@ -238,13 +238,13 @@ def _bodies(spark, root, talk=None):
 
 
 def q_sse_parse(spark, root):
-    rows = H.parse_sse(tables.spread(_bodies(spark, root), "conv_id"), ["conv_id", "turn"])
+    rows = H.parse_sse(_bodies(None, None, tables.spread(_talk(spark, root), "conv_id", "turn")), ["conv_id", "turn"])
     return rows.select(
         "conv_id", "turn", F.col("seq").cast("bigint").alias("seq"), "type", "content", "sources", "tool_name", "tool_args")
 
 
 def q_assemble_message(spark, root):
-    events = H.parse_sse(tables.spread(_bodies(spark, root), "conv_id"), ["conv_id", "turn"])
+    events = H.parse_sse(_bodies(None, None, tables.spread(_talk(spark, root), "conv_id", "turn")), ["conv_id", "turn"])
     done = H.assemble_messages(events, ["conv_id", "turn"])
     calls = F.array_join(F.transform("tool_calls", lambda c: F.concat(c["tool_name"], c["tool_args"])), "|")
     return done.select(
@@ -315,7 +315,7 @@ def _weather(spark, root):
     k = F.get_json_object("props", "$.k").cast("int")
     code = F.get(F.array(*[F.lit(c) for c in _CODES]), (F.col("event_id") % len(_CODES)).cast("int"))
     hours = F.transform(F.sequence(F.lit(0), F.lit(29)), lambda h: (h * 7 + k) % 31 + F.lit(0.5))
-    return tables.spread(_events(spark, root), "event_id").select(
+    return tables.spread(_events(spark, root), "event_id", rows=20_000).select(
         "event_id", F.concat(F.lit("station "), _text("user_id")).alias("location_name"),
         F.to_json(F.struct(
             F.struct(F.col("value").alias("temperature_2m"), k.alias("relative_humidity_2m"),

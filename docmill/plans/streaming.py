@@ -29,8 +29,8 @@ def _events(spark, root):
 def _stream(spark, root, name) -> DataFrame:
     table = tables.load(spark, root, name)
     rows = jobs.read_table_stream(spark, root, f"{name}.parquet", table.schema)
-    cores = spark.sparkContext.defaultParallelism
-    return rows.repartition(cores) if table.rdd.getNumPartitions() < cores else rows
+    tasks = tables.tasks_needed(table)
+    return rows.repartition(tasks) if tasks else rows
 
 
 def _run(spark, rows: DataFrame) -> DataFrame:
@@ -90,7 +90,7 @@ def _run_in_waves(spark, rows: DataFrame, wave, job) -> DataFrame:
 def _pieces(spark, root) -> DataFrame:
     """Event text cut every few bytes, also inside letters; a wave has a third of each connection,
     an hour after the one before."""
-    bodies = _bodies(None, None, tables.spread(tables.load(spark, root, "conversations"), "conv_id"))
+    bodies = _bodies(None, None, tables.spread(tables.load(spark, root, "conversations"), "conv_id", "turn"))
     size = 5 + F.pmod(F.col("conv_id") * 31 + F.col("turn") * 7, F.lit(90))
     count = F.ceil(F.octet_length("body") / size).cast("int")
     cut = bodies.select(
@@ -119,7 +119,7 @@ _START = 1_700_000_000
 def _timed_events(spark, root) -> DataFrame:
     """A message starts every 200 seconds of its conversation's hours: a token per word, half a
     second apart up to 30 seconds, then the end. Every third turn has no end but a late token."""
-    talk = tables.spread(tables.load(spark, root, "conversations"), "conv_id")
+    talk = tables.spread(tables.load(spark, root, "conversations"), "conv_id", "turn")
     words = F.regexp_extract_all("text", F.lit(r"(\S+\s*)"), F.lit(1))
     start = F.lit(_START) + F.col("conv_id") * 2_000 + F.col("turn") * 200
 
