@@ -11,8 +11,8 @@ its symbols times the shares of its words.
 Corpus counts are taken over all training texts: combined in each task, then by word. A dictionary
 of the most frequent words, bounded in number and length, goes to the workers; counts of all other
 words come by a join on the word. Expected counts are summed in each task and then by symbol.
-States start as groups of similar texts, found on a bounded sample; the first counts and every
-Baum-Welch round cover all training texts, long texts in stretches of ``STRETCH`` tokens. Scoring
+States start as groups of similar texts; the groups, the first counts and every Baum-Welch round cover
+all training texts, long texts in stretches of ``STRETCH`` tokens. Scoring
 follows each text from its first token to its end.
 
 Defined cases: a null or empty text is its end token alone; without training texts all words share
@@ -31,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from docmill.llm.common import bounded_sample, stored, text_batches
+from docmill.llm.common import stored, text_batches
 
 STATES = 8
 HEAD = 200_000  # words in the dictionary sent to the workers
@@ -40,8 +40,7 @@ OWN = 32_768  # dictionary words that are symbols of their own
 CLASSES = 16_384
 ROUNDS = 3
 STRETCH = 512
-SAMPLE = 4_000  # texts of at most SAMPLE_TOKENS tokens that the states start from
-SAMPLE_TOKENS = 5_000
+GROUP_ROUNDS = 20  # at most, for the groups of texts that the states start from
 SMOOTHING = 200.0  # tokens' worth of the symbol's corpus share in each state
 COUNTED = 400_000  # words counted in a task before they are passed on
 BATCH_TOKENS = 1 << 18
@@ -310,28 +309,86 @@ def _estimate(start, moves, emitted) -> Model:
 
 
 def _centres(coded: DataFrame, states: int, symbols: int) -> tuple[np.ndarray, np.ndarray]:
-    """Directions of the symbols, and the middle of each of ``states`` groups of similar texts."""
+    """Directions of the symbols, and the middle of each of ``states`` groups of similar texts: k-means
+    over the directions of all texts. A round sums in each task, then by group."""
     random = np.random.default_rng(7)
     direction = random.standard_normal((symbols, DIMS)).astype(np.float32)
     direction[-1] = 0
-    short = coded.where(F.col("n_tokens") <= SAMPLE_TOKENS).select("symbols", F.xxhash64("symbols", "row").alias("_pick"))
-    sample = bounded_sample(short, "_pick", SAMPLE)
-    texts = [np.frombuffer(r["symbols"], dtype=np.uint16) for r in sample.select("symbols").collect()]
-    if not texts:
+    points = stored(_points(coded, direction))
+    picked = points.select("point", F.xxhash64("point").alias("pick")).orderBy("pick").limit(states).collect()
+    if not picked:
         return direction, np.zeros((states, DIMS), dtype=np.float32)
-    points = np.stack([_point(direction, t) for t in texts])
-    centres = points[random.choice(len(points), states, replace=len(points) < states)]
-    for _ in range(20):
-        near = (points @ centres.T).argmax(axis=1)
-        for i in range(states):
-            middle = points[near == i].sum(axis=0) if (near == i).any() else points[random.integers(len(points))]
-            centres[i] = middle / max(np.linalg.norm(middle), 1e-9)
+    found = np.stack([np.frombuffer(r["point"], dtype=np.float32) for r in picked])
+    found = np.unique(found, axis=0)
+    centres = np.zeros((states, DIMS), dtype=np.float32)
+    centres[: len(found)] = found
+    used = len(found)
+    for _ in range(GROUP_ROUNDS):
+        rows = _groups(points, centres[:used])
+        now = np.zeros_like(centres)
+        for row in rows:
+            middle = np.array(row[3:])
+            now[row["state"]] = middle / max(np.linalg.norm(middle), 1e-9)
+        # a group without texts starts again from the text that is least like its own group
+        far = sorted((r["far"]["like"], bytes(r["far"]["point"])) for r in rows)
+        spare = [i for i in range(states) if i not in {r["state"] for r in rows}]
+        for i, (like, point) in zip(spare, far, strict=False):
+            if like < 0.999:
+                now[i] = np.frombuffer(point, dtype=np.float32)
+        used = int(np.flatnonzero(now.any(axis=1)).max(initial=0)) + 1
+        moved, centres = np.abs(now - centres).max(), now
+        if moved < 1e-3:
+            break
     return direction, centres
 
 
-def _point(direction, text):
-    middle = direction[text].sum(axis=0)
-    return middle / max(np.linalg.norm(middle), 1e-9)
+def _points(coded: DataFrame, direction: np.ndarray) -> DataFrame:
+    """The direction of every text: the sum of its symbols' directions, of length 1."""
+    sent = coded.sparkSession.sparkContext.broadcast(direction)
+
+    def work(batches):
+        for batch in text_batches(batches, 1_000, 2 * BATCH_TOKENS, column=0):
+            flat, lengths = _unpacked(batch.column(0))
+            sums = np.add.reduceat(sent.value[flat], np.cumsum(lengths) - lengths, axis=0)
+            sums /= np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-9)
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in sums], pa.binary())], names=["point"])
+
+    return coded.select("symbols").mapInArrow(work, "point binary")
+
+
+def _groups(points: DataFrame, centres: np.ndarray) -> list:
+    """Per group: state, its number of texts, the text least like its centre, and the sum of its texts."""
+    sent = points.sparkSession.sparkContext.broadcast(centres)
+    names = [f"d{i}" for i in range(DIMS)]
+
+    def work(batches):
+        k = len(sent.value)
+        n, sums = np.zeros(k, dtype=np.int64), np.zeros((k, DIMS))
+        least, far = np.full(k, 2.0), np.zeros((k, DIMS), dtype=np.float32)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            flat = np.stack([np.frombuffer(x.as_buffer(), dtype=np.float32) for x in batch.column(0)])
+            like = flat @ sent.value.T
+            near = like.argmax(axis=1)
+            like = like[np.arange(len(near)), near]
+            for i in np.unique(near):
+                mine = np.flatnonzero(near == i)
+                n[i] += len(mine)
+                sums[i] += flat[mine].sum(axis=0)
+                one = mine[like[mine].argmin()]
+                if like[one] < least[i]:
+                    least[i], far[i] = like[one], flat[one]
+        some = np.flatnonzero(n)
+        columns = [pa.array(some), pa.array(n[some]), pa.array(least[some])]
+        columns.append(pa.array([far[i].tobytes() for i in some], pa.binary()))
+        columns += [pa.array(sums[some, i]) for i in range(DIMS)]
+        yield pa.RecordBatch.from_arrays(columns, names=["state", "n", "like", "point", *names])
+
+    schema = "state long, n long, like double, point binary, " + ", ".join(f"{x} double" for x in names)
+    rows = points.mapInArrow(work, schema).groupBy("state")
+    return rows.agg(F.sum("n").alias("n"), F.min(F.struct("like", "point")).alias("far"),
+                    *[F.sum(x).alias(x) for x in names]).collect()
 
 
 def train(coded: DataFrame, words: Dictionary, states: int = STATES, rounds: int = ROUNDS) -> Model:

@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 
+from docmill.llm import op7_hmm
 from docmill.llm.common import crc_remainder
 from docmill.llm.op7_hmm import Model, _stretches, expected_counts, forward_log10, score, words_of
 
@@ -81,3 +82,16 @@ def test_awkward_rows(awkward, nothing):
     assert score(nothing, crc_remainder("doc_id", 10) == 0).count() == 0
     held = score(awkward, crc_remainder("doc_id", 10) >= 0, states=2, rounds=1).collect()
     assert {r["n_known"] for r in held} == {0} and all(math.isfinite(r["score"]) for r in held)
+
+
+def test_groups_are_learnt_from_long_texts_too(spark):
+    """The states start from groups of all texts: a kind of text that only comes in long ones has one."""
+    docs = [(i, False, (b"red blue " * 40).strip()) for i in range(30)]
+    docs += [(100 + i, False, (b"sun moon " * 4_000).strip()) for i in range(3)]
+    rows = spark.createDataFrame(docs, "doc_id long, held_out boolean, text binary")
+    words = op7_hmm.dictionary(op7_hmm.corpus_counts(rows))
+    coded = op7_hmm.encode(rows, words)
+    direction, centres = op7_hmm._centres(coded, 2, words.symbols)
+    near = [(op7_hmm._points(coded.where(f"doc_id = {i}"), direction).first()["point"]) for i in (0, 100)]
+    like = [(np.frombuffer(p, dtype=np.float32) @ centres.T) for p in near]
+    assert like[0].argmax() != like[1].argmax() and min(x.max() for x in like) > 0.99
