@@ -310,7 +310,7 @@ def _estimate(start, moves, emitted) -> Model:
 
 def _centres(coded: DataFrame, states: int, symbols: int) -> tuple[np.ndarray, np.ndarray]:
     """Directions of the symbols, and the middle of each of ``states`` groups of similar texts: k-means
-    over the directions of all texts. A round sums in each task, then by group."""
+    over the directions of all texts. A task hands on one row per group and round."""
     random = np.random.default_rng(7)
     direction = random.standard_normal((symbols, DIMS)).astype(np.float32)
     direction[-1] = 0
@@ -326,12 +326,11 @@ def _centres(coded: DataFrame, states: int, symbols: int) -> tuple[np.ndarray, n
     for _ in range(GROUP_ROUNDS):
         rows = _groups(points, centres[:used])
         now = np.zeros_like(centres)
-        for row in rows:
-            middle = np.array(row[3:])
-            now[row["state"]] = middle / max(np.linalg.norm(middle), 1e-9)
+        for i, (_, middle) in rows.items():
+            now[i] = middle / max(np.linalg.norm(middle), 1e-9)
         # a group without texts starts again from the text that is least like its own group
-        far = sorted((r["far"]["like"], bytes(r["far"]["point"])) for r in rows)
-        spare = [i for i in range(states) if i not in {r["state"] for r in rows}]
+        far = sorted(least for least, _ in rows.values())
+        spare = [i for i in range(states) if i not in rows]
         for i, (like, point) in zip(spare, far, strict=False):
             if like < 0.999:
                 now[i] = np.frombuffer(point, dtype=np.float32)
@@ -356,15 +355,13 @@ def _points(coded: DataFrame, direction: np.ndarray) -> DataFrame:
     return coded.select("symbols").mapInArrow(work, "point binary")
 
 
-def _groups(points: DataFrame, centres: np.ndarray) -> list:
-    """Per group: state, its number of texts, the text least like its centre, and the sum of its texts."""
+def _groups(points: DataFrame, centres: np.ndarray) -> dict[int, tuple[tuple[float, bytes], np.ndarray]]:
+    """Per group with texts: the text least like its centre, and the sum of its texts."""
     sent = points.sparkSession.sparkContext.broadcast(centres)
-    names = [f"d{i}" for i in range(DIMS)]
 
     def work(batches):
         k = len(sent.value)
-        n, sums = np.zeros(k, dtype=np.int64), np.zeros((k, DIMS))
-        least, far = np.full(k, 2.0), np.zeros((k, DIMS), dtype=np.float32)
+        sums, least = np.zeros((k, DIMS)), [(2.0, b"")] * k
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -374,21 +371,21 @@ def _groups(points: DataFrame, centres: np.ndarray) -> list:
             like = like[np.arange(len(near)), near]
             for i in np.unique(near):
                 mine = np.flatnonzero(near == i)
-                n[i] += len(mine)
                 sums[i] += flat[mine].sum(axis=0)
                 one = mine[like[mine].argmin()]
-                if like[one] < least[i]:
-                    least[i], far[i] = like[one], flat[one]
-        some = np.flatnonzero(n)
-        columns = [pa.array(some), pa.array(n[some]), pa.array(least[some])]
-        columns.append(pa.array([far[i].tobytes() for i in some], pa.binary()))
-        columns += [pa.array(sums[some, i]) for i in range(DIMS)]
-        yield pa.RecordBatch.from_arrays(columns, names=["state", "n", "like", "point", *names])
-
-    schema = "state long, n long, like double, point binary, " + ", ".join(f"{x} double" for x in names)
-    rows = points.mapInArrow(work, schema).groupBy("state")
-    return rows.agg(F.sum("n").alias("n"), F.min(F.struct("like", "point")).alias("far"),
-                    *[F.sum(x).alias(x) for x in names]).collect()
+                least[i] = min(least[i], (float(like[one]), flat[one].tobytes()))
+        some = [i for i in range(k) if least[i][1]]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(some, pa.int64()), pa.array([least[i][0] for i in some], pa.float64()),
+             pa.array([least[i][1] for i in some], pa.binary()), pa.array([sums[i].tobytes() for i in some], pa.binary())],
+            names=["state", "like", "point", "sums"])
+
+    found = {}
+    for row in points.mapInArrow(work, "state long, like double, point binary, sums binary").collect():
+        least, sums = found.get(row["state"], ((2.0, b""), 0.0))
+        least = min(least, (row["like"], bytes(row["point"])))
+        found[row["state"]] = least, sums + np.frombuffer(row["sums"], dtype=np.float64)
+    return found
 
 
 def train(coded: DataFrame, words: Dictionary, states: int = STATES, rounds: int = ROUNDS) -> Model:
