@@ -45,25 +45,19 @@ def check_window(size: int, overlap: int, min_size: int) -> None:
 
 
 def _window_pattern(size: int, overlap: int, min_size: int) -> str:
-    """One match per window. It consumes the part of the window before the overlap, and its
-    first group looks ahead at the overlap, so matches tile the text in one linear pass.
+    """One match per window that more than ``size`` characters are left for: its text behind the end
+    of the window before. So matches tile the text, and a place is tested for a sentence end by one
+    character.
 
-    Three cases: a sentence end as late as possible inside the look-back zone; a cut at
-    ``size``; and the tail once no more than ``size`` characters remain.
+    A window ends at a sentence end as late as possible inside the look-back zone, else at ``size``.
     """
     shortest = max(min_size, size - LOOKBACK) + 2
-    low, high = shortest - overlap, size + 1 - overlap
-    if overlap:
-        sentence = rf".{{{low},{high}}}(?=.{{{overlap - 1}}}[.!?\n])"
-    else:
-        sentence = rf".{{{low - 1},{high - 1}}}[.!?\n]"
-    if shortest > size + 1:
-        sentence = r"(?!)"
-    step = size - overlap
-    return (
-        rf"(?s)\G(?:(?=.{{{size + 1}}})(?:{sentence}|.{{{step}}})|.{{1,{step}}})"
-        rf"(?=(.{{0,{overlap}}}))"
-    )
+
+    def part(seen: int) -> str:
+        sentence = rf".{{{shortest - 1 - seen},{size - seen}}}[.!?\n]|" if shortest <= size + 1 else ""
+        return rf"(?=.{{{size + 1 - seen}}})(?:{sentence}.{{{size - seen}}})"
+
+    return rf"(?s)\G(?:\A{part(0)}|(?!\A){part(overlap)})"
 
 
 def sliding_windows(
@@ -72,14 +66,43 @@ def sliding_windows(
     """Array of ``(text, advance)``: a window and how far the next one starts after it."""
     check_window(size, overlap, min_size)
     pattern = F.lit(_window_pattern(size, overlap, min_size))
-    heads = F.regexp_extract_all(content, pattern, F.lit(0))
-    tails = F.regexp_extract_all(content, pattern, F.lit(1))
-    return F.zip_with(
-        heads,
-        tails,
-        lambda h, t: F.struct(F.concat(h, t).alias("text"), F.length(h).alias("advance")),
+    step = size - overlap
+    parts = F.regexp_extract_all(content, pattern, F.lit(0))
+    # as many parts as hold an overlap whatever their length
+    held = max(1, -(-overlap // (max(min_size, size - LOOKBACK) + 2 - overlap)))
+
+    def before(all_parts: Column) -> Column:
+        """The overlap that each part's window begins with."""
+
+        def ends(_: Column, i: Column) -> Column:
+            near = F.concat_ws("", *(F.get(all_parts, i - back) for back in range(held, 0, -1)))
+            return F.right(near, F.lit(overlap))
+
+        return F.transform(all_parts, ends)
+
+    whole = F.zip_with(
+        parts,
+        let(F.regexp_extract_all(content, pattern, F.lit(0)), before),
+        lambda p, b: F.struct(
+            F.concat(b, p).alias("text"), (F.length(b) + F.length(p) - overlap).alias("advance")
+        ),
     )
 
+    def with_tail(full: Column) -> Column:
+        """Windows over the last characters follow, ``size`` at most."""
+        left = F.length(content) - F.aggregate(full, F.lit(0), lambda at, w: at + w["advance"])
+        tail = F.struct(left.alias("size"), F.right(content, left).alias("text"))
+        windows = let(tail, lambda t: F.transform(
+            F.when(t["size"] > 0, F.sequence(F.lit(0), t["size"] - 1, F.lit(step))).otherwise(F.array().cast("array<int>")),
+            lambda at: F.struct(
+                F.substring(t["text"], at + 1, F.lit(size)).alias("text"),
+                F.least(F.lit(step), t["size"] - at).alias("advance"),
+            ),
+        ))
+        return F.concat(full, windows)
+
+    return let(whole, with_tail)
+
 
 def chunk_sliding(
     docs: DataFrame,
@@ -109,8 +132,7 @@ def chunk_sliding(
             lambda acc: acc["starts"],
         ),
     )
-    length = F.length(F.col(text_col))
-    placed = F.zip_with(
+    placed = let(F.length(F.col(text_col)), lambda length: F.zip_with(
         "_w",
         "_s",
         lambda w, s: F.struct(
@@ -120,7 +142,7 @@ def chunk_sliding(
             .otherwise(s + F.length(w["text"]))
             .alias("end_char"),
         ),
-    )
+    ))
     kept = F.filter(placed, lambda c: c["content"] != "")
     keep = [c for c in docs.columns if c != text_col]
     out = rows.select(*keep, kept.alias("_c"))
