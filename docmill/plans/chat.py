@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from docmill import tables
 from docmill.functions import text as T
+from docmill.functions.arrays import let
 from docmill.operators import chat as H
 from docmill.operators import enrichment as N
 from docmill.operators import evaluation as V
@@ -314,7 +315,8 @@ def _weather(spark, root):
     """Events as weather payloads: value as temperature, k as humidity, thirty hours ahead."""
     k = F.get_json_object("props", "$.k").cast("int")
     code = F.get(F.array(*[F.lit(c) for c in _CODES]), (F.col("event_id") % len(_CODES)).cast("int"))
-    hours = F.transform(F.sequence(F.lit(0), F.lit(29)), lambda h: (h * 7 + k) % 31 + F.lit(0.5))
+    # k is read out of the text once a row, not once an hour
+    hours = let(k, lambda k: F.transform(F.sequence(F.lit(0), F.lit(29)), lambda h: (h * 7 + k) % 31 + F.lit(0.5)))
     return tables.spread(_events(spark, root), "event_id", rows=20_000).select(
         "event_id", F.concat(F.lit("station "), _text("user_id")).alias("location_name"),
         F.to_json(F.struct(

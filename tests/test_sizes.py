@@ -36,3 +36,10 @@ def test_windows_are_those_of_a_walk(spark, size, overlap, least):
     got = chunking.chunk_sliding(docs, size, overlap, least).select("doc_id", "start_char", "content")
     want = [(n, at, part.strip()) for n, t in docs.collect() for at, part in walk(t) if part.strip()]
     assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_weather_payload_reads_its_number_once_a_row(spark, root):
+    """It was read out of the JSON text again for each of thirty hours."""
+    plan = plans.all_queries()["weather_readings"](spark, root)._jdf.queryExecution().optimizedPlan().toString()
+    hours = plan[plan.index("hourly, struct(temperature_2m, "):]
+    assert "get_json_object" in plan and not re.search(r"\* 7\) \+ cast\(get_json_object", hours)
