@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections import namedtuple
 from collections.abc import Iterator
 
 import pandas as pd
@@ -98,6 +99,16 @@ class _Message:
         return "".join(self.tokens), self.sources, self.cited, json.dumps(self.calls), self.error
 
 
+def _events_in_order(batches: Iterator[pd.DataFrame]) -> list:
+    """Events by ``seq`` (none last), equal ones in any order. Plain tuples: most messages are short, and
+    sorting a frame costs more than all of their events."""
+    found = []
+    for batch in batches:
+        event = namedtuple("Event", batch.columns)
+        found.extend(map(event._make, zip(*(batch[name].tolist() for name in batch.columns), strict=True)))
+    return sorted(found, key=lambda e: (pd.isna(e.seq), e.seq))
+
+
 def assemble_stream(
     events: DataFrame, key: list[str], ts: str | None = None, limit_seconds: int = LIMIT_SECONDS, delay: str = "10 minutes"
 ) -> DataFrame:
@@ -130,7 +141,7 @@ def assemble_stream(
             out.append([*name, *message.row(), False])
             message = None
         else:
-            for event in pd.concat(list(batches)).sort_values("seq").itertuples():
+            for event in _events_in_order(batches):
                 if timed and message and event.ms >= started + limit:
                     message.fail()
                     out.append([*name, *message.row(), False])
@@ -147,11 +158,15 @@ def assemble_stream(
                 state.setTimeoutTimestamp(max(started + limit, state.getCurrentWatermarkMs() + 1))
         elif state.exists:
             state.remove()
-        yield pd.DataFrame(out, columns=[*key, *names, "done"])
+        if out:
+            yield pd.DataFrame(out, columns=[*key, *names, "done"])
 
     keyed = ", ".join(f"{k} {fields[k]}" for k in key)
     timeout = GroupStateTimeout.EventTimeTimeout if timed else GroupStateTimeout.NoTimeout
-    found = events.withColumnRenamed("_ms", "ms").groupBy(*key).applyInPandasWithState(
+    events = events.withColumnRenamed("_ms", "ms")
+    # a column costs each message as much as dozens of events: only those that are read go in
+    read = ["seq", "type", "content", "sources", "cited_indices", "tool_name", "tool_args", "tool_result", *(["ms"] if timed else [])]
+    found = events.select(*key, *([ts] if timed else []), *read).groupBy(*key).applyInPandasWithState(
         fold, f"{keyed}, {kept}, done boolean", f"{kept}, started long", "append", timeout
     )
     calls = F.transform(
@@ -208,7 +223,8 @@ def frame_stream(
             events += count
             state.update((next_, events, last, rest, list(waiting), list(waiting.values())))
             state.setTimeoutTimestamp(max(last + idle_seconds * 1000, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=[*key, "first_event", "frame"])
+        if out:
+            yield pd.DataFrame(out, columns=[*key, "first_event", "frame"])
 
     return rows.groupBy(*key).applyInPandasWithState(
         fold, f"{keyed}, first_event long, frame string", held, "append", GroupStateTimeout.EventTimeTimeout
