@@ -2,11 +2,14 @@
 
 import re
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from docmill import plans
-from docmill.operators import chunking
+from docmill.functions.markup import PAGES, html_to_markdown, markdown_of
+from docmill.operators import chunking, fulltext
+from docmill.streaming import jobs
 
 
 def test_a_window_end_is_tested_by_one_character():
@@ -43,3 +46,27 @@ def test_weather_payload_reads_its_number_once_a_row(spark, root):
     plan = plans.all_queries()["weather_readings"](spark, root)._jdf.queryExecution().optimizedPlan().toString()
     hours = plan[plan.index("hourly, struct(temperature_2m, "):]
     assert "get_json_object" in plan and not re.search(r"\* 7\) \+ cast\(get_json_object", hours)
+
+
+def test_postings_shuffle_no_words(spark):
+    """Every word went through the shuffle with the id of its chunk; now the chunks do."""
+    tokens = spark.createDataFrame([(1, ["a", "b", "", "a"]), (1, ["a"]), (None, ["c"]), (2, None)], "chunk_id long, tokens array<string>")
+    postings = fulltext.build_postings(tokens)
+    rows = sorted(map(str, ((r["term"], r["chunk_id"], r["positions"], r["tf"]) for r in postings.collect())))
+    assert rows == ["('a', 1, [0, 0, 3], 3)", "('b', 1, [1], 1)", "('c', None, [0], 1)"]
+    plan = postings._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(chunk_id" in plan and "hashpartitioning(term" not in plan
+
+
+def test_pages_are_read_a_few_at_a_time(spark):
+    """A batch of pages was held as Python texts beside its columns, and their markdown too."""
+    pages = [None if i % 7 == 3 else "" if i % 7 == 5 else f"<h1>t{i}</h1><p>x</p>" for i in range(2 * PAGES + 5)]
+    rows = spark.createDataFrame(list(enumerate(pages)), "id int, html string").coalesce(1).select("id", html_to_markdown("html").alias("m"))
+    assert [r["m"] for r in rows.orderBy("id").collect()] == [p if p is None else markdown_of(p) for p in pages]
+    assert "ArrowEvalPython" in (plan := rows._jdf.queryExecution().executedPlan().toString()) and "], 250" in plan
+
+
+def test_events_of_a_message_in_order():
+    """Sorting a frame cost a short message more than all of its events."""
+    batches = iter([pd.DataFrame({"seq": [4, 2], "type": ["d", "b"]}), pd.DataFrame({"seq": [3, 1], "type": ["c", "a"]})])
+    assert [(e.seq, e.type) for e in jobs._events_in_order(batches)] == [(1, "a"), (2, "b"), (3, "c"), (4, "d")]
