@@ -8,7 +8,7 @@ import time
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +17,21 @@ from docmill.functions import text as T
 Embedder = Callable[[list[str]], np.ndarray]
 
 
+class _Numbers(dict):
+    """First 32 bits of the MD5 of words, kept for as many as fit."""
+
+    limit = 1 << 18
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= self.limit:
+            self.clear()
+        number = self[word] = int.from_bytes(hashlib.md5(word.encode()).digest()[:4])
+        return number
+
+
+_numbers = _Numbers()
+
+
 class HashedWords:
     """Deterministic stand-in for a model: counts of words hashed into ``dim`` components
     (first 32 bits of the MD5, modulo ``dim``), scaled to unit length."""
@@ -29,9 +44,8 @@ class HashedWords:
     def __call__(self, texts: list[str]) -> np.ndarray:
         found = [re.findall(r"[^\W_]+", text.lower()) for text in texts]
         words = [word for part in found for word in part]
-        slots = {w: int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % self.dim for w in set(words)}
         row = np.repeat(np.arange(len(texts)), [len(part) for part in found])
-        slot = np.fromiter(map(slots.__getitem__, words), dtype=np.int64, count=len(words))
+        slot = np.fromiter(map(_numbers.__getitem__, words), dtype=np.int64, count=len(words)) % self.dim
         out = np.bincount(row * self.dim + slot, minlength=len(texts) * self.dim)
         out = out.reshape(len(texts), self.dim).astype(np.float64)
         size = np.linalg.norm(out, axis=1, keepdims=True)
@@ -103,16 +117,19 @@ def embed(
     size = getattr(model, "dim", dim)
     schema = "embedding array<float>, embedding_error string"
 
-    @F.pandas_udf(schema)
-    def vectors(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf(schema)
+    def vectors(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
             found, errors = [], []
             for at in range(0, len(texts), batch_size):
-                part = texts.iloc[at : at + batch_size].tolist()
+                part = texts.slice(at, batch_size).to_pylist()
                 more, wrong = embed_batch(model, part, size, retries, delay)
                 found.extend(more)
                 errors.extend(wrong)
-            yield pd.DataFrame({"embedding": found, "embedding_error": errors})
+            ends = np.cumsum([0, *map(len, found)], dtype=np.int32)
+            values = np.concatenate([np.zeros(0, np.float32), *found])
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(values))
+            yield pa.StructArray.from_arrays([lists, pa.array(errors, pa.string())], ["embedding", "embedding_error"])
 
     prepared = embedding_text(F.col(text_col))
     return df.withColumn("_v", vectors(prepared)).select(

@@ -361,7 +361,9 @@ def q_embed_errors(spark, root):
 
 
 def q_embed_chunks(spark, root):
-    rows = E.embed(_chunks(spark, root).select("doc_id", "chunk_index", "content"))
+    # dealt without a key, so that texts with one id, or without it, are no one task
+    docs = tables.spread(tables.load(spark, root, "documents").select("doc_id", "text"))
+    rows = E.embed(C.chunk_sliding(docs).select("doc_id", "chunk_index", "content"))
     x = F.col("embedding")
     total = F.aggregate(x, F.lit(0.0), lambda a, v: a + v)
     place = F.aggregate(
