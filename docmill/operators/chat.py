@@ -193,20 +193,20 @@ def parse_sse(bodies: DataFrame, keep: list[str], body_col: str = "body") -> Dat
     """Events of server-sent-event text: ``seq, type, content, sources, cited_indices,
     tool_name, tool_args, tool_result``. Text after the last blank line is not complete and
     is held back; events without type or data, or with broken JSON, are dropped."""
-    pieces = F.split(body_col, "\n\n")
-    rows = explode_rows(bodies.select(*keep, pieces.alias("_p")), F.slice(
-        "_p", F.lit(1), F.size("_p") - 1), keep, "event", "seq")
-    lines = F.split("event", "\n")
-
-    def field(name: str) -> Column:
-        mine = F.filter(lines, lambda s: s.startswith(name))
-        last = F.try_element_at(mine, F.lit(-1))
-        return T.strip(F.substring(last, F.lit(len(name) + 1), F.length(last)))
-
-    rows = rows.select(*keep, "seq", field("event:").alias("type"), field("data:").alias("_data"))
-    rows = rows.where((F.col("type") != "") & (F.col("_data") != ""))
-    rows = rows.withColumn("_json", F.try_parse_json("_data"))
-    rows = rows.where(F.col("_json").isNotNull() & ~F.is_variant_null("_json"))
+    def field(event: Column, name: str) -> Column:
+        """The last line with that name; empty if there is none."""
+        line = F.substring_index(F.concat(F.lit("\n"), event), f"\n{name}", -1)
+        return T.strip(F.substring_index(line, "\n", 1))
+
+    # taken apart inside the array: a filter above the explode would repeat every step it looks at
+    parsed = F.transform(
+        F.split(body_col, "\n\n"),
+        lambda e: F.struct(field(e, "event:").alias("type"), F.try_parse_json(field(e, "data:")).alias("json")),
+    )
+    rows = explode_rows(bodies.select(*keep, parsed.alias("_p")), F.slice(
+        "_p", F.lit(1), F.size("_p") - 1), keep, "_event", "seq")
+    rows = rows.select(*keep, "seq", F.col("_event.type").alias("type"), F.col("_event.json").alias("_json"))
+    rows = rows.where((F.col("type") != "") & F.col("_json").isNotNull() & ~F.is_variant_null("_json"))
 
     def get(path: str) -> Column:
         return F.try_variant_get("_json", path, "string")

@@ -239,7 +239,8 @@ def _bodies(spark, root, talk=None):
 
 
 def q_sse_parse(spark, root):
-    rows = H.parse_sse(_bodies(None, None, tables.spread(_talk(spark, root), "conv_id", "turn")), ["conv_id", "turn"])
+    # dealt without a key, so that messages of one conversation and turn, or without them, are no one task
+    rows = H.parse_sse(_bodies(None, None, tables.spread(_talk(spark, root))), ["conv_id", "turn"])
     return rows.select(
         "conv_id", "turn", F.col("seq").cast("bigint").alias("seq"), "type", "content", "sources", "tool_name", "tool_args")
 
