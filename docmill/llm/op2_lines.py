@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.window import Window
 
-from docmill.llm.common import numbered, stored, text_batches
+from docmill.llm.common import numbered, release, stored, text_batches
 from docmill.llm.passages import repeated_passages
 
 MIN_WORDS = 50
@@ -101,13 +101,18 @@ def _same(left: str, right: str):
 
 def _first_ranks(found: DataFrame) -> DataFrame:
     """Rank of every line that occurs at two places or more, by its digest."""
+    found = stored(found, tidy=True)
     place = F.struct(*PLACE, "line")
     groups = found.groupBy("digest").agg(
         F.count(F.lit(1)).alias("n"), F.min(place).alias("_first"), F.max(place).alias("_last")
     ).where("not (_first <=> _last)").select("digest", "n")
-    ranked = stored(numbered(groups, ["digest"], "n", "rank").select("digest", "rank"))
+    order = numbered(groups, ["digest"], "n", "rank")
+    ranked = stored(order.select("digest", "rank"), tidy=True)
+    release(order)
     again = found.select(*PLACE, "line", "digest", "ahead", "behind", "start", "length").join(ranked, "digest")
-    return stored(again.drop("digest").dropDuplicates([*PLACE, "line"]))
+    first = stored(again.drop("digest").dropDuplicates([*PLACE, "line"]), tidy=True)
+    release(again)
+    return first
 
 
 def _doubled(ranks: DataFrame, step: int) -> DataFrame:
@@ -117,10 +122,13 @@ def _doubled(ranks: DataFrame, step: int) -> DataFrame:
     ahead = F.col("b.line") == F.col("a.line") + step
     pairs = stored(a.join(b, _same("a", "b") & ahead).select(
         "a.doc_id", "a.text_hash", "a.line", F.col("a.rank").alias("r1"), F.col("b.rank").alias("r2")
-    ))
+    ), tidy=True)
     groups = pairs.groupBy("r1", "r2").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     ranked = numbered(groups, ["r1", "r2"], "n", "rank").select("r1", "r2", "rank")
-    return stored(pairs.join(ranked, ["r1", "r2"]).select(*PLACE, "line", "rank"))
+    doubled = stored(pairs.join(ranked, ["r1", "r2"]).select(*PLACE, "line", "rank"), tidy=True)
+    release(pairs)
+    release(ranked)
+    return doubled
 
 
 def suffix_ranks(first: DataFrame, longest: int) -> DataFrame:
@@ -159,11 +167,12 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         .join(tail, _same("w", "t") & (F.col("w.tail") == F.col("t.line")) & (F.col("w.level") == F.col("t.level")))
         .select("w.doc_id", "w.text_hash", "w.line", "w.n", F.col("h.rank").alias("head"), F.col("t.rank").alias("tail"))
     )
-    named = stored(named)
+    named = stored(named, tidy=True)
+    release(ranks, keep=first)
     intervals = named.groupBy("n", "head", "tail").agg(
         F.min(F.struct(*PLACE, "line")).alias("kept"), F.count(F.lit(1)).alias("_members")
     ).where("_members > 1").drop("_members")
-    intervals = stored(intervals)  # so that the join deals both its sides and splits a large interval
+    intervals = stored(intervals, tidy=True)  # so that the join deals both its sides and splits a large interval
     copies = named.join(intervals, ["n", "head", "tail"]).where(
         ~F.struct(*PLACE, "line").eqNullSafe(F.col("kept"))
     )
@@ -205,7 +214,9 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """``deleted_runs`` and, in the same columns, the repeated runs of words that do not lie inside
     one of them. ``first_line`` and ``n_lines`` tell the lines that such a run touches, ``kept_line``
     the line in which its copy begins; spans may overlap."""
-    whole = stored(_runs(repeated_lines(docs, id_col, text_col, min_words)))
+    repeated = repeated_lines(docs, id_col, text_col, min_words)
+    whole = stored(_runs(repeated), tidy=True)
+    release(repeated)
     inner = repeated_passages(_source(docs, id_col, text_col), PLACE, min_words, fold=False).select(
         *PLACE, F.col("line").alias("first_line"), (F.col("last_line") - F.col("line") + 1).alias("n_lines"),
         "start", "length", F.col("kept.doc_id").alias("kept_doc_id"),

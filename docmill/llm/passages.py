@@ -19,6 +19,7 @@ copy that overlaps its own original stays. Rows with equal ``key`` values are on
 
 from __future__ import annotations
 
+import zlib
 from functools import lru_cache
 
 import numpy as np
@@ -161,7 +162,7 @@ def _smallest(words: Words, least: int, needed: np.ndarray) -> tuple[np.ndarray,
 
 
 def _bitmap(hashes: DataFrame) -> bytes:
-    """Bits of the values of the one column of ``hashes``."""
+    """Bits of the values of the one column of ``hashes``, packed: every worker host keeps a file of them."""
     slot = F.col(hashes.columns[0]).bitwiseAND(F.lit(SLOTS - 1))
     parts = hashes.select(
         F.shiftright(slot, 15).alias("bucket"), slot.bitwiseAND(F.lit(_BUCKET - 1)).alias("bit")
@@ -171,7 +172,12 @@ def _bitmap(hashes: DataFrame) -> bytes:
     for bucket, bits in parts.toLocalIterator():
         marks[bucket] = np.frombuffer(bytes(bits), np.uint8)
     release(parts)
-    return marks.tobytes()
+    return zlib.compress(marks, 1)
+
+
+@lru_cache(2)
+def _bits(packed: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(packed), np.uint8)
 
 
 def _batches(batches, fold: bool):
@@ -261,7 +267,7 @@ def repeated_passages(docs: DataFrame, key: list[str], least: int, fold: bool, l
     release(pieces_first)
 
     def groups(batches):
-        bits = np.frombuffer(firsts.value, np.uint8)
+        bits = _bits(firsts.value)
         for _, words, keys in _batches(batches, fold):
             digests, _ = _smallest(words, least, _needed(words, keys, least, bits))
             yield pa.RecordBatch.from_arrays([pa.array(digests.view(np.int64))], ["digest"])
@@ -270,9 +276,9 @@ def repeated_passages(docs: DataFrame, key: list[str], least: int, fold: bool, l
     repeated = context.broadcast(_bitmap(counted.where("n > 1").select("digest")))
 
     def windows(words, keys):
-        needed = _needed(words, keys, least, np.frombuffer(firsts.value, np.uint8))
+        needed = _needed(words, keys, least, _bits(firsts.value))
         _, small = _smallest(words, least, needed)
-        at = np.flatnonzero(needed & _marked(np.frombuffer(repeated.value, np.uint8), small))
+        at = np.flatnonzero(needed & _marked(_bits(repeated.value), small))
         h1, h2 = (words.groups(least, base)[at] for base in _BASES)
         # 96 bits are enough to tell windows apart
         return at, np.full(len(at), least), [h1, (h2 >> np.uint64(32)).astype(np.uint32).view(np.int32)]

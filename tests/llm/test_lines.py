@@ -78,3 +78,26 @@ def test_passages_inside_lines(spark):
     assert found == [
         (3, 1, 1, 7, len(some[0]), 1, 1), (4, 1, 1, 2, len(some[1]), 2, 0), (5, 0, 2, 2, len(some[1]), 2, 0),
     ]
+
+
+def test_tables_of_lines_are_freed(spark):
+    from pathlib import Path
+
+    from docmill.llm.common import shared_folder
+
+    folder = Path(shared_folder(spark).removeprefix("file:"))
+    run = "\n".join(f"line {i} of some words" for i in range(20))
+    docs = spark.createDataFrame([(i, f"{run}\nend {i}") for i in range(4)], "doc_id long, text string")
+    before = set(folder.glob("stored-*"))
+    found = repeated_runs(docs)
+    assert len(set(folder.glob("stored-*")) - before) == 2  # runs of lines, passages
+    assert {r["doc_id"] for r in found.collect()} == {1, 2, 3}
+
+
+def test_bitmaps_are_sent_packed(spark):
+    from docmill.llm.passages import SLOTS, _bitmap, _bits
+
+    packed = _bitmap(spark.createDataFrame([(5,), (SLOTS - 1,), (SLOTS + 9,), (-1,)], "h long"))
+    bits = _bits(packed)
+    assert len(packed) < 1 << 20 and len(bits) == SLOTS // 8
+    assert {int(i) for i in bits.nonzero()[0]} == {0, 1, SLOTS // 8 - 1}
