@@ -45,6 +45,7 @@ SMOOTHING = 200.0  # tokens' worth of the symbol's corpus share in each state
 COUNTED = 400_000  # words counted in a task before they are passed on
 BATCH_TOKENS = 1 << 18
 DIMS = 64
+DIRECTIONS = 4_096  # directions of symbols added up at a time
 ADD = 0.1  # of the base model
 
 
@@ -234,35 +235,43 @@ def expected_counts(model: Model, flat: np.ndarray, lengths: np.ndarray):
     starts, length = starts[turn], lengths[turn]
     k, steps = len(model.start), int(length[0])
     active = np.searchsorted(-length, -np.arange(steps), side="left")  # sequences longer than t
+    behind = np.cumsum(active)
+    # symbols in the order of the steps, so that a step's rows lie together
+    step = np.repeat(np.arange(steps), active)
+    flat = flat[starts[np.arange(len(flat)) - (behind - active)[step]] + step]
     emit, move = model.emit.astype(np.float32), model.move.astype(np.float32)
-    alphas, gives, scales = [], [], []
+    gives = emit[flat]
+    alphas = np.empty((len(flat), k), dtype=np.float32)
+    scales = np.empty((len(flat), 1), dtype=np.float32)
     alpha = np.broadcast_to(model.start.astype(np.float32), (len(length), k))
+    at = 0
     for t in range(steps):
         n = active[t]
-        give = emit[flat[starts[:n] + t]]
-        alpha = (alpha[:n] @ move if t else alpha[:n]) * give
-        scale = alpha.sum(axis=1, keepdims=True)
-        alpha = alpha / scale
-        alphas.append(alpha)
-        gives.append(give)
-        scales.append(scale)
+        end = at + n
+        now = alphas[at:end]
+        np.multiply(alpha[:n] @ move if t else alpha[:n], gives[at:end], out=now)
+        scale = now.sum(axis=1, keepdims=True, out=scales[at:end])
+        now /= scale
+        alpha, at = now, end
     moves = np.zeros((k, k))
     states = np.empty((len(flat), k), dtype=np.float32)
     beta = np.ones((active[-1], k), dtype=np.float32)
     for t in range(steps - 1, -1, -1):
-        n = active[t]
+        n, end = active[t], behind[t]
+        at = end - n
         if len(beta) < n:
             beta = np.concatenate([beta, np.ones((n - len(beta), k), dtype=np.float32)])
-        gamma = alphas[t] * beta
+        gamma = np.multiply(alphas[at:end], beta, out=states[at:end])
         gamma /= gamma.sum(axis=1, keepdims=True)
-        states[starts[:n] + t] = gamma
         if t:
-            ahead = gives[t] * beta / scales[t]
-            moves += alphas[t - 1][:n].T @ ahead
+            ahead = gives[at:end] * beta
+            ahead /= scales[at:end]
+            first = at - active[t - 1]
+            moves += alphas[first : first + n].T @ ahead
             beta = ahead @ move.T
     moves *= model.move
     symbols = np.stack([np.bincount(flat, weights=states[:, i], minlength=len(model.emit)) for i in range(k)], axis=1)
-    return states[starts].sum(axis=0), moves, symbols
+    return states[: active[0]].sum(axis=0), moves, symbols
 
 
 def _stretches(lengths: np.ndarray) -> np.ndarray:
@@ -341,6 +350,16 @@ def _centres(coded: DataFrame, states: int, symbols: int) -> tuple[np.ndarray, n
     return direction, centres
 
 
+def _direction_sums(direction: np.ndarray, flat: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The sum of its symbols' directions for each text, in pieces that stay in the processor's cache."""
+    sums = np.zeros((len(lengths), DIMS))
+    ends = np.cumsum(lengths)
+    for i, (start, end) in enumerate(zip((ends - lengths).tolist(), ends.tolist(), strict=True)):
+        for at in range(start, end, DIRECTIONS):
+            sums[i] += direction[flat[at : min(at + DIRECTIONS, end)]].sum(axis=0, dtype=np.float64)
+    return sums.astype(np.float32)
+
+
 def _points(coded: DataFrame, direction: np.ndarray) -> DataFrame:
     """The direction of every text: the sum of its symbols' directions, of length 1."""
     sent = coded.sparkSession.sparkContext.broadcast(direction)
@@ -348,7 +367,7 @@ def _points(coded: DataFrame, direction: np.ndarray) -> DataFrame:
     def work(batches):
         for batch in text_batches(batches, 1_000, 2 * BATCH_TOKENS, column=0):
             flat, lengths = _unpacked(batch.column(0))
-            sums = np.add.reduceat(sent.value[flat], np.cumsum(lengths) - lengths, axis=0)
+            sums = _direction_sums(sent.value, flat, lengths)
             sums /= np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-9)
             yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in sums], pa.binary())], names=["point"])
 
@@ -397,7 +416,7 @@ def train(coded: DataFrame, words: Dictionary, states: int = STATES, rounds: int
 
     def first(flat, lengths):
         direction, centres = sent.value
-        sums = np.add.reduceat(direction[flat], np.cumsum(lengths) - lengths, axis=0)
+        sums = _direction_sums(direction, flat, lengths)
         state = (sums @ centres.T).argmax(axis=1)
         start = np.bincount(state, minlength=states).astype(float)
         each = np.repeat(state, lengths)

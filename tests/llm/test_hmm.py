@@ -1,5 +1,6 @@
 import itertools
 import math
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -95,3 +96,18 @@ def test_groups_are_learnt_from_long_texts_too(spark):
     near = [(op7_hmm._points(coded.where(f"doc_id = {i}"), direction).first()["point"]) for i in (0, 100)]
     like = [(np.frombuffer(p, dtype=np.float32) @ centres.T) for p in near]
     assert like[0].argmax() != like[1].argmax() and min(x.max() for x in like) > 0.99
+
+
+def test_directions_of_long_texts_are_added_up_in_pieces():
+    r = np.random.default_rng(4)
+    direction = r.standard_normal((1_000, op7_hmm.DIMS)).astype(np.float32)
+    lengths = np.array([1, 9_000, 3, 300_000, 4_096])
+    flat = r.integers(0, 1_000, lengths.sum()).astype(np.uint16)
+    tracemalloc.start()
+    found = op7_hmm._direction_sums(direction, flat, lengths)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8 << 20  # all directions of the longest text are 77 MB
+    for end, length, got in zip(np.cumsum(lengths), lengths, found, strict=True):
+        counts = np.bincount(flat[end - length : end], minlength=1_000)
+        assert np.abs(counts @ direction.astype(float) - got).max() < 1e-3
