@@ -23,18 +23,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from docmill.llm.common import stored, text_batches
+from docmill.llm.common import release, stored, text_batches
 from docmill.llm.passages import repeated_passages
 
 MIN_WORDS = 6
 MIN_RUN = 12
-_CUT = re.compile(r"(?<=[.!?])[^\S\n]+|\n")
+_CUT = re.compile(r"[.!?][^\S\n]+|\n")
 
 
 def units(text: str, min_words: int = MIN_WORDS) -> list[tuple[int, int, str]]:
     """(start, length, normalised unit) of the units that are long enough."""
     out, at = [], 0
-    ends = [(m.start(), m.end()) for m in _CUT.finditer(text)]
+    ends = [(m.start() + (m[0] != "\n"), m.end()) for m in _CUT.finditer(text)]
     for stop, after in [*ends, (len(text), len(text))]:
         words = text[at:stop].lower().split()
         if len(words) >= min_words:
@@ -78,7 +78,8 @@ def repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                    min_words: int = MIN_WORDS) -> DataFrame:
     """Every occurrence to remove: ``doc_id``, ``start``, ``length``, and where its text is kept:
     ``kept_doc_id``, ``kept_start``."""
-    found = hashed_units(docs, id_col, text_col, min_words)
+    # stored, so that the texts are cut once for both the grouping and the join
+    found = stored(hashed_units(docs, id_col, text_col, min_words))
     first = found.groupBy("digest").agg(
         F.count(F.lit(1)).alias("_n"), F.min(F.struct("doc_id", "start")).alias("_kept")
     ).where("_n > 1")
@@ -101,7 +102,9 @@ def repeated_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         "doc_id", "start", "length", F.col("kept.doc_id").alias("kept_doc_id"),
         F.col("kept.start").cast("long").alias("kept_start"),
     )
-    whole = stored(repeated_units(docs, id_col, text_col, min_words), tidy=True)
+    repeated = repeated_units(docs, id_col, text_col, min_words)
+    whole = stored(repeated, tidy=True)
+    release(repeated)
     return whole.unionByName(runs).distinct()
 
 

@@ -30,6 +30,7 @@ from pyspark.sql.window import Window
 from docmill.llm.common import release, stored, text_batches
 
 SLOTS = 1 << 28
+BATCH = 1 << 18  # bytes of text at a time: some thirty times as much is held while its words are hashed
 _BUCKET = 1 << 15  # bits in one value of bitmap_construct_agg
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _NONE = np.uint64(2**64 - 1)
@@ -182,7 +183,7 @@ def _bits(packed: bytes) -> np.ndarray:
 
 def _batches(batches, fold: bool):
     """Batches with the words of their texts and the hashes of their keys."""
-    for batch in text_batches(batches, 1_000, 2 << 20, column=-1):
+    for batch in text_batches(batches, 1_000, BATCH, column=-1):
         keys = batch.column(batch.num_columns - 2).to_numpy().view(np.uint64)
         yield batch, Words([t or "" for t in batch.column(batch.num_columns - 1).to_pylist()], fold), keys
 
@@ -301,4 +302,6 @@ def repeated_passages(docs: DataFrame, key: list[str], least: int, fold: bool, l
     passages = stored(passages, tidy=True)
     for table in (found, first, early):
         release(table)
+    for marks in (firsts, repeated):
+        marks.destroy()
     return passages

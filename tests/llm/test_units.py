@@ -1,5 +1,9 @@
 import random
+import tracemalloc
 
+import pyarrow as pa
+
+from docmill.llm import passages
 from docmill.llm.op4_units import repeated_text, repeated_units, units, without
 
 PASSAGE = "Shared words go on here for long. And a second sentence of the passage follows it."
@@ -98,3 +102,31 @@ def test_runs_against_brute_force(spark):
 def test_runs_of_awkward_rows(awkward, nothing):
     assert {(r["doc_id"], r["kept_doc_id"]) for r in repeated_text(awkward, min_run=3).collect()} == {(6, 1)}
     assert repeated_text(nothing).count() == 0
+
+
+def test_texts_are_cut_once(spark):
+    docs = spark.createDataFrame([(1, f"{PASSAGE} One."), (2, f"Two. {PASSAGE}")], "doc_id long, text string")
+    found = repeated_units(docs)
+    assert "MapInArrow" not in found._jdf.queryExecution().toString()
+    assert found.count() == 2
+
+
+def test_units_after_other_white_space_and_dots():
+    text = "One two...  Three\u00a0four!\t Five?six\r\n.\n\n. Seven"
+    assert [text[s : s + n] for s, n, _ in units(text, 1)] == [
+        "One two...", "Three\u00a0four!", "Five?six\r", ".", ".", "Seven",
+    ]
+
+
+def test_words_of_large_batches_take_little_memory():
+    r = random.Random(5)
+    texts = [_words(r, 600) for _ in range(600)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(600), pa.int64()), pa.array(texts)], ["key", "text"])
+    tracemalloc.start()
+    rows = 0
+    for part, words, _ in passages._batches(iter([batch]), True):
+        words.groups(9, passages._BASES[0])
+        rows += part.num_rows
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == 600 and peak < 50 << 20
