@@ -38,6 +38,8 @@ PERCENT = 75
 LEAST_AGREEMENT = 0.55
 BLOCK = 512  # members of a bucket that are compared with each other in one task
 PIVOT_ROUNDS = 2
+BATCH = 1 << 19  # bytes of text sketched at a time
+KNOWN = 1 << 18  # words whose hashes a task remembers
 _VALUE_BITS = 40
 _M1, _M2, _GOLDEN = (np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15))
 
@@ -59,7 +61,7 @@ class Shingler:
 
         class Known(dict):
             def __missing__(self, word):
-                if len(self) >= 1_000_000:
+                if len(self) >= KNOWN:
                     self.clear()
                 value = digest(word)
                 if len(word) <= 64:
@@ -114,7 +116,7 @@ def sketches(sets: list[np.ndarray], size: int = COORDINATES) -> np.ndarray:
 
 def _sketch_rows(batches, arrow):
     shingler = Shingler()
-    for batch in text_batches(batches, 2_000, 4 << 20):
+    for batch in text_batches(batches, 2_000, BATCH):
         sets = [shingler(text.as_py()) for text in batch.column(1)]
         some = [i for i, s in enumerate(sets) if len(s)]
         sketch = sketches([sets[i] for i in some])
@@ -149,7 +151,7 @@ def sketched(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 def _set_rows(batches, arrow):
     shingler = Shingler()
-    for batch in text_batches(batches, 2_000, 4 << 20):
+    for batch in text_batches(batches, 2_000, BATCH):
         sets = [shingler(text.as_py()) for text in batch.column(1)]
         yield pa.RecordBatch.from_arrays([
             pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets],

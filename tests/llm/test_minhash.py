@@ -1,8 +1,12 @@
 import random
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
+from pyspark.sql.pandas.types import to_arrow_schema
 
+from docmill.llm import op9_minhash
 from docmill.llm.components import components
 from docmill.llm.op9_minhash import Shingler, _compare, near_duplicates, sketches
 
@@ -109,3 +113,15 @@ def test_awkward_rows(awkward, nothing):
     assert rows.count((6, 3, 1, False)) == 2 and (1, 3, 1, True) in rows
     assert [r for r in rows if r[0] == 7] == [(7, 3, 7, True), (7, 4, 7, True)] and (8, 1, 8, True) in rows
     assert near_duplicates(nothing).count() == 0
+
+
+def test_sketching_many_words_takes_little_memory(spark):
+    r = random.Random(6)
+    texts = [" ".join(f"w{r.randint(0, 10**9)}" for _ in range(800)).encode() for _ in range(1_000)]
+    schema = to_arrow_schema(op9_minhash.sketched(spark.createDataFrame([], "doc_id long, text string")).schema)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1_000), pa.int64()), pa.array(texts)], ["doc_id", "text"])
+    tracemalloc.start()
+    rows = sum(found.num_rows for found in op9_minhash._sketch_rows(iter([batch]), schema))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == 1_000 and peak < 70 << 20
