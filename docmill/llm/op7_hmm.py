@@ -45,7 +45,7 @@ SMOOTHING = 200.0  # tokens' worth of the symbol's corpus share in each state
 COUNTED = 400_000  # words counted in a task before they are passed on
 BATCH_TOKENS = 1 << 18
 DIMS = 64
-DIRECTIONS = 4_096  # directions of symbols added up at a time
+DIRECTIONS = 4_096  # directions of symbols held at a time
 ADD = 0.1  # of the base model
 
 
@@ -351,13 +351,20 @@ def _centres(coded: DataFrame, states: int, symbols: int) -> tuple[np.ndarray, n
 
 
 def _direction_sums(direction: np.ndarray, flat: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """The sum of its symbols' directions for each text, in pieces that stay in the processor's cache."""
-    sums = np.zeros((len(lengths), DIMS))
+    """The sum of its symbols' directions for each text. Few texts at a time are turned, so that the numbers
+    of a component lie together and stay in the processor's cache; a long text is added up by component."""
     ends = np.cumsum(lengths)
-    for i, (start, end) in enumerate(zip((ends - lengths).tolist(), ends.tolist(), strict=True)):
-        for at in range(start, end, DIRECTIONS):
-            sums[i] += direction[flat[at : min(at + DIRECTIONS, end)]].sum(axis=0, dtype=np.float64)
-    return sums.astype(np.float32)
+    starts, sums, at = ends - lengths, np.empty((len(lengths), DIMS), dtype=np.float32), 0
+    while at < len(lengths):
+        stop = max(at + 1, int(np.searchsorted(ends, starts[at] + DIRECTIONS, side="right")))
+        part = flat[starts[at] : ends[stop - 1]]
+        if len(part) <= DIRECTIONS:
+            turned = np.ascontiguousarray(direction[part].T)
+            sums[at:stop] = np.add.reduceat(turned, starts[at:stop] - starts[at], axis=1).T
+        else:
+            sums[at] = [np.add.reduceat(direction[part, i], [0])[0] for i in range(DIMS)]
+        at = stop
+    return sums
 
 
 def _points(coded: DataFrame, direction: np.ndarray) -> DataFrame:
