@@ -94,3 +94,25 @@ def test_many_alternatives_take_one_scan(spark, tmp_path):
     assert text.count("FileScan") == 1 and "aggregate(" not in text and "Exchange" not in text
     rows = found.collect()
     assert len(rows) == 4000 and [r["rank_cd"] for r in rows if r["chunk_id"] == 1] == pytest.approx([0.3] * 100)
+
+
+def stems(words):
+    return words.select("word", F.when(F.col("word") == "le", "").otherwise(F.regexp_replace("word", "s$", "")).alias("stem"))
+
+
+@pytest.mark.parametrize("few", [True, False])
+def test_stems_of_texts(spark, monkeypatch, few):
+    """Texts become stems in the scan, without a shuffle of their words; chunks with one id are merged."""
+    monkeypatch.setattr(FT, "FORM_ROWS", FT.FORM_ROWS if few else 0)
+    queries = spark.createDataFrame([(1, '"chats le chien" or maisons -oiseau'), (2, "le"), (3, "fleurs"), (4, None)], "query_id int, query string")
+    texts = [(0, "Chat un chiens"), (1, "chats chiens"), (2, "maison"), (3, "maisons, oiseaux oiseau"), (4, "autre"), (5, ""), (6, None)]
+    chunks = spark.createDataFrame(texts, "chunk_id int, content string").coalesce(2)
+    parsed, tokens = FT.analysed(queries, chunks, stems)
+    rows = {(r["query_id"], r["chunk_id"]): r["rank_cd"] for r in FT.fts_matches(parsed, tokens).collect()}
+    assert rows == {(1, 0): pytest.approx(0.05), (1, 2): pytest.approx(0.1)}
+    got = {r["chunk_id"]: r["tokens"] for r in tokens.collect() if r["tokens"] is not None}
+    assert got == {0: ["chat", "", "chien"], 1: ["chat", "chien"], 2: ["maison"], 3: ["maison", "", "oiseau"], 4: [""], 5: []}
+    text = tokens._jdf.queryExecution().executedPlan().toString()
+    assert ("Exchange" in text) != few and ("Generate" in text) != few
+    twice = FT.analysed(queries, chunks.unionAll(chunks), stems)[1]
+    assert {r["chunk_id"]: r["tokens"] for r in twice.collect()}[1] == ["chat", "chat", "chien", "chien", ""]
