@@ -77,12 +77,14 @@ def q_stream_assemble(spark, root):
 
 def _run_in_waves(spark, rows: DataFrame, wave, job) -> DataFrame:
     """Run ``job`` over ``rows`` that arrive in waves (0, 1, ...): after each wave the stream is
-    started again and goes on from its state."""
+    started again and goes on from its state. The rows are made once; a start of the stream sees the
+    folders of the waves up to its own."""
     base = f"{checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
     table = rows.withColumn("wave", wave)
+    table.where(F.col("wave").between(0, WAVES - 1)).write.partitionBy("wave").parquet(f"{base}/in")
     for number in range(WAVES):
-        table.where(F.col("wave") == number).drop("wave").write.mode("append").parquet(f"{base}/in")
-        out = job(spark.readStream.schema(rows.schema).parquet(f"{base}/in"))
+        # folders by name: one without rows is not there, which a pattern takes
+        out = job(spark.readStream.schema(rows.schema).parquet(f"{base}/in/wave=[0-{number}]"))
         jobs.append_batches(out, f"{base}/out", f"{base}/checkpoint", availableNow=True).awaitTermination()
     return spark.read.schema(out.schema).parquet(f"{base}/out")
 
