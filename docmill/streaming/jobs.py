@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections import namedtuple
 from collections.abc import Iterator
 
 import numpy as np
@@ -102,6 +103,15 @@ class _Message:
         return "".join(self.tokens), self.sources, self.cited, json.dumps(self.calls), self.error
 
 
+def _events_in_order(batches: Iterator[pd.DataFrame]) -> list:
+    """The events of one message by ``seq`` (none last), equal ones in any order, as plain tuples."""
+    found = []
+    for batch in batches:
+        event = namedtuple("Event", batch.columns)
+        found.extend(map(event._make, zip(*(batch[name].tolist() for name in batch.columns), strict=True)))
+    return sorted(found, key=lambda e: (pd.isna(e.seq), e.seq))
+
+
 BUCKETS = 1_024  # groups that keys are dealt to; fixed, as the state of a stream is found by them
 
 
